@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,24 +12,42 @@ from pyspark.sql import DataFrame, functions as F
 from . import ordered
 
 
+class _Flat:
+    """A text with white space squeezed, and the way back to its own offsets."""
+
+    def __init__(self, source: str):
+        found = list(re.finditer(r"\S+", source))
+        self.words = [m.group() for m in found]
+        self.text = " ".join(self.words)
+        self.origin = [m.start() for m in found]
+        self.starts = list(accumulate((len(w) + 1 for w in self.words), initial=0))
+
+    def source_offset(self, at: int) -> int:
+        word = bisect_right(self.starts, at) - 1
+        return self.origin[word] + at - self.starts[word]
+
+
 def _locator(keys: list[str], exact: bool, fallback: bool):
     def locate(pdf: pd.DataFrame, carried: dict) -> pd.DataFrame:
         source, before = carried.get("source") or "", carried.get("pointer")
         pointer = 0 if before is None or pd.isna(before) else int(before)
+        flat = None if exact else _Flat(source)
+        hay = source if exact else flat.text
         starts, ends, pointers = [], [], []
         for text in pdf["text"]:
-            trimmed = (text or "").strip()
-            found = None
-            if trimmed:
-                literal = re.escape(trimmed) if exact else r"\s+".join(map(re.escape, trimmed.split()))
-                pattern = re.compile(literal)
-                found = pattern.search(source, pointer)
-                if found:
-                    pointer = found.end()
+            needle = (text or "").strip() if exact else " ".join((text or "").split())
+            at = -1
+            if needle:
+                at = hay.find(needle, pointer)
+                if at >= 0:
+                    pointer = at + len(needle)
                 elif fallback:
-                    found = pattern.search(source)
-            starts.append(found.start() if found else -1)
-            ends.append(found.end() if found else -1)
+                    at = hay.find(needle)
+            stop = at + len(needle)
+            if at >= 0 and flat:
+                at, stop = flat.source_offset(at), flat.source_offset(stop - 1) + 1
+            starts.append(at)
+            ends.append(stop if at >= 0 else -1)
             pointers.append(pointer)
         return pdf[[*keys, "seg_idx"]].assign(start=starts, end=ends, pointer=pointers)
 

@@ -53,9 +53,10 @@ HEADING = (
     rf"([0-9]+|[IVXLCDM]+(?![A-Za-z])|[A-Za-z]+(?={WSI}*(?::|$)))"
     rf"(?::?{WSI}*([^\n\r]*))?$"
 )
+KINDS = "chapter|act|part|prologue|epilogue|scene|book"
 LINE_HEADING = (
-    rf"(?im)^{WSI}*(?=[^\n]{{1,79}}?{WSI}*$)(?:#+{WSI}*)?"
-    rf"(chapter|act|part|prologue|epilogue|scene|book)(?!{T.W})"
+    rf"(?im)^{WSI}*+(?=(?:#++{WSI}*+)?(?:{KINDS}))(?=[^\n]{{1,79}}?{WSI}*$)(?:#+{WSI}*)?"
+    rf"({KINDS})(?!{T.W})"
     rf"(?:{WSI}+([0-9ivxlcdm]+|[a-z]+))?(?:{WSI}*[:\-—]{WSI}*([^\n]*?))?{WSI}*$"
 )
 
@@ -91,9 +92,8 @@ def split_chapters(manuscripts: DataFrame, min_prologue: int = 50) -> DataFrame:
         "doc_id",
         F.split("text", HEADING, -1).alias("bodies"),
         F.regexp_extract_all("text", F.lit(HEADING), F.lit(0)).alias("heads"),
-        F.regexp_extract_all("text", F.lit(HEADING), F.lit(1)).alias("marks"),
-        F.regexp_extract_all("text", F.lit(HEADING), F.lit(2)).alias("subs"),
     )
+    cut = cut.withColumn("marks", F.transform("heads", lambda h: F.regexp_extract(h, HEADING, 1)))
 
     def number(mark: Column, position: Column) -> Column:
         return (
@@ -147,22 +147,19 @@ def detect_chapters_by_line(manuscripts: DataFrame, keep_prologue: bool = False)
         "doc_id",
         "text",
         F.split("text", LINE_HEADING, -1).alias("bodies"),
-        *[
-            F.regexp_extract_all("text", F.lit(LINE_HEADING), F.lit(g)).alias(n)
-            for g, n in enumerate(["heads", "kinds", "marks", "subs"])
-        ],
+        F.regexp_extract_all("text", F.lit(LINE_HEADING), F.lit(0)).alias("heads"),
     )
 
     def row(head: Column, i: Column) -> Column:
-        def at(name: str) -> Column:
-            return T.blank_to_null(F.element_at(name, i + 1))
+        def at(group: int) -> Column:
+            return T.blank_to_null(F.regexp_extract(head, LINE_HEADING, group))
 
         return F.struct(
             F.concat_ws(
                 " ",
-                F.initcap(at("kinds")),
-                at("marks"),
-                F.concat(F.lit("— "), at("subs")),
+                F.initcap(at(1)),
+                at(2),
+                F.concat(F.lit("— "), at(3)),
             ).alias("title"),
             T.strip(head).alias("heading_line"),
             T.strip(F.element_at("bodies", i + 2)).alias("text"),
@@ -404,6 +401,8 @@ def _window_ranges(max_words: int, overlap: int):
     def ranges(counts: pd.Series) -> pd.Series:
         def one(words) -> list[tuple[int, int]]:
             out, lo, n = [], 0, len(words)
+            if sum(words) <= max_words:
+                return [(0, n)]
             while lo < n:
                 hi, total = lo, 0
                 while hi < n and (hi == lo or total + words[hi] <= max_words):
@@ -425,31 +424,24 @@ def _window_ranges(max_words: int, overlap: int):
 
 
 def overlap_windows(manuscripts: DataFrame, max_words: int = 1500, overlap: int = 150) -> DataFrame:
-    """Sentence-aligned windows with overlap. Python sees word counts only."""
-    sentences = F.regexp_extract_all("text", F.lit(rf"[^.!?]+[.!?]+(?:{T.WS}+|\z)"), F.lit(0))
-    lines = F.filter(F.split("text", "\n+", -1), lambda s: T.strip(s) != "")
-    chosen = (
-        F.when(F.size(sentences) > 0, sentences)
-        .when(F.size(lines) > 0, lines)
-        .otherwise(F.array("text"))
-    )
-    base = manuscripts.select("doc_id", "text", chosen.alias("__s")).withColumn(
-        "__w", F.transform("__s", lambda s: T.words(s).cast("int"))
-    )
-    total = F.aggregate("__w", F.lit(0).cast("bigint"), lambda a, w: a + w)
-    whole = F.array(F.col("text"))
-    ranges = _window_ranges(max_words, overlap)(F.col("__w"))
-    pieces = F.transform(
-        "__r", lambda r: F.array_join(F.slice("__s", r["lo"] + 1, r["hi"] - r["lo"]), "")
-    )
-    short = base.where(total <= max_words).select("doc_id", whole.alias("__t"))
-    long = (
-        base.where(total > max_words)
-        .withColumn("__r", ranges)
-        .select("doc_id", pieces.alias("__t"))
-    )
-    out = short.unionByName(long).select(
-        "doc_id", F.posexplode("__t").alias("window_idx", "text")
+    """Sentence-aligned windows with overlap; a text that fits stays whole.
+
+    Sentences keep the white space after them, so they cover the text without a
+    gap. Texts without sentence ends are cut at lines. Python sees word counts only.
+    """
+    mark = "\ue000"
+    ends = F.when(
+        F.col("text").rlike(rf"[.!?](?:{T.WS}|\z)"),
+        F.regexp_replace("text", rf"([.!?]{T.WS}+)", f"$1{mark}"),
+    ).otherwise(F.regexp_replace("text", r"(\n+)", f"$1{mark}"))
+    base = manuscripts.select(
+        "doc_id", "text", F.filter(F.split(ends, mark, -1), lambda s: s != "").alias("__s")
+    ).withColumn("__w", F.transform("__s", lambda s: T.words(s).cast("int")))
+    rows = base.withColumn("__r", _window_ranges(max_words, overlap)(F.col("__w")))
+    out = rows.select("doc_id", F.posexplode("__r").alias("window_idx", "r"), "__s").select(
+        "doc_id",
+        "window_idx",
+        F.array_join(F.slice("__s", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")), "").alias("text"),
     )
     return out.withColumn("word_count", T.words(F.col("text")))
 
