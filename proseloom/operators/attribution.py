@@ -80,7 +80,7 @@ def rule_tag(spans: DataFrame, paragraphs: DataFrame, scene_cast: DataFrame, cas
         F.lit(rf"|(?<!{T.W})(?:{VERBS})[^A-Za-z0-9_]+"), name, F.lit(f"(?!{T.W})"),
     )
     hits = (
-        named.where(F.col("text").rlike(tag))
+        named.where(F.rlike("text", tag))
         .join(scene_cast.select("doc_id", "scene_id", "char_id"), ["doc_id", "scene_id", "char_id"])
         .groupBy("doc_id", "span_id")
         .agg(F.count_distinct("char_id").alias("n"), F.min("char_id").alias("speaker"))
@@ -90,9 +90,11 @@ def rule_tag(spans: DataFrame, paragraphs: DataFrame, scene_cast: DataFrame, cas
     )
 
 
-def rule_monologue(paragraphs: DataFrame) -> DataFrame:
+def rule_monologue(paragraphs: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Flag paragraphs that go on with a quote the paragraph before left open."""
-    near = ordered.neighbours(paragraphs, ["doc_id"], "para_idx", prev={"__before": F.col("text")})
+    near = ordered.neighbours(
+        paragraphs, ["doc_id"], "para_idx", prev={"__before": F.col("text")}, bounded=bounded
+    )
 
     def count(mark: str) -> Column:
         return F.regexp_count("__before", F.lit(mark))
@@ -300,19 +302,23 @@ _PASS_SCHEMA = (
 
 def _choose(row, hint: str | None) -> tuple[str, str, float, bool]:
     """Decision for one line from its scores, given whose turn it may be."""
-    if not row.options:
+    if row.option_ids is None or len(row.option_ids) == 0:
         return UNKNOWN, "error", 0.0, True
-    scores = [s + (ALTERNATION_BONUS if o == hint else 0.0) for o, s in row.options]
+    names = list(row.option_ids)
+    scores = [
+        s + (ALTERNATION_BONUS if o == hint else 0.0)
+        for o, s in zip(names, row.option_scores, strict=True)
+    ]
     total = sum(scores)
     share = [s / total if total else 1 / len(scores) for s in scores]
     order = sorted(range(len(share)), key=lambda i: -share[i])
     best = order[0]
-    top, score = row.options[best][0], share[best]
+    top, score = names[best], share[best]
     gap = score - (share[order[1]] if len(order) > 1 else 0.0)
     sure = row.agree and row.stable and top != UNKNOWN
     if sure and score >= ACCEPT_SCORE and gap >= ACCEPT_GAP:
         return top, "classifier_agree" if row.adapters > 1 else "classifier", round(score, 3), False
-    shortlist = [row.options[i][0] for i in order[:3]] + [UNKNOWN]
+    shortlist = [names[i] for i in order[:3]] + [UNKNOWN]
     if row.choice in shortlist:
         return row.choice, "llm", round(score, 3), True
     keep = top != UNKNOWN and score >= FLOOR_SCORE
@@ -363,13 +369,15 @@ def attribute_dialogue(
     tagged and not a continuation) fix that state, so a scene is cut there and
     its pieces run in parallel.
     """
-    scenes = text_ops.assign_scenes(paragraphs)
+    bounded = ordered.is_bounded(paragraphs, "para_idx") and ordered.is_bounded(spans, "span_ord")
+    how, again = {"bounded": bounded}, {"bounded": bounded, "cut": True}
+    scenes = text_ops.assign_scenes(paragraphs, bounded)
     present = C.scene_cast(scenes, cast)
     placed = spans.join(
         scenes.select("doc_id", "para_idx", "scene_id"), ["doc_id", "para_idx"]
     )
     tags = rule_tag(spans, scenes, present, cast).select("doc_id", "span_id", F.col("speaker").alias("tag"))
-    open_quote = rule_monologue(paragraphs).select("doc_id", "para_idx", "continues")
+    open_quote = rule_monologue(paragraphs, bounded).select("doc_id", "para_idx", "continues")
     vocative = rule_vocative(placed, present, cast)
     debiased = debias_orderings(normalize_scores(candidate_scores))
     # Renormalising after the penalty and again after the bonus would differ from
@@ -389,7 +397,8 @@ def attribute_dialogue(
         .select(
             "doc_id",
             "span_id",
-            F.transform("o", lambda x: F.struct(x["option_id"].alias("id"), x["score"].alias("score"))).alias("options"),
+            F.transform("o", lambda x: x["option_id"]).alias("option_ids"),
+            F.transform("o", lambda x: x["score"]).alias("option_scores"),
         )
     )
     flags = ensemble_scores(debiased).select("doc_id", "span_id", "agree", "stable", "adapters").distinct()
@@ -415,8 +424,8 @@ def attribute_dialogue(
     rows = rows.withColumn("locked", F.when(F.col("previous_locked"), F.col("previous_speaker")))
 
     scene = ["doc_id", "scene_id"]
-    rows = ordered.renumber(rows, scene, "span_ord", "seq")
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__last_para": F.col("para_idx")})
+    rows = ordered.renumber(rows, scene, "span_ord", "seq", **again)
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__last_para": F.col("para_idx")}, **again)
     follows = F.col("__last_para") == F.col("para_idx") - 1
     rows = rows.withColumn(
         "continues", F.coalesce(F.col("continues") & follows, F.lit(False))
@@ -425,19 +434,19 @@ def attribute_dialogue(
     )
     fixed = F.coalesce("locked", F.when(~F.col("continues"), F.col("tag")))
     rows = rows.withColumn("__fixed", fixed)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f1": F.col("__fixed")})
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f2": F.col("__f1")})
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__f1": F.col("__fixed")}, **again)
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__f2": F.col("__f1")}, **again)
     cut = F.col("__f1").isNotNull() & F.col("__f2").isNotNull()
     rows = rows.withColumn("seed1", F.when(cut, F.col("__f1"))).withColumn(
         "seed2", F.when(cut, F.col("__f2"))
     )
-    rows = ordered.running(rows, scene, "seq", {"chunk": ("sum", cut.cast("int"))})
+    rows = ordered.running(rows, scene, "seq", {"chunk": ("sum", cut.cast("int"))}, **again)
     needed = rows.select(
         "doc_id", "scene_id", "chunk", "span_id", "seq", "locked", "tag", "continues", "new_paragraph",
-        "options", "agree", "stable", "adapters", "choice", "seed1", "seed2",
+        "option_ids", "option_scores", "agree", "stable", "adapters", "choice", "seed1", "seed2",
     )
     decided = ordered.fold_blocks(
-        needed, [*scene, "chunk"], "seq", _speaker_pass, _PASS_SCHEMA, ["s1", "s2"], **blocking
+        needed, [*scene, "chunk"], "seq", _speaker_pass, _PASS_SCHEMA, ["s1", "s2"], **{**how, **blocking}
     ).drop("chunk", "s1", "s2")
 
     listeners = _listeners(decided)
@@ -594,12 +603,15 @@ def rule_attribution_lite(quotes: DataFrame, cast: DataFrame, scores: DataFrame
         .when(answer.isNotNull(), F.struct(answer.alias("s"), F.lit(0.70).alias("c"), F.lit("vocative").alias("e")))
     )
     rows = rows.withColumn("own", own)
-    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "pos")
+    how = {"bounded": ordered.is_bounded(quotes, "seg_idx")}
+    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "pos", cut=True, **how)
     rows = ordered.running(
         rows,
         ["doc_id"],
         "pos",
-        {"pin": ("last", F.when(F.col("own").isNotNull(), F.struct("pos", F.col("own.s").alias("s"))))},
+        cut=True,
+        **how,
+        aggs={"pin": ("last", F.when(F.col("own").isNotNull(), F.struct("pos", F.col("own.s").alias("s"))))},
     )
     # Lines since the last own speaker. The very first line of a book without one
     # takes the lead and then counts as that speaker.
@@ -635,7 +647,8 @@ def alternation_baseline(spans: DataFrame, cast: DataFrame) -> DataFrame:
     ``spans``: doc_id, ord, type, tag. The speaker follows from the last restart
     and the number of dialogue lines since, so no loop is needed.
     """
-    dialogue = ordered.renumber(spans.where("type = 'dialogue'"), ["doc_id"], "ord", "n")
+    how = {"bounded": ordered.is_bounded(spans, "ord")}
+    dialogue = ordered.renumber(spans.where("type = 'dialogue'"), ["doc_id"], "ord", "n", **how)
     names = cast.where("name <> 'Narrator'").select("doc_id", "ord", "name")
     seats = ordered.renumber(names, ["doc_id"], "ord", "seat").select("doc_id", "name", "seat")
     sizes = seats.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cast"))
@@ -658,6 +671,8 @@ def alternation_baseline(spans: DataFrame, cast: DataFrame) -> DataFrame:
         ["doc_id"],
         "n",
         {"from": ("last", F.when(F.col("reset").isNotNull(), F.struct("n", "reset")))},
+        cut=True,
+        **how,
     )
     seat = (
         F.coalesce(F.col("from.reset"), F.lit(0)) + F.col("n") - F.coalesce(F.col("from.n"), F.lit(0))

@@ -256,9 +256,10 @@ def mentions(texts: DataFrame, cast: DataFrame, on: list[str]) -> DataFrame:
     """
     rows = texts.select("doc_id", *on, "text", F.explode(word_bag(F.col("text"))).alias("head"))
     hit = rows.join(cast_variants(cast), ["doc_id", "head"])
-    exact = (F.col("variant") == F.col("head")) | F.expr(
-        "contains(lower(text), variant)"
-    ) & F.col("text").rlike(name_regex(F.col("variant")))
+    whole = F.contains(F.lower("text"), F.col("variant")) & F.rlike(
+        "text", name_regex(F.col("variant"))
+    )
+    exact = (F.col("variant") == F.col("head")) | whole
     return hit.where(exact)
 
 

@@ -1,12 +1,15 @@
-"""Ordered scans that never put a whole key into one task.
-
-A plain window partitioned by book puts every row of the book into one task.
-Here each key is cut into blocks of at most ``block_rows`` index values. A row
-is scanned inside its block, one summary row per block is scanned per key, and
-the summary of the earlier blocks is joined back. A key with one block (the
-usual book) adds no summary row to that join.
-
-``idx`` is an integer column, unique within the key. Gaps are allowed.
+"""Ordered scans that never put an unbounded key into one task.
+
+``idx`` is an integer column, unique within the key; gaps are allowed. So the span
+of its values bounds the rows of every key. Where that span is at most
+``block_rows``, a plain window per key is used, and windows over one key share a
+shuffle. Otherwise each key is cut into blocks of ``block_rows`` index values: a
+row is scanned inside its block, one summary row per block is scanned per key, and
+the summary of the earlier blocks is joined back.
+
+Callers that scan one table several times check it once with :func:`is_bounded`
+and pass the answer on. ``cut`` writes the input of a blocked scan to the
+checkpoint folder first, because such a scan reads it twice.
 """
 
 from __future__ import annotations
@@ -15,14 +18,30 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import checkpoint_dir
+
 BLOCK_ROWS = 65_536
 _BLK = "__blk"
 
 
+def is_bounded(df: DataFrame, idx: str, block_rows: int = BLOCK_ROWS) -> bool:
+    """Whether no key can hold more than ``block_rows`` rows; reads one column."""
+    span = df.agg((F.max(idx) - F.min(idx)).cast("bigint")).first()[0]
+    return span is None or span < block_rows
+
+
 def _with_block(df: DataFrame, idx: str, block_rows: int) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(idx) / F.lit(block_rows)))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+_MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,6 +49,8 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     *,
     reverse: bool = False,
+    bounded: bool | None = None,
+    cut: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Running aggregates from the first row of the key up to the current row.
@@ -39,14 +60,27 @@ def running(
     ``reverse`` the scan starts at the last row.
     """
     keys = list(keys)
-    inputs = {name: f"__v_{name}" for name in aggs}
-    rows = _with_block(df, idx, block_rows).select(
-        "*", *[value.alias(inputs[name]) for name, (_, value) in aggs.items()]
-    )
+    if bounded is None:
+        bounded = is_bounded(df, idx, block_rows)
 
     def order(name: str) -> Column:
         return F.col(name).desc() if reverse else F.col(name).asc()
 
+    def scan(kind: str, value: Column, window) -> Column:
+        if kind == "last":
+            return F.last(value, ignorenulls=True).over(window)
+        return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](value).over(window)
+
+    kept = [F.col(c) for c in df.columns if c not in aggs]
+    if bounded:
+        whole = W.partitionBy(*keys).orderBy(order(idx)).rowsBetween(W.unboundedPreceding, 0)
+        return df.select(*kept, *[scan(k, v, whole).alias(n) for n, (k, v) in aggs.items()])
+
+    inputs = {name: f"__v_{name}" for name in aggs}
+    rows = _with_block(df, idx, block_rows).select(
+        "*", *[value.alias(inputs[name]) for name, (_, value) in aggs.items()]
+    )
+    rows = _cut(rows) if cut else rows
     in_block = (
         W.partitionBy(*keys, _BLK).orderBy(order(idx)).rowsBetween(W.unboundedPreceding, 0)
     )
@@ -55,26 +89,23 @@ def running(
     local, summary, carry = [], [], []
     for name, (kind, _) in aggs.items():
         v, c = F.col(inputs[name]), f"__c_{name}"
+        local.append(scan(kind, v, in_block).alias(f"__l_{name}"))
         if kind == "last":
-            local.append(F.last(v, ignorenulls=True).over(in_block))
             newest = F.min_by if reverse else F.max_by
             summary.append(newest(v, F.when(v.isNotNull(), F.col(idx))).alias(c))
             carry.append(F.last(F.col(c), ignorenulls=True).over(before).alias(c))
-            continue
-        fn = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
-        merge = F.sum if kind in ("sum", "count") else fn
-        local.append(fn(v).over(in_block))
-        summary.append(fn(v).alias(c))
-        carry.append(merge(F.col(c)).over(before).alias(c))
-
-    scanned = rows.select("*", *[col.alias(f"__l_{n}") for n, col in zip(aggs, local, strict=True)])
+        else:
+            fn = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
+            summary.append(fn(v).alias(c))
+            carry.append(_MERGE[kind](F.col(c)).over(before).alias(c))
+
     carried = (
         rows.groupBy(*keys, _BLK)
         .agg(*summary)
         .select(*keys, _BLK, *carry)
         .where(" OR ".join(f"`__c_{n}` IS NOT NULL" for n in aggs))
     )
-    joined = scanned.join(carried, [*keys, _BLK], "left")
+    joined = rows.select("*", *local).join(carried, [*keys, _BLK], "left")
 
     out = []
     for name, (kind, _) in aggs.items():
@@ -86,7 +117,7 @@ def running(
         else:
             merged = (F.greatest if kind == "max" else F.least)(here, past)
         out.append(merged.alias(name))
-    return joined.select(*[F.col(c) for c in df.columns if c not in aggs], *out)
+    return joined.select(*kept, *out)
 
 
 def neighbours(
@@ -96,15 +127,29 @@ def neighbours(
     *,
     prev: Mapping[str, Column] | None = None,
     next: Mapping[str, Column] | None = None,  # noqa: A002 - reads well at the call site
+    bounded: bool | None = None,
+    cut: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Values of the row before (``prev``) and after (``next``) in index order."""
     keys, prev, next = list(keys), dict(prev or {}), dict(next or {})
+    if bounded is None:
+        bounded = is_bounded(df, idx, block_rows)
+    kept = [F.col(c) for c in df.columns if c not in {**prev, **next}]
+    if bounded:
+        whole = W.partitionBy(*keys).orderBy(idx)
+        return df.select(
+            *kept,
+            *[F.lag(v).over(whole).alias(n) for n, v in prev.items()],
+            *[F.lead(v).over(whole).alias(n) for n, v in next.items()],
+        )
+
     rows = _with_block(df, idx, block_rows).select(
         "*",
         *[v.alias(f"__p_{n}") for n, v in prev.items()],
         *[v.alias(f"__n_{n}") for n, v in next.items()],
     )
+    rows = _cut(rows) if cut else rows
     in_block = W.partitionBy(*keys, _BLK).orderBy(idx)
     across = W.partitionBy(*keys).orderBy(_BLK)
 
@@ -123,39 +168,52 @@ def neighbours(
         carry.append(F.lead("__head").over(across).alias("__lead_c"))
         present.append("__lead_c IS NOT NULL")
 
-    scanned = rows.select(*columns)
     carried = (
         rows.groupBy(*keys, _BLK)
         .agg(*summary)
         .select(*keys, _BLK, *carry)
         .where(" OR ".join(present))
     )
-    joined = scanned.join(carried, [*keys, _BLK], "left")
+    joined = rows.select(*columns).join(carried, [*keys, _BLK], "left")
     out = [F.coalesce(F.col("__lag"), F.col("__lag_c"))[n].alias(n) for n in prev]
     out += [F.coalesce(F.col("__lead"), F.col("__lead_c"))[n].alias(n) for n in next]
-    made = {*prev, *next}
-    return joined.select(*[F.col(c) for c in df.columns if c not in made], *out)
+    return joined.select(*kept, *out)
 
 
-def renumber(df: DataFrame, keys: Sequence[str], idx: str, name: str, start: int = 0) -> DataFrame:
+def renumber(
+    df: DataFrame, keys: Sequence[str], idx: str, name: str, start: int = 0, **how
+) -> DataFrame:
     """Dense position of each row in its key, counted from ``start``."""
-    out = running(df, keys, idx, {name: ("count", F.lit(1))})
+    out = running(df, keys, idx, {name: ("count", F.lit(1))}, **how)
     return out.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
-def rerank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Dense position for rows ordered by ``order[0]`` (unique source position) and
-    then by ``order[1]`` (piece inside it), for rows made by splitting others.
+def rerank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    *,
+    bounded: bool | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Dense position for rows ordered by ``order[0]`` (source position) and then by
+    ``order[1]`` (piece of it), for rows made by splitting or adding to others.
 
-    The pieces of one source row are counted with a grouped sum, so only the
-    per-source counts take part in the blocked scan.
+    The pieces of one source row are few. Where a key may hold many source rows,
+    they are counted per source row and only the counts take part in the scan.
     """
     keys = list(keys)
     outer, inner = order
+    if bounded is None:
+        bounded = is_bounded(df, outer, block_rows)
+    if bounded:
+        whole = W.partitionBy(*keys).orderBy(outer, inner)
+        return df.withColumn(name, (F.row_number().over(whole) - 1).cast("bigint"))
     sizes = df.groupBy(*keys, outer).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = running(sizes, keys, outer, {"__end": ("sum", F.col("__n"))}).select(
-        *keys, outer, (F.col("__end") - F.col("__n")).alias("__base")
-    )
+    offsets = running(
+        sizes, keys, outer, {"__end": ("sum", F.col("__n"))}, bounded=False, block_rows=block_rows
+    ).select(*keys, outer, (F.col("__end") - F.col("__n")).alias("__base"))
     piece = W.partitionBy(*keys, outer).orderBy(inner)
     return (
         df.withColumn("__rn", F.row_number().over(piece) - 1)
@@ -174,6 +232,7 @@ def fold_blocks(
     state: Sequence[str],
     *,
     side: DataFrame | None = None,
+    bounded: bool | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Sequential scan per key with a small carried state, one block at a time.
@@ -203,15 +262,16 @@ def fold_blocks(
         grouped = part.drop(_BLK).groupBy(*keys)
         if other is None:
             return grouped.applyInPandas(alone, out_schema)
+        # Fresh column identities: both sides may come from the same table.
+        other = other.select(*[F.col(c).alias(c) for c in other.columns])
         return grouped.cogroup(other.groupBy(*keys)).applyInPandas(beside, out_schema)
 
+    if bounded:
+        return apply(blocked, side)
     longest = blocked.agg(F.max(_BLK)).first()[0] or 0
     if longest == 0:
         return apply(blocked, side)
 
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(rows.sparkSession)
     done = None
     for block in range(int(longest) + 1):
         other = side
@@ -222,6 +282,6 @@ def fold_blocks(
                 .select(*keys, *[F.col(f"__s.{n}").alias(n) for n in names])
             )
             other = latest if side is None else side.join(latest, keys, "left")
-        out = apply(blocked.where(F.col(_BLK) == block), other).checkpoint()
+        out = _cut(apply(blocked.where(F.col(_BLK) == block), other))
         done = out if done is None else done.unionByName(out)
     return done

@@ -340,7 +340,13 @@ def risk_queue(scored: DataFrame, top_pct: float | None = None, min_tier: str |
         )
         levels = levels.join(totals, "doc_id").where("__above < __top")
     rows = kept.join(levels.drop("__n"), ["doc_id", "risk_score"])
-    rows = ordered.renumber(rows, ["doc_id", "risk_score"], "seg_idx", "__tie")
+    rows = ordered.renumber(
+        rows,
+        ["doc_id", "risk_score"],
+        "seg_idx",
+        "__tie",
+        bounded=ordered.is_bounded(scored, "seg_idx"),
+    )
     rows = rows.withColumn("queue_pos", F.col("__above") + F.col("__tie") + 1)
     if limited:
         rows = rows.where("queue_pos <= __top").drop("__top")
@@ -357,8 +363,13 @@ def doubtful_lines(segments: DataFrame) -> DataFrame:
     )
     rows = segments.withColumn("is_doubtful", doubt)
     mark = F.when(F.col("is_doubtful"), F.col("seg_idx"))
-    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__here": ("last", mark)}, reverse=True)
-    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", next={"__later": F.col("__here")})
+    bounded = ordered.is_bounded(segments, "seg_idx")
+    rows = ordered.running(
+        rows, ["doc_id"], "seg_idx", {"__here": ("last", mark)}, reverse=True, bounded=bounded
+    )
+    rows = ordered.neighbours(
+        rows, ["doc_id"], "seg_idx", next={"__later": F.col("__here")}, bounded=bounded, cut=True
+    )
     book = rows.groupBy("doc_id").agg(
         F.min(mark).alias("__first"), F.count_if("is_doubtful").alias("doubt_count")
     )

@@ -145,10 +145,12 @@ def screenplay_export(segments: DataFrame, titles: DataFrame) -> DataFrame:
     def c(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in have else F.lit(None).cast(kind)
 
+    how = {"bounded": ordered.is_bounded(segments, "seg_idx")}
+    again = {**how, "cut": True}
     rows = segments.withColumn("__h", T.blank_to_null(c("scene_heading")))
-    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__open": ("last", F.col("__h"))})
-    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", prev={"__was": F.col("__open")})
-    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "part_no", start=1)
+    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__open": ("last", F.col("__h"))}, **how)
+    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", prev={"__was": F.col("__open")}, **again)
+    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "part_no", start=1, **again)
     heading = F.col("__h")
     opens = heading.isNotNull() & F.coalesce(heading != F.col("__was"), F.lit(True))
     kind = F.lower(_or(c("type"), "narrator"))
@@ -225,29 +227,37 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     block, current chapter and scene), so the text is read without a parser loop.
     """
     doc, at = ["doc_id"], "line_no"
+    bounded = ordered.is_bounded(script_lines, "line_no")
+
+    def running(rows, keys, idx, aggs, cut=True):
+        return ordered.running(rows, keys, idx, aggs, bounded=bounded, cut=cut)
+
+    def before(rows, keys, **prev):
+        return ordered.neighbours(rows, keys, at, prev=prev, bounded=bounded, cut=True)
+
     t = T.strip(F.col("line"))
     rows = script_lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), t.alias("t"))
 
     # Comments: a line that opens one, up to the line that closes it.
     opens = F.col("t").startswith("/*") & ~F.contains("t", F.lit("*/"))
     closes = F.contains("t", F.lit("*/"))
-    rows = ordered.running(
-        rows, doc, at, {"__state": ("last", F.when(closes, F.lit(0)).when(opens, F.lit(1)))}
+    rows = running(
+        rows, doc, at, {"__state": ("last", F.when(closes, F.lit(0)).when(opens, F.lit(1)))}, cut=False
     )
-    rows = ordered.neighbours(rows, doc, at, prev={"__prev_state": F.col("__state")})
+    rows = before(rows, doc, __prev_state=F.col("__state"))
     inside = F.coalesce(F.col("__prev_state") == 1, F.lit(False))
     comment = inside | F.col("t").startswith("/*")
     rows = rows.withColumn("is_comment", comment).withColumn(
         "__first", (F.col("is_comment") & ~inside).cast("int")
     )
-    rows = ordered.running(rows, doc, at, {"__comment_no": ("sum", F.col("__first"))})
+    rows = running(rows, doc, at, {"__comment_no": ("sum", F.col("__first"))})
 
     # Title page: property and blank lines before the first other line or "===".
     plain = ~F.col("is_comment") & (F.col("t") != "")
     rule = plain & ((F.col("t") == "===") | F.col("t").startswith("=== "))
     prop = plain & F.col("t").rlike(TITLE_KEY)
     ends = plain & (rule | ~prop)
-    rows = ordered.running(rows, doc, at, {"__ends": ("sum", ends.cast("int"))})
+    rows = running(rows, doc, at, {"__ends": ("sum", ends.cast("int"))})
     title_line = prop & (F.col("__ends") == 0)
     titles = (
         rows.where(title_line)
@@ -259,7 +269,7 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Paragraphs: runs of lines without a blank one between them.
     blank = ~F.col("is_comment") & (F.col("t") == "")
-    body = ordered.running(body, doc, at, {"para": ("sum", blank.cast("int"))}).where(
+    body = running(body, doc, at, {"para": ("sum", blank.cast("int"))}).where(
         F.col("is_comment") | (F.col("t") != "")
     )
     scene = F.col("t").rlike(SCENE) | F.col("t").rlike(FORCED_SCENE)
@@ -281,8 +291,8 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     setting = F.when(F.col("form").isin("section", "scene"), F.lit("top")).when(
         F.col("form") == "plain", F.lit("narration")
     )
-    body = ordered.running(body, in_para, at, {"__now": ("last", setting)})
-    body = ordered.neighbours(body, in_para, at, prev={"__before": F.col("__now")})
+    body = running(body, in_para, at, {"__now": ("last", setting)})
+    body = before(body, in_para, __before=F.col("__now"))
     free = F.coalesce(F.col("__before") != "narration", F.lit(True))
     is_cue = (F.col("form") == "cue") | ((F.col("form") == "upper") & free)
     first_cue = (
@@ -306,13 +316,13 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Segment numbers: a segment opens at its first line of content.
     solid = body.where("form <> 'comment'")
-    solid = ordered.neighbours(solid, in_para, at, prev={"__c": F.col("content")})
+    solid = before(solid, in_para, __c=F.col("content"))
     begin = (F.col("content") == "narrator") & F.col("free") | (
         (F.col("content") == "dialogue") & F.coalesce(F.col("__c") != "dialogue", F.lit(True))
     )
     solid = solid.withColumn("begins", F.coalesce(begin, F.lit(False))).drop("__c")
     comments = body.where("form = 'comment'").withColumn("begins", F.lit(False))
-    body = ordered.running(
+    body = running(
         solid.unionByName(comments),
         doc,
         at,
@@ -328,7 +338,7 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         },
     )
     # Whether the last solid line of the paragraph belongs to an open block.
-    body = ordered.running(
+    body = running(
         body,
         in_para,
         at,
@@ -399,7 +409,7 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     axis = grouped.withColumn("x", F.col("line_no") * 2 + 1).unionByName(
         marks.select("doc_id", (F.col("line_no") * 2).alias("x"), "s"), allowMissingColumns=True
     )
-    axis = ordered.running(axis, doc, "x", {"__snap": ("last", F.col("s"))}).where("seg_no IS NOT NULL")
+    axis = running(axis, doc, "x", {"__snap": ("last", F.col("s"))}).where("seg_no IS NOT NULL")
     rows = axis.join(meta, ["doc_id", "seg_no"], "left").join(asides, in_para, "left")
     spoken = F.col("type") == "dialogue"
     by_cue = F.when(
@@ -550,9 +560,14 @@ def sanity_flags(breakdown: DataFrame) -> DataFrame:
 def scene_cards(segments: DataFrame) -> DataFrame:
     """One card per run of rows under one heading; a heading met again is a new card."""
     rows = segments.withColumn("scene_heading", _or(F.col("scene_heading"), "SCENE 1 (DEFAULT)"))
-    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", prev={"__was": F.col("scene_heading")})
+    how = {"bounded": ordered.is_bounded(segments, "seg_idx")}
+    rows = ordered.neighbours(
+        rows, ["doc_id"], "seg_idx", prev={"__was": F.col("scene_heading")}, **how
+    )
     opens = F.coalesce(F.col("scene_heading") != F.col("__was"), F.lit(True))
-    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"scene_number": ("sum", opens.cast("int"))})
+    rows = ordered.running(
+        rows, ["doc_id"], "seg_idx", {"scene_number": ("sum", opens.cast("int"))}, cut=True, **how
+    )
     have = set(segments.columns)
     card = ["doc_id", "scene_number"]
 

@@ -210,15 +210,22 @@ def split_paragraphs(manuscripts: DataFrame) -> DataFrame:
     )
 
 
-def assign_scenes(paragraphs: DataFrame) -> DataFrame:
+def assign_scenes(paragraphs: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Number the scenes of each book; break lines leave the table."""
+    if bounded is None:
+        bounded = ordered.is_bounded(paragraphs, "para_idx")
     flagged = paragraphs.withColumn("__break", F.col("text").rlike(SCENE_BREAK))
     near = ordered.neighbours(
-        flagged, ["doc_id"], "para_idx", prev={"__before": F.col("__break")}
+        flagged, ["doc_id"], "para_idx", prev={"__before": F.col("__break")}, bounded=bounded
     )
     opens = ~F.col("__break") & F.coalesce(F.col("__before"), F.lit(True))
     numbered = ordered.running(
-        near, ["doc_id"], "para_idx", {"__scene": ("sum", opens.cast("int"))}
+        near,
+        ["doc_id"],
+        "para_idx",
+        {"__scene": ("sum", opens.cast("int"))},
+        bounded=bounded,
+        cut=True,
     )
     return (
         numbered.where(~F.col("__break"))
@@ -228,7 +235,8 @@ def assign_scenes(paragraphs: DataFrame) -> DataFrame:
 
 
 def split_paragraphs_scenes(manuscripts: DataFrame) -> DataFrame:
-    return assign_scenes(split_paragraphs(manuscripts))
+    # The lines of a book come out of one text cell, which one task holds anyway.
+    return assign_scenes(split_paragraphs(manuscripts), bounded=True)
 
 
 # ---------------------------------------------------------------- sentences and spans
@@ -508,7 +516,8 @@ def split_segments_at_quotes(segments: DataFrame, ids: DataFrame) -> DataFrame:
         ],
         F.col("__i"),
     )
-    return ordered.rerank(rows, ["doc_id"], ["seg_idx", "__i"], "new_idx").drop("__i")
+    bounded = ordered.is_bounded(segments, "seg_idx")
+    return ordered.rerank(rows, ["doc_id"], ["seg_idx", "__i"], "new_idx", bounded=bounded).drop("__i")
 
 
 def merge_adjacent(segments: DataFrame, merges: DataFrame) -> DataFrame:
@@ -521,11 +530,13 @@ def merge_adjacent(segments: DataFrame, merges: DataFrame) -> DataFrame:
         F.bool_or(F.col("direction") == "above").alias("__up"),
         F.bool_or(F.col("direction") == "below").alias("__down"),
     )
+    bounded = ordered.is_bounded(segments, "seg_idx")
     marked = segments.join(asked, ["doc_id", "seg_idx"], "left")
     near = ordered.neighbours(
         marked,
         ["doc_id"],
         "seg_idx",
+        bounded=bounded,
         prev={"__first": F.lit(False), "__prev_down": F.coalesce("__down", F.lit(False))},
     )
     has_upper = F.coalesce(~F.col("__first"), F.lit(False))
@@ -537,6 +548,8 @@ def merge_adjacent(segments: DataFrame, merges: DataFrame) -> DataFrame:
         ["doc_id"],
         "seg_idx",
         {"__g": ("sum", (~linked).cast("int"))},
+        bounded=bounded,
+        cut=True,
     )
     keep = [c for c in segments.columns if c not in ("doc_id", "text")]
     out = grouped.groupBy("doc_id", "__g").agg(
@@ -575,4 +588,5 @@ def insert_rows(segments: DataFrame, inserts: DataFrame) -> DataFrame:
     )
     rows = segments.select("*", F.lit(1).alias("__side"), F.lit(False).alias("is_inserted"))
     both = rows.unionByName(blank, allowMissingColumns=True)
-    return ordered.rerank(both, ["doc_id"], ["seg_idx", "__side"], "new_idx").drop("__side")
+    bounded = ordered.is_bounded(segments, "seg_idx")
+    return ordered.rerank(both, ["doc_id"], ["seg_idx", "__side"], "new_idx", bounded=bounded).drop("__side")

@@ -15,7 +15,9 @@ def _maybe(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def inter_segment_pause(segments: DataFrame, config: dict[str, float] | None = None) -> DataFrame:
+def inter_segment_pause(
+    segments: DataFrame, config: dict[str, float] | None = None, bounded: bool | None = None
+) -> DataFrame:
     """Silence before each line; explicit values win over the defaults."""
     pause = {**PAUSES, **(config or {})}
     prev = {
@@ -24,7 +26,7 @@ def inter_segment_pause(segments: DataFrame, config: dict[str, float] | None = N
         "__after1": _maybe(segments, "silence_after", "double"),
         "__after2": _maybe(segments, "pause_after", "double"),
     }
-    rows = ordered.neighbours(segments, ["doc_id"], "seg_idx", prev=prev)
+    rows = ordered.neighbours(segments, ["doc_id"], "seg_idx", prev=prev, bounded=bounded)
 
     def given(value: Column) -> Column:
         return F.when(value >= 0, value)
@@ -56,7 +58,8 @@ def inter_segment_pause(segments: DataFrame, config: dict[str, float] | None = N
 
 def timeline_preview(segments: DataFrame, config: dict[str, float] | None = None) -> DataFrame:
     """Estimated start of each line: pauses and earlier durations summed up."""
-    rows = inter_segment_pause(segments, config).withColumn(
+    bounded = ordered.is_bounded(segments, "seg_idx")
+    rows = inter_segment_pause(segments, config, bounded).withColumn(
         "duration_seconds", F.greatest(F.lit(1.5), T.words(F.col("text")) / 2.5)
     )
     rows = ordered.running(
@@ -64,6 +67,8 @@ def timeline_preview(segments: DataFrame, config: dict[str, float] | None = None
         ["doc_id"],
         "seg_idx",
         {"__end": ("sum", F.col("pause_seconds") + F.col("duration_seconds"))},
+        bounded=bounded,
+        cut=True,
     )
     totals = rows.groupBy("doc_id").agg(F.max("__end").alias("__total"))
     return rows.join(totals, "doc_id").select(
@@ -126,7 +131,13 @@ def active_take_playlist(
     default = F.concat(F.lit("audio/takes/line_"), F.col("seg_idx").cast("string"), F.lit("/take_1.mp3"))
     seconds = F.coalesce(F.col("t.duration_s"), F.lit(0.0))
     rows = rows.withColumn("duration", seconds)
-    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__end": ("sum", F.col("duration") + gap)})
+    rows = ordered.running(
+        rows,
+        ["doc_id"],
+        "seg_idx",
+        {"__end": ("sum", F.col("duration") + gap)},
+        bounded=ordered.is_bounded(segments, "seg_idx"),
+    )
     return rows.select(
         "doc_id",
         "seg_idx",
@@ -194,7 +205,7 @@ def word_timestamps(takes: DataFrame) -> DataFrame:
         dur = F.when(is_last, left).otherwise(F.round(x * F.col("__unit"), 3))
         start = F.round(acc["at"], 3)
         return F.struct(
-            (acc["at"] + dur).alias("at"),
+            F.round(acc["at"] + dur, 3).alias("at"),
             F.concat(acc["out"], item(start, F.round(start + dur, 3), dur)).alias("out"),
         )
 
@@ -357,10 +368,22 @@ def master_timeline(chapters: DataFrame, segments: DataFrame) -> DataFrame:
         chapters.select("doc_id", "chapter_pos", "chapter_id", "chapter_title"), ["doc_id", "chapter_id"]
     )
     sizes = rows.groupBy("doc_id", "chapter_pos").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = ordered.running(sizes, ["doc_id"], "chapter_pos", {"__end": ("sum", F.col("__n"))}).select(
+    offsets = ordered.running(
+        sizes,
+        ["doc_id"],
+        "chapter_pos",
+        {"__end": ("sum", F.col("__n"))},
+        bounded=ordered.is_bounded(chapters, "chapter_pos"),
+    ).select(
         "doc_id", "chapter_pos", (F.col("__end") - F.col("__n")).alias("__base")
     )
-    rows = ordered.renumber(rows, ["doc_id", "chapter_pos"], "seg_idx", "__pos")
+    rows = ordered.renumber(
+        rows,
+        ["doc_id", "chapter_pos"],
+        "seg_idx",
+        "__pos",
+        bounded=ordered.is_bounded(segments, "seg_idx"),
+    )
     return (
         rows.join(offsets, ["doc_id", "chapter_pos"])
         .withColumn("global_segment_index", F.col("__base") + F.col("__pos"))

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries"]
+MODULES = [
+    "text_queries",
+    "cast_queries",
+    "qc_queries",
+    "script_queries",
+    "timeline_queries",
+    "source_queries",
+]
 
 
 def load() -> None:

@@ -8,10 +8,15 @@ grows with them. Each view is plain SQL that runs on Spark and on other engines.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
 BASE = ["documents", "conversations", "events", "embeddings", "labels", "benchmark", "pages"]
 
 
@@ -281,6 +286,15 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     def view(self, view: str) -> DataFrame:
+        """A derived view, written once per session as the table it stands for."""
+        key = (self.spark.sparkContext.applicationId, self.folder, view)
+        if key not in _WRITTEN:
+            path = f"{checkpoint_dir(self.spark)}/inputs-{uuid.uuid4().hex}/{view}"
+            self._derive(view).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def _derive(self, view: str) -> DataFrame:
         names = closure([view])
         used = [t for t in BASE if any("{" + t + "}" in VIEWS[v] for v in names)]
         ctes = ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in names)

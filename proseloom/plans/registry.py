@@ -31,4 +31,5 @@ def query(name: str, sql: str | None = None, views: list[str] | None = None):
 
 def rounded(expr: str, digits: int) -> str:
     """SQL rounding half up on the decimal form, as the operators round."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(28, 12)), {digits}) AS DOUBLE)"
+    text = f"CAST(CAST({expr} AS DOUBLE) AS VARCHAR)"
+    return f"CAST(round(CAST({text} AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"

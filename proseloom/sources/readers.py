@@ -235,20 +235,35 @@ _BAD_ESCAPE = re.compile(r'\\([^"\\/bfnrtu])')
 _WANTED = ("cast", "script_segments", "spans", "relationships")
 
 
+def _closing(text: str, at: int) -> int:
+    """Offset after the bracket that closes the one at ``at``, or -1."""
+    brackets = r"[{}]" if text[at] == "{" else r"[\[\]]"
+    depth = 0
+    for token in re.compile(rf'"(?:\\.|[^"\\])*(?:"|\Z)|{brackets}', re.S).finditer(text, at):
+        if token.group() == text[at]:
+            depth += 1
+        elif len(token.group()) == 1 and token.group() != '"':
+            depth -= 1
+            if depth == 0:
+                return token.end()
+    return -1
+
+
 def _first_block(text: str) -> str | None:
-    """First balanced JSON block with known content, else the first valid object."""
-    spare, at, decoder = None, 0, json.JSONDecoder()
-    text = _BAD_ESCAPE.sub(r"\\\\\1", text or "")
-    while match := re.compile(r"[\[{]").search(text, at):
+    """First balanced JSON block with known content, else the first valid one."""
+    spare, at = None, 0
+    while match := re.compile(r"[\[{]").search(text or "", at):
+        end = _closing(text, match.start())
+        if end < 0:
+            break
+        block, at = _BAD_ESCAPE.sub(r"\\\\\1", text[match.start() : end]), end
         try:
-            value, end = decoder.raw_decode(text, match.start())
+            value = json.loads(block)
         except ValueError:
-            at = match.start() + 1
             continue
-        block = text[match.start() : end]
         if isinstance(value, list) or any(value.get(k) for k in _WANTED):
             return block
-        spare, at = spare or block, end
+        spare = spare or block
     return spare
 
 

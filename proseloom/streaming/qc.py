@@ -49,7 +49,7 @@ def _arc(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
         else:
             level = round(float(S.next_intensity(level, row.baseline, row.trigger, row.lines)), 3)
             seen = int(row.line_idx)
-        out.append((key[0], key[1], row.line_idx, None if late else level, late))
+        out.append((key[0], key[1], row.line_idx, float("nan") if late else level, late))
     state.update((level, seen, dropped))
     yield pd.DataFrame(out, columns=[f.split()[0] for f in ARC_SCHEMA.split(", ")])
 
