@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from . import cast as C
@@ -162,77 +162,86 @@ def context_window(spans: DataFrame, paragraphs: DataFrame, before: int = 3, aft
 
 # ---------------------------------------------------------------- candidate scores
 
-RUN = ["doc_id", "span_id", "adapter", "ordering"]
+SPAN = ["doc_id", "span_id"]
+ADAPTER = [*SPAN, "adapter"]
+RUN = [*ADAPTER, "ordering"]
 
 
-def normalize_scores(scores: DataFrame) -> DataFrame:
-    """Scores of one run as a distribution: negatives clipped, all-zero is uniform."""
-    clipped = scores.withColumn("score", F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)))
-    totals = clipped.groupBy(*RUN).agg(
-        F.sum("score").alias("__total"), F.count(F.lit(1)).alias("__n")
-    )
-    share = F.when(F.col("__total") == 0, 1 / F.col("__n")).otherwise(F.col("score") / F.col("__total"))
-    return clipped.join(totals, RUN).withColumn("score", share).drop("__total", "__n")
+def _share(score: Column, group: list[str]) -> Column:
+    """Score as a share of its group; an all-zero group is uniform."""
+    over = W.partitionBy(*group)
+    total = F.sum(score).over(over)
+    return F.when(total == 0, 1 / F.count(F.lit(1)).over(over)).otherwise(score / total)
+
+
+def _top(group: list[str]) -> Column:
+    rank = F.struct(F.col("score"), -F.col("option_ord"))
+    return F.max_by("option_id", rank).over(W.partitionBy(*group))
 
 
-def _top(score: str = "score") -> Column:
-    return F.max_by("option_id", F.struct(F.col(score), -F.col("option_ord")))
+def normalize_scores(scores: DataFrame) -> DataFrame:
+    """Scores of one run as a distribution: negatives clipped, all-zero is uniform.
+
+    Scores are shuffled once, by line. Everything up to the decision groups by the
+    line and more, so it stays where it is. A group is the options of one line.
+    """
+    spread = scores.repartition(*SPAN)
+    clipped = F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0))
+    return spread.withColumn("score", clipped).withColumn("score", _share(F.col("score"), RUN))
 
 
 def debias_orderings(normalized: DataFrame) -> DataFrame:
     """Mean of the runs with forward and reversed options, per adapter."""
-    adapter = ["doc_id", "span_id", "adapter"]
-    mean = normalized.groupBy(*adapter, "option_id", "option_ord").agg(F.avg("score").alias("score"))
-    tops = normalized.groupBy(*RUN).agg(_top().alias("__t")).groupBy(*adapter)
-    stable = tops.agg((F.count_distinct("__t") == 1).alias("stable"))
-    best = mean.groupBy(*adapter).agg(_top().alias("top"))
-    return mean.join(best.join(stable, adapter), adapter)
+    adapter = W.partitionBy(*ADAPTER)
+    mean = (
+        normalized.withColumn("__t", _top(RUN))
+        .groupBy(*ADAPTER, "option_id", "option_ord")
+        .agg(F.avg("score").alias("score"), F.min("__t").alias("lo"), F.max("__t").alias("hi"))
+    )
+    stable = F.min("lo").over(adapter) == F.max("hi").over(adapter)
+    return mean.withColumn("top", _top(ADAPTER)).withColumn("stable", stable).drop("lo", "hi")
+
+
+def _merged(debiased: DataFrame, vocative: DataFrame | None) -> DataFrame:
+    """Mean over adapters per option with agreement flags; the addressed lose score."""
+    line = W.partitionBy(*SPAN)
+    flagged = (
+        debiased.withColumn("agree", F.min("top").over(line) == F.max("top").over(line))
+        .withColumn("__s", F.min(F.col("stable").cast("int")).over(line) == 1)
+        .withColumn("adapters", F.size(F.collect_set("adapter").over(line)).cast("bigint"))
+    )
+    merged = flagged.groupBy(*SPAN, "option_id", "option_ord").agg(
+        F.avg("score").alias("score"),
+        F.first("agree").alias("agree"),
+        F.first("__s").alias("stable"),
+        F.first("adapters").alias("adapters"),
+    )
+    if vocative is None:
+        return merged
+    addressed = vocative.groupBy(*SPAN).agg(F.collect_set("listener").alias("__v"))
+    lowered = F.greatest(F.col("score") - VOCATIVE_PENALTY, F.lit(0.0))
+    hit = F.coalesce(F.array_contains("__v", F.col("option_id")), F.lit(False))
+    return (
+        merged.join(addressed, SPAN, "left")
+        .withColumn("score", F.when(hit, lowered).otherwise(F.col("score")))
+        .drop("__v")
+    )
 
 
 def ensemble_scores(
     debiased: DataFrame, vocative: DataFrame | None = None, hint: DataFrame | None = None
 ) -> DataFrame:
     """Mean over adapters, nudged by who is addressed and whose turn it is."""
-    span = ["doc_id", "span_id"]
-    merged = debiased.groupBy(*span, "option_id", "option_ord").agg(F.avg("score").alias("score"))
-    votes = debiased.groupBy(*span, "adapter").agg(
-        F.first("top").alias("top"), F.first("stable").alias("stable")
-    )
-    flags = votes.groupBy(*span).agg(
-        (F.count_distinct("top") == 1).alias("agree"),
-        F.bool_and("stable").alias("stable"),
-        F.count(F.lit(1)).alias("adapters"),
-    )
-    if vocative is not None:
-        addressed = vocative.select(
-            *span, F.col("listener").alias("option_id"), F.lit(True).alias("__v")
-        ).distinct()
-        lowered = F.greatest(F.col("score") - VOCATIVE_PENALTY, F.lit(0.0))
-        merged = (
-            merged.join(addressed, [*span, "option_id"], "left")
-            .withColumn("score", F.when(F.col("__v"), lowered).otherwise(F.col("score")))
-            .drop("__v")
-        )
+    merged = _merged(debiased, vocative)
     if hint is not None:
-        turn = hint.select(*span, F.col("hint").alias("option_id"), F.lit(True).alias("__h")).distinct()
+        turn = hint.groupBy(*SPAN).agg(F.min("hint").alias("__h"))
+        raised = F.col("score") + ALTERNATION_BONUS
         merged = (
-            merged.join(turn, [*span, "option_id"], "left")
-            .withColumn(
-                "score",
-                F.when(F.col("__h"), F.col("score") + ALTERNATION_BONUS).otherwise(F.col("score")),
-            )
+            merged.join(turn, SPAN, "left")
+            .withColumn("score", F.when(F.col("__h") == F.col("option_id"), raised).otherwise(F.col("score")))
             .drop("__h")
         )
-    totals = merged.groupBy(*span).agg(
-        F.sum("score").alias("__total"), F.count(F.lit(1)).alias("__n")
-    )
-    share = F.when(F.col("__total") == 0, 1 / F.col("__n")).otherwise(F.col("score") / F.col("__total"))
-    return (
-        merged.join(totals, span)
-        .withColumn("score", share)
-        .drop("__total", "__n")
-        .join(flags, span)
-    )
+    return merged.withColumn("score", _share(F.col("score"), SPAN))
 
 
 def decide_speaker(ensemble: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
@@ -296,7 +305,8 @@ def decide_speaker(ensemble: DataFrame, fallback: DataFrame | None = None) -> Da
 
 _PASS_SCHEMA = (
     "doc_id bigint, scene_id int, chunk bigint, span_id string, seq bigint, speaker string, "
-    "evidence string, confidence double, needs_review boolean, s1 string, s2 string"
+    "evidence string, confidence double, needs_review boolean, s1 string, s2 string, "
+    "previous_speaker string, previous_locked boolean"
 )
 
 
@@ -347,7 +357,8 @@ def _speaker_pass(pdf: pd.DataFrame, carried: dict) -> pd.DataFrame:
             )
             made = _choose(row, older if turn else None)
         older, newer = newer, made[0]
-        out.append((row.doc_id, row.scene_id, row.chunk, row.span_id, row.seq, *made, newer, older))
+        past = (row.previous_speaker, bool(row.previous_locked))
+        out.append((row.doc_id, row.scene_id, row.chunk, row.span_id, row.seq, *made, newer, older, *past))
     names = [f.split()[0] for f in _PASS_SCHEMA.split(", ")]
     return pd.DataFrame(out, columns=names)
 
@@ -371,8 +382,9 @@ def attribute_dialogue(
     """
     bounded = ordered.is_bounded(paragraphs, "para_idx") and ordered.is_bounded(spans, "span_ord")
     how, again = {"bounded": bounded}, {"bounded": bounded, "cut": True}
-    scenes = text_ops.assign_scenes(paragraphs, bounded)
-    present = C.scene_cast(scenes, cast)
+    # Scenes and their cast are read by several rules: written out once each.
+    scenes = ordered.cut_lineage(text_ops.assign_scenes(paragraphs, bounded))
+    present = ordered.cut_lineage(C.scene_cast(scenes, cast))
     placed = spans.join(
         scenes.select("doc_id", "para_idx", "scene_id"), ["doc_id", "para_idx"]
     )
@@ -380,35 +392,29 @@ def attribute_dialogue(
     open_quote = rule_monologue(paragraphs, bounded).select("doc_id", "para_idx", "continues")
     vocative = rule_vocative(placed, present, cast)
     debiased = debias_orderings(normalize_scores(candidate_scores))
-    # Renormalising after the penalty and again after the bonus would differ from
-    # doing it once, so the penalised means are used as they are.
-    mean = debiased.groupBy("doc_id", "span_id", "option_id", "option_ord").agg(
-        F.avg("score").alias("score")
-    )
-    addressed = vocative.select(
-        "doc_id", "span_id", F.col("listener").alias("option_id"), F.lit(True).alias("v")
-    )
-    lowered = F.greatest(F.col("score") - VOCATIVE_PENALTY, F.lit(0.0))
+    # The bonus of the turn comes in the pass, so the shares are taken there.
     options = (
-        mean.join(addressed, ["doc_id", "span_id", "option_id"], "left")
-        .withColumn("score", F.when(F.col("v"), lowered).otherwise(F.col("score")))
-        .groupBy("doc_id", "span_id")
-        .agg(F.array_sort(F.collect_list(F.struct("option_ord", "option_id", "score"))).alias("o"))
+        _merged(debiased, vocative)
+        .groupBy(*SPAN)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("option_ord", "option_id", "score"))).alias("o"),
+            *[F.first(c).alias(c) for c in ("agree", "stable", "adapters")],
+        )
         .select(
-            "doc_id",
-            "span_id",
+            *SPAN,
             F.transform("o", lambda x: x["option_id"]).alias("option_ids"),
             F.transform("o", lambda x: x["score"]).alias("option_scores"),
+            "agree",
+            "stable",
+            "adapters",
         )
     )
-    flags = ensemble_scores(debiased).select("doc_id", "span_id", "agree", "stable", "adapters").distinct()
 
     keys = ["doc_id", "span_id"]
     rows = (
         placed.join(tags, keys, "left")
         .join(open_quote, ["doc_id", "para_idx"], "left")
         .join(options, keys, "left")
-        .join(flags, keys, "left")
     )
     if reference is not None:
         matched = match_previous(spans, reference)
@@ -444,14 +450,13 @@ def attribute_dialogue(
     needed = rows.select(
         "doc_id", "scene_id", "chunk", "span_id", "seq", "locked", "tag", "continues", "new_paragraph",
         "option_ids", "option_scores", "agree", "stable", "adapters", "choice", "seed1", "seed2",
+        "previous_speaker", "previous_locked",
     )
     decided = ordered.fold_blocks(
         needed, [*scene, "chunk"], "seq", _speaker_pass, _PASS_SCHEMA, ["s1", "s2"], **{**how, **blocking}
     ).drop("chunk", "s1", "s2")
-
-    listeners = _listeners(decided)
-    previous = rows.select(*keys, "previous_speaker", "previous_locked")
-    out = decided.join(listeners, keys, "left").join(previous, keys, "left")
+    decided = ordered.cut_lineage(decided)
+    out = decided.join(_listeners(decided), keys, "left")
     differs = (
         ~F.coalesce("previous_locked", F.lit(False))
         & F.col("previous_speaker").isNotNull()

@@ -34,7 +34,8 @@ def _with_block(df: DataFrame, idx: str, block_rows: int) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(idx) / F.lit(block_rows)))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -80,7 +81,7 @@ def running(
     rows = _with_block(df, idx, block_rows).select(
         "*", *[value.alias(inputs[name]) for name, (_, value) in aggs.items()]
     )
-    rows = _cut(rows) if cut else rows
+    rows = cut_lineage(rows) if cut else rows
     in_block = (
         W.partitionBy(*keys, _BLK).orderBy(order(idx)).rowsBetween(W.unboundedPreceding, 0)
     )
@@ -149,7 +150,7 @@ def neighbours(
         *[v.alias(f"__p_{n}") for n, v in prev.items()],
         *[v.alias(f"__n_{n}") for n, v in next.items()],
     )
-    rows = _cut(rows) if cut else rows
+    rows = cut_lineage(rows) if cut else rows
     in_block = W.partitionBy(*keys, _BLK).orderBy(idx)
     across = W.partitionBy(*keys).orderBy(_BLK)
 
@@ -282,6 +283,6 @@ def fold_blocks(
                 .select(*keys, *[F.col(f"__s.{n}").alias(n) for n in names])
             )
             other = latest if side is None else side.join(latest, keys, "left")
-        out = _cut(apply(blocked.where(F.col(_BLK) == block), other))
+        out = cut_lineage(apply(blocked.where(F.col(_BLK) == block), other))
         done = out if done is None else done.unionByName(out)
     return done

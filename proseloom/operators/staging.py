@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -369,6 +371,15 @@ def next_intensity(previous, baseline, trigger, lines, decay=DECAY, max_jump=MAX
     return np.floor(np.clip(raw, 0.0, 1.0) * _GRID + 0.5) / _GRID
 
 
+def step_intensity(previous: float, baseline: float, trigger: float, lines: int) -> float:
+    """:func:`next_intensity` for one value."""
+    raw = baseline + (previous - baseline) * (1 - DECAY) ** lines + trigger
+    if abs(trigger) < STRONG_TRIGGER:
+        limit = MAX_JUMP * lines
+        raw = min(max(raw, previous - limit), previous + limit)
+    return math.floor(min(max(raw, 0.0), 1.0) * _GRID + 0.5) / _GRID
+
+
 def _arc_inputs(events: DataFrame) -> DataFrame:
     baseline = F.coalesce("baseline", F.lit(START)) if "baseline" in events.columns else F.lit(START)
     lines = F.col("lines_since") if "lines_since" in events.columns else F.lit(1)
@@ -391,8 +402,7 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
     from their known start.
     """
     key = ["doc_id", "char_id"]
-    rows = ordered.renumber(_arc_inputs(events), key, "line_idx", "seq")
-    rows = rows.withColumn("__blk", F.floor(F.col("seq") / block_rows)).drop("seq")
+    rows = _arc_inputs(events)
     first_state = int(round(start * _GRID))
 
     def table(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -418,10 +428,18 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
         level = (first_state if pd.isna(begin) else int(begin)) / _GRID
         levels = []
         for row in pdf.itertuples(index=False):
-            level = float(next_intensity(level, row.baseline, row.trigger, row.lines))
-            levels.append(round(level, 3))
+            level = step_intensity(level, row.baseline, row.trigger, row.lines)
+            levels.append(level)
         return pdf[[*key, "line_idx"]].assign(intensity=levels)
 
+    schema = "doc_id bigint, char_id string, line_idx bigint, intensity double"
+    if ordered.is_bounded(events, "line_idx", block_rows):
+        whole = rows.withColumn("start", F.lit(None).cast("int"))
+        out = whole.groupBy(*key).applyInPandas(walk, schema)
+        return out.withColumn("band", E.band(F.col("intensity")))
+
+    rows = ordered.renumber(rows, key, "line_idx", "seq", bounded=False)
+    rows = rows.withColumn("__blk", F.floor(F.col("seq") / block_rows)).drop("seq")
     # Only timelines of more than one block need tables.
     long = rows.groupBy(*key).agg(F.count_distinct("__blk").alias("__n")).where("__n > 1").select(*key)
     tables = (
@@ -435,7 +453,7 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
     out = (
         rows.join(starts, [*key, "__blk"], "left")
         .groupBy(*key, "__blk")
-        .applyInPandas(walk, "doc_id bigint, char_id string, line_idx bigint, intensity double")
+        .applyInPandas(walk, schema)
     )
     return out.withColumn("band", E.band(F.col("intensity")))
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions import text as T
 from ..operators import attribution as A
 from ..operators import cast as C
 from ..operators import relations as R
 from ..operators import text as X
 from .inputs import Inputs, given_name, name
-from .registry import query, rounded
+from .registry import SQL_SPACE, SQL_WS, query, rounded
 from .text_queries import _SCENES, SP
 
 # ---------------------------------------------------------------- names
@@ -21,7 +20,7 @@ def _key(col: str) -> str:
     """Alias key of a name in the checking dialect."""
     low = f"replace(replace(lower(coalesce({col}, '')), '’', ''), '''', '')"
     return (
-        f"trim(regexp_replace(regexp_replace({low}, '[^A-Za-z0-9_{T.SPACE}]', ' ', 'g'), '{T.WS}+', ' ', 'g'), {SP})"
+        f"trim(regexp_replace(regexp_replace({low}, '[^A-Za-z0-9_{SQL_SPACE}]', ' ', 'g'), '{SQL_WS}+', ' ', 'g'), {SP})"
     )
 
 
@@ -86,7 +85,7 @@ _HONORIFICS = ", ".join(f"('{h}')" for h in C.HONORIFICS)
     counted AS (
       SELECT p.doc_id, p.name AS canonical_name,
              upper(substr(h, 1, 1)) || substr(h, 2) || ' ' || split_part(p.name, ' ', 2) AS suggested_alias,
-             CAST(sum(len(regexp_extract_all(t.text, '(?i)\\b' || replace(h, '.', '\\.') || '{T.WS}+'
+             CAST(sum(len(regexp_extract_all(t.text, '(?i)\\b' || replace(h, '.', '\\.') || '{SQL_WS}+'
                || split_part(p.name, ' ', 2) || '\\b'))) AS BIGINT) AS occurrence_count
       FROM people p CROSS JOIN hon JOIN titled t ON t.doc_id = p.doc_id GROUP BY ALL)
     SELECT * FROM counted WHERE occurrence_count > 0""",
@@ -110,9 +109,9 @@ _IGNORED = ", ".join(f"'{w}'" for w in C.TITLE_WORDS)
     "merge_cast_names",
     f"""
     WITH asked AS (SELECT DISTINCT * FROM ({_SHORT}) q),
-    aw AS (SELECT doc_id, name, unnest(regexp_split_to_array(lower(name), '[{T.SPACE}-]+')) AS w FROM asked
+    aw AS (SELECT doc_id, name, unnest(regexp_split_to_array(lower(name), '[{SQL_SPACE}-]+')) AS w FROM asked
            WHERE name NOT IN ('Narrator', 'Unknown')),
-    pw AS (SELECT doc_id, ord, name AS cast_name, unnest(regexp_split_to_array(lower(name), '[{T.SPACE}-]+')) AS w
+    pw AS (SELECT doc_id, ord, name AS cast_name, unnest(regexp_split_to_array(lower(name), '[{SQL_SPACE}-]+')) AS w
            FROM people),
     folded AS (
       SELECT aw.doc_id, aw.name, arg_min(cast_name, ord) AS m FROM aw JOIN pw ON aw.doc_id = pw.doc_id AND aw.w = pw.w
@@ -264,7 +263,7 @@ def _count(mark: str) -> str:
     "rule_monologue",
     f"""
     SELECT doc_id, para_idx, coalesce(({_count("“")} > {_count("”")} OR {_count('"')} % 2 = 1)
-             AND regexp_matches(text, '^{T.WS}*["“]'), FALSE) AS continues
+             AND regexp_matches(text, '^{SQL_WS}*["“]'), FALSE) AS continues
     FROM (SELECT doc_id, para_idx, text, lag(text) OVER (PARTITION BY doc_id ORDER BY para_idx) AS b FROM prose) q""",
     ["prose"],
 )
@@ -280,7 +279,7 @@ _VOC = f"""
       JOIN present c ON c.doc_id = s.doc_id AND c.scene_id = sc.scene_id
       JOIN (SELECT doc_id, char_id, {_NAMES} AS names FROM people p) p ON p.doc_id = c.doc_id AND p.char_id = c.char_id
       WHERE regexp_matches(s.text,
-        '(?i)^{T.WS}*(?:' || names || '){T.WS}*[,!:]|,{T.WS}*(?:' || names || '){T.WS}*[.!?]*{T.WS}*$'))"""
+        '(?i)^{SQL_WS}*(?:' || names || '){SQL_WS}*[,!:]|,{SQL_WS}*(?:' || names || '){SQL_WS}*[.!?]*{SQL_WS}*$'))"""
 
 
 @query(
@@ -621,7 +620,7 @@ def reassign_counts(t: Inputs):
 
 
 def _pid(a: str, b: str) -> str:
-    x, y = (f"regexp_replace(lower({c}), '[{T.SPACE}-]+', '_', 'g')" for c in (a, b))
+    x, y = (f"regexp_replace(lower({c}), '[{SQL_SPACE}-]+', '_', 'g')" for c in (a, b))
     return f"CASE WHEN {x} <= {y} THEN {x} || '_' || {y} ELSE {y} || '_' || {x} END"
 
 

@@ -283,7 +283,12 @@ class Inputs:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        """A given table. One that comes as fewer splits than there are cores is
+        spread over them, because the work per row of text is much larger than the
+        cost of moving it; a table with enough splits is read as it is."""
+        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
     def view(self, view: str) -> DataFrame:
         """A derived view, written once per session as the table it stands for."""

@@ -29,6 +29,12 @@ def query(name: str, sql: str | None = None, views: list[str] | None = None):
     return register
 
 
+# White space spelled out, for engines without the named classes.
+SQL_SPACE = r"\t\n\x{0b}\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+SQL_WS, SQL_NON_WS = f"[{SQL_SPACE}]", f"[^{SQL_SPACE}]"
+SQL_WS_INLINE = "[" + SQL_SPACE.replace(r"\n", "") + "]"
+
+
 def rounded(expr: str, digits: int) -> str:
     """SQL rounding half up on the decimal form, as the operators round."""
     text = f"CAST(CAST({expr} AS DOUBLE) AS VARCHAR)"

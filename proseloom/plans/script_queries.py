@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import emotion as E
-from ..functions import text as T
 from ..operators import lexicon as L
 from ..operators import screenplay as S
 from ..operators import special as SPC
 from ..operators import staging as G
 from .inputs import Inputs, given_name, name
-from .registry import query, rounded
+from .registry import SQL_WS, query, rounded
 from .text_queries import SP, words
 
 HASH = """list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT)),
@@ -515,7 +514,7 @@ _STOP = ", ".join(f"'{w}'" for w in L.STOPWORDS)
     f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, token) AS frequency FROM k
           QUALIFY row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) = 1)
     SELECT doc_id, token, frequency, '...' || trim(regexp_replace(
-             substr(text, greatest(pos - 30, 0) + 1, least(pos, 30) + length(token) + 30), '{T.WS}+', ' ', 'g'), {SP}) || '...'
+             substr(text, greatest(pos - 30, 0) + 1, least(pos, 30) + length(token) + 30), '{SQL_WS}+', ' ', 'g'), {SP}) || '...'
              AS sample_context, regexp_matches(token, '^[A-Z]{{2,8}}$') AS is_acronym FROM f""",
 )
 def rare_tokens(t: Inputs):

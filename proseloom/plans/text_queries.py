@@ -9,14 +9,14 @@ from ..operators import ranges as RG
 from ..operators import text as X
 from ..sources import readers
 from .inputs import Inputs
-from .registry import query, rounded
+from .registry import SQL_WS, SQL_NON_WS, SQL_WS_INLINE, query, rounded
 
 SP = "'" + T.SPACE_CHARS + "'"
-BREAK = X.SCENE_BREAK.replace("'", "''")
+BREAK = X.SCENE_BREAK.replace(T.WS, SQL_WS)
 
 
 def words(col: str) -> str:
-    return f"len(regexp_extract_all({col}, '{T.NON_WS}+'))"
+    return f"len(regexp_extract_all({col}, '{SQL_NON_WS}+'))"
 
 
 # The cleaning steps in another dialect: replace-all flags, no lookaround.
@@ -29,9 +29,9 @@ def _clean_sql(col: str) -> str:
         ("[–―]", "—"),
         ("…", "..."),
         ("\\.{4,}", "..."),
-        (f"(?i)\\[{T.WS}*(?:[0-9]+|note{T.WS}*[0-9]+){T.WS}*\\]", ""),
+        (f"(?i)\\[{SQL_WS}*(?:[0-9]+|note{SQL_WS}*[0-9]+){SQL_WS}*\\]", ""),
         ("([^\\n.!?\":;—…])\\n([a-zA-Z0-9\"''])", "\\1 \\2"),
-        (f"(?m){T.WS_INLINE}+$", ""),
+        (f"(?m){SQL_WS_INLINE}+$", ""),
         ("\\n{3,}", "\n\n"),
     ]
     for pattern, new in steps:
@@ -179,7 +179,7 @@ SENTENCES = f"""
       FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
             FROM (SELECT doc_id, regexp_split_to_array(text, '\\n+') AS p FROM flat) a) b),
     cut AS (
-      SELECT doc_id, pi, string_split(regexp_replace(para, '([.?!]["'']?){T.WS}+([A-Z0-9"''])',
+      SELECT doc_id, pi, string_split(regexp_replace(para, '([.?!]["'']?){SQL_WS}+([A-Z0-9"''])',
         '\\1' || chr(30) || '\\2', 'g'), chr(30)) AS s FROM paras),
     sent AS (
       SELECT doc_id, pi, si, trim(s[si], {SP}) AS text
@@ -329,12 +329,13 @@ def insert_rows(t: Inputs):
     # after the one before; checked by cutting the range out of the text again.
     f"""WITH {SENTENCES}
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS INT) AS seg_idx,
-           regexp_replace(text, '{T.WS}+', ' ', 'g') AS found
+           regexp_replace(text, '{SQL_WS}+', ' ', 'g') AS found
     FROM sent WHERE text <> ''""",
 )
 def locate_in_source(t: Inputs):
     docs = t.documents.select("doc_id", "text")
-    placed = RG.locate_in_source(X.sentence_split(docs), docs)
+    # The sentences of a book come out of its one text cell: one block holds them.
+    placed = RG.locate_in_source(X.sentence_split(docs), docs, bounded=True)
     return placed.join(docs, "doc_id").select(
         "doc_id",
         "seg_idx",

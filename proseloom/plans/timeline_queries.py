@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import timeline as TL
 from .inputs import Inputs
-from .registry import query, rounded
+from .registry import SQL_NON_WS, query, rounded
 from .text_queries import words
 
 # ---------------------------------------------------------------- pauses and starts
@@ -128,7 +127,7 @@ def _timed(t: Inputs):
 
 # Starts follow from the rounded lengths of the words before.
 _WORDS = f"""
-    w0 AS (SELECT doc_id, seg_id, duration_s, regexp_extract_all(text, '{T.NON_WS}+') AS w FROM script WHERE duration_s > 0),
+    w0 AS (SELECT doc_id, seg_id, duration_s, regexp_extract_all(text, '{SQL_NON_WS}+') AS w FROM script WHERE duration_s > 0),
     w1 AS (SELECT doc_id, seg_id, duration_s, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w0),
     w2 AS (SELECT *, greatest(2, length(word) + CASE WHEN regexp_matches(word, '[,—;-]$') THEN 3
                                 WHEN regexp_matches(word, '[.!?]$') THEN 5 ELSE 0 END) AS wt FROM w1),

@@ -47,7 +47,7 @@ def _arc(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
         if late:
             dropped += 1
         else:
-            level = round(float(S.next_intensity(level, row.baseline, row.trigger, row.lines)), 3)
+            level = S.step_intensity(level, row.baseline, row.trigger, row.lines)
             seen = int(row.line_idx)
         out.append((key[0], key[1], row.line_idx, float("nan") if late else level, late))
     state.update((level, seen, dropped))
