@@ -292,7 +292,7 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("form") == "plain", F.lit("narration")
     )
     body = running(body, in_para, at, {"__now": ("last", setting)})
-    body = before(body, in_para, __before=F.col("__now"))
+    body = before(body, in_para, __before=F.col("__now"), __prev_no=F.col("line_no"))
     free = F.coalesce(F.col("__before") != "narration", F.lit(True))
     is_cue = (F.col("form") == "cue") | ((F.col("form") == "upper") & free)
     first_cue = (
@@ -303,7 +303,8 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     body = body.join(first_cue, in_para, "left")
     in_dialogue = F.coalesce(F.col("line_no") > F.col("cue_no"), F.lit(False))
-    aside = in_dialogue & (F.col("line_no") == F.col("cue_no") + 1) & F.col("t").rlike(r"^\(.*\)$")
+    follows_cue = F.coalesce(F.col("__prev_no") == F.col("cue_no"), F.lit(False))
+    aside = in_dialogue & follows_cue & F.col("t").rlike(r"^\(.*\)$")
     spoken = in_dialogue & (F.col("form") != "comment") & ~aside
     told = (
         ~in_dialogue
