@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, chunks, contamination, language, lines, near_duplicates, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKEN_LIMIT = 2048
+TOXIC_SCORE = 0.3
 
 
 def query(fn):
@@ -44,3 +45,50 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op4_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.compare_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    )
+    learned = language.profiles(documents.where("NOT held_out AND doc_id IS NOT NULL"))
+    return language.identify(documents, learned, ["doc_id", "held_out"])
+
+
+@query
+def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op9_line_spread"] = lines.LINES_SQL
+
+
+def scored_texts(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """Toxicity scores by a model of these texts and a classifier of these labels."""
+    costs = toxicity.character_model(documents)
+    return toxicity.score(documents, costs, toxicity.learn(documents, labels, costs), keep)
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    documents = table(spark, folder, "documents").withColumn("held_out", held_out)
+    scores = scored_texts(documents, table(spark, folder, "labels").where(~held_out), ["doc_id", "held_out"])
+    return scores.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
