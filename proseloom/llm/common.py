@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
+
 # Rows of one Arrow batch: whole texts travel in it, so it stays small.
 BATCH_ROWS = 256
 
@@ -58,3 +60,9 @@ def mixed(values: np.ndarray) -> np.ndarray:
     values *= np.uint64(0xD6E8FEB86659FD93)
     values ^= values >> np.uint64(32)
     return values
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, so that lost executors cost no long recomputing."""
+    checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()

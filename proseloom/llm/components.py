@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """``node, root``: the least node of the component of every node in ``edges`` (``a, b``).
@@ -14,7 +16,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     checksum reach the driver. Rounds are cut by checkpoints.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = pairs.checkpoint()
+    pairs = cut(pairs)
     state = None
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         down = large.where("a > b")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        pairs = small.where("a <> b").distinct().checkpoint()
+        pairs = cut(small.where("a <> b").distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SHINGLE = 5
 SIMILARITY = 0.8
 # Texts of similarity 0.8 differ in about ten of 64 bits, with a deviation of three.
@@ -87,7 +89,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     tables give an empty result. Other columns are not read.
     """
     # Items of one id are told apart by their text.
-    items = item_shingles(benchmark.select(F.col("item_id"), F.col("text"))).checkpoint()
+    items = cut(item_shingles(benchmark.select(F.col("item_id"), F.col("text"))))
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("text IS NOT NULL AND text <> ''").withColumn("text_hash", F.xxhash64("text"))
@@ -115,7 +117,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     held = held.select("doc_id", F.col("w.size").alias("size"), F.array_sort(inside).alias("inside"))
     # Windows of equal content are one: copies and shared passages are compared once.
     held = held.withColumn("window", F.xxhash64("size", "inside")).withColumn("window2", F.xxhash64(F.lit("second"), "inside"))
-    held = held.where(F.size("inside") > 0).checkpoint()
+    held = cut(held.where(F.size("inside") > 0))
     distinct = held.groupBy("window", "window2").agg(F.first("size").alias("size"), F.first("inside").alias("inside"))
     rows = distinct.select(F.struct("window", "window2").alias("window"), "size", F.explode("inside").alias("shingle"))
 

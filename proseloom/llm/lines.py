@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SITES = 8
 # Share of a text's characters above which the text counts as a copy, not as a page with boilerplate.
 MOST_SHARE = 0.5
@@ -48,7 +50,7 @@ def spread_lines(documents: DataFrame, sites: int = SITES) -> DataFrame:
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
     rows = lines.join(often, ["h1", "h2"])
     sketches = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
-    estimated = sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")).checkpoint()
+    estimated = cut(sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")))
     sure = estimated.where(F.col("estimate") > sites * (1 + NEAR)).select("h1", "h2")
     near = estimated.where(F.col("estimate").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("h1", "h2")
     exact = rows.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))

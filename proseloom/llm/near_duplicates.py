@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, small_batches, text_bytes
+from .common import cut, mixed, small_batches, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -187,7 +187,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     keyed = named.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
     groups = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
-    members = keyed.join(groups, ["h1", "h2"]).select("doc_id", "text_id").distinct().checkpoint()
+    members = cut(keyed.join(groups, ["h1", "h2"]).select("doc_id", "text_id").distinct())
     heads = members.where("doc_id = text_id").select("text_id")
     # A signature is far smaller than its text, so copies leave after signing.
     whole = named.select(F.col("doc_id").alias("text_id"), "text")
@@ -197,12 +197,12 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         *[F.min_by("text_id", F.xxhash64("text_id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)],
     )
     busy = busy.where("n > 1").select("band", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
-    shared = bands.join(busy, "band").checkpoint()
+    shared = cut(bands.join(busy, "band"))
     stars = shared.select(F.col("text_id").alias("a"), F.explode("pivots").alias("b")).where("a <> b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     wanted = shared.select("text_id").distinct()
-    sets = regions(whole.join(wanted, "text_id", "left_semi")).checkpoint()
-    edges = verified(stars, sets, similarity).checkpoint()
+    sets = cut(regions(whole.join(wanted, "text_id", "left_semi")))
+    edges = cut(verified(stars, sets, similarity))
     roots = components(edges)
 
     # Buckets whose texts are not all in one component yet: compare across components.
@@ -215,7 +215,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     other = open_.select("band", F.col("text_id").alias("b"), F.col("root").alias("rb"))
     across = minor.join(other, "band").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = verified(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
-    roots = components(edges.union(more).checkpoint())
+    roots = components(cut(edges.union(more)))
 
     classes = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
     classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("root", "text_id")).alias("class_id"))

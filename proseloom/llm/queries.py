@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, language, lines, near_duplicates, token_counts, toxicity
+from . import bpe, chunks, contamination, language, lines, links, near_duplicates, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,8 +82,8 @@ ORACLES["op9_line_spread"] = lines.LINES_SQL
 
 def scored_texts(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """Toxicity scores by a model of these texts and a classifier of these labels."""
-    costs = toxicity.character_model(documents)
-    return toxicity.score(documents, costs, toxicity.learn(documents, labels, costs), keep)
+    model = toxicity.character_model(documents)
+    return toxicity.score(documents, model, toxicity.learn(documents, labels, model), keep)
 
 
 @query
@@ -92,3 +92,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").withColumn("held_out", held_out)
     scores = scored_texts(documents, table(spark, folder, "labels").where(~held_out), ["doc_id", "held_out"])
     return scores.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
+
+
+@query
+def op3_link_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return links.judge(table(spark, folder, "pages"))
+
+
+ORACLES["op3_link_trust"] = links.judge_sql()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import cut, small_batches, texts
 
 # What a sign may stand for.
 LOOKALIKES = {
@@ -28,14 +28,18 @@ LOOKALIKES = {
 }
 SEPARATORS = frozenset(" .-_*~'`,:/\\|+=")
 # Costs in natural-log units: reading a sign as a letter, dropping a sign or a
-# separator, dropping one more of a repeated letter, leaving a sign as the end of a word.
-SIGN, DROP, REPEAT, BREAK = 1.5, 3.0, 0.5, 2.5
+# separator, one more of a repeated letter, a sign or separator as the end of a word.
+SIGN, DROP, JOIN, REPEAT, BREAK = 0.5, 7.0, 0.5, 0.2, 5.0
 LONGEST = 48
 KEPT = 400_000
 
 CLASSES = 64
+# The model looks back four letters; contexts of that length share a table of this size.
+ORDER = 5
+TABLE = 1 << 21
 SMOOTH = 0.1
-TRIMMED = ".,;:!?\"'()[]{}«»“”‘’„|…*_-<>/"
+OPENING = "\"'([{«“‘„-_.,;:/<>…"
+TRIMMED = "&%#^=~.,;:!?\"'()[]{}«»“”‘’„|…*_-<>/"
 
 # Classifier: labelled rows it is fitted on, words it knows, and its fitting.
 SAMPLE = 20_000
@@ -56,111 +60,153 @@ def letter_classes() -> np.ndarray:
     return table
 
 
-def trigrams(batch: list[str]) -> np.ndarray:
-    """Counts of letter-class trigrams; the gap between words is class 0, a run of gaps is one."""
-    codes = np.frombuffer("\n".join(["", *batch, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = letter_classes()[codes].astype(np.int64)
-    kept = np.ones(len(classes), bool)
-    kept[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
-    classes = classes[kept]
-    return np.bincount((classes[:-2] * CLASSES + classes[1:-1]) * CLASSES + classes[2:], minlength=CLASSES**3)
+def _slots(context: np.ndarray | int, letter: np.ndarray | int):
+    """Place of a context and the letter after it in the shared table."""
+    return ((context * CLASSES + letter) * 0x9E3779B1 >> 7) % TABLE
 
 
-def character_model(documents: DataFrame) -> np.ndarray:
-    """Cost of every third letter class after two others, counted over all texts.
+def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of three-letter and of five-letter runs in words.
 
-    The table has a fixed size. Null and empty texts add nothing; without any text all
-    costs are equal.
+    Letters are classes, a repeated letter counts once, the gap between words is class
+    0, and nothing before the gap belongs to a run.
+    """
+    codes = np.frombuffer("\n".join(["", *batch, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = letter_classes()[codes].astype(np.int64)
+    kept = np.ones(len(classes), bool)
+    kept[1:] = classes[1:] != classes[:-1]
+    classes = np.concatenate([np.zeros(ORDER - 1, np.int64), classes[kept]])
+    size = len(classes) - ORDER + 1
+    context, inside, short = np.zeros(size, np.int64), np.ones(size, bool), None
+    for back in range(1, ORDER):
+        letter = classes[ORDER - 1 - back : ORDER - 1 - back + size]
+        inside &= letter != 0
+        context += np.where(inside, letter, 0) * CLASSES ** (back - 1)
+        if back == 2:
+            short = context.copy()
+    last = classes[ORDER - 1 :]
+    # The gap at the beginning is no event.
+    real = np.nonzero((last != 0) | (context != 0))[0]
+    last, context, short = last[real], context[real], short[real]
+    return np.bincount(short * CLASSES + last, minlength=CLASSES**3), np.bincount(_slots(context, last), minlength=TABLE)
+
+
+def character_model(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of a letter after two others, and counts of letters after four, over all texts.
+
+    Both tables have a fixed size. Null and empty texts add nothing; without any text
+    all letters cost the same.
     """
     small_batches(documents.sparkSession)
 
     def count(batches):
-        total = np.zeros(CLASSES**3, np.int64)
+        totals = [np.zeros(CLASSES**3, np.int64), np.zeros(TABLE, np.int64)]
         for batch in batches:
-            total += trigrams(list(texts(batch["text"])))
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
-
-    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "code long, n long")
-    rows = parts.groupBy("code").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(CLASSES**3)
-    for row in rows:
-        total[row["code"]] = row["n"]
-    three = total.reshape(CLASSES, CLASSES, CLASSES)
+            for total, found in zip(totals, grams(list(texts(batch["text"])))):
+                total += found
+        for order, total in enumerate(totals):
+            seen = np.nonzero(total)[0]
+            for at in range(0, len(seen), 100_000):
+                part = seen[at : at + 100_000]
+                columns = [pa.array(np.full(len(part), order, np.int32)), pa.array(part), pa.array(total[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "code", "n"])
+
+    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind int, code long, n long")
+    summed = parts.groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
+    kind, code, n = (summed[c].to_numpy() for c in ("kind", "code", "n"))
+    three, five = np.zeros(CLASSES**3), np.zeros(TABLE, np.float32)
+    three[code[kind == 0]] = n[kind == 0]
+    five[code[kind == 1]] = n[kind == 1]
+    three = three.reshape(CLASSES, CLASSES, CLASSES)
     two = three.sum(0)
     one = two.sum(0)
     back = (one + SMOOTH) / (one.sum() + SMOOTH * CLASSES)
     pairs = (two + 2 * back) / (two.sum(1, keepdims=True) + 2)
-    return -np.log((three + 2 * pairs) / (three.sum(2, keepdims=True) + 2)).astype(np.float32)
+    chances = (three + 2 * pairs) / (three.sum(2, keepdims=True) + 2)
+    return chances.astype(np.float32), five
+
+
+@lru_cache(10_000)
+def _options(sign: str) -> list[tuple[str, float]]:
+    """Readings of a character with their costs; no letter means that it is dropped."""
+    if sign.isalpha():
+        return [(sign.lower()[0], 0.0)]
+    found = [(letter, SIGN) for letter in LOOKALIKES.get(sign, "")]
+    if sign in SEPARATORS:
+        return [*found, ("", DROP / 2 if found else JOIN), (" ", BREAK)]
+    return [*found, ("", DROP), (" ", BREAK)]
 
 
 class Restorer:
-    """Restores disguised words; readings of tokens are kept."""
+    """Restores disguised words; readings of tokens are kept.
+
+    In a restored word a letter never follows itself, as repetition may be disguise.
+    """
 
-    def __init__(self, costs: np.ndarray):
-        # Nested lists: single look-ups in them are faster than in an array.
-        self.costs = costs.tolist()
+    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+        self.chances, self.runs = model
         self.kept: dict[str, str] = {}
+        self.after: dict[str, list[float]] = {}
+        self.classes: dict[str, int] = {" ": 0}
 
-    @staticmethod
-    def _class(letter: str) -> int:
-        return int(letter_classes()[ord(letter)])
-
-    def _options(self, sign: str) -> list[tuple[str, float]]:
-        """Readings of a character with their costs; no letter means that it is dropped."""
-        if sign.isalpha():
-            low = sign.lower()
-            return [(low if len(low) == 1 else low[0], 0.0)]
-        found = [(letter, SIGN if sign != "*" and sign != "?" else 2 * SIGN) for letter in LOOKALIKES.get(sign, "")]
-        if sign in SEPARATORS:
-            return [*found, ("", DROP / 3), (" ", 0.0 if sign == " " else BREAK)]
-        return [*found, ("", DROP), (" ", BREAK)]
+    def _class(self, letter: str) -> int:
+        known = self.classes.get(letter)
+        if known is None:
+            known = self.classes[letter] = int(letter_classes()[ord(letter)])
+        return known
+
+    def _costs(self, context: str) -> list[float]:
+        """Costs of all letter classes after the last four letters of a word."""
+        classes, code = [self._class(c) for c in context], 0
+        for c in classes:
+            code = code * CLASSES + c
+        seen = self.runs[_slots(code, np.arange(CLASSES))]
+        first, second = ([0, 0] + classes)[-2:]
+        # Rarer contexts lean more on the shorter one.
+        chances = (seen + 2 * self.chances[first, second]) / (seen.sum() + 2)
+        if len(self.after) >= KEPT // 8:
+            self.after.clear()
+        known = self.after[context] = (-np.log(chances + 1e-9)).tolist()
+        return known
+
+    def _cost(self, context: str, letter: str) -> float:
+        return (self.after.get(context) or self._costs(context))[self.classes.get(letter) or self._class(letter)]
 
     def read(self, token: str) -> str:
-        """The reading of least cost; letters in it are lower-case."""
-        # State: the last two letters. Its value: cost and reading so far.
-        states: dict[tuple[str, str], tuple[float, str]] = {(" ", " "): (0.0, "")}
+        """The reading of least cost, in lower-case; it may fall into several words."""
+        # State: the last four letters of the word so far. Its value: cost and reading.
+        states: dict[str, tuple[float, str]] = {"": (0.0, "")}
         for sign in token:
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-            options = self._options(sign)
-            for (first, second), (cost, reading) in states.items():
+            after: dict[str, tuple[float, str]] = {}
+            options = _options(sign)
+            for context, (cost, reading) in states.items():
                 for letter, price in options:
-                    if not letter:
-                        key, value = (first, second), (cost + price, reading)
+                    if not letter or context.endswith(letter):
+                        key, value = context, (cost + price + REPEAT * bool(letter), reading)
                     elif letter == " ":
-                        if second == " ":
-                            key, value = (first, second), (cost + price, reading)
-                        else:
-                            key, value = (second, " "), (cost + price + self._cost(first, second, " "), reading + " ")
+                        key, value = "", (cost + price, reading)
+                        if context:
+                            value = (value[0] + self._cost(context, " "), reading + " ")
                     else:
-                        key = (second, letter)
-                        value = (cost + price + self._cost(first, second, letter), reading + letter)
+                        key = (context + letter)[1 - ORDER :]
+                        value = (cost + price + self._cost(context, letter), reading + letter)
                     known = after.get(key)
                     if known is None or value < known:
                         after[key] = value
-                    if letter == second and letter != " ":
-                        # One more of a repeated letter, left out of the reading.
-                        key, value = (first, second), (cost + price + REPEAT, reading)
-                        known = after.get(key)
-                        if known is None or value < known:
-                            after[key] = value
             states = after
-        best = min((cost + (self._cost(a, b, " ") if b != " " else 0.0), reading) for (a, b), (cost, reading) in states.items())
-        return best[1].strip()
-
-    def _cost(self, first: str, second: str, third: str) -> float:
-        return self.costs[self._class(first)][self._class(second)][self._class(third)]
+        ends = ((cost + (self._cost(context, " ") if context else 0.0), reading) for context, (cost, reading) in states.items())
+        return min(ends)[1].strip()
 
     def token(self, token: str) -> str:
         """The words of a token without white space: itself if nothing is disguised."""
-        known = self.kept.get(token)
-        if known is None:
-            bare = token.strip(TRIMMED)
-            if bare.isalpha() and REPEATED.search(bare) is None or not any(c.isalpha() for c in token) and not STRONG.search(token):
-                known = bare.lower()
-            else:
-                # A very long token is read part by part.
-                known = "".join(self.read(token[i : i + LONGEST]) for i in range(0, len(token), LONGEST))
+        bare = token.lstrip(OPENING).rstrip(TRIMMED)
+        if bare.isalpha() or not any(c.isalpha() for c in token) and not STRONG.search(token):
+            # Repetition is the only disguise, or there is none.
+            known = DOUBLED.sub(r"\1", bare.lower())
+        else:
+            # A very long token is read part by part.
+            known = "".join(self.read(token[i : i + LONGEST]) for i in range(0, len(token), LONGEST))
+        if len(token) <= LONGEST:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
             self.kept[token] = known
@@ -169,20 +215,26 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         """The restored tokens of a text; a run of single characters is one token."""
         tokens = text.split()
-        single = [len(t) == 1 for t in tokens]
-        if sum(single) < 3:
-            return list(map(self.token, tokens))
+        if [*map(len, tokens)].count(1) >= 3:
+            tokens = self._joined(tokens)
+        found = list(map(self.kept.get, tokens))
+        if None in found:
+            found = [self.token(t) if f is None else f for t, f in zip(tokens, found)]
+        return found
+
+    @staticmethod
+    def _joined(tokens: list[str]) -> list[str]:
+        """Tokens, with runs of three and more single characters joined by spaces."""
         out, i = [], 0
         while i < len(tokens):
             j = i
-            while j < len(tokens) and single[j]:
+            while j < len(tokens) and len(tokens[j]) == 1 and j - i < LONGEST // 2:
                 j += 1
             if j - i >= 3:
-                for k in range(i, j, LONGEST // 2):
-                    out.append(self.read(" ".join(tokens[k : min(j, k + LONGEST // 2)])))
+                out.append(" ".join(tokens[i:j]))
                 i = j
             else:
-                out.append(self.token(tokens[i]))
+                out.append(tokens[i])
                 i += 1
         return out
 
@@ -190,11 +242,11 @@ class Restorer:
         return " ".join(word for word in self.words(text) if word)
 
 
-REPEATED = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
-STRONG = re.compile(r"[0-9@$!+€£]{3}")
+DOUBLED = re.compile(r"(.)\1+", re.DOTALL)
+STRONG = re.compile(r"[@$!|+€£].*[0-9]|[0-9].*[@$!|+€£]")
 
 
-def restore(documents: DataFrame, costs: np.ndarray) -> DataFrame:
+def restore(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``doc_id, restored``: lower-case words of every whole text with disguises undone.
 
     Null and empty texts give an empty one. Rows that repeat are restored each; an empty table
@@ -203,7 +255,7 @@ def restore(documents: DataFrame, costs: np.ndarray) -> DataFrame:
     small_batches(documents.sparkSession)
 
     def run(batches):
-        restorer = Restorer(costs)
+        restorer = Restorer(model)
         for batch in batches:
             out = [restorer.text(text) for text in texts(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], names=["doc_id", "restored"])
@@ -220,13 +272,14 @@ class Classifier:
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, words: list[str]) -> float:
-        get = self.weights.get
-        found = {w for w in words if get(w) is not None}
-        z = self.bias + sum(sorted(get(w) for w in found))
+        distinct = set(words)
+        # A restored token may fall into several words.
+        distinct.update(part for w in list(distinct) if " " in w for part in w.split(" "))
+        z = self.bias + sum(sorted(self.weights[w] for w in self.weights.keys() & distinct))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def learn(documents: DataFrame, labels: DataFrame, costs: np.ndarray, sample: int = SAMPLE) -> Classifier:
+def learn(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarray, np.ndarray], sample: int = SAMPLE) -> Classifier:
     """Fit the classifier on at most ``sample`` labelled documents, drawn by a hash of their ids.
 
     Of equal restored texts one counts. ``labels`` needs ``doc_id`` and ``toxic``; null labels and labels of absent documents
@@ -237,10 +290,10 @@ def learn(documents: DataFrame, labels: DataFrame, costs: np.ndarray, sample: in
     drawn = drawn.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "toxic")
     chosen = documents.join(F.broadcast(drawn), documents["doc_id"].cast("long") == F.col("__id"))
-    restored = restore(chosen, costs).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    restored = restore(chosen, model).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
     restored = restored.select("doc_id", "toxic", F.array_distinct(F.split("restored", " ")).alias("words"))
     one = restored.groupBy(F.xxhash64(F.array_sort("words")).alias("content")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    one = one.checkpoint()
+    one = cut(one)
     sizes = one.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not sizes["n"] or not sizes["bad"] or sizes["bad"] == sizes["n"]:
         return Classifier()
@@ -274,7 +327,7 @@ def learn(documents: DataFrame, labels: DataFrame, costs: np.ndarray, sample: in
     return Classifier(float(bias), {w: float(weights[i]) for w, i in place.items()})
 
 
-def score(documents: DataFrame, costs: np.ndarray, classifier: Classifier, keep: list[str] | None = None) -> DataFrame:
+def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], classifier: Classifier, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher: likelier toxic) of every whole text.
 
     Null and empty texts get the score of a text without known words. Rows that repeat
@@ -285,13 +338,9 @@ def score(documents: DataFrame, costs: np.ndarray, classifier: Classifier, keep:
     rows = documents.select(*kept, F.col("text").cast("string").alias("__text"))
 
     def run(batches):
-        restorer = Restorer(costs)
+        restorer = Restorer(model)
         for batch in batches:
-            out = []
-            for text in texts(batch["__text"]):
-                # A spaced run is read as several words.
-                found = restorer.words(text)
-                out.append(classifier.score([w for f in found for w in (f.split(" ") if " " in f else (f,))]))
+            out = [classifier.score(restorer.words(text)) for text in texts(batch["__text"])]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), pa.array(out, pa.float64())], names=[*kept, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
