@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, language, lines, links, near_duplicates, token_counts, toxicity
+from . import bpe, chunks, contamination, language, lines, links, near_duplicates, repeats, token_counts, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op3_link_trust(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_link_trust"] = links.judge_sql()
+
+
+@query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
