@@ -67,14 +67,16 @@ def fingerprints(shingles: DataFrame, key: str) -> DataFrame:
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """``item_id, size, length, place, shingle`` of every item with words.
+    """``item_id, item, size, length, place, shingle`` of every item with words.
 
-    Items of fewer than five words have one shingle of all of them.
+    Items of fewer than five words have one shingle of all of them. ``item`` tells the
+    texts of one ``item_id`` apart; rows that repeat count once.
     """
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("words"))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    rows = rows.select("item_id", F.xxhash64("item_id", "text").alias("item"), _words("text").alias("words"))
     rows = rows.where("item_id IS NOT NULL AND size(words) > 0").withColumn("size", F.least(F.size("words"), F.lit(SHINGLE)))
     hashes = F.coalesce(*[F.when(F.col("size") == k, _shingles("words", k)) for k in range(1, SHINGLE + 1)])
-    return rows.select("item_id", "size", F.size("words").alias("length"), F.posexplode(hashes).alias("place", "shingle"))
+    return rows.select("item_id", "item", "size", F.size("words").alias("length"), F.posexplode(hashes).alias("place", "shingle"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -88,8 +90,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     nothing; null ids of documents are one document, as are rows of one id. Empty
     tables give an empty result. Other columns are not read.
     """
-    # Items of one id are told apart by their text.
-    items = cut(item_shingles(benchmark.select(F.col("item_id"), F.col("text"))))
+    items = cut(item_shingles(benchmark))
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("text IS NOT NULL AND text <> ''").withColumn("text_hash", F.xxhash64("text"))
@@ -122,22 +123,22 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     rows = distinct.select(F.struct("window", "window2").alias("window"), "size", F.explode("inside").alias("shingle"))
 
     marks = fingerprints(rows.select("window", "shingle"), "window")
-    item_marks = fingerprints(items.select("item_id", "shingle"), "item_id")
+    item_marks = fingerprints(items.select("item", "shingle"), "item")
     near = F.expr(f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), m -> bit_count(m) <= {radius // BLOCKS})")
-    entries = item_marks.select("item_id", F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("no", "block"))
-    entries = entries.select("item_id", "item_blocks", "no", F.explode(F.transform(near, lambda m: F.col("block").bitwiseXOR(m))).alias("key"))
+    entries = item_marks.select("item", F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("no", "block"))
+    entries = entries.select("item", "item_blocks", "no", F.explode(F.transform(near, lambda m: F.col("block").bitwiseXOR(m))).alias("key"))
     probes = marks.select("window", "blocks", F.posexplode("blocks").alias("no", "key"))
     apart = sum((F.bit_count(F.get("blocks", F.lit(j)).bitwiseXOR(F.get("item_blocks", F.lit(j)))) for j in range(BLOCKS)), F.lit(0))
-    pairs = probes.join(entries, ["no", "key"]).where(apart <= radius).select("window", "item_id").distinct()
+    pairs = probes.join(entries, ["no", "key"]).where(apart <= radius).select("window", "item").distinct()
 
     # Exact weighted similarity: what the two have in common, shingle by shingle.
     window_counts = rows.groupBy("window", "shingle").agg(F.count("*").alias("c"))
-    item_counts = items.groupBy("item_id", "shingle").agg(F.count("*").alias("k"))
+    item_counts = items.groupBy("item", "shingle").agg(F.count("*").alias("k"))
     window_size = rows.groupBy("window").agg(F.count("*").alias("nw"))
-    item_size = items.groupBy("item_id").agg(F.count("*").alias("ni"))
-    common = pairs.join(window_counts, "window").join(item_counts, ["item_id", "shingle"])
-    common = common.groupBy("window", "item_id").agg(F.sum(F.least("c", "k")).alias("both"))
-    scored = common.join(window_size, "window").join(item_size, "item_id")
+    item_size = items.groupBy("item_id", "item").agg(F.count("*").alias("ni"))
+    common = pairs.join(window_counts, "window").join(item_counts, ["item", "shingle"])
+    common = common.groupBy("window", "item").agg(F.sum(F.least("c", "k")).alias("both"))
+    scored = common.join(window_size, "window").join(item_size, "item")
     scored = scored.select("window", "item_id", (F.col("both") / (F.col("nw") + F.col("ni") - F.col("both"))).alias("similarity"))
     scored = scored.where(F.col("similarity") >= similarity)
     out = held.select("doc_id", F.struct("window", "window2").alias("window")).distinct().join(scored, "window")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def shingles_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are lower-case. Shorter texts have one shingle of all their words; a text
     without words has none.
     """
-    lowered = pa.compute.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+    lowered = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
     data, offsets = text_bytes(lowered)
     count = len(offsets) - 1
     inside = IN_WORD[data] if len(data) else np.zeros(0, bool)
