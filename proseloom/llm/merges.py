@@ -22,6 +22,9 @@ def byte_alphabet() -> list[str]:
 
 
 LETTERS = byte_alphabet()
+# Words of more symbols are merged with a heap.
+LONG = 100
+NEVER = 1 << 60
 BYTES = {letter: byte for byte, letter in enumerate(LETTERS)}
 
 
@@ -51,9 +54,26 @@ class MergeModel:
 
     def merge(self, parts: list[str]) -> list[str]:
         """Join the pair of lowest rank, the leftmost of equals, until none is left."""
+        if len(parts) > LONG:
+            return self._merge_long(parts)
+        parts, get = list(parts), self.ranks.get
+        ranks = [get(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap, as every step of ``merge`` passes over the whole word."""
         count = len(parts)
-        if count == 1:
-            return parts
         parts, ranks = list(parts), self.ranks
         before, after = list(range(-1, count - 1)), list(range(1, count + 1))
         after[-1] = -1
@@ -81,14 +101,19 @@ class MergeModel:
                     heapq.heappush(heap, (rank, before[i], parts[before[i]], parts[i]))
         return [part for part in parts if part]
 
-    def halves(self, token: str) -> tuple[str, str] | None:
-        """The pair whose merge completes a token that merging can make; None for a single symbol."""
+    def split(self, token: str) -> list[str]:
+        """The symbols of a token of the vocabulary."""
         body = token.removesuffix(self.end) if self.end and token != self.end else token
-        if len(body) == 1:
-            return None
         parts = list(body)
         if body != token:
             parts[-1] += self.end
+        return parts
+
+    def halves(self, token: str) -> tuple[str, str] | None:
+        """The pair whose merge completes a token that merging can make; None for a single symbol."""
+        parts = self.split(token)
+        if len(parts) == 1:
+            return None
         rank = {(a, b): r for (a, b), r in self._within(parts).items() if a + b == token}
         return min(rank, key=rank.get)
 

@@ -31,12 +31,22 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
 
 CHUNK = re.compile(f"[^{SPACE}]+[{SPACE}]*")
+# Characters that only Python takes for white space.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 BLANK = re.compile(f"[{SPACE}]*")
 KEPT_CHUNKS = 400_000
 KEPT_PREFIXES = 400_000
 KEPT_LENGTH = 64
 
 
+def normalised(text: str) -> str:
+    """As the tokenizer normalises text without white space; letters get lower-case one by one."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+
 @lru_cache(1)
 def _joining() -> frozenset[str]:
     """Characters that can melt into the one before them."""
@@ -48,30 +58,42 @@ def _joining() -> frozenset[str]:
     return frozenset(found)
 
 
+class _Suffix:
+    """Node of a tree of token endings, read from the last symbol backwards."""
+
+    __slots__ = ("longer", "token", "stands", "after")
+
+    def __init__(self):
+        self.longer: dict[str, _Suffix] = {}
+        self.token: str | None = None
+        #: Whether merging its symbols makes the token; found when first needed.
+        self.stands: bool | None = None
+        #: By the token before it: whether the two can stand side by side.
+        self.after: dict[str, bool] = {}
+
+
 class PrefixCounter:
     """Counts of all prefixes, chunk by chunk; chunks end after white space."""
 
     def __init__(self, model: MergeModel):
         self.model = model
-        mark = len(model.end)
-        #: Tokens inside a word and, without their mark, at its end; the value tells
-        #: whether merging can make them, and is found when first needed.
-        self.inside: dict[str, bool | None] = {t: None for t in model.vocab if not mark or not t.endswith(model.end)}
-        self.ending = {t[:-mark]: None for t in model.vocab if t.endswith(model.end)} if mark else self.inside
-        self.longest = max(map(len, self.inside.keys() | self.ending.keys()))
+        self.inside, self.ending = _Suffix(), _Suffix()
+        for token in model.vocab:
+            marked = bool(model.end) and token.endswith(model.end)
+            node = self.ending if marked else self.inside
+            for symbol in reversed(token.removesuffix(model.end) if marked else token):
+                node = node.longer.setdefault(symbol, _Suffix())
+            node.token = token
+        if not model.end:
+            self.ending = self.inside
         self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
-        self.follows: dict[tuple[str, str, str], bool] = {}
-        #: By prefix: count and last token inside a word, count as a word of its own.
-        self.rows: dict[str, tuple[int, str, int]] = {}
+        #: By prefix: count and last token inside a longer word.
+        self.rows: dict[str, tuple[int, str]] = {}
+        self.words: dict[str, int] = {}
+        self.totals: dict[str, int] = {}
         self.kept: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, model.special)) or r"(?!)")
-
-    def _stands(self, kinds: dict[str, bool | None], token: str, mark: str) -> bool:
-        """Whether merging the symbols of a token gives that token alone."""
-        parts = list(token)
-        parts[-1] += mark
-        known = kinds[token] = self.model.merge(parts) == [token + mark]
-        return known
+        self.marks = tuple({s[0] for s in model.special})
 
     def _edge(self, token: str, right: bool) -> list[tuple[str, float]]:
         """The symbols that form one edge of a token while it grows, each with the rank that ends it."""
@@ -86,91 +108,89 @@ class PrefixCounter:
             self.edges[token, right] = known
         return known
 
-    def _follows(self, left: str, token: str, mark: str) -> bool:
+    def _side_by_side(self, left: str, right: str) -> bool:
         """Whether no merge crosses the border while both tokens grow; ranks rise as they grow."""
-        ranks, before, after = self.model.ranks, self._edge(left, True), self._edge(token + mark, False)
+        ranks, before, after = self.model.ranks, self._edge(left, True), self._edge(right, False)
         i = j = 0
         while True:
             (x, ends), (y, closes) = before[i], after[j]
             rank = ranks.get((x, y), inf)
             if rank < ends and rank <= closes and rank != inf:
-                known = False
-                break
+                return False
             if ends == closes == inf:
-                known = True
-                break
+                return True
             if ends <= closes:
                 i += 1
             else:
                 j += 1
-        self.follows[left, token, mark] = known
-        return known
 
-    def _last(self, prefix: str, kinds: dict[str, bool | None], mark: str) -> tuple[int, str]:
-        """Count and last token of a prefix, from the rows of the shorter ones."""
-        end = len(prefix)
-        for start in range(max(0, end - self.longest), end):
-            token = prefix[start:]
-            stands = kinds.get(token, False)
-            if stands is None:
-                stands = self._stands(kinds, token, mark)
-            if not stands:
+    def _last(self, symbols: str, end: int, node: _Suffix, row) -> tuple[int, str]:
+        """Count and last token of the prefix of ``end`` symbols, from the rows of shorter ones."""
+        at = end
+        while at:
+            at -= 1
+            node = node.longer.get(symbols[at])
+            if node is None:
+                break
+            token = node.token
+            if token is None:
+                continue
+            if node.stands is None:
+                node.stands = self.model.merge(self.model.split(token)) == [token]
+            if not node.stands:
                 continue
-            if start == 0:
+            if not at:
                 return 1, token
-            count, before, _ = self.rows[prefix[:start]]
-            fits = self.follows.get((before, token, mark))
+            count, before = row(at)
+            fits = node.after.get(before)
             if fits is None:
-                fits = self._follows(before, token, mark)
+                fits = node.after[before] = self._side_by_side(before, token)
             if fits:
                 return count + 1, token
         raise ValueError("the vocabulary lacks a symbol")
 
+    def _row(self, symbols: str):
+        """Access to the rows of a word's inner prefixes, filling in those that lack."""
+        if len(symbols) > KEPT_LENGTH:
+            # Kept by place: as keys the prefixes of a long word would fill the memory.
+            own: list[tuple[int, str]] = [(0, "")]
+            for end in range(1, len(symbols)):
+                own.append(self._last(symbols, end, self.inside, own.__getitem__))
+            return own.__getitem__
+        rows = self.rows
+        if len(rows) >= KEPT_PREFIXES:
+            rows.clear()
+        row = lambda end: rows[symbols[:end]]
+        known = len(symbols) - 1
+        while known and symbols[:known] not in rows:
+            known -= 1
+        for end in range(known + 1, len(symbols)):
+            rows[symbols[:end]] = self._last(symbols, end, self.inside, row)
+        return row
+
+    def _symbols(self, text: str) -> tuple[str, list[int] | range]:
+        """Byte symbols of a word, and where its characters end in them."""
+        if text.isascii() and text.isprintable():
+            return text, range(1, len(text) + 1)
+        spelled = ["".join(LETTERS[b] for b in c.encode("utf-8", "surrogatepass")) for c in text]
+        return "".join(spelled), [*accumulate(map(len, spelled))]
+
     def word(self, text: str) -> list[int]:
         """Counts of the prefixes of one word, by characters."""
-        if text.isascii() and text.isprintable():
-            symbols, ends = text, None
-        else:
-            spelled = ["".join(LETTERS[b] for b in c.encode("utf-8", "surrogatepass")) for c in text]
-            symbols, ends = "".join(spelled), [*accumulate(map(len, spelled))]
-        if len(self.rows) >= KEPT_PREFIXES:
-            self.rows.clear()
-        kept = self.rows if len(symbols) <= KEPT_LENGTH else None
-        if kept is None:
-            return self._long_word(symbols, range(1, len(symbols) + 1) if ends is None else ends)
-        counts = []
-        for end in range(1, len(symbols) + 1):
-            prefix = symbols[:end]
-            row = kept.get(prefix)
-            if row is None:
-                count, last = self._last(prefix, self.inside, "")
-                row = kept[prefix] = (count, last, self._last(prefix, self.ending, self.model.end)[0])
-            counts.append(row[2])
-        return counts if ends is None else [counts[end - 1] for end in ends]
-
-    def _long_word(self, symbols: str, ends) -> list[int]:
-        """As ``word``, with rows by position: a prefix as a key would take its whole length."""
-        rows, counts = [(0, "")], []
-        for end in range(1, len(symbols) + 1):
-            found = []
-            for kinds, mark in ((self.inside, ""), (self.ending, self.model.end)):
-                for start in range(max(0, end - self.longest), end):
-                    token = symbols[start:end]
-                    stands = kinds.get(token, False)
-                    if stands is None:
-                        stands = self._stands(kinds, token, mark)
-                    if not stands:
-                        continue
-                    count, before = rows[start]
-                    fits = start == 0 or self.follows.get((before, token, mark))
-                    if fits is None:
-                        fits = self._follows(before, token, mark)
-                    if fits:
-                        found.append((count + 1, token))
-                        break
-            rows.append(found[0])
-            counts.append(found[1][0])
-        return [counts[end - 1] for end in ends]
+        symbols, ends = self._symbols(text)
+        row = self._row(symbols)
+        return [self._last(symbols, end, self.ending, row)[0] for end in ends]
+
+    def word_total(self, text: str) -> int:
+        known = self.words.get(text)
+        if known is None:
+            symbols, ends = self._symbols(text)
+            known = self._last(symbols, ends[-1], self.ending, self._row(symbols))[0]
+            if len(text) <= KEPT_LENGTH:
+                if len(self.words) >= KEPT_CHUNKS:
+                    self.words.clear()
+                self.words[text] = known
+        return known
 
     def plain(self, text: str) -> list[int]:
         """Counts of the prefixes of normalised text without white space, from the empty one on."""
@@ -180,14 +200,14 @@ class PrefixCounter:
             if word[0] == "'" and len(word) > 1 and word[1].isalpha():
                 # Its prefixes fall apart into other words.
                 for end in range(1, len(word)):
-                    counts.append(base + sum(self.word(w)[-1] for w in WORD.findall(word[:end])))
-                counts.append(base + self.word(word)[-1])
+                    counts.append(base + sum(map(self.word_total, WORD.findall(word[:end]))))
+                counts.append(base + self.word_total(word))
             else:
                 counts += [base + c for c in self.word(word)]
         return counts
 
     def total(self, text: str) -> int:
-        return sum(self.word(word)[-1] for word in WORD.findall(text))
+        return sum(map(self.word_total, WORD.findall(text)))
 
     def normal(self, text: str) -> list[int]:
         """Counts of the prefixes of raw text that has neither white space nor special tokens."""
@@ -203,7 +223,7 @@ class PrefixCounter:
 
     def _melting(self, text: str) -> list[int]:
         """As ``normal``, where characters join into others: cut before those that cannot."""
-        low = lambda part: "".join(c.lower() for c in unicodedata.normalize("NFC", part))
+        low = normalised
         starts = [i for i, c in enumerate(text) if i == 0 or not (unicodedata.combining(c) or c in _joining())]
         pieces = [low(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)])]
         whole = "".join(pieces)
@@ -224,9 +244,7 @@ class PrefixCounter:
         known = self.kept.get(chunk)
         if known is not None:
             return known
-        body = chunk.rstrip() if chunk.isascii() else BLANK.sub("", chunk[::-1], count=1)[::-1]
-        if len(body) != len(chunk) and BLANK.fullmatch(chunk[len(body) :]) is None:
-            body = re.match(f"[^{SPACE}]*", chunk).group()
+        body = chunk.rstrip(SPACES)
         counts, base, at = [0], 0, 0
         for found in self.special.finditer(body):
             piece = self.normal(body[at : found.start()])
@@ -249,6 +267,31 @@ class PrefixCounter:
             self.kept[chunk] = steps
         return steps
 
+    def chunk_total(self, chunk: str) -> int:
+        """Count of a chunk without its white space."""
+        if chunk.isascii() and chunk[0] not in self.marks and (low := chunk.lower()).isalpha():
+            known = self.word_total(low)
+        else:
+            known, at = 0, 0
+            for found in self.special.finditer(chunk):
+                known += 1 + self.total(normalised(chunk[at : found.start()]))
+                at = found.end()
+            known += self.total(normalised(chunk[at:]))
+        if len(chunk) <= KEPT_LENGTH:
+            if len(self.totals) >= KEPT_CHUNKS:
+                self.totals.clear()
+            self.totals[chunk] = known
+        return known
+
+    def count(self, text: str) -> int:
+        """Tokens of a text: the last of its prefix counts, without the steps before it."""
+        chunks = text.split() if ODD_SPACE.search(text) is None else [c.rstrip(SPACES) for c in CHUNK.findall(text, BLANK.match(text).end())]
+        totals = self.totals
+        found = list(map(totals.get, chunks))
+        if None in found:
+            found = [self.chunk_total(c) if n is None else n for c, n in zip(chunks, found)]
+        return sum(found)
+
     def steps(self, text: str) -> bytes:
         """Steps of the count from each prefix of a text to the next."""
         blank = BLANK.match(text).end()
@@ -281,14 +324,14 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
     def count(batches):
         counter = _counter(name)
         for batch in batches:
-            steps = [counter.steps(text) for text in texts(batch["text"])]
-            columns = [
-                batch["doc_id"],
-                batch["n_bytes"],
-                pa.array([int(np.frombuffer(s, "<i4").sum()) for s in steps], pa.int64()),
-            ]
+            whole = list(texts(batch["text"]))
+            columns = [batch["doc_id"], batch["n_bytes"]]
             if keep_prefixes:
-                columns.append(pa.array(steps, pa.binary()))
+                steps = [counter.steps(text) for text in whole]
+                totals = [int(np.frombuffer(s, "<i4").sum()) for s in steps]
+                columns += [pa.array(totals, pa.int64()), pa.array(steps, pa.binary())]
+            else:
+                columns.append(pa.array(map(counter.count, whole), pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = documents.select(
