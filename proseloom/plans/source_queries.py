@@ -99,19 +99,20 @@ def load_project_state(t: Inputs):
     return RD.project_tables(_projects(t))["segments"].select(*_COLS)
 
 
-@query("save_tables", f"WITH {_SEGS} SELECT * FROM segs")
+@query("save_tables", f"WITH {_SEGS} SELECT * REPLACE (CASE WHEN doc_id % 50 = 3 THEN 'Rewritten' ELSE speaker END AS speaker) FROM segs")
 def save_tables(t: Inputs):
-    """Write the tables, write some books again, and read everything back."""
+    """Write the tables, write single books of several buckets again, and read everything back."""
     tables = {"segments": RD.project_tables(_projects(t))["segments"].select(*_COLS)}
     path = _folder(t, "state")
     WR.save_tables(tables, path, buckets=8)
-    again = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 3
-    WR.save_tables({"segments": tables["segments"].where(again)}, path, buckets=8)
+    again = tables["segments"].where("doc_id % 50 = 3").withColumn("speaker", F.lit("Rewritten"))
+    WR.save_tables({"segments": again}, path, buckets=8)
     return WR.load_table(t.spark, path, "segments")
 
 
 def _log_lines(t: Inputs):
-    return t.table("events").select(
+    line = t.table("events").select(
+        "event_id",
         F.to_json(
             F.struct(
                 F.col("event_id").cast("string").alias("id"),
@@ -123,14 +124,18 @@ def _log_lines(t: Inputs):
                 F.when(F.col("event_id") % 6 == 0, F.lit("")).when(F.col("event_id") % 6 == 1, F.lit("b1")).alias("book_id"),
                 F.create_map(F.lit("k"), F.col("event_type")).alias("criteria"),
             )
-        ).alias("value")
+        ).alias("value"),
     )
+    half = F.substr("value", F.lit(1), F.floor(F.length("value") / 2).cast("int"))
+    broken = F.when(F.col("event_id") % 11 == 10, half).when(F.col("event_id") % 13 == 12, F.lit("null"))
+    return line.select(F.coalesce(broken, F.col("value")).alias("value"), "event_id")
 
 
 _LOG_SQL = """
 SELECT CAST(event_id AS VARCHAR) AS id, event_type AS question_type, CASE WHEN event_id % 4 <> 0 THEN value / 1000 ELSE 0.5 END AS raw_probability,
        CASE WHEN event_id % 5 = 0 THEN TRUE END AS human_verdict, CASE WHEN event_id % 6 = 1 THEN 'b1' ELSE 'default_book' END AS book_id,
-       event_type AS criterion, '' AS state, 0.0::DOUBLE AS elapsed_ms FROM events"""
+       event_type AS criterion, '' AS state, 0.0::DOUBLE AS elapsed_ms FROM events
+WHERE event_id % 11 <> 10 AND event_id % 13 <> 12"""
 
 
 def _log_view(df):
@@ -145,6 +150,11 @@ def qc_log_read(t: Inputs):
     return _log_view(RD.qc_log_parse(_log_lines(t)))
 
 
+@query("qc_log_quarantine", "SELECT event_id FROM events WHERE event_id % 11 = 10 OR event_id % 13 = 12")
+def qc_log_quarantine(t: Inputs):
+    return RD.qc_log_quarantine(_log_lines(t)).select("event_id")
+
+
 @query("qc_log_append", _LOG_SQL)
 def qc_log_append(t: Inputs):
     path = _folder(t, "log")
@@ -222,7 +232,7 @@ def lexicon_load(t: Inputs):
     return RD.lexicon_load(_lexicons(t)).select("doc_id", "target_word", "replacement", "type", "case_sensitive")
 
 
-# Model answers: fenced, plain, with prose around the block, and broken.
+# Model answers: fenced, plain, with prose around the block, broken, of other kinds, and without content.
 def _answers(t: Inputs):
     spans = F.to_json(
         F.struct(
@@ -233,22 +243,35 @@ def _answers(t: Inputs):
             ).alias("spans")
         )
     )
-    k = (F.col("doc_id") + F.col("seg_idx")) % 4
+    person = F.struct(F.col("speaker").alias("name"), F.array("seg_id").alias("aliases"))
+    tie = F.struct(
+        F.col("speaker").alias("char_a"),
+        F.lit("Narrator").alias("b"),
+        F.array(F.struct(F.col("seg_idx").cast("int").alias("from_segment"), F.lit("allied").alias("relation_type"))).alias("states"),
+    )
+    k = (F.col("doc_id") + F.col("seg_idx")) % 9
     raw = (
         F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), spans, F.lit("\n```\nDone.")))
         .when(k == 1, spans)
         .when(k == 2, F.concat(F.lit("Sure {not json} then "), spans, F.lit(" as asked.")))
-        .otherwise(F.concat(F.lit("No luck: "), F.substr(spans, F.lit(1), F.floor(F.length(spans) / 2).cast("int"))))
+        .when(k == 3, F.concat(F.lit("No luck: "), F.substr(spans, F.lit(1), F.floor(F.length(spans) / 2).cast("int"))))
+        .when(k == 4, F.to_json(F.struct(F.array(person).alias("cast"))))
+        .when(k == 5, F.to_json(F.struct(F.array(tie).alias("relationships"))))
+        .when(k == 6, F.concat(F.lit("See [1] first. "), spans))
+        .when(k == 7, F.lit('{"foo": 1}'))
+        .otherwise(F.to_json(F.array(person)))
     )
     return t.script.select(
-        F.concat_ws("_", "doc_id", "seg_idx").alias("response_id"), F.lit("spans").alias("kind"), raw.alias("raw")
+        F.concat_ws("_", "doc_id", "seg_idx").alias("response_id"),
+        F.when(k == 8, "cast").otherwise("spans").alias("kind"),
+        raw.alias("raw"),
     )
 
 
 @query(
     "model_response_ingest",
     f"""
-    WITH s AS (SELECT * FROM script WHERE (doc_id + seg_idx) % 4 <> 3)
+    WITH s AS (SELECT * FROM script WHERE (doc_id + seg_idx) % 9 IN (0, 1, 2, 6))
     SELECT doc_id || '_' || seg_idx AS response_id, 'spans' AS kind, 0 AS ord, 'dialogue' AS type, speaker, trim(text, {SP}) AS text FROM s
     UNION ALL SELECT doc_id || '_' || seg_idx, 'spans', 1, 'narrator', 'Narrator', seg_id FROM s""",
     ["script"],
@@ -257,9 +280,33 @@ def model_response_ingest(t: Inputs):
     return RD.model_response_ingest(_answers(t))[0]
 
 
+@query(
+    "model_response_cast",
+    """SELECT doc_id || '_' || seg_idx AS response_id, CASE WHEN (doc_id + seg_idx) % 9 = 8 THEN 'cast' ELSE 'spans' END AS kind,
+         0 AS ord, speaker AS name, seg_id AS alias FROM script WHERE (doc_id + seg_idx) % 9 IN (4, 8) AND trim(speaker) <> ''""",
+    ["script"],
+)
+def model_response_cast(t: Inputs):
+    found = RD.model_response_tables(_answers(t))["cast"]
+    return found.select("response_id", "kind", "ord", "name", F.explode("aliases").alias("alias"))
+
+
+@query(
+    "model_response_relationships",
+    """SELECT doc_id || '_' || seg_idx AS response_id, speaker AS a, 'Narrator' AS b, CAST(seg_idx AS INT) AS from_segment,
+         'allied' AS relation_type FROM script WHERE (doc_id + seg_idx) % 9 = 5 AND speaker IS NOT NULL""",
+    ["script"],
+)
+def model_response_relationships(t: Inputs):
+    found = RD.model_response_tables(_answers(t))["relationships"]
+    return found.select("response_id", "a", "b", F.explode("states").alias("s")).select(
+        "response_id", "a", "b", "s.from_segment", "s.relation_type"
+    )
+
+
 @query(
     "model_response_quarantine",
-    "SELECT doc_id || '_' || seg_idx AS response_id, 'spans' AS kind FROM script WHERE (doc_id + seg_idx) % 4 = 3",
+    "SELECT doc_id || '_' || seg_idx AS response_id, 'spans' AS kind FROM script WHERE (doc_id + seg_idx) % 9 IN (3, 7)",
     ["script"],
 )
 def model_response_quarantine(t: Inputs):

@@ -137,9 +137,26 @@ LOG_SCHEMA = (
 )
 
 
+def _log_rows(lines: DataFrame, col: str) -> DataFrame:
+    """Lines that are not blank, with their record ``r`` and whether it is broken."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    record = F.from_json(col, f"{LOG_SCHEMA}, _corrupt string", options)
+    rows = lines.where(F.trim(col) != "").withColumn("r", record)
+    broken = ~F.trim(col).startswith("{") | F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.withColumn("broken", broken)
+
+
+def qc_log_quarantine(lines: DataFrame, col: str = "value") -> DataFrame:
+    """The rows whose line holds no decision record, as they are."""
+    return _log_rows(lines, col).where("broken").select(*lines.columns)
+
+
 def qc_log_parse(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Decision records of JSON lines with the defaults of missing fields."""
-    rows = lines.where(F.trim(col) != "").select(F.from_json(col, LOG_SCHEMA).alias("r")).where("r IS NOT NULL")
+    """Decision records of JSON lines with the defaults of missing fields.
+
+    Broken lines are left to :func:`qc_log_quarantine`.
+    """
+    rows = _log_rows(lines, col).where("NOT broken")
     return rows.select(
         "r.id",
         F.to_timestamp("r.timestamp").alias("timestamp"),
@@ -261,7 +278,10 @@ def _first_block(text: str) -> str | None:
             value = json.loads(block)
         except ValueError:
             continue
-        if isinstance(value, list) or any(value.get(k) for k in _WANTED):
+        if isinstance(value, list):
+            if any(isinstance(entry, dict) for entry in value):
+                return block
+        elif any(value.get(k) for k in _WANTED):
             return block
         spare = spare or block
     return spare
@@ -272,14 +292,18 @@ def _scan(raw: pd.Series) -> pd.Series:
     return raw.map(_first_block)
 
 
-_SPAN = "type string, speaker string, text string"
+_PARTS = {
+    "spans": "struct<type:string,speaker:string,text:string>",
+    "cast": "struct<name:string,gender:string,age:string,voice_profile:string,aliases:array<string>>",
+    "relationships": f"struct<a:string,char_a:string,b:string,char_b:string,states:array<{_STATE}>>",
+}
 
 
-def model_response_ingest(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of raw model answers, and the answers nothing could be read from.
+def _answers(responses: DataFrame) -> DataFrame:
+    """Model answers with the entries of each kind that say something.
 
     A fenced block is tried first, then the whole text. Only what is left is
-    scanned for a balanced block, in Python.
+    scanned for a balanced block, in Python. A bare list is of the kind asked for.
     """
     raw = T.strip(F.coalesce("raw", F.lit("")))
 
@@ -289,20 +313,54 @@ def model_response_ingest(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     fence = T.blank_to_null(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1))
     rows = responses.withColumn("doc", F.coalesce(valid(fence), valid(raw)))
-    easy = rows.where("doc IS NOT NULL")
-    hard = rows.where("doc IS NULL").withColumn("doc", _scan(raw))
-    parsed = easy.unionByName(hard.where("doc IS NOT NULL"))
-    quarantine = hard.where("doc IS NULL").select("response_id", "kind", "raw")
-    struct = f"struct<{_SPAN.replace(' string', ':string')}>"
-    listed = F.when(F.col("doc").startswith("["), F.from_json("doc", f"array<{struct}>"))
-    inner = F.from_json("doc", f"spans array<{struct}>, script_segments array<{struct}>")
-    spans = F.coalesce(listed, inner["spans"], inner["script_segments"])
-    out = parsed.select("response_id", "kind", F.posexplode(spans).alias("ord", "x")).select(
-        "response_id",
-        "kind",
-        "ord",
-        F.when(F.col("x.type") == "dialogue", "dialogue").otherwise("narrator").alias("type"),
-        F.col("x.speaker").alias("speaker"),
-        T.strip(F.coalesce("x.text", F.lit(""))).alias("text"),
-    )
-    return out.where("text <> ''"), quarantine
+    rows = rows.where("doc IS NOT NULL").unionByName(rows.where("doc IS NULL").withColumn("doc", _scan(raw)))
+    inner = F.from_json("doc", f"{', '.join(f'{n} array<{kind}>' for n, kind in _PARTS.items())}, script_segments array<{_PARTS['spans']}>")
+
+    def entries(name: str) -> Column:
+        own = F.col("kind") == name if name != "spans" else ~F.coalesce(F.col("kind").isin("cast", "relationships"), F.lit(False))
+        listed = F.when(F.col("doc").startswith("[") & own, F.from_json("doc", f"array<{_PARTS[name]}>"))
+        found = F.coalesce(listed, inner[name], inner["script_segments"]) if name == "spans" else F.coalesce(listed, inner[name])
+        said = {
+            "spans": lambda x: T.strip(F.coalesce(x["text"], F.lit(""))) != "",
+            "cast": lambda x: T.strip(F.coalesce(x["name"], F.lit(""))) != "",
+            "relationships": lambda x: F.coalesce(x["a"], x["char_a"]).isNotNull() & F.coalesce(x["b"], x["char_b"]).isNotNull(),
+        }[name]
+        numbered = F.transform(found, lambda x, i: F.struct(i.alias("ord"), x.alias("x")))
+        return F.coalesce(F.filter(numbered, lambda e: e["x"].isNotNull() & said(e["x"])), F.array())
+
+    return rows.select("response_id", "kind", "raw", *[entries(name).alias(name) for name in _PARTS])
+
+
+def model_response_tables(responses: DataFrame) -> dict[str, DataFrame]:
+    """Typed rows of raw model answers, and the answers without any row.
+
+    ``spans``, ``cast`` and ``relationships`` hold one row for each entry that says
+    something; every other answer is in ``quarantine``.
+    """
+    found = _answers(responses)
+
+    def rows(name: str) -> DataFrame:
+        return found.select("response_id", "kind", F.explode(name).alias("e")).select("response_id", "kind", "e.ord", "e.x")
+
+    states = rows("relationships").select("response_id", "kind", "ord", "x.*")
+    return {
+        "spans": rows("spans").select(
+            "response_id",
+            "kind",
+            "ord",
+            F.when(F.col("x.type") == "dialogue", "dialogue").otherwise("narrator").alias("type"),
+            F.col("x.speaker").alias("speaker"),
+            T.strip(F.col("x.text")).alias("text"),
+        ),
+        "cast": rows("cast").select("response_id", "kind", "ord", "x.*"),
+        "relationships": states.select(
+            "response_id", "kind", "ord", F.coalesce("a", "char_a").alias("a"), F.coalesce("b", "char_b").alias("b"), "states"
+        ),
+        "quarantine": found.where(" AND ".join(f"size({name}) = 0" for name in _PARTS)).select("response_id", "kind", "raw"),
+    }
+
+
+def model_response_ingest(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans of model answers, and the answers without anything that can be read."""
+    tables = model_response_tables(responses)
+    return tables["spans"], tables["quarantine"]

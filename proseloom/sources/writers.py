@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.ordered import cut_lineage
 
-def save_tables(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
-    """Write state tables so that one book can be rewritten on its own.
 
-    Books are hashed to ``buckets`` folders instead of getting one folder each,
-    which would make as many files as books. Overwriting replaces only the
-    folders that the written rows fall into.
+BUCKET = "book_bucket"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows written so far, or None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def save_tables(tables: dict[str, DataFrame], path: str, buckets: int = 64, books: DataFrame | None = None) -> None:
+    """Write state tables; every book in ``books`` is replaced, all others stay.
+
+    ``books`` (``doc_id``) defaults to the books that have rows in the table. Books are
+    hashed to ``buckets`` folders instead of getting one folder each, which would make
+    as many files as books. Only the folders of the written books are rewritten: with
+    the new rows and the rows of their other books. What a folder gets is written to
+    the checkpoint folder before the old files go, so a failed write loses nothing.
     """
     for name, df in tables.items():
-        rows = df.withColumn("book_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+        target = f"{path}/{name}"
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+        rows = df.withColumn(BUCKET, bucket)
+        old = _stored(df.sparkSession, target)
+        if old is not None:
+            replaced = (df if books is None else books).select("doc_id").distinct()
+            # At most one number for each bucket.
+            touched = [row[0] for row in replaced.select(bucket).distinct().collect()]
+            others = old.where(F.col(BUCKET).isin(touched)).join(replaced, "doc_id", "left_anti")
+            rows = cut_lineage(rows.unionByName(others, allowMissingColumns=True))
+            emptied = set(touched) - {row[0] for row in rows.select(BUCKET).distinct().collect()}
+            if emptied:
+                raise ValueError(f"buckets {sorted(emptied)} would be left without a row; keep a row for each book")
         (
             rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("book_bucket")
-            .parquet(f"{path}/{name}")
+            .partitionBy(BUCKET)
+            .parquet(target)
         )
 
 
 def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}").drop("book_bucket")
+    return spark.read.parquet(f"{path}/{name}").drop(BUCKET)
 
 
 def qc_log_append(decisions: DataFrame, path: str) -> None:
