@@ -10,13 +10,14 @@ RULE = ["target_word", "replacement", "type", "case_sensitive"]
 # fixed values: kinds of replacement
 TYPES = ["respelling", "phoneme", "expansion"]
 # fixed values: common words that are never unusual tokens
-STOPWORDS = (
-    "the be to of and a in that have i it for not on with he as you do at "
-    "this but his by from they we say her she or an will my one all would there their what "
-    "so up out if about who get which go me when make can like time no just him know take "
-    "people into year your good some could them see other "
-    "than then now look only come its over think also"
-).split()
+STOPWORDS = [
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as",
+    "you", "do", "at", "this", "but", "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will",
+    "my", "one", "all", "would", "there", "their", "what", "so", "up", "out", "if", "about", "who", "get", "which",
+    "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into", "year",
+    "your", "good", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its",
+    "over", "think", "also",
+]
 
 
 def normalise_entries(entries: DataFrame) -> DataFrame:

@@ -64,16 +64,20 @@ def _flip(power: Column, reverse: Column) -> Column:
 def _asof(queries: DataFrame, states: DataFrame, at: Column, since: Column, flip: bool) -> DataFrame:
     """Latest state at or before each query position; the first state before that.
 
+    Of several states with one boundary the last to arrive counts: by ``arrival_ord``
+    where the states have it, else the greatest in the order of its fields.
+
     States and the distinct positions asked for lie on one axis per pair, which
     is scanned in blocks, so a pair that holds most rows is still cut up.
     """
     key = ["doc_id", "__p1", "__p2"]
+    arrival = (F.col("arrival_ord") if "arrival_ord" in states.columns else F.lit(0)).alias("arrival")
     known = (
         _pair(states)
         .withColumn("__since", since)
         .withColumn("__state", F.struct(F.col("a").alias("a0"), *[_filled(c).alias(c) for c in STATE]))
         .groupBy(*key, "__since")
-        .agg(F.first("__state").alias("__state"))
+        .agg(F.max_by("__state", F.struct(arrival, "__state")).alias("__state"))
     )
     asked = _pair(queries).withColumn("__at", at)
     axis = known.select(*key, (F.col("__since") * 2).alias("__x"), "__state").unionByName(
@@ -129,8 +133,8 @@ def relationship_asof(pairs: DataFrame, states: DataFrame, flip: bool = True) ->
     return out
 
 
-# Room for segment numbers below a chapter on the (chapter, segment) axis.
-CHAPTER_SPAN = 1_000_000_000
+# Room for every 32-bit segment number below a chapter on the (chapter, segment) axis.
+CHAPTER_SPAN = 1 << 31
 
 
 def relationship_asof_position(positions: DataFrame, states: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def relationship_asof_position(positions: DataFrame, states: DataFrame) -> DataF
 
     def axis(chapter: str, segment: str) -> Column:
         def one(c: str) -> Column:
-            return F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(1)).cast("bigint")
+            return F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(1)).cast("int").cast("bigint")
 
         return one(chapter) * CHAPTER_SPAN + one(segment)
 

@@ -32,6 +32,7 @@ LETTER_STYLES = {
     "narrator_formal": "formal document narration, measured, neutral pace",
     "sender_voice": "epistolary reading, as if spoken directly from the writer's memory",
 }
+# fixed values: words that tell a thought
 THOUGHT_VERBS = (
     r"(?i)\b(?:thought|wondered|mused|reflected|realized|said to (?:himself|herself|themselves))\b"
 )

@@ -46,6 +46,7 @@ def book_totals(chapters: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- chapters
 
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+# fixed values: the forms of a heading
 # A heading is a whole line. A free word after "Part" only counts as a number
 # ("Part Two") when nothing or a colon follows it, so "Part of the reason" is prose.
 HEADING = (
@@ -53,6 +54,7 @@ HEADING = (
     rf"([0-9]+|[IVXLCDM]+(?![A-Za-z])|[A-Za-z]+(?={WSI}*(?::|$)))"
     rf"(?::?{WSI}*([^\n\r]*))?$"
 )
+# fixed values: the forms of a heading that stands on a line of its own
 KINDS = "chapter|act|part|prologue|epilogue|scene|book"
 LINE_HEADING = (
     rf"(?im)^{WSI}*+(?=(?:#++{WSI}*+)?(?:{KINDS}))(?=[^\n]{{1,79}}?{WSI}*$)(?:#+{WSI}*)?"
@@ -198,6 +200,7 @@ def detect_chapters_by_line(manuscripts: DataFrame, keep_prologue: bool = False)
 
 # ---------------------------------------------------------------- paragraphs and scenes
 
+# fixed values: the lines that end a scene
 SCENE_BREAK = (
     rf"(?i)^{T.WS}*(\*{T.WS}*\*{T.WS}*\*|\*{{3,}}|-{{3,}}|#{{1,3}}{T.WS}[^\n]*|"
     rf"chapter{T.WS}+{T.W}+[^\n]*){T.WS}*\z"

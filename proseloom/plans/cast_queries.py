@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..operators import attribution as A
 from ..operators import cast as C
+from ..operators import ordered
 from ..operators import relations as R
 from ..operators import text as X
 from .inputs import Inputs, given_name, name
@@ -454,7 +455,7 @@ def attribute_dialogue(t: Inputs):
 @query("rule_attribution_lite")
 def rule_attribution_lite(t: Inputs):
     pieces = X.segment_quoted(t.view("prose")).where("type = 'dialogue'")
-    quotes = pieces.withColumn("seg_idx", F.col("para_idx") * 1000 + F.col("piece_idx"))
+    quotes = ordered.rerank(pieces, ["doc_id"], ["para_idx", "piece_idx"], "seg_idx")
     scores = quotes.where("seg_idx % 7 = 0").selectExpr(
         "doc_id", "seg_idx", "'c2' AS choice", "0.8D AS choice_conf"
     )
@@ -661,8 +662,8 @@ def relationship_asof(t: Inputs):
 @query(
     "relationship_asof_position",
     _asof_sql(
-        "q.chapter * 1000000000 + q.segment",
-        "s.from_chapter * 1000000000 + CASE WHEN s.from_segment = 0 THEN 1 ELSE s.from_segment END",
+        "q.chapter * 2147483648 + q.segment",
+        "s.from_chapter * 2147483648 + CASE WHEN s.from_segment = 0 THEN 1 ELSE s.from_segment END",
         False,
     ),
     ["pairs", "states"],

@@ -395,13 +395,13 @@ def calibration_report(t: Inputs):
 
 def _evaluated(t: Inputs):
     prose = t.view("prose").where("text <> '***'")
-    passages = prose.selectExpr("doc_id * 100 + para_idx AS passage_id", "text")
+    passages = prose.selectExpr("concat_ws('_', doc_id, para_idx) AS passage_id", "text")
     quoted = X.segment_quoted(prose.select("doc_id", "para_idx", "text")).selectExpr(
-        "doc_id * 100 + para_idx AS passage_id", "piece_idx AS ord", "type", "text",
+        "concat_ws('_', doc_id, para_idx) AS passage_id", "piece_idx AS ord", "type", "text",
         "CASE WHEN type = 'dialogue' THEN 'c0' ELSE 'Narrator' END AS speaker",
     )
     unmarked = X.segment_unmarked(prose.select("doc_id", "para_idx", "text")).selectExpr(
-        "doc_id * 100 + para_idx AS passage_id", "piece_idx AS ord", "type", "text",
+        "concat_ws('_', doc_id, para_idx) AS passage_id", "piece_idx AS ord", "type", "text",
         "CASE WHEN type = 'dialogue' THEN concat('C', piece_idx % 2) ELSE 'Narrator' END AS speaker",
     )
     everything = passages.selectExpr("passage_id", "0 AS ord", "'dialogue' AS type", "trim(text) AS text", "'c0' AS speaker")

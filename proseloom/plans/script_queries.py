@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import emotion as E
 from ..operators import lexicon as L
+from ..operators import ordered
 from ..operators import screenplay as S
 from ..operators import special as SPC
 from ..operators import staging as G
@@ -706,7 +707,8 @@ def screenplay_import(t: Inputs):
     # The parts of a file, cut into numbered lines without putting the file together.
     lines = parts.select(
         "doc_id", "part_no", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")
-    ).selectExpr("doc_id", "part_no * 1000 + i AS line_no", "line")
+    )
+    lines = ordered.rerank(lines, ["doc_id"], ["part_no", "i"], "line_no").select("doc_id", "line_no", "line")
     _, segments = S.screenplay_import(lines)
     return segments.drop("hash", "relationship_snapshot")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..operators import timeline as TL
 from .inputs import Inputs
 from .registry import SQL_NON_WS, query, rounded
@@ -169,9 +170,8 @@ def webvtt_export(t: Inputs):
 def smil_export(t: Inputs):
     place = t.script.select("doc_id", "seg_id", "seg_idx", "chapter_id")
     timed = _timed(t).join(place, ["doc_id", "seg_id"])
-    words_ = timed.selectExpr(
-        "doc_id", "chapter_id", "seg_idx * 100000 + word_idx + 1 AS word_no", "start_seconds", "end_seconds"
-    )
+    numbered = ordered.rerank(timed, ["doc_id", "chapter_id"], ["seg_idx", "word_idx"], "word_no")
+    words_ = numbered.selectExpr("doc_id", "chapter_id", "word_no + 1 AS word_no", "start_seconds", "end_seconds")
     chapters = place.select("doc_id", "chapter_id").distinct().selectExpr(
         "*", "concat('text/', chapter_id, '.xhtml?a=1&b=2') AS xhtml_path", "concat('audio/', chapter_id, '.mp3') AS audio_path"
     )
