@@ -90,10 +90,10 @@ def rule_tag(spans: DataFrame, paragraphs: DataFrame, scene_cast: DataFrame, cas
     )
 
 
-def rule_monologue(paragraphs: DataFrame, bounded: bool | None = None) -> DataFrame:
+def rule_monologue(paragraphs: DataFrame) -> DataFrame:
     """Flag paragraphs that go on with a quote the paragraph before left open."""
     near = ordered.neighbours(
-        paragraphs, ["doc_id"], "para_idx", prev={"__before": F.col("text")}, bounded=bounded
+        paragraphs, ["doc_id"], "para_idx", prev={"__before": F.col("text")}
     )
 
     def count(mark: str) -> Column:
@@ -380,16 +380,14 @@ def attribute_dialogue(
     tagged and not a continuation) fix that state, so a scene is cut there and
     its pieces run in parallel.
     """
-    bounded = ordered.is_bounded(paragraphs, "para_idx") and ordered.is_bounded(spans, "span_ord")
-    how, again = {"bounded": bounded}, {"bounded": bounded, "cut": True}
     # Scenes and their cast are read by several rules: written out once each.
-    scenes = ordered.cut_lineage(text_ops.assign_scenes(paragraphs, bounded))
+    scenes = ordered.cut_lineage(text_ops.assign_scenes(paragraphs))
     present = ordered.cut_lineage(C.scene_cast(scenes, cast))
     placed = spans.join(
         scenes.select("doc_id", "para_idx", "scene_id"), ["doc_id", "para_idx"]
     )
     tags = rule_tag(spans, scenes, present, cast).select("doc_id", "span_id", F.col("speaker").alias("tag"))
-    open_quote = rule_monologue(paragraphs, bounded).select("doc_id", "para_idx", "continues")
+    open_quote = rule_monologue(paragraphs).select("doc_id", "para_idx", "continues")
     vocative = rule_vocative(placed, present, cast)
     debiased = debias_orderings(normalize_scores(candidate_scores))
     # The bonus of the turn comes in the pass, so the shares are taken there.
@@ -430,8 +428,8 @@ def attribute_dialogue(
     rows = rows.withColumn("locked", F.when(F.col("previous_locked"), F.col("previous_speaker")))
 
     scene = ["doc_id", "scene_id"]
-    rows = ordered.renumber(rows, scene, "span_ord", "seq", **again)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__last_para": F.col("para_idx")}, **again)
+    rows = ordered.renumber(rows, scene, "span_ord", "seq", cut=True)
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__last_para": F.col("para_idx")}, cut=True)
     follows = F.col("__last_para") == F.col("para_idx") - 1
     rows = rows.withColumn(
         "continues", F.coalesce(F.col("continues") & follows, F.lit(False))
@@ -440,20 +438,20 @@ def attribute_dialogue(
     )
     fixed = F.coalesce("locked", F.when(~F.col("continues"), F.col("tag")))
     rows = rows.withColumn("__fixed", fixed)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f1": F.col("__fixed")}, **again)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f2": F.col("__f1")}, **again)
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__f1": F.col("__fixed")}, cut=True)
+    rows = ordered.neighbours(rows, scene, "seq", prev={"__f2": F.col("__f1")}, cut=True)
     cut = F.col("__f1").isNotNull() & F.col("__f2").isNotNull()
     rows = rows.withColumn("seed1", F.when(cut, F.col("__f1"))).withColumn(
         "seed2", F.when(cut, F.col("__f2"))
     )
-    rows = ordered.running(rows, scene, "seq", {"chunk": ("sum", cut.cast("int"))}, **again)
+    rows = ordered.running(rows, scene, "seq", {"chunk": ("sum", cut.cast("int"))}, cut=True)
     needed = rows.select(
         "doc_id", "scene_id", "chunk", "span_id", "seq", "locked", "tag", "continues", "new_paragraph",
         "option_ids", "option_scores", "agree", "stable", "adapters", "choice", "seed1", "seed2",
         "previous_speaker", "previous_locked",
     )
     decided = ordered.fold_blocks(
-        needed, [*scene, "chunk"], "seq", _speaker_pass, _PASS_SCHEMA, ["s1", "s2"], **{**how, **blocking}
+        needed, [*scene, "chunk"], "seq", _speaker_pass, _PASS_SCHEMA, ["s1", "s2"], dense=True, **blocking
     ).drop("chunk", "s1", "s2")
     decided = ordered.cut_lineage(decided)
     out = decided.join(_listeners(decided), keys, "left")
@@ -608,14 +606,12 @@ def rule_attribution_lite(quotes: DataFrame, cast: DataFrame, scores: DataFrame
         .when(answer.isNotNull(), F.struct(answer.alias("s"), F.lit(0.70).alias("c"), F.lit("vocative").alias("e")))
     )
     rows = rows.withColumn("own", own)
-    how = {"bounded": ordered.is_bounded(quotes, "seg_idx")}
-    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "pos", cut=True, **how)
+    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "pos", cut=True)
     rows = ordered.running(
         rows,
         ["doc_id"],
         "pos",
         cut=True,
-        **how,
         aggs={"pin": ("last", F.when(F.col("own").isNotNull(), F.struct("pos", F.col("own.s").alias("s"))))},
     )
     # Lines since the last own speaker. The very first line of a book without one
@@ -652,8 +648,7 @@ def alternation_baseline(spans: DataFrame, cast: DataFrame) -> DataFrame:
     ``spans``: doc_id, ord, type, tag. The speaker follows from the last restart
     and the number of dialogue lines since, so no loop is needed.
     """
-    how = {"bounded": ordered.is_bounded(spans, "ord")}
-    dialogue = ordered.renumber(spans.where("type = 'dialogue'"), ["doc_id"], "ord", "n", **how)
+    dialogue = ordered.renumber(spans.where("type = 'dialogue'"), ["doc_id"], "ord", "n")
     names = cast.where("name <> 'Narrator'").select("doc_id", "ord", "name")
     seats = ordered.renumber(names, ["doc_id"], "ord", "seat").select("doc_id", "name", "seat")
     sizes = seats.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cast"))
@@ -677,7 +672,6 @@ def alternation_baseline(spans: DataFrame, cast: DataFrame) -> DataFrame:
         "n",
         {"from": ("last", F.when(F.col("reset").isNotNull(), F.struct("n", "reset")))},
         cut=True,
-        **how,
     )
     seat = (
         F.coalesce(F.col("from.reset"), F.lit(0)) + F.col("n") - F.coalesce(F.col("from.n"), F.lit(0))

@@ -1,15 +1,12 @@
 """Ordered scans that never put an unbounded key into one task.
 
-``idx`` is an integer column, unique within the key; gaps are allowed. So the span
-of its values bounds the rows of every key. Where that span is at most
-``block_rows``, a plain window per key is used, and windows over one key share a
-shuffle. Otherwise each key is cut into blocks of ``block_rows`` index values: a
-row is scanned inside its block, one summary row per block is scanned per key, and
-the summary of the earlier blocks is joined back.
-
-Callers that scan one table several times check it once with :func:`is_bounded`
-and pass the answer on. ``cut`` writes the input of a blocked scan to the
-checkpoint folder first, because such a scan reads it twice.
+``idx`` is an integer column, unique within the key; gaps are allowed. Each key is
+cut into blocks of ``block_rows`` index values: a row is scanned inside its block,
+one summary row per block is scanned per key, and the summary of the earlier blocks
+is joined back. There is one plan for tables of every size.
+
+``cut`` writes the input of a scan to the checkpoint folder first, because the scan
+reads it twice.
 """
 
 from __future__ import annotations
@@ -24,12 +21,6 @@ BLOCK_ROWS = 65_536
 _BLK = "__blk"
 
 
-def is_bounded(df: DataFrame, idx: str, block_rows: int = BLOCK_ROWS) -> bool:
-    """Whether no key can hold more than ``block_rows`` rows; reads one column."""
-    span = df.agg((F.max(idx) - F.min(idx)).cast("bigint")).first()[0]
-    return span is None or span < block_rows
-
-
 def _with_block(df: DataFrame, idx: str, block_rows: int) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(idx) / F.lit(block_rows)))
 
@@ -50,7 +41,6 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     *,
     reverse: bool = False,
-    bounded: bool | None = None,
     cut: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -61,8 +51,6 @@ def running(
     ``reverse`` the scan starts at the last row.
     """
     keys = list(keys)
-    if bounded is None:
-        bounded = is_bounded(df, idx, block_rows)
 
     def order(name: str) -> Column:
         return F.col(name).desc() if reverse else F.col(name).asc()
@@ -73,10 +61,6 @@ def running(
         return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](value).over(window)
 
     kept = [F.col(c) for c in df.columns if c not in aggs]
-    if bounded:
-        whole = W.partitionBy(*keys).orderBy(order(idx)).rowsBetween(W.unboundedPreceding, 0)
-        return df.select(*kept, *[scan(k, v, whole).alias(n) for n, (k, v) in aggs.items()])
-
     inputs = {name: f"__v_{name}" for name in aggs}
     rows = _with_block(df, idx, block_rows).select(
         "*", *[value.alias(inputs[name]) for name, (_, value) in aggs.items()]
@@ -128,23 +112,12 @@ def neighbours(
     *,
     prev: Mapping[str, Column] | None = None,
     next: Mapping[str, Column] | None = None,  # noqa: A002 - reads well at the call site
-    bounded: bool | None = None,
     cut: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Values of the row before (``prev``) and after (``next``) in index order."""
     keys, prev, next = list(keys), dict(prev or {}), dict(next or {})
-    if bounded is None:
-        bounded = is_bounded(df, idx, block_rows)
     kept = [F.col(c) for c in df.columns if c not in {**prev, **next}]
-    if bounded:
-        whole = W.partitionBy(*keys).orderBy(idx)
-        return df.select(
-            *kept,
-            *[F.lag(v).over(whole).alias(n) for n, v in prev.items()],
-            *[F.lead(v).over(whole).alias(n) for n, v in next.items()],
-        )
-
     rows = _with_block(df, idx, block_rows).select(
         "*",
         *[v.alias(f"__p_{n}") for n, v in prev.items()],
@@ -195,25 +168,19 @@ def rerank(
     order: Sequence[str],
     name: str,
     *,
-    bounded: bool | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Dense position for rows ordered by ``order[0]`` (source position) and then by
     ``order[1]`` (piece of it), for rows made by splitting or adding to others.
 
-    The pieces of one source row are few. Where a key may hold many source rows,
-    they are counted per source row and only the counts take part in the scan.
+    The pieces of one source row are few. They are counted per source row, and only
+    the counts take part in the scan.
     """
     keys = list(keys)
     outer, inner = order
-    if bounded is None:
-        bounded = is_bounded(df, outer, block_rows)
-    if bounded:
-        whole = W.partitionBy(*keys).orderBy(outer, inner)
-        return df.withColumn(name, (F.row_number().over(whole) - 1).cast("bigint"))
     sizes = df.groupBy(*keys, outer).agg(F.count(F.lit(1)).alias("__n"))
     offsets = running(
-        sizes, keys, outer, {"__end": ("sum", F.col("__n"))}, bounded=False, block_rows=block_rows
+        sizes, keys, outer, {"__end": ("sum", F.col("__n"))}, block_rows=block_rows
     ).select(*keys, outer, (F.col("__end") - F.col("__n")).alias("__base"))
     piece = W.partitionBy(*keys, outer).orderBy(inner)
     return (
@@ -233,7 +200,7 @@ def fold_blocks(
     state: Sequence[str],
     *,
     side: DataFrame | None = None,
-    bounded: bool | None = None,
+    dense: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Sequential scan per key with a small carried state, one block at a time.
@@ -243,13 +210,19 @@ def fold_blocks(
     block before (missing or null at the start of a key). It returns a frame
     with ``out_schema``, which holds the state columns as they are after each
     row. All keys advance together, so the number of rounds is the number of
-    blocks of the longest key: one for keys of up to ``block_rows`` rows.
+    blocks of the longest key: one for keys of up to ``block_rows`` rows. Blocks
+    are cut by the position of a row; ``dense`` tells that ``idx`` counts the rows
+    of the key, or of a wider one in which the key's rows follow each other.
     """
     import pandas as pd
 
     keys, names = list(keys), list(state)
     fields = [field.split()[0] for field in out_schema.split(", ")]
-    blocked = _with_block(rows, idx, block_rows)
+    at = idx
+    if not dense:
+        rows, at = renumber(rows, keys, idx, "__pos"), "__pos"
+    blocked = _with_block(rows, at, block_rows)
+    blocked = blocked if dense else blocked.drop("__pos")
 
     def alone(pdf):
         return step(pdf.sort_values(idx), {})
@@ -267,22 +240,21 @@ def fold_blocks(
         other = other.select(*[F.col(c).alias(c) for c in other.columns])
         return grouped.cogroup(other.groupBy(*keys)).applyInPandas(beside, out_schema)
 
-    if bounded:
-        return apply(blocked, side)
+    blocked = cut_lineage(blocked)
     longest = blocked.agg(F.max(_BLK)).first()[0] or 0
-    if longest == 0:
-        return apply(blocked, side)
-
-    done = None
+    done = latest = None
     for block in range(int(longest) + 1):
         other = side
-        if done is not None:
+        if latest is not None:
+            other = latest if side is None else side.join(latest, keys, "left")
+        out = apply(blocked.where(F.col(_BLK) == block), other)
+        if block < longest:
+            out = cut_lineage(out)
+            # A key that goes on has rows in this block: only their last state is carried.
             latest = (
-                done.groupBy(*keys)
+                out.groupBy(*keys)
                 .agg(F.max_by(F.struct(*names), F.col(idx)).alias("__s"))
                 .select(*keys, *[F.col(f"__s.{n}").alias(n) for n in names])
             )
-            other = latest if side is None else side.join(latest, keys, "left")
-        out = cut_lineage(apply(blocked.where(F.col(_BLK) == block), other))
         done = out if done is None else done.unionByName(out)
     return done

@@ -351,7 +351,6 @@ def risk_queue(scored: DataFrame, top_pct: float | None = None, min_tier: str |
         ["doc_id", "risk_score"],
         "seg_idx",
         "__tie",
-        bounded=ordered.is_bounded(scored, "seg_idx"),
     )
     rows = rows.withColumn("queue_pos", F.col("__above") + F.col("__tie") + 1)
     if limited:
@@ -369,12 +368,11 @@ def doubtful_lines(segments: DataFrame) -> DataFrame:
     )
     rows = segments.withColumn("is_doubtful", doubt)
     mark = F.when(F.col("is_doubtful"), F.col("seg_idx"))
-    bounded = ordered.is_bounded(segments, "seg_idx")
     rows = ordered.running(
-        rows, ["doc_id"], "seg_idx", {"__here": ("last", mark)}, reverse=True, bounded=bounded
+        rows, ["doc_id"], "seg_idx", {"__here": ("last", mark)}, reverse=True
     )
     rows = ordered.neighbours(
-        rows, ["doc_id"], "seg_idx", next={"__later": F.col("__here")}, bounded=bounded, cut=True
+        rows, ["doc_id"], "seg_idx", next={"__later": F.col("__here")}, cut=True
     )
     book = rows.groupBy("doc_id").agg(
         F.min(mark).alias("__first"), F.count_if("is_doubtful").alias("doubt_count")

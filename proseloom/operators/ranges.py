@@ -145,10 +145,8 @@ def align_by_overlap(a: DataFrame, b: DataFrame, bucket: int = 4096) -> DataFram
         F.lit(None).cast(targets.schema["target"].dataType).alias("target"),
     )
     axis = targets.unionByName(lost)
-    # Rows of a book lie on offsets of its text: the span of the offsets bounds them.
-    bounded = ordered.is_bounded(a, "start") and ordered.is_bounded(b, "start")
     axis = ordered.running(
-        axis, ["doc_id"], "at", {"below": ("last", F.col("target"))}, bounded=bounded
+        axis, ["doc_id"], "at", {"below": ("last", F.col("target"))}
     )
     axis = ordered.running(
         axis,
@@ -156,7 +154,6 @@ def align_by_overlap(a: DataFrame, b: DataFrame, bucket: int = 4096) -> DataFram
         "at",
         {"above": ("last", F.col("target"))},
         reverse=True,
-        bounded=bounded,
         cut=True,
     )
     here = F.floor(F.col("at") / 2)

@@ -84,11 +84,8 @@ def _asof(queries: DataFrame, states: DataFrame, at: Column, since: Column, flip
         asked.select(*key, (F.col("__at") * 2 + 1).alias("__x")).distinct(),
         allowMissingColumns=True,
     )
-    bounded = ordered.is_bounded(asked, "__at", ordered.BLOCK_ROWS // 4) and ordered.is_bounded(
-        known, "__since", ordered.BLOCK_ROWS // 4
-    )
     scanned = ordered.running(
-        axis, key, "__x", {"__now": ("last", F.col("__state"))}, bounded=bounded
+        axis, key, "__x", {"__now": ("last", F.col("__state"))}
     )
     now = scanned.where("__x % 2 = 1").select(
         *key, F.floor(F.col("__x") / 2).alias("__at"), "__now"

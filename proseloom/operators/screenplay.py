@@ -145,12 +145,10 @@ def screenplay_export(segments: DataFrame, titles: DataFrame) -> DataFrame:
     def c(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in have else F.lit(None).cast(kind)
 
-    how = {"bounded": ordered.is_bounded(segments, "seg_idx")}
-    again = {**how, "cut": True}
     rows = segments.withColumn("__h", T.blank_to_null(c("scene_heading")))
-    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__open": ("last", F.col("__h"))}, **how)
-    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", prev={"__was": F.col("__open")}, **again)
-    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "part_no", start=1, **again)
+    rows = ordered.running(rows, ["doc_id"], "seg_idx", {"__open": ("last", F.col("__h"))})
+    rows = ordered.neighbours(rows, ["doc_id"], "seg_idx", prev={"__was": F.col("__open")}, cut=True)
+    rows = ordered.renumber(rows, ["doc_id"], "seg_idx", "part_no", start=1, cut=True)
     heading = F.col("__h")
     opens = heading.isNotNull() & F.coalesce(heading != F.col("__was"), F.lit(True))
     kind = F.lower(_or(c("type"), "narrator"))
@@ -227,13 +225,12 @@ def screenplay_import(script_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     block, current chapter and scene), so the text is read without a parser loop.
     """
     doc, at = ["doc_id"], "line_no"
-    bounded = ordered.is_bounded(script_lines, "line_no")
 
     def running(rows, keys, idx, aggs, cut=True):
-        return ordered.running(rows, keys, idx, aggs, bounded=bounded, cut=cut)
+        return ordered.running(rows, keys, idx, aggs, cut=cut)
 
     def before(rows, keys, **prev):
-        return ordered.neighbours(rows, keys, at, prev=prev, bounded=bounded, cut=True)
+        return ordered.neighbours(rows, keys, at, prev=prev, cut=True)
 
     t = T.strip(F.col("line"))
     rows = script_lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), t.alias("t"))
@@ -561,13 +558,12 @@ def sanity_flags(breakdown: DataFrame) -> DataFrame:
 def scene_cards(segments: DataFrame) -> DataFrame:
     """One card per run of rows under one heading; a heading met again is a new card."""
     rows = segments.withColumn("scene_heading", _or(F.col("scene_heading"), "SCENE 1 (DEFAULT)"))
-    how = {"bounded": ordered.is_bounded(segments, "seg_idx")}
     rows = ordered.neighbours(
-        rows, ["doc_id"], "seg_idx", prev={"__was": F.col("scene_heading")}, **how
+        rows, ["doc_id"], "seg_idx", prev={"__was": F.col("scene_heading")}
     )
     opens = F.coalesce(F.col("scene_heading") != F.col("__was"), F.lit(True))
     rows = ordered.running(
-        rows, ["doc_id"], "seg_idx", {"scene_number": ("sum", opens.cast("int"))}, cut=True, **how
+        rows, ["doc_id"], "seg_idx", {"scene_number": ("sum", opens.cast("int"))}, cut=True
     )
     have = set(segments.columns)
     card = ["doc_id", "scene_number"]

@@ -433,13 +433,7 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
         return pdf[[*key, "line_idx"]].assign(intensity=levels)
 
     schema = "doc_id bigint, char_id string, line_idx bigint, intensity double"
-    if ordered.is_bounded(events, "line_idx", block_rows):
-        whole = rows.withColumn("start", F.lit(None).cast("int"))
-        out = whole.groupBy(*key).applyInPandas(walk, schema)
-        return out.withColumn("band", E.band(F.col("intensity")))
-
-    rows = ordered.renumber(rows, key, "line_idx", "seq", bounded=False)
-    rows = rows.withColumn("__blk", F.floor(F.col("seq") / block_rows)).drop("seq")
+    rows = rows.withColumn("__blk", F.floor(F.col("line_idx") / block_rows))
     # Only timelines of more than one block need tables.
     long = rows.groupBy(*key).agg(F.count_distinct("__blk").alias("__n")).where("__n > 1").select(*key)
     tables = (

@@ -16,7 +16,7 @@ def _maybe(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def inter_segment_pause(
-    segments: DataFrame, config: dict[str, float] | None = None, bounded: bool | None = None
+    segments: DataFrame, config: dict[str, float] | None = None
 ) -> DataFrame:
     """Silence before each line; explicit values win over the defaults."""
     pause = {**PAUSES, **(config or {})}
@@ -26,7 +26,7 @@ def inter_segment_pause(
         "__after1": _maybe(segments, "silence_after", "double"),
         "__after2": _maybe(segments, "pause_after", "double"),
     }
-    rows = ordered.neighbours(segments, ["doc_id"], "seg_idx", prev=prev, bounded=bounded)
+    rows = ordered.neighbours(segments, ["doc_id"], "seg_idx", prev=prev)
 
     def given(value: Column) -> Column:
         return F.when(value >= 0, value)
@@ -58,8 +58,7 @@ def inter_segment_pause(
 
 def timeline_preview(segments: DataFrame, config: dict[str, float] | None = None) -> DataFrame:
     """Estimated start of each line: pauses and earlier durations summed up."""
-    bounded = ordered.is_bounded(segments, "seg_idx")
-    rows = inter_segment_pause(segments, config, bounded).withColumn(
+    rows = inter_segment_pause(segments, config).withColumn(
         "duration_seconds", F.greatest(F.lit(1.5), T.words(F.col("text")) / 2.5)
     )
     rows = ordered.running(
@@ -67,7 +66,6 @@ def timeline_preview(segments: DataFrame, config: dict[str, float] | None = None
         ["doc_id"],
         "seg_idx",
         {"__end": ("sum", F.col("pause_seconds") + F.col("duration_seconds"))},
-        bounded=bounded,
         cut=True,
     )
     totals = rows.groupBy("doc_id").agg(F.max("__end").alias("__total"))
@@ -136,7 +134,6 @@ def active_take_playlist(
         ["doc_id"],
         "seg_idx",
         {"__end": ("sum", F.col("duration") + gap)},
-        bounded=ordered.is_bounded(segments, "seg_idx"),
     )
     return rows.select(
         "doc_id",
@@ -373,7 +370,6 @@ def master_timeline(chapters: DataFrame, segments: DataFrame) -> DataFrame:
         ["doc_id"],
         "chapter_pos",
         {"__end": ("sum", F.col("__n"))},
-        bounded=ordered.is_bounded(chapters, "chapter_pos"),
     ).select(
         "doc_id", "chapter_pos", (F.col("__end") - F.col("__n")).alias("__base")
     )
@@ -382,7 +378,6 @@ def master_timeline(chapters: DataFrame, segments: DataFrame) -> DataFrame:
         ["doc_id", "chapter_pos"],
         "seg_idx",
         "__pos",
-        bounded=ordered.is_bounded(segments, "seg_idx"),
     )
     return (
         rows.join(offsets, ["doc_id", "chapter_pos"])

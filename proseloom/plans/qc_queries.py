@@ -408,7 +408,7 @@ def _evaluated(t: Inputs):
     predicted = unmarked.withColumn("method", F.lit("unmarked")).unionByName(
         everything.withColumn("method", F.lit("everything"))
     )
-    return K.span_eval(quoted, predicted, passages, bounded=True)
+    return K.span_eval(quoted, predicted, passages)
 
 
 @query("span_eval")

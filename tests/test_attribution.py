@@ -104,7 +104,7 @@ def _sequential(paras, spans, scores, reference):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"bounded": False, "block_rows": 4}])
+@pytest.mark.parametrize("how", [{}, {"block_rows": 4}])
 def test_pass_equals_the_loop(spark, how):
     books = {d: _book(d) for d in range(2)}
     paras = [(d, i, p) for d, b in books.items() for i, p in enumerate(b[0])]

@@ -19,11 +19,11 @@ def _rows():
     ]
 
 
-@pytest.mark.parametrize("bounded,block_rows", [(True, 64), (False, 32), (False, 1000)])
-def test_running_and_neighbours(spark, bounded, block_rows):
+@pytest.mark.parametrize("block_rows", [8, 32, 1000])
+def test_running_and_neighbours(spark, block_rows):
     rows = _rows()
     df = spark.createDataFrame(rows, "k int, i int, v int").repartition(3)
-    how = {"bounded": bounded, "block_rows": block_rows}
+    how = {"block_rows": block_rows}
     got = ordered.running(
         df,
         ["k"],
@@ -53,11 +53,12 @@ def test_running_and_neighbours(spark, bounded, block_rows):
             assert r.q == (mine[pos + 1][1] if pos + 1 < len(mine) else None)
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_rerank(spark, bounded):
-    rows = [(1, i, j) for i in (0, 4, 9, 200) for j in range(i % 3 + 1)]
+@pytest.mark.parametrize("block_rows", [8, 1000])
+def test_rerank(spark, block_rows):
+    # One row has more pieces than any packed number would leave room for.
+    rows = [(1, i, j) for i in (0, 4, 9, 200) for j in range(i % 3 + 1)] + [(1, 50, j) for j in range(1500)]
     df = spark.createDataFrame(rows, "k int, i int, j int")
-    got = ordered.rerank(df, ["k"], ["i", "j"], "pos", bounded=bounded, block_rows=8).collect()
+    got = ordered.rerank(df, ["k"], ["i", "j"], "pos", block_rows=block_rows).collect()
     assert sorted((r.i, r.j, r.pos) for r in got) == [(i, j, n) for n, (_, i, j) in enumerate(sorted(rows))]
 
 
@@ -77,9 +78,9 @@ def test_fold_blocks_carries_state(spark):
     args = (df, ["k"], "i", step, "k bigint, i int, total int", ["total"])
     whole = {tuple(r) for r in ordered.fold_blocks(*args).collect()}
     cut = {tuple(r) for r in ordered.fold_blocks(*args, block_rows=8).collect()}
-    assert whole == cut and len(whole) == len(rows)
-
-
-def test_bound_check(spark):
-    df = spark.createDataFrame([(5,), (90,)], "i int")
-    assert ordered.is_bounded(df, "i", 100) and not ordered.is_bounded(df, "i", 50)
+    dense = {tuple(r) for r in ordered.fold_blocks(*args, block_rows=8, dense=True).collect()}
+    assert whole == cut == dense and len(whole) == len(rows)
+    # Gaps make no further rounds.
+    wide = df.withColumn("i", F.col("i") * 1_000_000)
+    sparse = ordered.fold_blocks(wide, *args[1:], block_rows=8).collect()
+    assert {(r.k, r.i // 1_000_000, r.total) for r in sparse} == whole
