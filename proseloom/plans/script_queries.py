@@ -135,7 +135,28 @@ def _arc_events(t: Inputs):
     )
 
 
-@query("emotion_arc")
+def _step(previous: str) -> str:
+    """One step of the recurrence from ``previous``, in SQL."""
+    raw = f"baseline + ({previous} - baseline) * pow(0.85::DOUBLE, n) + trigger"
+    limit = "0.30::DOUBLE * n"
+    raw = f"CASE WHEN abs(trigger) < 0.40 THEN least(greatest({raw}, {previous} - {limit}), {previous} + {limit}) ELSE {raw} END"
+    return f"floor(least(greatest({raw}, 0.0), 1.0) * 1000 + 0.5) / 1000"
+
+
+ARC_SQL = f"""
+    WITH RECURSIVE ev AS (
+      SELECT user_id % 10 AS doc_id, 'u' || user_id AS char_id, event_id AS line_idx,
+             (value % 1.7::DOUBLE - 0.6::DOUBLE) * CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS trigger,
+             CASE event_type WHEN 'error' THEN 0.55 WHEN 'signup' THEN 0.15 ELSE 0.2 END::DOUBLE AS baseline,
+             greatest(1, event_id % 4) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
+      FROM events),
+    arc AS (
+      SELECT doc_id, char_id, line_idx, k, {_step("0.2::DOUBLE")} AS intensity FROM ev WHERE k = 1
+      UNION ALL
+      SELECT e.doc_id, e.char_id, e.line_idx, e.k, {_step("a.intensity")} FROM arc a JOIN ev e ON e.char_id = a.char_id AND e.k = a.k + 1)"""
+
+
+@query("emotion_arc", f"{ARC_SQL} SELECT doc_id, char_id, line_idx, intensity, {band_sql('intensity')} AS band FROM arc")
 def emotion_arc(t: Inputs):
     return G.emotion_arc(_arc_events(t))
 

@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import staging as G
 from ..session import checkpoint_dir
 from ..sources import readers as RD
 from ..sources import writers as WR
 from ..streaming import qc as SQ
 from .inputs import Inputs
 from .registry import query
-from .script_queries import _arc_events
+from .script_queries import ARC_SQL, _arc_events
 from .text_queries import SP
 
 
@@ -362,11 +361,8 @@ def streaming_verdicts(t: Inputs):
     return joined.where("verdict IS NOT NULL").select("id", "verdict")
 
 
-@query("streaming_emotion_arc")
+@query("streaming_emotion_arc", f"{ARC_SQL} SELECT doc_id, char_id, line_idx, intensity, FALSE AS is_dropped FROM arc")
 def streaming_emotion_arc(t: Inputs):
-    """The streamed recurrence, side by side with the batch one."""
     source = Inputs(t.spark, t.folder)
-    batch = G.emotion_arc(_arc_events(t)).select("char_id", "line_idx", F.col("intensity").alias("batch_intensity"))
     source.table = lambda _name: _event_stream(t)
-    streamed = _run(t, SQ.emotion_arc_stream(_arc_events(source)), "arc")
-    return streamed.join(batch, ["char_id", "line_idx"])
+    return _run(t, SQ.emotion_arc_stream(_arc_events(source)), "arc")

@@ -166,7 +166,32 @@ def webvtt_export(t: Inputs):
     return TL.webvtt_export(_timed(t), offset=3661.5)
 
 
-@query("smil_export")
+_PAGE = "'text/' || chapter_id || '.xhtml?a=1&amp;b=2'"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace(CAST({x} AS VARCHAR), '[.]0$', '')"
+
+
+@query(
+    "smil_export",
+    f"""WITH {_WORDS},
+    n AS (SELECT t.*, s.chapter_id, row_number() OVER (PARTITION BY t.doc_id, s.chapter_id ORDER BY s.seg_idx, word_idx) AS k
+          FROM timed t JOIN script s USING (doc_id, seg_id)),
+    c AS (SELECT DISTINCT doc_id, chapter_id FROM script)
+    SELECT doc_id, chapter_id, 0 AS part_no, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) ||
+           '<smil xmlns="http://www.w3.org/ns/SMIL" xmlns:epub="http://www.idpf.org/2007/ops" version="3.0">' || chr(10) ||
+           '  <body id="' || chapter_id || '_overlay">' || chr(10) || '    <seq id="' || chapter_id || '_seq" epub:textref="' || {_PAGE} || '">' AS smil
+    FROM c
+    UNION ALL
+    SELECT doc_id, chapter_id, k, '      <par id="par_' || k || '">' || chr(10) || '        <text src="' || {_PAGE} || '#w_' || k || '"/>' || chr(10) ||
+           '        <audio src="audio/' || chapter_id || '.mp3" clipBegin="' || {_bare("start_seconds")} || 's" clipEnd="' || {_bare("end_seconds")} ||
+           's"/>' || chr(10) || '      </par>' FROM n
+    UNION ALL
+    SELECT doc_id, chapter_id, coalesce(max(k), 0) + 1, '    </seq>' || chr(10) || '  </body>' || chr(10) || '</smil>' || chr(10)
+    FROM c LEFT JOIN n USING (doc_id, chapter_id) GROUP BY ALL""",
+    ["script"],
+)
 def smil_export(t: Inputs):
     place = t.script.select("doc_id", "seg_id", "seg_idx", "chapter_id")
     timed = _timed(t).join(place, ["doc_id", "seg_id"])
