@@ -345,20 +345,40 @@ def streaming_qc(t: Inputs):
     return _run(t, SQ.task_totals(decisions), "totals", "complete")
 
 
+def _settled(t: Inputs):
+    """All decisions; a third has a verdict, half of these five hours late."""
+
+    def parts(rows):
+        decisions = rows.selectExpr("CAST(event_id AS STRING) AS id", "ts")
+        verdicts = rows.where("event_id % 3 = 0").selectExpr(
+            "CAST(event_id AS STRING) AS id",
+            "CASE WHEN event_id % 6 = 3 THEN ts + INTERVAL 5 HOURS ELSE ts + INTERVAL 10 MINUTES END AS ts",
+            "event_type = 'click' AS verdict", "'' AS notes",
+        )
+        return decisions, verdicts
+
+    stamped = F.col("ts").cast("timestamp")
+    streamed = _run(t, SQ.attach_verdicts(*parts(_event_stream(t).withColumn("ts", stamped))), "verdicts")
+    decisions, verdicts = parts(t.table("events").withColumn("ts", stamped))
+    return SQ.settle_verdicts(decisions, streamed, verdicts)
+
+
 @query(
     "streaming_verdicts",
-    """SELECT CAST(event_id AS VARCHAR) AS id, event_type = 'click' AS verdict FROM events WHERE event_id % 3 = 0 AND event_id % 6 <> 3""",
+    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 = 0 THEN event_type = 'click' END AS verdict,
+              event_id % 6 = 3 AS is_late FROM events""",
 )
 def streaming_verdicts(t: Inputs):
-    rows = _event_stream(t).where("event_id % 3 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
-    decisions = rows.selectExpr("CAST(event_id AS STRING) AS id", "ts")
-    verdicts = rows.selectExpr(
-        "CAST(event_id AS STRING) AS id",
-        "CASE WHEN event_id % 6 = 3 THEN ts + INTERVAL 5 HOURS ELSE ts + INTERVAL 10 MINUTES END AS ts",
-        "event_type = 'click' AS verdict", "'' AS notes",
-    )
-    joined = _run(t, SQ.attach_verdicts(decisions, verdicts), "verdicts")
-    return joined.where("verdict IS NOT NULL").select("id", "verdict")
+    return _settled(t).select("id", "verdict", "is_late")
+
+
+@query(
+    "streaming_late_verdicts",
+    """SELECT count(*) AS decisions, count_if(event_id % 3 = 0)::BIGINT AS with_verdict, count_if(event_id % 6 = 3)::BIGINT AS late
+       FROM events""",
+)
+def streaming_late_verdicts(t: Inputs):
+    return SQ.late_counts(_settled(t))
 
 
 @query("streaming_emotion_arc", f"{ARC_SQL} SELECT doc_id, char_id, line_idx, intensity, FALSE AS is_dropped FROM arc")

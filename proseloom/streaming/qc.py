@@ -23,8 +23,7 @@ def attach_verdicts(decisions: DataFrame, verdicts: DataFrame, lateness: str = "
     """Join each decision with a verdict that comes within ``lateness``.
 
     Both sides carry a watermark, so the join state is bounded. Decisions whose
-    verdict comes later leave with a null verdict and are picked up by the batch
-    operator.
+    verdict comes later leave with a null verdict; :func:`settle_verdicts` attaches it.
     """
     d = decisions.withWatermark("ts", lateness)
     v = verdicts.select(
@@ -34,6 +33,29 @@ def attach_verdicts(decisions: DataFrame, verdicts: DataFrame, lateness: str = "
     return d.join(v, near, "left_outer").drop("v_id")
 
 
+def settle_verdicts(decisions: DataFrame, streamed: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every decision with its verdict: as streamed, or as it came too late for the stream.
+
+    A batch step over what the stream wrote and the verdicts that arrived meanwhile.
+    ``is_late`` marks the verdicts the stream left out. Of several for one decision the
+    last counts.
+    """
+    on_time = streamed.where("verdict IS NOT NULL").select("id", "verdict", "notes").dropDuplicates(["id"])
+    newest = verdicts.groupBy("id").agg(F.max_by(F.struct("verdict", "notes"), "ts").alias("v"))
+    late = newest.join(on_time, "id", "left_anti").select("id", "v.verdict", "v.notes")
+    known = on_time.withColumn("is_late", F.lit(False)).unionByName(late.withColumn("is_late", F.lit(True)))
+    return decisions.join(known, "id", "left").withColumn("is_late", F.coalesce("is_late", F.lit(False)))
+
+
+def late_counts(settled: DataFrame) -> DataFrame:
+    """How many decisions there are, with a verdict, and with one that came late."""
+    return settled.agg(
+        F.count(F.lit(1)).alias("decisions"),
+        F.count("verdict").alias("with_verdict"),
+        F.count_if("is_late").alias("late"),
+    )
+
+
 ARC_SCHEMA = "doc_id bigint, char_id string, line_idx bigint, intensity double, is_dropped boolean"
 _ARC_STATE = "level double, line_idx bigint, dropped bigint"
 
