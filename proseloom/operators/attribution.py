@@ -428,23 +428,29 @@ def attribute_dialogue(
     rows = rows.withColumn("locked", F.when(F.col("previous_locked"), F.col("previous_speaker")))
 
     scene = ["doc_id", "scene_id"]
-    rows = ordered.renumber(rows, scene, "span_ord", "seq", cut=True)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__last_para": F.col("para_idx")}, cut=True)
-    follows = F.col("__last_para") == F.col("para_idx") - 1
-    rows = rows.withColumn(
-        "continues", F.coalesce(F.col("continues") & follows, F.lit(False))
-    ).withColumn(
-        "new_paragraph", F.coalesce(F.col("__last_para") != F.col("para_idx"), F.lit(True))
-    )
-    fixed = F.coalesce("locked", F.when(~F.col("continues"), F.col("tag")))
-    rows = rows.withColumn("__fixed", fixed)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f1": F.col("__fixed")}, cut=True)
-    rows = ordered.neighbours(rows, scene, "seq", prev={"__f2": F.col("__f1")}, cut=True)
-    cut = F.col("__f1").isNotNull() & F.col("__f2").isNotNull()
-    rows = rows.withColumn("seed1", F.when(cut, F.col("__f1"))).withColumn(
-        "seed2", F.when(cut, F.col("__f2"))
-    )
-    rows = ordered.running(rows, scene, "seq", {"chunk": ("sum", cut.cast("int"))}, cut=True)
+    # What the two lines before bring along, and the paragraph of the one before each.
+    back = {f"__para{n}": (F.col("para_idx"), n) for n in (1, 2, 3)}
+    for n in (1, 2):
+        back |= {f"__locked{n}": (F.col("locked"), n), f"__tag{n}": (F.col("tag"), n), f"__open{n}": (F.col("continues"), n)}
+    rows = ordered.lags(rows, scene, "span_ord", back, cut=True)
+
+    def continued(opened: str, before: str, here: str) -> Column:
+        return F.coalesce(F.col(opened) & (F.col(before) == F.col(here) - 1), F.lit(False))
+
+    def fixed(n: int) -> Column:
+        goes_on = continued(f"__open{n}", f"__para{n + 1}", f"__para{n}")
+        return F.coalesce(f"__locked{n}", F.when(~goes_on, F.col(f"__tag{n}")))
+
+    cut = fixed(1).isNotNull() & fixed(2).isNotNull()
+    rows = (
+        rows.withColumn("new_paragraph", F.coalesce(F.col("__para1") != F.col("para_idx"), F.lit(True)))
+        .withColumn("continues", continued("continues", "__para1", "para_idx"))
+        .withColumn("seed1", F.when(cut, fixed(1)))
+        .withColumn("seed2", F.when(cut, fixed(2)))
+        .withColumn("__cut", cut)
+    )
+    turns = {"seq": ("count", F.lit(1)), "chunk": ("sum", F.col("__cut").cast("int"))}
+    rows = ordered.running(rows, scene, "span_ord", turns, cut=True).withColumn("seq", F.col("seq") - 1)
     needed = rows.select(
         "doc_id", "scene_id", "chunk", "span_id", "seq", "locked", "tag", "continues", "new_paragraph",
         "option_ids", "option_scores", "agree", "stable", "adapters", "choice", "seed1", "seed2",

@@ -154,6 +154,44 @@ def neighbours(
     return joined.select(*kept, *out)
 
 
+def lags(
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    values: Mapping[str, tuple[Column, int]],
+    *,
+    cut: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Values of earlier rows: each output column takes ``(value, n)``, the value ``n`` rows before.
+
+    Inside a block a plain window serves. Only the first rows of a block look into
+    earlier ones, so the first and last rows of all blocks of a key are scanned
+    together: what comes before a first row is among them.
+    """
+    keys, depth = list(keys), max(n for _, n in values.values())
+    kept = [F.col(c) for c in df.columns if c not in values]
+    rows = _with_block(df, idx, block_rows).select("*", *[v.alias(f"__v_{n}") for n, (v, _) in values.items()])
+    rows = cut_lineage(rows) if cut else rows
+    in_block = W.partitionBy(*keys, _BLK).orderBy(idx)
+    from_end = W.partitionBy(*keys, _BLK).orderBy(F.col(idx).desc())
+    whole = W.partitionBy(*keys).orderBy(idx)
+    ends = rows.select(
+        *keys, idx, _BLK, *[f"__v_{n}" for n in values],
+        F.row_number().over(in_block).alias("__first"), F.row_number().over(from_end).alias("__last"),
+    )
+    ends = ends.where((F.col("__first") <= depth) | (F.col("__last") <= depth))
+    edge = ends.select(
+        *keys, F.col(idx).alias("__at"), _BLK, "__first", *[F.lag(f"__v_{n}", k).over(whole).alias(f"__e_{n}") for n, (_, k) in values.items()]
+    )
+    # Rows of the first block of the index have nothing before them.
+    edge = edge.where((F.col("__first") <= depth) & (F.col(_BLK) > 0)).drop("__first", _BLK)
+    local = rows.select("*", F.row_number().over(in_block).alias("__n"), *[F.lag(f"__v_{n}", k).over(in_block).alias(f"__l_{n}") for n, (_, k) in values.items()])
+    joined = local.join(edge.withColumnsRenamed({k: f"__k_{k}" for k in keys}), [local[k].eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [local[idx] == F.col("__at")], "left")
+    taken = [F.when(F.col("__n") > k, F.col(f"__l_{n}")).otherwise(F.col(f"__e_{n}")).alias(n) for n, (_, k) in values.items()]
+    return joined.select(*kept, *taken)
+
+
 def renumber(
     df: DataFrame, keys: Sequence[str], idx: str, name: str, start: int = 0, **how
 ) -> DataFrame:

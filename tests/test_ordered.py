@@ -53,6 +53,20 @@ def test_running_and_neighbours(spark, block_rows):
             assert r.q == (mine[pos + 1][1] if pos + 1 < len(mine) else None)
 
 
+@pytest.mark.parametrize("block_rows", [1, 3, 8, 1000])
+def test_lags(spark, block_rows):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "k int, i int, v int").repartition(3)
+    got = ordered.lags(df, ["k"], "i", {f"v{n}": (F.col("v"), n) for n in (1, 2, 3)}, block_rows=block_rows)
+    got = {(r.k, r.i): r for r in got.collect()}
+    assert len(got) == len(rows)
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        for pos, (k, i, _) in enumerate(mine):
+            for n in (1, 2, 3):
+                assert got[k, i][f"v{n}"] == (mine[pos - n][2] if pos >= n else None)
+
+
 @pytest.mark.parametrize("block_rows", [8, 1000])
 def test_rerank(spark, block_rows):
     # One row has more pieces than any packed number would leave room for.
