@@ -109,13 +109,17 @@ SELECT doc_id, para_idx, k, s1,
 FROM turns
 """
 
-# The first spoken span of each paragraph with dialogue.
+# Every closed quote of each paragraph, also where there are two.
 VIEWS["spans"] = f"""
-SELECT doc_id, para_idx, para_idx AS span_ord, 'sp_' || CAST(para_idx AS STRING) AS span_id, 1 AS start,
+SELECT doc_id, para_idx, para_idx * 2 AS span_ord, 'sp_' || CAST(para_idx AS STRING) AS span_id,
+       CASE WHEN k = 3 THEN length(text) - length(s1) * 2 - 10 ELSE 1 END AS start,
        CASE k WHEN 0 THEN s1 || ',' WHEN 1 THEN s1 || ','
               WHEN 2 THEN {name("doc_id", "0")} || ', ' || s1 || '.'
-              WHEN 4 THEN s1 || '.' ELSE s1 END AS text
-FROM prose WHERE k IN (0, 1, 2, 4, 6) AND s1 <> ''
+              WHEN 3 THEN s1 || '?' WHEN 4 THEN s1 || '.' ELSE s1 END AS text
+FROM prose WHERE k <> 5 AND s1 <> ''
+UNION ALL
+SELECT doc_id, para_idx, para_idx * 2 + 1, 'sp_' || CAST(para_idx AS STRING) || 'b', length(text) - length(s1) - 2, s1 || '!'
+FROM prose WHERE k = 3 AND s1 <> ''
 """
 
 # Raw scores of two scorers, asked with the options in both orders.
