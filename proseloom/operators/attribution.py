@@ -532,7 +532,7 @@ def rule_attribution_lite(quotes: DataFrame, cast: DataFrame, scores: DataFrame
         named.where("role = 0").groupBy(*key).agg(F.min_by("char_id", place).alias("vocative"))
     )
     tagged = (
-        named.where(verb & (F.col("role") > 0))
+        named.join(parts.where(verb & (F.col("role") > 0)).select(*key, "role"), [*key, "role"], "left_semi")
         .join(vocative, key, "left")
         .where("vocative IS NULL OR char_id <> vocative")
         .groupBy(*key)
@@ -669,7 +669,7 @@ def alternation_baseline(spans: DataFrame, cast: DataFrame) -> DataFrame:
     named = (
         C.mentions(tags.withColumnRenamed("ord", "line"), seated, ["line"])
         .groupBy("doc_id", F.col("line").alias("ord"))
-        .agg(F.min(seated["ord"]).alias("reset"))
+        .agg(F.min("ord").alias("reset"))
     )
     rows = dialogue.join(named, ["doc_id", "ord"], "left").join(sizes, "doc_id", "left")
     rows = ordered.running(

@@ -249,39 +249,37 @@ def name_regex(variant: Column) -> Column:
 
 
 def mentions(texts: DataFrame, cast: DataFrame, on: list[str]) -> DataFrame:
-    """Cast members whose name or alias stands in a text.
+    """Cast members whose name or alias stands in a text: ``doc_id``, ``on`` and the spelling.
 
     Joined on the first word of the spelling, so the number of candidate rows is
-    bounded by the words of the text; longer spellings are then checked in full.
+    bounded by the words of the text. The text itself does not take part in that join;
+    only spellings of several words fetch it, by ``on``, to be checked in full.
     """
-    rows = texts.select("doc_id", *on, "text", F.explode(word_bag(F.col("text"))).alias("head"))
-    hit = rows.join(cast_variants(cast), ["doc_id", "head"])
-    whole = F.contains(F.lower("text"), F.col("variant")) & F.rlike(
-        "text", name_regex(F.col("variant"))
-    )
-    exact = (F.col("variant") == F.col("head")) | whole
-    return hit.where(exact)
+    columns = ["doc_id", *on, "char_id", "ord", "variant_ord", "variant"]
+    words = texts.select("doc_id", *on, F.explode(word_bag(F.col("text"))).alias("head"))
+    spellings = cast_variants(cast)
+    whole = F.col("variant") == F.col("head")
+    short = words.join(spellings.where(whole), ["doc_id", "head"]).select(*columns)
+    long = words.join(spellings.where(~whole), ["doc_id", "head"]).select(*columns)
+    full = F.contains(F.lower("text"), F.col("variant")) & F.rlike("text", name_regex(F.col("variant")))
+    checked = long.join(texts.select("doc_id", *on, "text"), ["doc_id", *on]).where(full).select(*columns)
+    return short.unionByName(checked)
 
 
 def scene_cast(paragraphs: DataFrame, cast: DataFrame, minimum: int = 2) -> DataFrame:
     """Cast named in each scene; the whole cast where fewer than ``minimum`` are."""
-    named = mentions(paragraphs, cast, ["scene_id"]).select("doc_id", "scene_id", "char_id")
-    scenes = paragraphs.select("doc_id", "scene_id").distinct()
-    always = scenes.join(cast.where("always_present").select("doc_id", "char_id"), "doc_id")
-    present = named.unionByName(always).distinct()
-    sizes = present.groupBy("doc_id", "scene_id").agg(F.count(F.lit(1)).alias("n_named"))
-    sized = scenes.join(sizes, ["doc_id", "scene_id"], "left").withColumn(
-        "n_named", F.coalesce("n_named", F.lit(0))
+    named = mentions(paragraphs, cast, ["scene_id", "para_idx"]).select("doc_id", "scene_id", "char_id")
+    scenes = paragraphs.select("doc_id", "scene_id", F.lit(None).cast(named.schema["char_id"].dataType).alias("char_id"))
+    present = named.unionByName(scenes).groupBy("doc_id", "scene_id").agg(F.collect_set("char_id").alias("__named"))
+    casts = cast.groupBy("doc_id").agg(
+        F.collect_set("char_id").alias("__all"), F.collect_set(F.when(F.col("always_present"), F.col("char_id"))).alias("__always")
     )
-    enough = present.join(
-        sized.where(F.col("n_named") >= minimum), ["doc_id", "scene_id"]
-    ).select("doc_id", "scene_id", "char_id", F.lit(True).alias("is_named"))
-    rest = (
-        sized.where(F.col("n_named") < minimum)
-        .join(cast.select("doc_id", "char_id"), "doc_id")
-        .select("doc_id", "scene_id", "char_id", F.lit(False).alias("is_named"))
+    found = F.array_union("__named", "__always")
+    rows = present.join(casts, "doc_id").withColumn("__found", found)
+    enough = F.size("__found") >= minimum
+    return rows.select(
+        "doc_id", "scene_id", F.explode(F.when(enough, F.col("__found")).otherwise(F.col("__all"))).alias("char_id"), enough.alias("is_named")
     )
-    return enough.unionByName(rest)
 
 
 def scene_cast_counts(paragraphs: DataFrame, cast: DataFrame) -> DataFrame:
