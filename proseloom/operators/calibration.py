@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from . import qc as Q
 from . import ranges
+from .ordered import cut_lineage
 
 # fixed values: search range, tolerance margin and sample size of the fit
 T_MIN, T_MAX, PEG_MARGIN, MIN_SAMPLES = 0.05, 10.0, 0.015, 30
@@ -57,54 +58,40 @@ def calibration_ece_brier(rows: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
+# Tasks whose fits are held in the driver and sent to all executors.
+MOST_TASKS = 10_000
+
+
 def fit_temperature(rows: DataFrame, rounds: int = 6, points: int = 25) -> DataFrame:
     """Temperature with the lowest log loss per task.
 
     The loss has one minimum, so each round scores a grid over the current
     bracket of every task at once and keeps the two grid steps around the best
-    point. Rows enter as counts per distinct probability and verdict.
+    point. A round is one aggregate over counts per distinct probability and
+    verdict, with a sum for each grid point; the brackets, a row for each of at most
+    ``MOST_TASKS`` tasks, are sent to the rows.
     """
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(rows.sparkSession)
-    counts = (
-        rows.groupBy("question_type", "p", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    )
-    scored = counts.withColumn("z", logit(F.col("p"))).select("question_type", "z", "y", "n")
-    bracket = counts.groupBy("question_type").agg(
-        F.sum("n").alias("sample_count"),
-        F.lit(T_MIN).alias("lo"),
-        F.lit(T_MAX).alias("hi"),
+    spark = rows.sparkSession
+    counts = rows.groupBy("question_type", "p", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.withColumn("z", logit(F.col("p"))))
+    tasks = counts.groupBy("question_type").agg(F.sum("n").alias("n")).limit(MOST_TASKS + 1).collect()
+    if len(tasks) > MOST_TASKS:
+        raise ValueError(f"more than {MOST_TASKS} tasks")
+    brackets = {row.question_type: (T_MIN, T_MAX) for row in tasks}
+    for _ in range(rounds if tasks else 0):
+        held = [(task, low, (high - low) / (points - 1)) for task, (low, high) in brackets.items()]
+        grid = F.broadcast(spark.createDataFrame(held, "question_type string, lo double, step double"))
+        losses = [
+            F.sum(F.col("n") * _nll(F.col("z"), F.col("y"), F.col("lo") + i * F.col("step"))).alias(f"l{i}") for i in range(points)
+        ]
+        for row in counts.join(grid, "question_type").groupBy("question_type", "lo", "step").agg(*losses).collect():
+            # Of equal losses the highest temperature counts.
+            _, best = min((row[f"l{i}"], -(row.lo + i * row.step)) for i in range(points))
+            brackets[row.question_type] = (max(T_MIN, -best - row.step), min(T_MAX, -best + row.step))
+    bracket = spark.createDataFrame(
+        [(row.question_type, row.n, *brackets[row.question_type]) for row in tasks],
+        "question_type string, sample_count long, lo double, hi double",
     )
-    steps = F.sequence(F.lit(0), F.lit(points - 1))
-    for _ in range(rounds):
-        step = (F.col("hi") - F.col("lo")) / (points - 1)
-        grid = bracket.select(
-            "question_type", "lo", "hi", "sample_count", F.explode(steps).alias("i")
-        ).withColumn("t", F.col("lo") + F.col("i") * step)
-        losses = (
-            scored.join(grid, "question_type")
-            .groupBy("question_type", "t")
-            .agg(
-                F.sum(F.col("n") * _nll(F.col("z"), F.col("y"), F.col("t"))).alias("loss"),
-                F.first("lo").alias("lo"),
-                F.first("hi").alias("hi"),
-                F.first("sample_count").alias("sample_count"),
-            )
-        )
-        best = losses.groupBy("question_type").agg(
-            F.min_by("t", F.struct("loss", -F.col("t"))).alias("t"),
-            F.first("lo").alias("lo0"),
-            F.first("hi").alias("hi0"),
-            F.first("sample_count").alias("sample_count"),
-        )
-        width = (F.col("hi0") - F.col("lo0")) / (points - 1)
-        bracket = best.select(
-            "question_type",
-            "sample_count",
-            F.greatest(F.lit(T_MIN), F.col("t") - width).alias("lo"),
-            F.least(F.lit(T_MAX), F.col("t") + width).alias("hi"),
-        ).checkpoint()
     fitted = F.round((F.col("lo") + F.col("hi")) / 2, 4)
     out = bracket.withColumn("fitted_temperature", fitted)
     low = F.abs(F.col("fitted_temperature") - T_MIN) <= PEG_MARGIN
@@ -127,50 +114,31 @@ def calibrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
 
 
 def derive_thresholds(
-    rows: DataFrame, target: float = 0.95, patience: int = 5, hot_rows: int = 100_000
+    rows: DataFrame, target: float = 0.95, patience: int = 5, piece_rows: int = 100_000
 ) -> DataFrame:
     """Lowest probability down to which running accuracy stays at ``target``.
 
     Rows are taken by falling probability, equal ones by ``idx``; the scan stops
     at the first row below target from the fifth on. It runs in blocks: slices of
-    the probability axis, and pieces of ``hot_rows`` index values for a single
-    probability that very many rows share.
+    the probability axis, the probabilities of a slice, and pieces of ``piece_rows``
+    index values of a probability. Sums of the blocks before are taken level by level.
     """
-    task = ["question_type"]
-    rows = rows.withColumn("__slice", F.floor(F.col("p") * 65536))
-    hot = (
-        rows.groupBy(*task, "__slice", "p")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_rows)
-        .groupBy(*task, "__slice")
-        .agg(F.collect_list("p").alias("__hot"))
-    )
-    rows = rows.join(hot, [*task, "__slice"], "left")
-    shared = F.coalesce(F.array_contains("__hot", F.col("p")), F.lit(False))
-    above = F.coalesce(F.size(F.filter("__hot", lambda h: h > F.col("p"))), F.lit(0))
-    rank = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(2 * above + shared.cast("int"))
-    piece = F.when(shared, F.floor(F.col("idx") / hot_rows)).otherwise(F.lit(0))
-    rows = rows.withColumn("__blk", F.struct((-F.col("__slice")).alias("s"), rank.alias("r"), piece.alias("k")))
-    before = W.partitionBy(*task).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
-    sums = (
-        rows.groupBy(*task, "__blk")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-        .select(
-            *task,
-            "__blk",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-            F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"),
-        )
-    )
-    inside = (
-        W.partitionBy(*task, "__blk")
-        .orderBy(F.desc("p"), F.asc("idx"))
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
-    run = rows.withColumn("n", F.count(F.lit(1)).over(inside)).withColumn(
-        "k", F.sum("y").over(inside)
-    )
-    run = run.join(sums, [*task, "__blk"]).select(
+    task, block = ["question_type"], ["question_type", "__slice", "p", "__piece"]
+    rows = rows.withColumn("__slice", F.floor(F.col("p") * 65536)).withColumn("__piece", F.floor(F.col("idx") / piece_rows))
+
+    def earlier(window) -> list[Column]:
+        before = window.rowsBetween(W.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "k")]
+
+    cells = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    slices = cells.groupBy(*task, "__slice").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    slices = slices.select(*task, "__slice", *earlier(W.partitionBy(*task).orderBy(F.desc("__slice"))))
+    slices = slices.withColumnsRenamed({"n0": "n1", "k0": "k1"})
+    cells = cells.select(*block, *earlier(W.partitionBy(*task, "__slice").orderBy(F.desc("p"), "__piece")))
+    sums = cells.join(slices, [*task, "__slice"]).select(*block, (F.col("n0") + F.col("n1")).alias("n0"), (F.col("k0") + F.col("k1")).alias("k0"))
+    inside = W.partitionBy(*block).orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    run = rows.withColumn("n", F.count(F.lit(1)).over(inside)).withColumn("k", F.sum("y").over(inside))
+    run = run.join(sums, block).select(
         *task,
         "p",
         (F.col("n") + F.col("n0")).alias("n"),

@@ -94,7 +94,7 @@ def test_thresholds_with_a_shared_probability(spark):
             break
     want = (round(max(0.70, min(0.98, best)), 2), round(max(0.40, min(0.60, best - 0.35)), 2))
     for hot in (100_000, 7):
-        r = K.derive_thresholds(df, hot_rows=hot).first()
+        r = K.derive_thresholds(df, piece_rows=hot).first()
         assert (r.auto_approve_threshold, r.review_threshold) == want
 
 
