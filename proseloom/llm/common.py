@@ -36,6 +36,17 @@ def shipped(name: str) -> str:
     return SparkFiles.get(name)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What an operator keeps in a Python worker between tasks; that of another operator leaves for it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def texts(column: pa.Array) -> Iterator[str]:
     """The texts of a column; null counts as empty."""
     for value in column.to_pylist():

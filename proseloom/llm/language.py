@@ -29,7 +29,7 @@ def _letters() -> np.ndarray:
     return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.bool_)
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def _letter_vector(code: int) -> np.ndarray:
     """The vector of one letter; code 0 is the gap between words."""
     bits = np.random.Generator(np.random.Philox(key=[code, SEED])).integers(0, 2, DIMENSIONS, dtype=np.int8)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, shipped, small_batches, texts
+from .common import resident, ship, shipped, small_batches, texts
 from .merges import LETTERS, MergeModel
 
 # White space, and the pattern of words, as the tokenizer has them.
@@ -298,9 +298,8 @@ class PrefixCounter:
         return bytes(4 * blank) + b"".join(map(self.chunk, CHUNK.findall(text, blank)))
 
 
-@lru_cache(2)
 def _counter(name: str) -> PrefixCounter:
-    return PrefixCounter(MergeModel.load(shipped(name)))
+    return resident(("counter", name), lambda: PrefixCounter(MergeModel.load(shipped(name))))
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ scores the restored words.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ SEPARATORS = frozenset(" .-_*~'`,:/\\|+=")
 # separator, one more of a repeated letter, a sign or separator as the end of a word.
 SIGN, DROP, JOIN, REPEAT, BREAK = 0.5, 7.0, 0.5, 0.2, 5.0
 LONGEST = 48
-KEPT = 400_000
+KEPT = 300_000
 
 CLASSES = 64
 # The model looks back four letters; contexts of that length share a table of this size.
@@ -146,7 +147,7 @@ class Restorer:
     def __init__(self, model: tuple[np.ndarray, np.ndarray]):
         self.chances, self.runs = model
         self.kept: dict[str, str] = {}
-        self.after: dict[str, list[float]] = {}
+        self.after: dict[str, array] = {}
         self.classes: dict[str, int] = {" ": 0}
 
     def _class(self, letter: str) -> int:
@@ -155,7 +156,7 @@ class Restorer:
             known = self.classes[letter] = int(letter_classes()[ord(letter)])
         return known
 
-    def _costs(self, context: str) -> list[float]:
+    def _costs(self, context: str) -> array:
         """Costs of all letter classes after the last four letters of a word."""
         classes, code = [self._class(c) for c in context], 0
         for c in classes:
@@ -166,7 +167,7 @@ class Restorer:
         chances = (seen + 2 * self.chances[first, second]) / (seen.sum() + 2)
         if len(self.after) >= KEPT // 8:
             self.after.clear()
-        known = self.after[context] = (-np.log(chances + 1e-9)).tolist()
+        known = self.after[context] = array("f", (-np.log(chances + 1e-9)).astype(np.float32).tobytes())
         return known
 
     def _cost(self, context: str, letter: str) -> float:
@@ -335,13 +336,15 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], classifier
     """
     small_batches(documents.sparkSession)
     kept = keep or ["doc_id"]
-    rows = documents.select(*kept, F.col("text").cast("string").alias("__text"))
+    # The text travels once if it is among the columns that stay.
+    source = "text" if "text" in kept else "__text"
+    rows = documents.select(*kept, *[F.col("text").cast("string").alias(source)] * (source not in kept))
 
     def run(batches):
         restorer = Restorer(model)
         for batch in batches:
-            out = [classifier.score(restorer.words(text)) for text in texts(batch["__text"])]
+            out = [classifier.score(restorer.words(text)) for text in texts(batch[source])]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), pa.array(out, pa.float64())], names=[*kept, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
     return rows.mapInArrow(run, f"{kinds}, score double")
