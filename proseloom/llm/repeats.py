@@ -137,25 +137,63 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edges == -1)[1] - 1
 
 
+def _within(raw: bytes, offsets: np.ndarray, owner: np.ndarray, places: np.ndarray, hashes: np.ndarray):
+    """Anchors whose whole surroundings stand in their text before, and the window starts that this settles.
+
+    The windows in such surroundings repeat whatever other texts hold, so only the
+    first of them goes on. A text that repeats itself thus sends few anchors.
+    """
+    order = np.lexsort((hashes, owner))
+    alike = (hashes[order][1:] == hashes[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    several = np.zeros(len(order), bool)
+    several[1:] |= alike
+    several[:-1] |= alike
+    seen: dict[tuple[int, bytes], int] = {}
+    later, ranges = np.zeros(len(order), bool), []
+    for k in np.sort(order[several]).tolist():
+        begin, end = int(offsets[owner[k]]), int(offsets[owner[k] + 1])
+        low, high = max(begin, begin + int(places[k]) - LEFT), min(end, begin + int(places[k]) + LENGTH)
+        first = seen.setdefault((int(owner[k]), raw[low:high]), k)
+        if first != k:
+            later[k] = True
+            for at in (first, k):
+                start = max(0, int(places[at]) - LEFT)
+                ranges.append((int(owner[k]), start, start + high - low - LENGTH))
+    merged: list[list[int]] = []
+    for number, start, last in sorted(r for r in set(ranges) if r[2] >= r[1]):
+        if merged and merged[-1][0] == number and start <= merged[-1][2] + 1:
+            merged[-1][2] = max(merged[-1][2], last)
+        else:
+            merged.append([number, start, last])
+    return later, np.array(merged, np.int64).reshape(-1, 3)
+
+
 def _anchors(distinct: DataFrame) -> DataFrame:
-    names = ["k1", "k2", "place", "anchor"]
+    """``k1, k2, place, anchor, last`` of every anchor, with ``last`` -1.
+
+    Rows with another ``last`` tell window starts from ``place`` on that repeat within their text.
+    """
+    names = ["k1", "k2", "place", "anchor", "last"]
 
     def find(batches):
         for batch in batches:
             data, offsets = text_bytes(batch["text"])
             owner, places, hashes = anchors_of(data, offsets)
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch["k1"].take(rows), batch["k2"].take(rows), pa.array(places), pa.array(hashes)], names=names)
+            later, settled = _within(data.tobytes(), offsets, owner, places, hashes)
+            owner, places, hashes = owner[~later], places[~later], hashes[~later]
+            rows = pa.array(np.concatenate([owner, settled[:, 0]]))
+            k1 = batch["k1"].take(rows)
+            # Settled rows need no partner; their text's key spreads them.
+            spread = np.concatenate([hashes, k1.to_numpy()[len(owner) :]])
+            last = np.concatenate([np.full(len(owner), -1, np.int64), settled[:, 2]])
+            columns = [k1, batch["k2"].take(rows), np.concatenate([places, settled[:, 1]]), spread, last]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return distinct.mapInArrow(find, "k1 long, k2 long, place long, anchor long")
+    return distinct.mapInArrow(find, "k1 long, k2 long, place long, anchor long, last long")
 
 
 def _surroundings(texts: DataFrame) -> DataFrame:
-    """``k1, k2, place, anchor, left, around``: the bytes around every anchor in ``found`` of a text.
-
-    Anchors whose whole surroundings stand in the text once more are told by ``twice``
-    and sent once.
-    """
+    """``k1, k2, place, anchor, left, around``: the bytes around every anchor in ``found`` of a text."""
     names = ["k1", "k2", "place", "anchor", "left", "around"]
 
     def cut_out(batches):
@@ -263,14 +301,16 @@ def remove_repeats(documents: DataFrame, most_of_one: int = MOST_OF_ONE) -> Data
     distinct = rows.select("k1", "k2", "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
 
-    anchors = _anchors(distinct).withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+    anchors = _anchors(distinct).withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 OR last >= 0")
 
     def around(found: DataFrame) -> DataFrame:
         by_text = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "anchor")).alias("found"))
         return _surroundings(distinct.join(by_text, ["k1", "k2"]))
 
-    ranges = _sorted_repeats(around(anchors.where(F.col("n") <= most_of_one)))
-    ranges = ranges.union(_hashed_repeats(around(anchors.where(F.col("n") > most_of_one))))
+    open_ = anchors.where("last < 0")
+    ranges = _sorted_repeats(around(open_.where(F.col("n") <= most_of_one)))
+    ranges = ranges.union(_hashed_repeats(around(open_.where(F.col("n") > most_of_one))))
+    ranges = ranges.union(anchors.where("last >= 0").select("k1", "k2", F.col("place").alias("first"), "last"))
     by_text = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     judged = distinct.join(by_text, ["k1", "k2"], "left").join(copies, ["k1", "k2"])
     names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
