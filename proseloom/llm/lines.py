@@ -43,17 +43,16 @@ def _lines(documents: DataFrame) -> DataFrame:
 def spread_lines(documents: DataFrame, sites: int = SITES) -> DataFrame:
     """``h1, h2``: hashes of the lines that stand on at least ``sites`` distinct sites.
 
-    A null site counts as none. A line cannot have more sites than rows, so lines of
-    fewer rows get no sketch.
+    A null site counts as none. Sketches are made where the rows are and merged after
+    the shuffle, so a frequent line sends one sketch for each part of the input.
     """
     lines = _lines(documents).where("site IS NOT NULL").select("h1", "h2", "site")
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
-    rows = lines.join(often, ["h1", "h2"])
-    sketches = rows.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
-    estimated = cut(sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")))
+    sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
+    estimated = sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
+    estimated = cut(estimated.where(F.col("estimate") >= sites * (1 - NEAR)))
     sure = estimated.where(F.col("estimate") > sites * (1 + NEAR)).select("h1", "h2")
-    near = estimated.where(F.col("estimate").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("h1", "h2")
-    exact = rows.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    near = estimated.where(F.col("estimate") <= sites * (1 + NEAR)).select("h1", "h2")
+    exact = lines.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"))
     return sure.union(exact.where(F.col("n") >= sites).select("h1", "h2"))
 
 
