@@ -46,24 +46,23 @@ def _lane_sums(shingle: str) -> list[Column]:
     return [F.sum((b * F.lit(spread)).bitwiseAND(F.lit(mask))).alias(f"s{k}") for k, b in enumerate(bits)]
 
 
-def _blocks() -> Column:
+def _mark() -> Column:
     """The fingerprint from the sums: bits that more than half of the shingles have."""
-    def bit(i: int) -> Column:
+    mark = F.lit(0).cast("long")
+    for i in range(64):
         total = F.shiftright(F.col(f"s{i // 3}"), LANE * (i % 3)).bitwiseAND(F.lit((1 << LANE) - 1))
-        return F.when(total * 2 > F.col("n"), F.lit(1 << (i % BLOCK_BITS))).otherwise(F.lit(0))
+        value = F.lit(1 << i) if i < 63 else F.lit(-(1 << 63))
+        mark = mark.bitwiseOR(F.when(total * 2 > F.col("n"), value).otherwise(F.lit(0).cast("long")))
+    return mark
 
-    blocks = []
-    for j in range(BLOCKS):
-        block = F.lit(0)
-        for i in range(j * BLOCK_BITS, (j + 1) * BLOCK_BITS):
-            block = block + bit(i)
-        blocks.append(block)
-    return F.array(*blocks)
+
+def _blocks(mark: str) -> Column:
+    return F.array(*[F.shiftrightunsigned(mark, BLOCK_BITS * j).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for j in range(BLOCKS)])
 
 
 def fingerprints(shingles: DataFrame, key: str) -> DataFrame:
-    """``key, blocks`` from rows ``key, shingle``."""
-    return shingles.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums("shingle")).select(key, _blocks().alias("blocks"))
+    """``key, mark`` from rows ``key, shingle``."""
+    return shingles.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums("shingle")).select(key, _mark().alias("mark"))
 
 
 def item_shingles(benchmark: DataFrame) -> DataFrame:
@@ -125,11 +124,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     marks = fingerprints(rows.select("window", "shingle"), "window")
     item_marks = fingerprints(items.select("item", "shingle"), "item")
     near = F.expr(f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), m -> bit_count(m) <= {radius // BLOCKS})")
-    entries = item_marks.select("item", F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("no", "block"))
-    entries = entries.select("item", "item_blocks", "no", F.explode(F.transform(near, lambda m: F.col("block").bitwiseXOR(m))).alias("key"))
-    probes = marks.select("window", "blocks", F.posexplode("blocks").alias("no", "key"))
-    apart = sum((F.bit_count(F.get("blocks", F.lit(j)).bitwiseXOR(F.get("item_blocks", F.lit(j)))) for j in range(BLOCKS)), F.lit(0))
-    pairs = probes.join(entries, ["no", "key"]).where(apart <= radius).select("window", "item").distinct()
+    entries = item_marks.select("item", F.col("mark").alias("item_mark"), F.posexplode(_blocks("mark")).alias("no", "block"))
+    entries = entries.select("item", "item_mark", "no", F.explode(F.transform(near, lambda m: F.col("block").bitwiseXOR(m))).alias("key"))
+    probes = marks.select("window", "mark", F.posexplode(_blocks("mark")).alias("no", "key"))
+    # The entries are many times the items, which a plan does not foresee: no broadcast.
+    pairs = probes.join(entries.hint("merge"), ["no", "key"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
+    pairs = pairs.select("window", "item").distinct()
 
     # Exact weighted similarity: what the two have in common, shingle by shingle.
     window_counts = rows.groupBy("window", "shingle").agg(F.count("*").alias("c"))
