@@ -77,35 +77,40 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
 
 
 class Lexicon:
-    """Looks words up in a memory-mapped transducer."""
+    """Looks words up in a memory-mapped transducer, many at a time."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        numbers = memoryview(self.map).cast("I")
+        numbers = np.frombuffer(self.map, "<u4")
         if numbers[0] != MAGIC:
             raise ValueError(f"{path} is no lexicon")
-        at, parts = 8, []
-        for size in numbers[1:8]:
-            parts.append(numbers[at : at + size])
-            at += size
-        self.first, self.finals, self.labels, self.targets, self.outputs, self.ends, self.ids = parts
-
-    def find(self, word: bytes) -> list[int] | None:
-        """The ids of a word, or None if the lexicon lacks it."""
-        node = row = 0
-        for label in word:
-            low, high = self.first[node], self.first[node + 1]
-            while low < high:
-                middle = (low + high) // 2
-                if self.labels[middle] < label:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == self.first[node + 1] or self.labels[low] != label:
-                return None
-            row += self.outputs[low]
-            node = self.targets[low]
-        if not self.finals[node]:
-            return None
-        return self.ids[self.ends[row] : self.ends[row + 1]].tolist()
+        ends = 8 + np.cumsum([0, *numbers[1:8].tolist()])
+        parts = [numbers[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.first, self.finals, labels, self.targets, self.outputs, self.ends, self.ids = parts
+        # Arcs are in the order of their nodes, and of their labels within one.
+        nodes = np.repeat(np.arange(len(self.finals), dtype=np.int64), np.diff(self.first.astype(np.int64)))
+        self.arcs = nodes << 8 | labels
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as 32-bit numbers, or None where the lexicon lacks it."""
+        found: list[bytes | None] = [None] * len(words)
+        size = np.array([*map(len, words)], np.int64)
+        begin = np.cumsum(size) - size
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        node, row = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live = np.nonzero(size)[0]
+        depth = 0
+        while len(live) and len(self.arcs):
+            key = node[live] << 8 | letters[begin[live] + depth]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            goes = self.arcs[arc] == key
+            live, arc = live[goes], arc[goes]
+            row[live] += self.outputs[arc]
+            node[live] = self.targets[arc]
+            depth += 1
+            ended = size[live] == depth
+            for i in live[ended & (self.finals[node[live]] == 1)].tolist():
+                found[i] = self.ids[self.ends[row[i]] : self.ends[row[i] + 1]].tobytes()
+            live = live[~ended]
+        return found

@@ -39,7 +39,7 @@ class MergeModel:
         self.ranks = {(left, right): rank for rank, (left, right) in enumerate(pairs)}
 
     @staticmethod
-    @lru_cache(4)
+    @lru_cache(1)
     def load(path: str) -> MergeModel:
         with open(path, encoding="utf-8") as file:
             content = json.load(file)

@@ -27,7 +27,8 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
     """Encode with a lexicon of these texts, decode, and digest ids and text."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     lexicon = bpe.build_lexicon(documents, tokenizer)
-    decoded = bpe.decode(bpe.encode(documents, tokenizer, lexicon), tokenizer)
+    # Decoded beside the encoding, so that a text visits Python once.
+    decoded = bpe.encode(documents, tokenizer, lexicon, decoded=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -92,13 +92,21 @@ def test_lexicon_finds_exactly_its_words(tmp_path):
     path = tmp_path / "lexicon.bin"
     path.write_bytes(compile_lexicon((w, model.ids(w)) for w in words))
     lexicon = Lexicon(str(path))
-    assert all(lexicon.find(w) == model.ids(w) for w in words)
-    held = set(words)
-    assert all(lexicon.find(w + b"z") is None for w in words if w + b"z" not in held) and lexicon.find(b"") is None
+    assert [np.frombuffer(ids, "<i4").tolist() for ids in lexicon.find(words)] == [model.ids(w) for w in words]
+    longer = [w + b"z" for w in words if w + b"z" not in set(words)]
+    shorter = [w[:-1] for w in words if w[:-1] not in set(words)]
+    assert set(lexicon.find([*longer, *shorter, b""])) == {None}
     # Endings are shared: far fewer nodes than letters.
     assert len(lexicon.finals) < sum(map(len, words)) / 2
     path.write_bytes(compile_lexicon([]))
-    assert Lexicon(str(path)).find(b"a") is None
+    assert Lexicon(str(path)).find([b"a", b""]) == [None, None]
+
+
+def test_both_ways_of_merging_agree():
+    model, draw = MergeModel.load(BYTE), random.Random(6)
+    for _ in range(500):
+        parts = model.symbols(draw.choice(["abc the ing ", "aaaa", "éèà", "x y"]).encode() * draw.randint(1, 12))
+        assert model.merge(parts) == model._merge_long(parts)
 
 
 def test_encode_and_decode_as_the_library(odd, nothing, library):
