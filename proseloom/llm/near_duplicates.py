@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mixed, small_batches, text_bytes
@@ -166,6 +166,46 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.where((short >= similarity * long) & (common >= similarity * (F.size("ra") + F.size("rb") - common))).select("a", "b")
 
 
+def _able(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """``text_id, size, regions`` of the texts that can be similar to another one at all.
+
+    What two texts have in common is at most what either shares with any text. So a
+    text of which too much stands nowhere else is similar to none, and leaves; then
+    the same is asked of the rest once more.
+    """
+    left = sets.select("text_id", F.size("regions").alias("size"), "regions")
+    for _ in range(rounds):
+        counts = left.select("text_id", F.explode("regions").alias("region")).groupBy("region")
+        alone = counts.agg(F.count("*").alias("n"), F.min("text_id").alias("text_id")).where("n = 1")
+        alone = alone.groupBy("text_id").agg(F.count("*").alias("alone"))
+        left = left.join(alone, "text_id", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= similarity * F.col("size"))
+        left = left.select("text_id", "size", "regions")
+    return left
+
+
+def _possible(able: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of texts from different components that their rarest shingles do not rule out.
+
+    Shingles are put in order from the rarest on. Two texts that are similar enough
+    share one among the first of both: with fewer, too little would be left to share.
+    The places of the first shared one bound what they can share from there on.
+    """
+    each = able.select("text_id", "size", F.explode("regions").alias("region"))
+    counts = each.groupBy("region").agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy("text_id").orderBy("n", "region")
+    placed = each.join(counts, "region").withColumn("place", F.row_number().over(ordered))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    rare = placed.where((F.col("place") <= first) & (F.col("n") > 1)).join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+    rare = cut(rare.select("region", "text_id", "size", "place", F.coalesce("root", "text_id").alias("root")))
+    left = rare.select("region", *[F.col(c).alias(f"{c}_a") for c in ("text_id", "size", "place", "root")])
+    right = rare.select("region", *[F.col(c).alias(f"{c}_b") for c in ("text_id", "size", "place", "root")])
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    needed = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    met = (left["region"] == right["region"]) & (F.col("text_id_a") > F.col("text_id_b")) & (F.col("root_a") != F.col("root_b")) & fits & (rest >= needed)
+    return left.join(right, met).select(F.col("text_id_a").alias("a"), F.col("text_id_b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, kept``: the class of near duplicates of every document.
 
@@ -180,8 +220,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
 
     Of equal texts only one goes on. In a bucket of equal
     band keys every text is compared with a few representatives. Where that leaves a
-    bucket in several components, all pairs across components are compared, but none
-    within one, which cannot change the classes.
+    bucket in several components, all pairs across components are compared that their
+    sizes and rarest shingles do not rule out; none is compared within a component,
+    which cannot change the classes.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -209,12 +250,11 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     # Buckets whose texts are not all in one component yet: compare across components.
     placed = shared.select("text_id", "band").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
     placed = placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root"))
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    split = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    open_ = placed.join(split.where("parts > 1").select("band", "main"), "band")
-    minor = open_.where("root <> main").select("band", F.col("text_id").alias("a"), F.col("root").alias("ra"))
-    other = open_.select("band", F.col("text_id").alias("b"), F.col("root").alias("rb"))
-    across = minor.join(other, "band").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    parts = placed.select("band", "root").distinct()
+    split = parts.groupBy("band").agg(F.count("*").alias("parts"))
+    open_ = placed.join(split.where("parts > 1").select("band"), "band", "left_semi").select("text_id").distinct()
+    able = cut(_able(sets.join(open_, "text_id", "left_semi"), similarity))
+    across = _possible(able, roots, similarity)
     more = verified(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
     roots = components(cut(edges.union(more)))
 
