@@ -159,11 +159,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs ``a, b`` of texts those whose exact weighted similarity reaches the limit."""
     left = sets.select(F.col("text_id").alias("a"), F.col("regions").alias("ra"))
     right = sets.select(F.col("text_id").alias("b"), F.col("regions").alias("rb"))
-    # Sizes alone rule out pairs that cannot be similar enough.
-    met = pairs.join(left, "a").join(right, "b")
-    short, long = F.least(F.size("ra"), F.size("rb")), F.greatest(F.size("ra"), F.size("rb"))
+    # Sizes alone rule out pairs that cannot be similar enough, before any set is sent.
+    sizes = sets.select("text_id", F.size("regions").alias("n"))
+    sized = pairs.join(sizes.select(F.col("text_id").alias("a"), F.col("n").alias("na")), "a")
+    sized = sized.join(sizes.select(F.col("text_id").alias("b"), F.col("n").alias("nb")), "b")
+    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    met = sized.where(fits).select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ra", "rb"))
-    return met.where((short >= similarity * long) & (common >= similarity * (F.size("ra") + F.size("rb") - common))).select("a", "b")
+    return met.where(common >= similarity * (F.size("ra") + F.size("rb") - common)).select("a", "b")
 
 
 def _able(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
