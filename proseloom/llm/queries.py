@@ -44,7 +44,7 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_prefixes=True)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -31,13 +31,13 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
 
 CHUNK = re.compile(f"[^{SPACE}]+[{SPACE}]*")
-# Characters that only Python takes for white space.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 BLANK = re.compile(f"[{SPACE}]*")
 KEPT_CHUNKS = 400_000
 KEPT_PREFIXES = 400_000
 KEPT_LENGTH = 64
+# Bytes of prefixes after which a batch is sent.
+SENT_BYTES = 1 << 26
 
 
 def normalised(text: str) -> str:
@@ -90,10 +90,8 @@ class PrefixCounter:
         #: By prefix: count and last token inside a longer word.
         self.rows: dict[str, tuple[int, str]] = {}
         self.words: dict[str, int] = {}
-        self.totals: dict[str, int] = {}
         self.kept: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, model.special)) or r"(?!)")
-        self.marks = tuple({s[0] for s in model.special})
 
     def _edge(self, token: str, right: bool) -> list[tuple[str, float]]:
         """The symbols that form one edge of a token while it grows, each with the rank that ends it."""
@@ -267,36 +265,19 @@ class PrefixCounter:
             self.kept[chunk] = steps
         return steps
 
-    def chunk_total(self, chunk: str) -> int:
-        """Count of a chunk without its white space."""
-        if chunk.isascii() and chunk[0] not in self.marks and (low := chunk.lower()).isalpha():
-            known = self.word_total(low)
-        else:
-            known, at = 0, 0
-            for found in self.special.finditer(chunk):
-                known += 1 + self.total(normalised(chunk[at : found.start()]))
-                at = found.end()
-            known += self.total(normalised(chunk[at:]))
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self.totals) >= KEPT_CHUNKS:
-                self.totals.clear()
-            self.totals[chunk] = known
-        return known
-
-    def count(self, text: str) -> int:
-        """Tokens of a text: the last of its prefix counts, without the steps before it."""
-        chunks = text.split() if ODD_SPACE.search(text) is None else [c.rstrip(SPACES) for c in CHUNK.findall(text, BLANK.match(text).end())]
-        totals = self.totals
-        found = list(map(totals.get, chunks))
-        if None in found:
-            found = [self.chunk_total(c) if n is None else n for c, n in zip(chunks, found)]
-        return sum(found)
-
     def steps(self, text: str) -> bytes:
         """Steps of the count from each prefix of a text to the next."""
         blank = BLANK.match(text).end()
         return bytes(4 * blank) + b"".join(map(self.chunk, CHUNK.findall(text, blank)))
 
+    def count(self, text: str) -> int:
+        """Tokens of a text: the last of its prefix counts."""
+        return _last_count(self.steps(text))
+
+
+def _last_count(steps: bytes) -> int:
+    return int(np.frombuffer(steps, "<i4").sum())
+
 
 def _counter(name: str) -> PrefixCounter:
     return resident(("counter", name), lambda: PrefixCounter(MergeModel.load(shipped(name))))
@@ -306,7 +287,8 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
     """``doc_id, n_bytes, n_tokens`` and, if asked for, ``prefixes`` of every text.
 
     ``prefixes`` holds for each code point, as little-endian 32-bit numbers, by how
-    much it changes the count of the prefix that ends with it. Null and empty texts
+    much it changes the count of the prefix that ends with it; ``n_tokens`` is the last
+    count. Null and empty texts
     have no tokens and empty ``prefixes``. Rows that repeat are counted each; other
     columns are not read; an empty table gives an empty result.
 
@@ -323,15 +305,18 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
     def count(batches):
         counter = _counter(name)
         for batch in batches:
-            whole = list(texts(batch["text"]))
-            columns = [batch["doc_id"], batch["n_bytes"]]
-            if keep_prefixes:
-                steps = [counter.steps(text) for text in whole]
-                totals = [int(np.frombuffer(s, "<i4").sum()) for s in steps]
-                columns += [pa.array(totals, pa.int64()), pa.array(steps, pa.binary())]
-            else:
-                columns.append(pa.array(map(counter.count, whole), pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            done, totals, kept, held = 0, [], [], 0
+            for at, text in enumerate(texts(batch["text"]), 1):
+                steps = counter.steps(text)
+                totals.append(_last_count(steps))
+                if keep_prefixes:
+                    kept.append(steps)
+                    held += len(steps)
+                if at == batch.num_rows or held >= SENT_BYTES:
+                    columns = [batch[c].slice(done, at - done) for c in ("doc_id", "n_bytes")]
+                    columns += [pa.array(totals, pa.int64())] + [pa.array(kept, pa.binary())] * keep_prefixes
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    done, totals, kept, held = at, [], [], 0
 
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),

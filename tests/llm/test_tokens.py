@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from proseloom.llm import bpe, token_counts
 from proseloom.llm.lexicon import Lexicon, compile_lexicon
 from proseloom.llm.merges import MergeModel
-from proseloom.llm.queries import bpe_digests
+from proseloom.llm.queries import QUERIES, bpe_digests
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 POOL = [*"abcdeEThisn't'llre  \n\té", "the ", "ing", "'s ", "'re", "<|endoftext|>", "<|startoftext|>", "<|endo", "Σ", "İ"]
@@ -86,6 +86,25 @@ def test_budget_questions(odd, library):
         assert row.fits == len(text) or row.fits >= 40 or len(ids(library, WORD, text[: row.fits + 1])) > 5
 
 
+def test_query_stores_every_prefix(odd, library, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in odd.where("doc_id IS NOT NULL").collect()}
+    rows = QUERIES["op6_token_counts"](odd.sparkSession, str(tmp_path)).where("doc_id IS NOT NULL").collect()
+    assert len(rows) == 11
+    for row in rows:
+        text, counts = texts[row.doc_id], [0, *np.cumsum(np.frombuffer(row.prefixes, "<i4")).tolist()]
+        assert len(counts) == len(text) + 1
+        assert row.n_tokens == counts[-1] == len(ids(library, WORD, text)) and row.over_limit == (counts[-1] > 2048)
+        for end in {0, 1, len(text) // 3, len(text) // 2, max(0, len(text) - 1)} & set(range(len(text))):
+            assert counts[end] == len(ids(library, WORD, text[:end]))
+
+
+def test_prefixes_are_sent_in_bounded_batches(odd, monkeypatch):
+    whole = sorted(map(str, token_counts.count_tokens(odd, WORD, keep_prefixes=True).collect()))
+    monkeypatch.setattr(token_counts, "SENT_BYTES", 1)
+    assert sorted(map(str, token_counts.count_tokens(odd.repartition(1), WORD, keep_prefixes=True).collect())) == whole
+
+
 def test_lexicon_finds_exactly_its_words(tmp_path):
     model = MergeModel.load(BYTE)
     words = sorted({w.encode() for t in pieces(4, 400, 6) for w in bpe.WORD.findall(t)} | {b" the", b" then", b"the", b"t"})
