@@ -60,6 +60,18 @@ def _blocks(mark: str) -> Column:
     return F.array(*[F.shiftrightunsigned(mark, BLOCK_BITS * j).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for j in range(BLOCKS)])
 
 
+def _starts(hits: str, run: str, least: str) -> Column:
+    """All starts whose ``run`` places hold at least ``least`` of the sorted ``hits``; each comes once."""
+
+    def first(i):
+        return F.get(hits, i + F.col(least) - 1) - F.col(run) + 1
+
+    firsts = F.filter(F.sequence(F.lit(0), F.size(hits) - F.col(least)), lambda i: first(i) <= F.get(hits, i))
+    # Starts up to the hit before were given with that hit.
+    every = F.flatten(F.transform(firsts, lambda i: F.sequence(F.greatest(first(i), F.get(hits, i - 1) + 1), F.get(hits, i))))
+    return F.when(F.size(hits) >= F.col(least), every).otherwise(F.array().cast("array<int>"))
+
+
 def fingerprints(shingles: DataFrame, key: str) -> DataFrame:
     """``key, mark`` from rows ``key, shingle``."""
     return shingles.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums("shingle")).select(key, _mark().alias("mark"))
@@ -83,9 +95,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
 
     A document holds it if a window of the item's number of words has a weighted
     Jaccard similarity of at least ``similarity`` to the item and a fingerprint within
-    ``radius`` bits; the highest one is given. Windows that share no shingle with any
-    item have similarity 0 and get no fingerprint. At the ends of a text windows may be
-    shorter. Null and empty texts, null ids of items and items without words match
+    ``radius`` bits; the highest one is given. Windows of any start are compared, except
+    those with too few shingles of items of their length to reach ``similarity``. At the
+    ends of a text windows may be shorter. Null and empty texts, null ids of items and items without words match
     nothing; null ids of documents are one document, as are rows of one id. Empty
     tables give an empty result. Other columns are not read.
     """
@@ -94,17 +106,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("text IS NOT NULL AND text <> ''").withColumn("text_hash", F.xxhash64("text"))
 
-    # Windows that share a shingle with an item, where that shingle would lie in it.
-    worded = texts.select("doc_id", "text_hash", _words("text").alias("words"))
+    # Windows with enough shingles of items of their length, wherever these stand in the item.
+    worded = texts.select("doc_id", "text_hash", _words("text").alias("words")).withColumn("n_words", F.size("words"))
     found = None
     for k in sorted(sizes) or [SHINGLE]:
-        of_size = worded.select("doc_id", "text_hash", F.lit(k).alias("size"), F.posexplode(_shingles("words", k)).alias("at", "shingle"))
+        of_size = worded.select("doc_id", "text_hash", "n_words", F.lit(k).alias("size"), F.posexplode(_shingles("words", k)).alias("at", "shingle"))
         found = of_size if found is None else found.union(of_size)
-    known = items.select("size", "length", "place", "shingle").distinct()
+    known = items.select("size", "length", "shingle").distinct()
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    starts = found.join(known, ["shingle", "size"]).select("doc_id", "text_hash", "size", "length", (F.col("at") - F.col("place")).alias("start"))
-    windows = starts.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "length", "start")).alias("windows"))
+    hits = found.join(known, ["shingle", "size"]).groupBy("doc_id", "text_hash", "size", "length")
+    hits = hits.agg(F.sort_array(F.collect_set("at")).alias("hits"), F.max("n_words").alias("n_words"))
+    hits = hits.withColumn("run", F.col("length") - F.col("size") + 1)
+    # A whole window shares at least so many shingles; one that an end of the text cuts may have fewer.
+    least = {"whole": 2 * similarity / (1 + similarity), "short": similarity}
+    for name, share in least.items():
+        hits = hits.withColumn(name, F.greatest(F.ceil(F.col("run") * share - 1e-9).cast("int"), F.lit(1)))
+    over = F.col("n_words") - F.col("size") + 1 - F.col("run")
+    cut_short = F.filter(_starts("hits", "run", "short"), lambda s: (s < 0) | (s > over))
+    starts = hits.where(F.size("hits") >= F.col("short"))
+    starts = starts.withColumn("start", F.explode(F.array_union(_starts("hits", "run", "whole"), cut_short)))
+    windows = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "length", "start")).alias("windows"))
 
     # Their shingles, from the texts that have such windows.
     held = texts.join(windows.withColumnRenamed("doc_id", "__id"), (texts["text_hash"] == windows["text_hash"]) & texts["doc_id"].eqNullSafe(F.col("__id")))

@@ -219,6 +219,26 @@ def test_passages_against_brute_force(ready):
     assert {k for k, s in want.items() if s > 0.9} <= set(got) and len(got) >= 0.97 * len(want)
 
 
+def test_reordered_passages_against_brute_force(ready):
+    draw = random.Random(16)
+    items = [(i, prose(draw, draw.choice([8, 30, 60, 90]))) for i in range(12)] + [(12, prose(draw, 60))]
+    texts = []
+    for d in range(60):
+        words = items[d % 13][1].split()
+        at = draw.choice([len(words) // 2, len(words) // 3, 4])
+        moved = words[at:] + words[:at]
+        texts.append((d, f"{prose(draw, 6 + d % 30)} {edit(draw, ' '.join(moved), d % 2)} {prose(draw, 6 + d % 20)}"))
+    # Items that an end of the text cuts, and a text of many hits.
+    texts += [(100 + i, f"{prose(draw, 9)} {' '.join(t.split()[:-3])}") for i, t in items]
+    texts += [(200, " ".join(items[12][1].split()[30:] + items[12][1].split()[:30])), (201, f"{items[12][1]} " * 5)]
+    table = ready.createDataFrame(texts, "doc_id long, text string")
+    found = contamination.contaminated(table, ready.createDataFrame(items, "item_id long, text string"), radius=23).collect()
+    want = brute_contamination(texts, items)
+    assert (200, 12) in want and len(want) > 20
+    got = {(r.doc_id, r.item_id): r.similarity for r in found}
+    assert set(got) == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+
+
 def test_contamination_of_odd_rows(ready, odd, nothing):
     items = ready.createDataFrame([(1, "A plain text with some words in it", 1), (2, None, 2), (None, "x", 3)], "item_id long, text string, score int")
     assert sorted((r.doc_id, r.item_id) for r in contamination.contaminated(odd, items).collect()) == [(1, 1), (2, 1)]
