@@ -13,6 +13,7 @@ import re
 from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ SEPARATORS = frozenset(" .-_*~'`,:/\\|+=")
 # Costs in natural-log units: reading a sign as a letter, dropping a sign or a
 # separator, one more of a repeated letter, a sign or separator as the end of a word.
 SIGN, DROP, JOIN, REPEAT, BREAK = 0.5, 7.0, 0.5, 0.2, 5.0
+# Tokens up to this length are kept; longer ones settle what is read after as many signs.
 LONGEST = 48
 KEPT = 300_000
 
@@ -177,7 +179,8 @@ class Restorer:
         """The reading of least cost, in lower-case; it may fall into several words."""
         # State: the last four letters of the word so far. Its value: cost and reading.
         states: dict[str, tuple[float, str]] = {"": (0.0, "")}
-        for sign in token:
+        settled: list[str] = []
+        for place, sign in enumerate(token, 1):
             after: dict[str, tuple[float, str]] = {}
             options = _options(sign)
             for context, (cost, reading) in states.items():
@@ -195,8 +198,13 @@ class Restorer:
                     if known is None or value < known:
                         after[key] = value
             states = after
+            if place % LONGEST == 0:
+                # What all readings begin with stands; it leaves them, so that they stay short.
+                start = commonprefix([reading for _, reading in states.values()])
+                settled.append(start)
+                states = {key: (cost, reading[len(start) :]) for key, (cost, reading) in states.items()}
         ends = ((cost + (self._cost(context, " ") if context else 0.0), reading) for context, (cost, reading) in states.items())
-        return min(ends)[1].strip()
+        return ("".join(settled) + min(ends)[1]).strip()
 
     def token(self, token: str) -> str:
         """The words of a token without white space: itself if nothing is disguised."""
@@ -205,8 +213,7 @@ class Restorer:
             # Repetition is the only disguise, or there is none.
             known = DOUBLED.sub(r"\1", bare.lower())
         else:
-            # A very long token is read part by part.
-            known = "".join(self.read(token[i : i + LONGEST]) for i in range(0, len(token), LONGEST))
+            known = self.read(token)
         if len(token) <= LONGEST:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
@@ -229,7 +236,7 @@ class Restorer:
         out, i = [], 0
         while i < len(tokens):
             j = i
-            while j < len(tokens) and len(tokens[j]) == 1 and j - i < LONGEST // 2:
+            while j < len(tokens) and len(tokens[j]) == 1:
                 j += 1
             if j - i >= 3:
                 out.append(" ".join(tokens[i:j]))

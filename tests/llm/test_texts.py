@@ -42,6 +42,22 @@ def test_disguises_are_undone(taught, disguised, word):
     assert bare in " ".join(toxicity.Restorer(taught[0]).words(f"the {disguised} near")).split()
 
 
+def test_long_disguises_are_read_as_one(taught, monkeypatch):
+    restorer = toxicity.Restorer(taught[0])
+    for mark in " .":
+        for before in range(1, 12):
+            token = mark.join("".join(["water"] * before) + "idiot" + "water" * 3)
+            found = " ".join(restorer.words(token))
+            assert "idiot" in found.replace(" ", ""), (mark, before)
+            # Where the reading is settled does not change it.
+            with monkeypatch.context() as patch:
+                patch.setattr(toxicity, "LONGEST", 10**9)
+                assert found == restorer.read(token)
+                assert len(restorer.words(token)) == 1
+    gap = "w.a.t.e.r." * 4 + "n.e.a.r - r.i.v.e.r"
+    assert restorer.words(gap.replace(" ", "")) == [restorer.read(gap.replace(" ", ""))]
+
+
 def test_reading_is_the_cheapest_of_all(taught):
     """The search against all readings of short tokens."""
     restorer = toxicity.Restorer(taught[0])
