@@ -24,6 +24,8 @@ DAMPING = 0.85
 ROUNDS = 12
 # Rounds between checkpoints.
 SPAN = 4
+# Rounds go on until no host's mass changes by a larger share of itself in one.
+TOLERANCE = 1e-6
 # A host is blocked if distrust is over this share of its trust and distrust.
 BLOCK_SHARE = 0.5
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,18 +61,29 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     """``host, mass``: the seeds' mass (``host, seed``) after flowing along ``src, dst, weight``.
 
     Each round a host passes a share of its mass on, in proportion to the weights.
-    What has nowhere to go is lost.
+    What has nowhere to go is lost. There are at least ``rounds`` rounds, and more until
+    no new host is reached and no host's mass changes by more than ``TOLERANCE`` of it.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     shares = cut(edges.join(total, "src").select("src", "dst", (DAMPING * F.col("weight") / F.col("all")).alias("share")))
     held = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("own"))
     mass = held.select("host", F.col("own").alias("mass"))
-    for k in range(1, rounds + 1):
-        moved = shares.join(mass, shares["src"] == mass["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("mass")).alias("part"))
-        mass = moved.union(held.select("host", "own")).groupBy("host").agg(F.sum("part").alias("mass"))
-        if k % SPAN == 0:
-            mass = cut(mass)
-    return mass
+    if shares.isEmpty():
+        return mass
+    none, k = F.lit(0.0), 0
+    while True:
+        k += 1
+        moved = shares.join(mass, shares["src"] == mass["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("mass")).alias("part"), none.alias("before"))
+        after = moved.union(held.select("host", "own", none)).union(mass.select("host", none, "mass"))
+        after = after.groupBy("host").agg(F.sum("part").alias("mass"), F.sum("before").alias("before"))
+        if k % SPAN:
+            mass = after.select("host", "mass")
+            continue
+        after = cut(after)
+        mass = after.select("host", "mass")
+        # A new host had no mass before.
+        if k >= rounds and after.where(F.abs(F.col("mass") - F.col("before")) > TOLERANCE * F.col("mass")).isEmpty():
+            return mass
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:

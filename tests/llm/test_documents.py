@@ -285,6 +285,32 @@ def test_link_trust_against_sql(ready, seed):
     assert {r[4] for r in found if r[3] is None} == {"allow", "block"}
 
 
+def test_trust_reaches_the_end_of_long_chains(ready):
+    # Hosts that link on to a blocked one, over more links than the rounds at least.
+    hosts = [f"h{i}.net" for i in range(20)] + ["bad.com"]
+    rows = [(i, f"http://{h}/", f"<a href='http://{hosts[i + 1]}/'>") for i, h in enumerate(hosts[:-1])]
+    rows += [(20, "http://bad.com/de/1", ""), (21, "http://far.net/", "")]
+    found = {r.page_id: r.verdict for r in links.judge(ready.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**{i: "block" for i in range(21)}, 21: "allow"}
+
+
+def test_mass_settles(ready):
+    draw = random.Random(2)
+    pairs = {(draw.randrange(8), draw.randrange(8)): draw.randint(1, 4) for _ in range(20)}
+    out = defaultdict(int)
+    for (a, _), w in pairs.items():
+        out[a] += w
+    mass = {0: 0.15 * 3}
+    for _ in range(400):
+        after = defaultdict(float, {0: 0.15 * 3})
+        for (a, b), w in pairs.items():
+            after[b] += 0.85 * w / out[a] * mass.get(a, 0.0)
+        mass = after
+    edges = ready.createDataFrame([(f"{a}", f"{b}", w) for (a, b), w in pairs.items()], "src string, dst string, weight long")
+    found = links.propagated(edges, ready.createDataFrame([("0", 3.0)], "host string, seed double")).collect()
+    assert {r.host: r.mass for r in found} == pytest.approx({f"{h}": m for h, m in mass.items() if m}, rel=1e-5)
+
+
 def test_rules(ready):
     urls = {
         "https://example.org/es/5": ("example.org/es/", "block"),
