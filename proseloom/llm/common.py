@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,3 +78,16 @@ def cut(frame: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder, so that lost executors cost no long recomputing."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared checkpoint folder, and the folder, for ``discard``."""
+    folder = f"{checkpoint_dir(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that no later step reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

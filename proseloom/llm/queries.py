@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, contamination, language, lines, links, near_duplicates, repeats, token_counts, toxicity
+from . import (
+    bpe,
+    chunks,
+    contamination,
+    language,
+    lines,
+    links,
+    near_duplicates,
+    repeats,
+    resampling,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +118,11 @@ ORACLES["op3_link_trust"] = links.judge_sql()
 @query
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_resampling"] = resampling.RESAMPLE_SQL
