@@ -15,11 +15,13 @@ from . import (
     language,
     lines,
     links,
+    mixing,
     near_duplicates,
     repeats,
     resampling,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from .common import table
 
@@ -120,9 +122,22 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
 
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings")).drop("label")
+
+
+ORACLES["op11_vector_codes"] = vector_codes.COMPRESS_SQL
+
+
 @query
 def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 ORACLES["op12_resampling"] = resampling.RESAMPLE_SQL
+
+
+@query
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
