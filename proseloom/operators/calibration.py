@@ -8,8 +8,8 @@ from ..functions import emotion as E
 from ..functions import text as T
 from ..functions import vectors as V
 from . import qc as Q
-from . import ranges
-from .ordered import cut_lineage
+from . import ordered, ranges
+
 
 # fixed values: search range, tolerance margin and sample size of the fit
 T_MIN, T_MAX, PEG_MARGIN, MIN_SAMPLES = 0.05, 10.0, 0.015, 30
@@ -210,20 +210,23 @@ def span_eval(truth: DataFrame, predicted: DataFrame, passages: DataFrame, **blo
     """Character-level overlap of predicted and true dialogue per method.
 
     ``truth``: passage_id, ord, type, speaker, text; ``predicted`` also has
-    method. Overlap lengths come from an interval join, not from single characters.
+    method. All spans of a passage, of the truth and of every method, are looked up in one
+    index of it. Overlap lengths come from an interval join, not from single characters.
     """
     both = ["passage_id", "method"]
-
-    def placed(spans: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-        rows = spans.withColumn("seg_idx", F.col("ord").cast("int"))
-        found = ranges.locate_in_source(rows, texts, tuple(keys), exact=True, fallback=False, **blocking)
-        return rows.where("type = 'dialogue'").join(
-            found.where("start >= 0"), [*keys, "seg_idx"]
-        ).select(*keys, "speaker", "start", "end")
-
+    lists = [*both, "is_true"]
+    spans = predicted.withColumn("is_true", F.lit(False)).unionByName(
+        truth.withColumns({"method": F.lit(""), "is_true": F.lit(True)}), allowMissingColumns=True
+    )
+    spans = spans.withColumn("seg_idx", F.col("ord").cast("int"))
+    placed = ranges.locate_in_source(
+        spans, passages, tuple(lists), book_keys=("passage_id",), exact=True, fallback=False, **blocking
+    )
+    found = spans.where("type = 'dialogue'").join(placed.where("start >= 0"), [*lists, "seg_idx"])
+    found = ordered.cut_lineage(found.select(*lists, "speaker", "start", "end"))
     methods = predicted.select(*both).distinct()
-    true = placed(truth, passages, ["passage_id"])
-    guess = placed(predicted, passages.join(methods, "passage_id"), both)
+    true = found.where("is_true").drop("method", "is_true")
+    guess = found.where("NOT is_true").drop("is_true")
     pairs = ranges.overlap_pairs(
         true.join(methods, "passage_id").select(*both, "speaker", "start", "end"), guess, both
     )

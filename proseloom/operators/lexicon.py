@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from . import ordered
 
 RULE = ["target_word", "replacement", "type", "case_sensitive"]
 # fixed values: kinds of replacement
@@ -59,7 +60,7 @@ def _rule_pattern(rule: Column) -> Column:
 
 
 def _replace(text: Column, rules: Column, applied: Column) -> Column:
-    """Apply the rules in order; each one sees the text the rules before left."""
+    """Apply the rules in order; each one sees the text the rules before left. ``seen`` has all texts on the way."""
 
     def step(acc: Column, rule: Column) -> Column:
         word = rule["target_word"]
@@ -80,39 +81,82 @@ def _replace(text: Column, rules: Column, applied: Column) -> Column:
             F.struct(
                 F.regexp_replace(acc["text"], pattern, T.quote_replacement(rule["replacement"])).alias("text"),
                 F.concat(acc["applied"], F.array(entry)).alias("applied"),
+                F.concat(acc["seen"], F.array(F.regexp_replace(acc["text"], pattern, T.quote_replacement(rule["replacement"])))).alias("seen"),
             ),
         ).otherwise(acc)
 
-    return F.aggregate(rules, F.struct(text.alias("text"), applied.alias("applied")), step)
+    none = F.array().cast("array<string>")
+    return F.aggregate(rules, F.struct(text.alias("text"), applied.alias("applied"), none.alias("seen")), step)
 
 
 _APPLIED = "array<struct<target_word:string,replacement:string,type:string,occurrences:int>>"
+_RULE = "struct<target_word:string,replacement:string,type:string,case_sensitive:boolean>"
+_PLACED = f"array<struct<at:struct<scope:int,len:int,ord:bigint,word:string>,rule:{_RULE}>>"
+
+
+def _lookup_keys(text: Column) -> Column:
+    """What a rule can be found by: the words of a text in lower case, and its other signs one by one."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"{T.W}+"), F.lit(0)), F.lower)
+    return F.array_union(words, F.regexp_extract_all(text, F.lit("[^A-Za-z0-9_ ]"), F.lit(0)))
+
+
+def _rule_key(word: Column) -> Column:
+    """The first word inside a rule's word, which a match holds as a whole word; else its first sign."""
+    first = F.regexp_extract(word, f"{T.W}+", 0)
+    return F.when(first != "", F.lower(first)).otherwise(F.substring(word, 1, 1))
 
 
 def apply_lexicon(segments: DataFrame, lexicon: DataFrame, line_rules: DataFrame | None = None) -> DataFrame:
     """Whole-word replacement, longest word first; rules of the line come first.
 
-    ``line_rules``: doc_id, seg_idx and the rule columns. Rules are gathered per
-    book and joined on the book, so the plan does not depend on their number.
+    ``line_rules``: doc_id, seg_idx and the rule columns. Each rule sees the text that
+    the rules before it left. A line meets only the rules of its book whose first word it
+    holds: its words are joined with the first words of the rules. Where a replacement brings words
+    that other rules begin with, the line meets these too and is done again, until no
+    line meets further rules; so the cost follows the matches, however many rules a book has.
     """
-
-    def gathered(rules: DataFrame, keys: list[str], name: str) -> DataFrame:
-        order = ["ord"] if "ord" in rules.columns else ["target_word"]
-        item = F.struct((-F.length("target_word")).alias("__len"), *order, F.struct(*RULE).alias("rule"))
-        return normalise_entries(rules).groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(item)), lambda x: x["rule"]).alias(name)
-        )
-
-    none = F.array().cast(
-        "array<struct<target_word:string,replacement:string,type:string,case_sensitive:boolean>>"
-    )
-    rows = segments.join(gathered(lexicon, ["doc_id"], "__book"), "doc_id", "left")
-    rules = F.coalesce("__book", none)
+    line = ["doc_id", "seg_idx"]
+
+    def ruled(rules: DataFrame, scope: int) -> DataFrame:
+        given = F.col("ord").cast("bigint") if "ord" in rules.columns else F.lit(0).cast("bigint")
+        at = F.struct(F.lit(scope).alias("scope"), (-F.length("target_word")).alias("len"), given.alias("ord"), F.col("target_word").alias("word"))
+        placed = F.struct(at.alias("at"), F.struct(*RULE).alias("rule")).alias("placed")
+        return normalise_entries(rules).select(*line[: 1 + (scope == 0)], _rule_key(F.col("target_word")).alias("key"), placed)
+
+    book = ordered.cut_lineage(ruled(lexicon, 1))
+
+    def met(rows: DataFrame, keys: Column) -> DataFrame:
+        """The rules of the book that begin with one of the keys of a line."""
+        asked = rows.select(*line, F.explode(keys).alias("key")).distinct()
+        return asked.join(book, ["doc_id", "key"]).select(*line, "placed")
+
+    def replaced(rows: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        rules = F.transform("__rules", lambda x: x["rule"])
+        done = _replace(text, rules, F.array().cast(_APPLIED))
+        rows = ordered.cut_lineage(rows.withColumn("__done", done))
+        # Keys that came with replacements.
+        brought = F.array_distinct(F.flatten(F.transform("__done.seen", _lookup_keys)))
+        return rows.withColumn("__new", F.array_except(brought, _lookup_keys(text)))
+
+    found = met(segments, _lookup_keys(F.coalesce("text", F.lit(""))))
     if line_rules is not None:
-        rows = rows.join(gathered(line_rules, ["doc_id", "seg_idx"], "__line"), ["doc_id", "seg_idx"], "left")
-        rules = F.concat(F.coalesce("__line", none), rules)
-    done = _replace(F.coalesce("text", F.lit("")), rules, F.array().cast(_APPLIED))
-    return rows.withColumn("__done", done).select(
+        found = found.unionByName(ruled(line_rules, 0).select(*line, "placed"))
+    found = found.groupBy(*line).agg(F.collect_list("placed").cast(_PLACED).alias("__rules"))
+    rows = segments.join(found, line, "left").withColumn("__rules", F.array_sort(F.coalesce("__rules", F.array().cast(_PLACED))))
+    rows, finished = replaced(rows), None
+    while True:
+        more = met(rows.where(F.size("__new") > 0), F.col("__new")).groupBy(*line).agg(F.collect_list("placed").cast(_PLACED).alias("__more"))
+        again = rows.join(more, line, "left")
+        again = again.withColumn("__more", F.array_except(F.coalesce("__more", F.array().cast(_PLACED)), "__rules"))
+        again = ordered.cut_lineage(again)
+        settled = again.where(F.size("__more") == 0)
+        finished = settled if finished is None else finished.unionByName(settled)
+        if not again.where(F.size("__more") > 0).take(1):
+            break
+        rows = again.where(F.size("__more") > 0).withColumn("__rules", F.array_sort(F.array_union("__rules", "__more")))
+        rows = replaced(rows.drop("__more", "__done", "__new"))
+    return finished.select(
         *[c for c in segments.columns if c != "text"],
         F.col("__done.text").alias("text"),
         F.col("__done.applied").alias("applied"),

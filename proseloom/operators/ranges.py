@@ -2,56 +2,109 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import ordered
-
-
-class _Flat:
-    """A text with white space squeezed, and the way back to its own offsets."""
-
-    def __init__(self, source: str):
-        found = list(re.finditer(r"\S+", source))
-        self.words = [m.group() for m in found]
-        self.text = " ".join(self.words)
-        self.origin = [m.start() for m in found]
-        self.starts = list(accumulate((len(w) + 1 for w in self.words), initial=0))
-
-    def source_offset(self, at: int) -> int:
-        word = bisect_right(self.starts, at) - 1
-        return self.origin[word] + at - self.starts[word]
-
-
-def _locator(keys: list[str], exact: bool, fallback: bool):
-    def locate(pdf: pd.DataFrame, carried: dict) -> pd.DataFrame:
-        source, before = carried.get("source") or "", carried.get("pointer")
-        pointer = 0 if before is None or pd.isna(before) else int(before)
-        flat = None if exact else _Flat(source)
-        hay = source if exact else flat.text
-        starts, ends, pointers = [], [], []
-        for text in pdf["text"]:
-            needle = (text or "").strip() if exact else " ".join((text or "").split())
-            at = -1
-            if needle:
-                at = hay.find(needle, pointer)
-                if at >= 0:
-                    pointer = at + len(needle)
-                elif fallback:
-                    at = hay.find(needle)
-            stop = at + len(needle)
-            if at >= 0 and flat:
-                at, stop = flat.source_offset(at), flat.source_offset(stop - 1) + 1
-            starts.append(at)
-            ends.append(stop if at >= 0 else -1)
-            pointers.append(pointer)
-        return pdf[[*keys, "seg_idx"]].assign(start=starts, end=ends, pointer=pointers)
-
-    return locate
+from . import ordered, positions
+
+# White space as the index of words has it.
+PY_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+class _Chain:
+    """What a run of passages makes of a search pointer.
+
+    Up to ``tail`` the pointer becomes one of a few values, by the ranges that begin at
+    ``lows``; from there on it stays as it is.
+    """
+
+    def __init__(self):
+        self.lows, self.values, self.tail = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def follow(self, places: np.ndarray, length: int) -> None:
+        """Go on with a passage that stands at ``places``, in order."""
+        if not len(places):
+            return
+        at = np.searchsorted(places, self.values)
+        self.values = np.where(at < len(places), places[np.minimum(at, len(places) - 1)] + length, self.values)
+        ahead = places[np.searchsorted(places, self.tail) :]
+        if len(ahead):
+            self.lows = np.concatenate([self.lows, [self.tail], ahead[:-1] + 1])
+            self.values = np.concatenate([self.values, ahead + length])
+            self.tail = int(ahead[-1]) + 1
+        new = np.ones(len(self.values), bool)
+        new[1:] = self.values[1:] != self.values[:-1]
+        self.lows, self.values = self.lows[new], self.values[new]
+
+
+def _blocks(batches):
+    """Block by block: its row, its segments as columns, and the places of each passage."""
+    for batch in batches:
+        rows, places = batch["rows"], batch["known"]
+        for at in range(batch.num_rows):
+            own = rows[at].values
+            columns = {name: own.field(name).to_numpy(zero_copy_only=False) for name in ("seg_idx", "passage", "length")}
+            known, listed = {}, places[at].values
+            if listed is not None:
+                of = listed.field("places")
+                known = {p.as_py(): of[k].values.to_numpy(zero_copy_only=False) for k, p in enumerate(listed.field("passage"))}
+            yield batch, at, columns, known
+
+
+def _composed(keys: list[str]):
+    """The chain of each block of passages, as lists."""
+    none = np.zeros(0, np.int64)
+
+    def compose(batches):
+        for batch, at, rows, known in _blocks(batches):
+            chain = _Chain()
+            for passage, length in zip(rows["passage"].tolist(), rows["length"].tolist()):
+                chain.follow(known.get(passage, none), length)
+            head = [batch[k].slice(at, 1) for k in (*keys, "__blk")]
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (chain.lows, chain.values)]
+            yield pa.RecordBatch.from_arrays([*head, *lists, pa.array([chain.tail], pa.int64())], names=[*keys, "__blk", "lows", "values", "tail"])
+
+    return compose
+
+
+def _entered(keys: list[str]):
+    """The pointer with which each block begins, from the chains of the blocks of one book."""
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, pointer, entries = rows.sort_values("__blk"), 0, []
+        for lows, values, tail in zip(rows["lows"], rows["values"], rows["tail"]):
+            entries.append(pointer)
+            if not pd.isna(tail) and pointer < tail:
+                pointer = int(values[bisect_right(list(lows), pointer) - 1])
+        return rows[[*keys, "__blk"]].assign(entry=entries)
+
+    return enter
+
+
+def _searched(keys: list[str], fallback: bool):
+    """The places of the passages of each block, from its first pointer on."""
+
+    def search(batches):
+        for batch, at, rows, known in _blocks(batches):
+            pointer, found = batch["entry"][at].as_py(), []
+            lists = {passage: places.tolist() for passage, places in known.items()}
+            for passage, length in zip(rows["passage"].tolist(), rows["length"].tolist()):
+                here = lists.get(passage, ())
+                k = bisect_left(here, pointer)
+                if k < len(here):
+                    found.append(here[k])
+                    pointer = here[k] + length
+                else:
+                    found.append(here[0] if fallback and here else -1)
+            repeated = pa.array(np.full(len(found), at))
+            columns = [pa.array(rows["seg_idx"], pa.int32()), pa.array(rows["passage"], pa.int64()), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch[k].take(repeated) for k in keys), *columns], names=[*keys, "seg_idx", "passage", "pos"])
+
+    return search
 
 
 def locate_in_source(
@@ -59,29 +112,55 @@ def locate_in_source(
     manuscripts: DataFrame,
     keys: tuple[str, ...] = ("doc_id",),
     *,
+    book_keys: tuple[str, ...] | None = None,
     exact: bool = False,
     fallback: bool = True,
-    **blocking,
+    block_rows: int = 4096,
 ) -> DataFrame:
-    """Range of each segment in its book, ignoring how white space is laid out.
+    """Range of each segment in its book, ignoring how white space is laid out unless ``exact``.
 
     The search moves forward; a segment not found ahead falls back to its first
-    place anywhere, or -1. The pointer is the only state, so a book with many
-    segments is scanned block by block.
+    place anywhere, or -1. Places come from a positional index of words, so no book stands
+    beside its segments. The search pointer is the only state: each block of ``block_rows``
+    segments is summed up as a map from the pointer before it to the one after it, the maps
+    of a book are chained, and then every block is searched on its own. Where several lists of
+    segments lie over one book, ``keys`` name a list and ``book_keys``, some of them, its book.
     """
     keys = list(keys)
-    kinds = dict(segments.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return ordered.fold_blocks(
-        segments.select(*keys, F.col("seg_idx").cast("int").alias("seg_idx"), "text"),
-        keys,
-        "seg_idx",
-        _locator(keys, exact, fallback),
-        f"{schema}, seg_idx int, start int, end int, pointer int",
-        ["pointer"],
-        side=manuscripts.select(*keys, F.col("text").alias("source")),
-        **blocking,
-    ).drop("pointer")
+    book = list(book_keys or keys)
+    blank = lambda c: F.btrim(F.regexp_replace(c, PY_SPACE, " "), F.lit(" "))
+    needle = F.regexp_replace(F.coalesce("text", F.lit("")), f"^{PY_SPACE}|{PY_SPACE}$", "") if exact else blank(F.coalesce("text", F.lit("")))
+    rows = segments.select(*keys, F.col("seg_idx").cast("int").alias("seg_idx"), needle.alias("needle"))
+    rows = rows.withColumn("passage", F.xxhash64("needle")).withColumn("__blk", F.floor(F.col("seg_idx") / F.lit(block_rows)))
+    rows = ordered.cut_lineage(rows)
+    asked = ordered.cut_lineage(positions.passages(rows.where("needle <> ''"), book, exact))
+    kinds = sorted(r["kind"] for r in asked.select("kind").distinct().collect() if r["kind"] >= 0)
+    books = manuscripts.select(*book, F.col("text").alias("source")).join(asked.select(*book).distinct(), book, "left_semi")
+    words = ordered.cut_lineage(positions.book_words(books, book, kinds, exact))
+    places = ordered.cut_lineage(positions.occurrences(asked, words, book))
+
+    listed = places.groupBy(*book, "passage").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    sized = rows.select(*keys, "__blk", "seg_idx", "passage", F.length("needle").alias("length"))
+    block = [*keys, "__blk"]
+    # One row for each block: its segments in order, and the places of their passages.
+    known = sized.select(*block, "passage").distinct().join(listed, [*book, "passage"])
+    known = known.groupBy(*block).agg(F.collect_list(F.struct("passage", "places")).alias("known"))
+    blocks = sized.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "passage", "length"))).alias("rows"))
+    blocks = ordered.cut_lineage(blocks.join(known, block, "left"))
+    spelled = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys)
+    # Only blocks that another one of the book follows have to be summed up.
+    several = blocks.groupBy(*keys).agg(F.max("__blk").alias("__last"), F.count("*").alias("__n")).where("__n > 1")
+    followed = blocks.join(several, keys).where("__blk < __last").select(*blocks.columns)
+    maps = followed.mapInArrow(_composed(keys), f"{spelled}, __blk long, lows array<long>, values array<long>, tail long")
+    chained = blocks.select(*block).join(several.select(*keys), keys, "left_semi").join(maps, block, "left")
+    entries = chained.groupBy(*keys).applyInPandas(_entered(keys), f"{spelled}, __blk long, entry long")
+    begun = blocks.join(entries, block, "left").withColumn("entry", F.coalesce("entry", F.lit(0).cast("long")))
+    found = begun.mapInArrow(_searched(keys, fallback), f"{spelled}, seg_idx int, passage long, pos long")
+    ends = places.groupBy(*book, "passage", "pos").agg(F.min("start").alias("start"), F.min("end").alias("end"))
+    none = F.lit(-1)
+    return found.join(ends, [*book, "passage", "pos"], "left").select(
+        *keys, "seg_idx", F.coalesce("start", none).cast("int").alias("start"), F.coalesce("end", none).cast("int").alias("end")
+    )
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: list[str], bucket: int = 4096) -> DataFrame:

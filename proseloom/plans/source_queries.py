@@ -315,9 +315,9 @@ def model_response_quarantine(t: Inputs):
 # ---------------------------------------------------------------- streams
 
 
-def _run(t: Inputs, stream, label: str, mode: str = "append"):
-    """Run a stream over everything there is and read what it wrote."""
-    out = _folder(t, label)
+def _run(t: Inputs, stream, label: str, mode: str = "append", out: str | None = None):
+    """Run a stream over everything there is, from its checkpoint in ``out`` if there is one, and read what it wrote."""
+    out = out or _folder(t, label)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state")
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{out}/rows")
@@ -332,17 +332,43 @@ def _event_stream(t: Inputs):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
 
 
+# Events in the order of their ids, in several files; the last one brings some of the first again.
+_PARTS = 4
+_PART = f"CAST(floor((event_id - lo) * {_PARTS} / (hi - lo + 1)) AS INT)"
+_BOUNDS = "(SELECT min(event_id) AS lo, max(event_id) AS hi FROM {events}) b"
+_RESENT = f"event_id % 50 = 0 AND {_PART} = 0"
+
+
+def _run_restarted(t: Inputs, build, label: str, mode: str, resend: bool = False):
+    """Run a stream over one part of the files after the other, each time from its checkpoint."""
+    folder, out, result = _folder(t, f"{label}-files"), _folder(t, label), None
+    low, high = t.table("events").agg(F.min("event_id"), F.max("event_id")).first()
+    placed = t.table("events").withColumns({"lo": F.lit(low), "hi": F.lit(high)})
+    with SQ.stateful(t.spark):
+        for part in range(_PARTS):
+            rows = placed.where(f"{_PART} = {part}")
+            if resend and part == _PARTS - 1:
+                rows = rows.unionByName(placed.where(_RESENT))
+            # The rows of a file are in no order.
+            rows.drop("lo", "hi").sortWithinPartitions(F.xxhash64("event_id")).write.parquet(f"{folder}/{part}")
+            stream = t.spark.readStream.schema(t.table("events").schema).parquet(f"{folder}/*")
+            result = _run(t, build(stream), label, mode, out)
+    return result
+
+
 @query(
     "streaming_qc",
     """SELECT event_type AS question_type, count(*) AS total, count_if(event_id % 5 = 0)::BIGINT AS with_verdict,
               count_if(event_id % 2 = 0)::BIGINT AS agreements FROM events GROUP BY event_type""",
 )
 def streaming_qc(t: Inputs):
-    decisions = _event_stream(t).selectExpr(
-        "event_type AS question_type", "CASE WHEN event_id % 5 = 0 THEN true END AS human_verdict",
-        "event_id % 2 = 0 AS is_agreement",
-    )
-    return _run(t, SQ.task_totals(decisions), "totals", "complete")
+    def build(events):
+        return SQ.task_totals(events.selectExpr(
+            "event_type AS question_type", "CASE WHEN event_id % 5 = 0 THEN true END AS human_verdict",
+            "event_id % 2 = 0 AS is_agreement",
+        ))
+
+    return _run_restarted(t, build, "totals", "complete")
 
 
 def _settled(t: Inputs):
@@ -381,8 +407,28 @@ def streaming_late_verdicts(t: Inputs):
     return SQ.late_counts(_settled(t))
 
 
-@query("streaming_emotion_arc", f"{ARC_SQL} SELECT doc_id, char_id, line_idx, intensity, FALSE AS is_dropped FROM arc")
+def _streamed_arc(t: Inputs):
+    def build(events):
+        source = Inputs(t.spark, t.folder)
+        source.table = lambda _name: events
+        return SQ.emotion_arc_stream(_arc_events(source))
+
+    return _run_restarted(t, build, "arc", "append", resend=True)
+
+
+@query(
+    "streaming_emotion_arc",
+    f"""{ARC_SQL} SELECT doc_id, char_id, line_idx, intensity, FALSE AS is_dropped FROM arc
+    UNION ALL SELECT user_id % 10, 'u' || user_id, event_id, NULL, TRUE FROM events, {_BOUNDS.format(events="events")} WHERE {_RESENT}""",
+)
 def streaming_emotion_arc(t: Inputs):
-    source = Inputs(t.spark, t.folder)
-    source.table = lambda _name: _event_stream(t)
-    return _run(t, SQ.emotion_arc_stream(_arc_events(source)), "arc")
+    return _streamed_arc(t)
+
+
+@query(
+    "streaming_dropped_rows",
+    f"""SELECT user_id % 10 AS doc_id, 'u' || user_id AS char_id, count(*) AS kept, count_if({_RESENT})::BIGINT AS dropped
+    FROM events, {_BOUNDS.format(events="events")} GROUP BY ALL""",
+)
+def streaming_dropped_rows(t: Inputs):
+    return SQ.dropped_rows(_streamed_arc(t))

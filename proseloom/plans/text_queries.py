@@ -325,24 +325,37 @@ def insert_rows(t: Inputs):
 
 @query(
     "locate_in_source",
-    # Sentences come from the text in order, so each one stands at the first place
-    # after the one before; checked by cutting the range out of the text again.
-    f"""WITH {SENTENCES}
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS INT) AS seg_idx,
-           regexp_replace(text, '{SQL_WS}+', ' ', 'g') AS found
-    FROM sent WHERE text <> ''""",
+    # Sentence by sentence from the search pointer on, over the text with white space squeezed.
+    f"""WITH RECURSIVE {SENTENCES},
+    segs AS MATERIALIZED (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS i,
+             regexp_replace(text, '{SQL_WS}+', ' ', 'g') AS needle
+      FROM sent WHERE text <> ''),
+    hay AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(text, '{SQL_WS}+', ' ', 'g')) AS hay FROM documents),
+    walk AS (
+      SELECT doc_id, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pointer, CAST(-1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n FROM hay
+      UNION ALL
+      SELECT doc_id, i, CASE WHEN p > 0 THEN pointer + p - 1 + n ELSE pointer END,
+             CASE WHEN p > 0 THEN pointer + p - 1 ELSE strpos(hay, needle) - 1 END, n
+      FROM (SELECT w.doc_id, s.i, w.pointer, s.needle, h.hay, length(s.needle) AS n, strpos(substr(h.hay, w.pointer + 1), s.needle) AS p
+            FROM walk w JOIN segs s ON s.doc_id = w.doc_id AND s.i = w.i + 1 JOIN hay h ON h.doc_id = w.doc_id) q),
+    toks AS MATERIALIZED (
+      SELECT doc_id, k, t, ltrim(t, {SP}) AS w
+      FROM (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k
+            FROM (SELECT doc_id, regexp_extract_all(text, '{SQL_WS}*{SQL_NON_WS}+') AS t FROM documents) a) b),
+    words AS MATERIALIZED (
+      SELECT doc_id, sum(length(t)) OVER o - length(w) AS src, sum(length(w) + 1) OVER o - length(w) - 1 AS flat
+      FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+    first AS (
+      SELECT w.doc_id, w.i, w.pos, w.n, x.src + w.pos - x.flat AS start
+      FROM walk w ASOF JOIN words x ON w.doc_id = x.doc_id AND x.flat <= w.pos WHERE w.i >= 0 AND w.pos >= 0)
+    SELECT f.doc_id, CAST(f.i AS INT) AS seg_idx, CAST(f.start AS INT) AS start, CAST(x.src + f.pos + f.n - x.flat AS INT) AS "end"
+    FROM first f ASOF JOIN words x ON f.doc_id = x.doc_id AND x.flat <= f.pos + f.n - 1
+    UNION ALL SELECT doc_id, CAST(i AS INT), -1, -1 FROM walk WHERE i >= 0 AND pos < 0""",
 )
 def locate_in_source(t: Inputs):
     docs = t.documents.select("doc_id", "text")
-    # The sentences of a book come out of its one text cell: one block holds them.
-    placed = RG.locate_in_source(X.sentence_split(docs), docs)
-    return placed.join(docs, "doc_id").select(
-        "doc_id",
-        "seg_idx",
-        F.regexp_replace(
-            T.from_offset(F.col("text"), F.col("start"), F.col("end") - F.col("start")), f"{T.WS}+", " "
-        ).alias("found"),
-    )
+    return RG.locate_in_source(X.sentence_split(docs), docs)
 
 
 @query(

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import staging as S
+from ..operators import staging
+from ..operators.staging import START, step_intensity
+
+# The process that prepares a stateful operator on the driver does not see shipped packages.
+for _module in (staging.__name__, __name__):
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
 
 
 def task_totals(decisions: DataFrame) -> DataFrame:
@@ -57,39 +67,78 @@ def late_counts(settled: DataFrame) -> DataFrame:
 
 
 ARC_SCHEMA = "doc_id bigint, char_id string, line_idx bigint, intensity double, is_dropped boolean"
-_ARC_STATE = "level double, line_idx bigint, dropped bigint"
-
-
-def _arc(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    level, seen, dropped = state.get if state.exists else (S.START, -1, 0)
-    rows = pd.concat(list(batches)).sort_values("line_idx")
-    out = []
-    for row in rows.itertuples(index=False):
-        late = row.line_idx <= seen
-        if late:
-            dropped += 1
-        else:
-            level = S.step_intensity(level, row.baseline, row.trigger, row.lines)
-            seen = int(row.line_idx)
-        out.append((key[0], key[1], row.line_idx, float("nan") if late else level, late))
-    state.update((level, seen, dropped))
-    yield pd.DataFrame(out, columns=[f.split()[0] for f in ARC_SCHEMA.split(", ")])
-
-
-def emotion_arc_stream(events: DataFrame) -> DataFrame:
+_ARC_STATE = "level double, line_idx bigint"
+# State with a time to live needs this store. A run over what there is must not go on for the sake of its clocks.
+_STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Session settings under which streams with expiring state start and end; as before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in _STATEFUL}
+    for key, value in _STATEFUL.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+class ArcState(StatefulProcessor):
+    """Level and last line of one character, forgotten ``idle_ms`` after they last changed."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.arc = handle.getValueState("arc", _ARC_STATE, self.idle_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        level, seen = self.arc.get() if self.arc.exists() else (START, -1)
+        out = []
+        for row in pd.concat(list(rows)).sort_values("line_idx").itertuples(index=False):
+            late = row.line_idx <= seen
+            if not late:
+                level = step_intensity(level, row.baseline, row.trigger, row.lines)
+                seen = int(row.line_idx)
+            out.append((key[0], key[1], row.line_idx, None if late else level, late))
+        self.arc.update((level, seen))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in ARC_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def emotion_arc_stream(events: DataFrame, idle: timedelta = timedelta(days=7)) -> DataFrame:
     """Emotion recurrence per character over a stream of events.
 
-    Within a micro-batch rows are taken in line order; a row older than the last
-    one seen is marked as dropped. Write in append mode.
+    Within a micro-batch rows are taken in line order; a row that is not newer than the last
+    one seen is marked as dropped and changes nothing (:func:`dropped_rows` counts
+    these). The state of a character that gets no rows for ``idle`` expires; one that
+    comes back begins anew. Write in append mode, within :func:`stateful`.
     """
     rows = events.select(
         "doc_id",
         "char_id",
         "line_idx",
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("baseline", F.lit(S.START)))).alias("baseline"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("baseline", F.lit(START)))).alias("baseline"),
         F.coalesce("trigger_strength", F.lit(0.0)).alias("trigger"),
         F.greatest(F.lit(1), F.coalesce("lines_since", F.lit(1))).cast("int").alias("lines"),
     )
-    return rows.groupBy("doc_id", "char_id").applyInPandasWithState(
-        _arc, ARC_SCHEMA, _ARC_STATE, "append", "NoTimeout"
+    return rows.groupBy("doc_id", "char_id").transformWithStateInPandas(
+        ArcState(int(idle.total_seconds() * 1000)), ARC_SCHEMA, "append", "processingTime"
+    )
+
+
+def dropped_rows(streamed: DataFrame) -> DataFrame:
+    """How many rows of each character the stream kept and dropped."""
+    return streamed.groupBy("doc_id", "char_id").agg(
+        F.count_if(~F.col("is_dropped")).alias("kept"), F.count_if("is_dropped").alias("dropped")
     )
