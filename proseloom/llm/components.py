@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node of the component of every node in ``edges`` (``a, b``).
 
     Each round ties every larger neighbour of a node to its least neighbour, then every
     smaller one, until the edges form stars and stay as they are. Only counts and a
-    checksum reach the driver. Rounds are cut by checkpoints.
+    checksum reach the driver. Each round stores its edges and deletes those of the one before.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = cut(pairs)
-    state = None
-    for _ in range(rounds):
+    (pairs, folder), state = stored(pairs), None
+    while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # Large star: neighbours above a node go to its least neighbour.
@@ -27,12 +27,12 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         down = large.where("a > b")
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        pairs = cut(small.where("a <> b").distinct())
+        after, written = stored(small.where("a <> b").distinct())
+        discard(spark, folder)
+        pairs, folder = after, written
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("the components did not settle")
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -16,30 +16,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, small_batches, text_bytes
+from .common import discard, mixed, small_batches, stored, text_bytes
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-# Representatives every text of a bucket is compared with, before whole groups are.
+# Rounds in which every text of a bucket is compared with one representative, before whole groups are.
 PIVOTS = 3
 _random = np.random.Generator(np.random.Philox(key=[10, 20_011]))
 LETTER = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-# Bytes of a word: letters and digits, and all bytes of characters beyond ASCII.
+# Bytes of a word once all other signs became spaces: letters and digits.
 IN_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 
 
 def shingles_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the five-word shingles of all texts, and the number of each text's.
 
-    Words are lower-case. Shorter texts have one shingle of all their words; a text
-    without words has none.
+    Words are runs of letters and digits in lower case. Shorter texts have one shingle of all
+    their words; a text without words has none.
     """
     lowered = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
     data, offsets = text_bytes(lowered)
+    if len(data) and data.max() >= 128:
+        # Signs beyond ASCII: only letters and digits stay.
+        data, offsets = text_bytes(pc.replace_substring_regex(lowered, r"[^\p{L}\p{N}]+", " "))
     count = len(offsets) - 1
     inside = IN_WORD[data] if len(data) else np.zeros(0, bool)
     begins = inside.copy()
@@ -143,16 +146,16 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def regions(documents: DataFrame) -> DataFrame:
-    """``text_id, regions``: the weighted shingle set of every text, for exact comparison."""
+    """``text_id, size, regions``: the weighted shingle set of every text, for exact comparison."""
 
     def run(batches):
         for batch in batches:
             found, numbers = regions_of(batch["text"])
             ends = pa.array(np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(found.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["text_id"], lists], names=["text_id", "regions"])
+            yield pa.RecordBatch.from_arrays([batch["text_id"], pa.array(numbers, pa.int64()), lists], names=["text_id", "size", "regions"])
 
-    return documents.select("text_id", "text").mapInArrow(run, "text_id long, regions array<long>")
+    return documents.select("text_id", "text").mapInArrow(run, "text_id long, size long, regions array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -160,9 +163,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left = sets.select(F.col("text_id").alias("a"), F.col("regions").alias("ra"))
     right = sets.select(F.col("text_id").alias("b"), F.col("regions").alias("rb"))
     # Sizes alone rule out pairs that cannot be similar enough, before any set is sent.
-    sizes = sets.select("text_id", F.size("regions").alias("n"))
-    sized = pairs.join(sizes.select(F.col("text_id").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.join(sizes.select(F.col("text_id").alias("b"), F.col("n").alias("nb")), "b")
+    sized = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("size").alias("na")), "a")
+    sized = sized.join(sets.select(F.col("text_id").alias("b"), F.col("size").alias("nb")), "b")
     fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
     met = sized.where(fits).select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ra", "rb"))
@@ -176,7 +178,7 @@ def _able(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
     text of which too much stands nowhere else is similar to none, and leaves; then
     the same is asked of the rest once more.
     """
-    left = sets.select("text_id", F.size("regions").alias("size"), "regions")
+    left = sets.select("text_id", "size", "regions")
     for _ in range(rounds):
         counts = left.select("text_id", F.explode("regions").alias("region")).groupBy("region")
         alone = counts.agg(F.count("*").alias("n"), F.min("text_id").alias("text_id")).where("n = 1")
@@ -186,8 +188,8 @@ def _able(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
     return left
 
 
-def _possible(able: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of texts from different components that their rarest shingles do not rule out.
+def _possible(able: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """Pairs ``a, b`` (and the folder they are read from) of texts from different components that their rarest shingles do not rule out.
 
     Shingles are put in order from the rarest on. Two texts that are similar enough
     share one among the first of both: with fewer, too little would be left to share.
@@ -199,14 +201,15 @@ def _possible(able: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     placed = each.join(counts, "region").withColumn("place", F.row_number().over(ordered))
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
     rare = placed.where((F.col("place") <= first) & (F.col("n") > 1)).join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
-    rare = cut(rare.select("region", "text_id", "size", "place", F.coalesce("root", "text_id").alias("root")))
+    rare, folder = stored(rare.select("region", "text_id", "size", "place", F.coalesce("root", "text_id").alias("root")))
     left = rare.select("region", *[F.col(c).alias(f"{c}_a") for c in ("text_id", "size", "place", "root")])
     right = rare.select("region", *[F.col(c).alias(f"{c}_b") for c in ("text_id", "size", "place", "root")])
     rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
     needed = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9
     fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
     met = (left["region"] == right["region"]) & (F.col("text_id_a") > F.col("text_id_b")) & (F.col("root_a") != F.col("root_b")) & fits & (rest >= needed)
-    return left.join(right, met).select(F.col("text_id_a").alias("a"), F.col("text_id_b").alias("b")).distinct()
+    pairs = left.join(right, met).select(F.col("text_id_a").alias("a"), F.col("text_id_b").alias("b")).distinct()
+    return pairs, folder
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,10 +224,12 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     at most is kept. Null ids stay apart from all others, with ``kept`` true. An empty
     table gives an empty result; other columns are not read.
 
-    Of equal texts only one goes on. In a bucket of equal
-    band keys every text is compared with a few representatives. Where that leaves a
-    bucket in several components, all pairs across components are compared that their
-    sizes and rarest shingles do not rule out; none is compared within a component,
+    Of equal texts only one goes on. In a bucket of equal band keys every text is compared
+    with a representative: the text that meets most others, over all its buckets, as it has
+    least of its own. While a bucket is in several components, the next representative is
+    the one among the texts outside the components of those before. Where a few rounds
+    leave a bucket in several components, all pairs across components are compared that
+    their sizes and rarest shingles do not rule out; none is compared within a component,
     which cannot change the classes.
     """
     spark = documents.sparkSession
@@ -232,34 +237,71 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     keyed = named.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
     groups = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("text_id"))
-    members = cut(keyed.join(groups, ["h1", "h2"]).select("doc_id", "text_id").distinct())
+    members, _ = stored(keyed.join(groups, ["h1", "h2"]).select("doc_id", "text_id").distinct())
     heads = members.where("doc_id = text_id").select("text_id")
+    # Several texts of one id are tied to each other.
+    tied = members.groupBy("doc_id").agg(F.min("text_id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    tied = members.join(tied, "doc_id").where("text_id <> b").select(F.col("text_id").alias("a"), "b")
     # A signature is far smaller than its text, so copies leave after signing.
     whole = named.select(F.col("doc_id").alias("text_id"), "text")
     bands = signatures(whole).join(heads, "text_id", "left_semi").select("text_id", F.explode("bands").alias("band")).distinct()
-    busy = bands.groupBy("band").agg(
-        F.count("*").alias("n"),
-        *[F.min_by("text_id", F.xxhash64("text_id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)],
-    )
-    busy = busy.where("n > 1").select("band", F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots"))
-    shared = cut(bands.join(busy, "band"))
-    stars = shared.select(F.col("text_id").alias("a"), F.explode("pivots").alias("b")).where("a <> b")
-    stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    bands, bands_folder = stored(bands)
+    busy = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met, met_folder = stored(bands.join(busy, "band"))
+    discard(spark, bands_folder)
+    weights = met.groupBy("text_id").agg(F.sum("n").alias("weight"))
+    shared, shared_folder = stored(met.join(weights, "text_id").select("band", "text_id", "weight"))
+    discard(spark, met_folder)
     wanted = shared.select("text_id").distinct()
-    sets = cut(regions(whole.join(wanted, "text_id", "left_semi")))
-    edges = cut(verified(stars, sets, similarity))
-    roots = components(edges)
+    # An id with several texts has its set by the text that heads its copies, and by the others.
+    sets, sets_folder = stored(regions(whole.join(wanted, "text_id", "left_semi")))
+
+    central = F.struct("weight", (-F.col("text_id")).alias("low"))
+    edges, old, compared = [tied], [sets_folder, shared_folder], None
+    nodes = "node long, root long"
+    roots = components(tied) if tied.take(1) else spark.createDataFrame([], nodes)
+    past = spark.createDataFrame([], "band long, used long")
+    for _ in range(PIVOTS):
+        placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+        placed = placed.withColumn("root", F.coalesce("root", "text_id"))
+        open_ = placed.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
+        placed = placed.join(open_, "band", "left_semi")
+        # The components of earlier representatives of the bucket have had theirs.
+        had = past.join(roots.withColumnRenamed("node", "used"), "used", "left")
+        had = had.select("band", F.coalesce("root", "used").alias("root")).distinct()
+        fresh = placed.join(had, ["band", "root"], "left_anti")
+        chosen = fresh.groupBy("band").agg(F.max_by(F.struct("text_id", "root"), central).alias("p"))
+        chosen, folder = stored(chosen.select("band", F.col("p.text_id").alias("used"), F.col("p.root").alias("part")))
+        stars = placed.join(chosen, "band").where("root <> part").select(F.col("text_id").alias("a"), F.col("used").alias("b"))
+        stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if compared is not None:
+            stars = stars.join(compared, ["a", "b"], "left_anti")
+        stars, stars_folder = stored(stars)
+        old += [folder, stars_folder]
+        if not stars.take(1):
+            break
+        found, found_folder = stored(verified(stars, sets, similarity))
+        old.append(found_folder)
+        compared = stars if compared is None else compared.union(stars)
+        past = past.union(chosen.select("band", "used"))
+        if found.take(1):
+            edges.append(found)
+            roots = components(_joined(edges))
 
     # Buckets whose texts are not all in one component yet: compare across components.
-    placed = shared.select("text_id", "band").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+    placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
     placed = placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root"))
-    parts = placed.select("band", "root").distinct()
-    split = parts.groupBy("band").agg(F.count("*").alias("parts"))
-    open_ = placed.join(split.where("parts > 1").select("band"), "band", "left_semi").select("text_id").distinct()
-    able = cut(_able(sets.join(open_, "text_id", "left_semi"), similarity))
-    across = _possible(able, roots, similarity)
-    more = verified(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
-    roots = components(cut(edges.union(more)))
+    split = placed.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
+    open_ = placed.join(split, "band", "left_semi").select("text_id").distinct()
+    if compared is not None and open_.take(1):
+        able, able_folder = stored(_able(sets.join(open_, "text_id", "left_semi"), similarity))
+        across, rare_folder = _possible(able, roots, similarity)
+        more, more_folder = stored(verified(across.join(compared, ["a", "b"], "left_anti"), sets, similarity))
+        old += [able_folder, rare_folder, more_folder]
+        if more.take(1):
+            roots = components(_joined([*edges, more]))
+    for folder in old:
+        discard(spark, folder)
 
     classes = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
     classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("root", "text_id")).alias("class_id"))
@@ -269,3 +311,10 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     known = known.select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("k") == 1)).alias("kept"))
     unnamed = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return known.union(unnamed)
+
+
+def _joined(edges: list[DataFrame]) -> DataFrame:
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.union(more)
+    return out

@@ -128,6 +128,25 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert near_duplicates.near_duplicates(nothing).collect() == []
 
 
+def test_ids_with_several_texts_tie_them(ready):
+    draw = random.Random(12)
+    a, b, c = prose(draw, 80), prose(draw, 80), prose(draw, 80)
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c), (7, c.replace(" ", "  ")), (8, prose(draw, 80)), (8, None), (9, "")]
+    found = near_duplicates.near_duplicates(ready.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == {(3, 3), (4, 3), (5, 3), (6, 6), (7, 6), (8, 8), (9, 9)}
+    assert sorted(r.doc_id for r in found if r.kept) == [3, 6, 8, 9]
+
+
+def test_typographic_signs_part_words(ready):
+    draw = random.Random(13)
+    words = prose(draw, 60).split()
+    plain = " ".join(words)
+    signs = " ".join(words[:10]) + "\u2014" + " ".join(words[10:30]) + " \u201c" + " ".join(words[30:40]) + "\u201d\u2026" + " ".join(words[40:])
+    rows = [(1, plain), (2, signs), (3, " ".join(f"é{w}" for w in words)), (4, "·".join(f"é{w}" for w in words)), (5, "漢字かな" * 9), (6, "漢字かな" * 9 + "。")]
+    found = near_duplicates.near_duplicates(ready.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def test_components_of_long_paths(ready):
     draw = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 300) if i % 50] + [(draw.randint(400, 500), draw.randint(400, 500)) for _ in range(80)]
