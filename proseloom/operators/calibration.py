@@ -9,14 +9,19 @@ from ..functions import text as T
 from ..functions import vectors as V
 from . import qc as Q
 from . import ordered, ranges
+from .ordered import cut_lineage
 
 
 # fixed values: search range, tolerance margin and sample size of the fit
 T_MIN, T_MAX, PEG_MARGIN, MIN_SAMPLES = 0.05, 10.0, 0.015, 30
 
 
+# Probabilities are kept this far from 0 and 1.
+CLIP = 1e-6
+
+
 def logit(p: Column) -> Column:
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    q = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p))
     return F.ln(q / (1 - q))
 
 
@@ -58,42 +63,56 @@ def calibration_ece_brier(rows: DataFrame, bins: int = 10) -> DataFrame:
     )
 
 
-# Tasks whose fits are held in the driver and sent to all executors.
-MOST_TASKS = 10_000
+# Rounds are far more than the search needs; each one at least halves a bracket.
+FIT_ROUNDS = 100
 
 
-def fit_temperature(rows: DataFrame, rounds: int = 6, points: int = 25) -> DataFrame:
+def fit_temperature(rows: DataFrame) -> DataFrame:
     """Temperature with the lowest log loss per task.
 
-    The loss has one minimum, so each round scores a grid over the current
-    bracket of every task at once and keeps the two grid steps around the best
-    point. A round is one aggregate over counts per distinct probability and
-    verdict, with a sum for each grid point; the brackets, a row for each of at most
-    ``MOST_TASKS`` tasks, are sent to the rows.
+    The loss is convex in the inverse temperature, so its minimum is the root of its
+    slope. A round takes two sums per task, slope and curvature, over the counts of each
+    distinct probability and verdict; a Newton step follows, kept between the bounds known
+    so far. Where no logit differs from zero, the highest temperature counts.
     """
-    spark = rows.sparkSession
     counts = rows.groupBy("question_type", "p", "y").agg(F.count(F.lit(1)).alias("n"))
     counts = cut_lineage(counts.withColumn("z", logit(F.col("p"))))
-    tasks = counts.groupBy("question_type").agg(F.sum("n").alias("n")).limit(MOST_TASKS + 1).collect()
-    if len(tasks) > MOST_TASKS:
-        raise ValueError(f"more than {MOST_TASKS} tasks")
-    brackets = {row.question_type: (T_MIN, T_MAX) for row in tasks}
-    for _ in range(rounds if tasks else 0):
-        held = [(task, low, (high - low) / (points - 1)) for task, (low, high) in brackets.items()]
-        grid = F.broadcast(spark.createDataFrame(held, "question_type string, lo double, step double"))
-        losses = [
-            F.sum(F.col("n") * _nll(F.col("z"), F.col("y"), F.col("lo") + i * F.col("step"))).alias(f"l{i}") for i in range(points)
-        ]
-        for row in counts.join(grid, "question_type").groupBy("question_type", "lo", "step").agg(*losses).collect():
-            # Of equal losses the highest temperature counts.
-            _, best = min((row[f"l{i}"], -(row.lo + i * row.step)) for i in range(points))
-            brackets[row.question_type] = (max(T_MIN, -best - row.step), min(T_MAX, -best + row.step))
-    bracket = spark.createDataFrame(
-        [(row.question_type, row.n, *brackets[row.question_type]) for row in tasks],
-        "question_type string, sample_count long, lo double, hi double",
+    least, most = 1 / T_MAX, 1 / T_MIN
+    state = counts.groupBy("question_type").agg(F.sum("n").alias("sample_count")).select(
+        "*", F.lit(1.0).alias("s"), F.lit(least).alias("lo"), F.lit(most).alias("hi"), F.lit(False).alias("done")
     )
-    fitted = F.round((F.col("lo") + F.col("hi")) / 2, 4)
-    out = bracket.withColumn("fitted_temperature", fitted)
+    state = cut_lineage(state)
+    for _ in range(FIT_ROUNDS):
+        if not state.where("NOT done").take(1):
+            break
+        q = 1 / (1 + F.exp(-F.col("z") * F.col("s")))
+        sums = counts.join(state.where("NOT done").select("question_type", "s"), "question_type").groupBy("question_type").agg(
+            F.sum(F.col("n") * F.col("z") * (q - F.col("y"))).alias("slope"),
+            F.sum(F.col("n") * F.col("z") * F.col("z") * q * (1 - q)).alias("bend"),
+        )
+        s, slope = F.col("s"), F.col("slope")
+        flat = (F.col("bend") == 0) & (slope == 0)
+        # At an end of the range the slope may still lead outwards: the end it is.
+        pegged = ((s >= most) & (slope <= 0)) | ((s <= least) & (slope >= 0))
+        lo, hi = F.when(slope < 0, s).otherwise(F.col("lo")), F.when(slope >= 0, s).otherwise(F.col("hi"))
+        step = F.when(F.col("bend") > 0, s - slope / F.col("bend")).otherwise(F.when(slope < 0, F.lit(most)).otherwise(F.lit(least)))
+        # Ends of the range that were not looked at yet are tried themselves.
+        inner = (F.col("low") + F.col("high")) / 2
+        bounded = (
+            F.when((F.col("step") >= F.col("high")) & (F.col("high") < most) | (F.col("step") <= F.col("low")) & (F.col("low") > least), inner)
+            .otherwise(F.least(F.greatest(F.col("step"), F.col("low")), F.col("high")))
+        )
+        now = state.join(sums, "question_type", "left").withColumns({"low": lo, "high": hi, "step": step, "flat": flat, "pegged": pegged})
+        now = now.withColumn("next", F.when(F.col("flat"), F.lit(least)).when(F.col("pegged"), s).otherwise(bounded))
+        settled = F.col("flat") | F.col("pegged") | (F.abs(F.col("next") - s) <= 1e-9 * s)
+        state = cut_lineage(now.select(
+            "question_type",
+            "sample_count",
+            *[F.when(F.col("done"), F.col(old)).otherwise(F.col(new)).alias(old) for old, new in (("s", "next"), ("lo", "low"), ("hi", "high"))],
+            (F.col("done") | settled).alias("done"),
+        ))
+    fitted = F.round(F.greatest(F.lit(T_MIN), F.least(F.lit(T_MAX), 1 / F.col("s"))), 4)
+    out = state.withColumn("fitted_temperature", fitted)
     low = F.abs(F.col("fitted_temperature") - T_MIN) <= PEG_MARGIN
     high = F.abs(F.col("fitted_temperature") - T_MAX) <= PEG_MARGIN
     return out.select(
@@ -348,6 +367,28 @@ def learned_thresholds(cells: DataFrame) -> DataFrame:
     )
 
 
+# Characters of the pieces by which names are looked up.
+PIECE = 3
+
+
+def _contained(inner: DataFrame, short: str, outer: DataFrame, long: str) -> DataFrame:
+    """``doc_id`` and both names, where the ``short`` one (not blank) is a part of the ``long`` one.
+
+    The first piece of the short name is looked up among all pieces of the long names of
+    its book; only names that share it are compared.
+    """
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(long) - size + 1)
+        cut = F.transform(starts, lambda i: F.substr(F.col(long), i, F.lit(size)))
+        return F.when(F.length(long) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*[pieces(size) for size in range(1, PIECE + 1)]))
+    listed = outer.select("doc_id", long, F.explode(every).alias("piece"))
+    sought = inner.where(F.col(short) != "").select("doc_id", short, F.substring(short, 1, PIECE).alias("piece"))
+    return sought.join(listed, ["doc_id", "piece"]).where(F.contains(long, F.col(short))).select("doc_id", short, long)
+
+
 def calibration_candidates(
     segments: DataFrame,
     targets: DataFrame,
@@ -388,10 +429,11 @@ def calibration_candidates(
         "doc_id", "target_id", low("character").alias("c"),
         T.blank_to_null(low("emotion")).alias("e"), F.col("band").alias("b"),
     )
-    names = lines.select("doc_id", "who").distinct()
-    suits = (F.col("c") == "") | F.contains("who", F.col("c")) | F.contains("c", F.col("who"))
-    pairs = wanted.join(names, "doc_id").where(suits)
-    rows = lines.join(pairs, ["doc_id", "who"])
+    names, asked = lines.select("doc_id", "who").distinct(), wanted.select("doc_id", "c").distinct()
+    # A blank name suits every other one of its book, so it needs no search.
+    blank = asked.where("c = ''").join(names, "doc_id").unionByName(asked.where("c <> ''").join(names.where("who = ''"), "doc_id"))
+    pairs = _contained(asked, "c", names, "who").unionByName(_contained(names, "who", asked, "c")).unionByName(blank).distinct()
+    rows = lines.join(wanted.join(pairs, ["doc_id", "c"]), ["doc_id", "who"])
     heard = F.col("line_emotion")
     rows = rows.where(
         F.col("e").isNull() | (heard == "") | F.contains(heard, F.col("e")) | F.contains("e", heard)

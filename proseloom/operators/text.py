@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from . import ordered
+from .ordered import cut_lineage
 
 WSI = T.WS_INLINE
 
@@ -398,59 +397,82 @@ def segment_unmarked(paragraphs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- windows and chunks
 
-_RANGES = ArrayType(
-    StructType([StructField("lo", IntegerType()), StructField("hi", IntegerType())])
-)
-
+def _window_ends(points: DataFrame, max_words: int, overlap: int, block_words: int) -> DataFrame:
+    """``doc_id, lo, hi, next``: where the window from each sentence on ends and where the next one begins.
 
-def _window_ranges(max_words: int, overlap: int):
-    @F.pandas_udf(_RANGES)
-    def ranges(counts: pd.Series) -> pd.Series:
-        def one(words) -> list[tuple[int, int]]:
-            out, lo, n = [], 0, len(words)
-            if sum(words) <= max_words:
-                return [(0, n)]
-            while lo < n:
-                hi, total = lo, 0
-                while hi < n and (hi == lo or total + words[hi] <= max_words):
-                    total += words[hi]
-                    hi += 1
-                out.append((lo, hi))
-                if hi >= n:
-                    break
-                back, shared = hi, 0
-                while back - 1 > lo and shared < overlap:
-                    back -= 1
-                    shared += words[back]
-                lo = max(back, lo + 1)
-            return out
-
-        return counts.map(one)
-
-    return ranges
-
-
-def overlap_windows(manuscripts: DataFrame, max_words: int = 1500, overlap: int = 150) -> DataFrame:
+    ``points``: doc_id, i, b (words before sentence ``i``), with a last row for the end of
+    each text. Both ends are range lookups in ``b``. A text is cut into blocks of
+    ``block_words`` words, and the points near a border belong to both blocks.
+    """
+    blk, size = F.floor(F.col("b") / block_words), F.lit(block_words)
+    around = F.array_distinct(F.array_compact(F.array(
+        blk, F.when((blk > 0) & (F.col("b") - blk * size <= max_words), blk - 1), F.when((blk + 1) * size - F.col("b") <= max_words, blk + 1)
+    )))
+    placed = points.select("*", blk.alias("own"), F.explode(around).alias("blk"))
+    order = W.partitionBy("doc_id", "blk").orderBy("b")
+    ahead = F.max("i").over(order.rangeBetween(0, max_words))
+    behind = F.max("i").over(order.rangeBetween(W.unboundedPreceding, -max(overlap, 1)))
+    found = placed.select("doc_id", "i", "own", "blk", F.greatest(F.col("i") + 1, ahead).alias("hi"), behind.alias("back"))
+    found = cut_lineage(found.where("own = blk").drop("own", "blk"))
+    # The shared part is counted back from the end of the window.
+    shared = found.select("doc_id", F.col("i").alias("hi"), F.col("back").alias("shared"))
+    begin = F.greatest(F.coalesce("shared", F.lit(-1)), F.col("i") + 1) if overlap > 0 else F.col("hi")
+    last = found.groupBy("doc_id").agg(F.max("i").alias("n"))
+    # The row of the end itself has no window.
+    rows = found.drop("back").join(last, "doc_id").where("i < n").join(shared, ["doc_id", "hi"], "left")
+    return rows.select("doc_id", F.col("i").alias("lo"), "hi", F.when(F.col("hi") < F.col("n"), begin).alias("next"))
+
+
+def overlap_windows(
+    manuscripts: DataFrame, max_words: int = 1500, overlap: int = 150, block_words: int = 1 << 20
+) -> DataFrame:
     """Sentence-aligned windows with overlap; a text that fits stays whole.
 
     Sentences keep the white space after them, so they cover the text without a
-    gap. Texts without sentence ends are cut at lines. Python sees word counts only.
+    gap. Texts without sentence ends are cut at lines. Each sentence knows where a window
+    that begins with it ends and where the next one would begin; the windows of a text are those
+    that its first sentence leads to. They are found by doubling these pointers, so a text of
+    many windows takes a few joins.
     """
     mark = "\ue000"
+    text = F.coalesce("text", F.lit(""))
+    size = T.words(text)
+    whole = manuscripts.where(size <= max_words).select(
+        "doc_id", F.lit(0).alias("window_idx"), text.alias("text"), size.alias("word_count")
+    )
     ends = F.when(
         F.col("text").rlike(rf"[.!?](?:{T.WS}|\z)"),
         F.regexp_replace("text", rf"([.!?]{T.WS}+)", f"$1{mark}"),
     ).otherwise(F.regexp_replace("text", r"(\n+)", f"$1{mark}"))
-    base = manuscripts.select(
-        "doc_id", "text", F.filter(F.split(ends, mark, -1), lambda s: s != "").alias("__s")
-    ).withColumn("__w", F.transform("__s", lambda s: T.words(s).cast("int")))
-    rows = base.withColumn("__r", _window_ranges(max_words, overlap)(F.col("__w")))
-    out = rows.select("doc_id", F.posexplode("__r").alias("window_idx", "r"), "__s").select(
-        "doc_id",
-        "window_idx",
-        F.array_join(F.slice("__s", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo")), "").alias("text"),
-    )
-    return out.withColumn("word_count", T.words(F.col("text")))
+    sentences = manuscripts.where(size > max_words).select(
+        "doc_id", F.posexplode(F.filter(F.split(ends, mark, -1), lambda s: s != "")).alias("i", "s")
+    )
+    sentences = cut_lineage(sentences.withColumns({"i": F.col("i").cast("bigint"), "w": T.words(F.col("s"))}))
+    summed = ordered.running(sentences.select("doc_id", "i", "w"), ["doc_id"], "i", {"c": ("sum", F.col("w"))})
+    points = summed.select("doc_id", "i", (F.col("c") - F.col("w")).alias("b"))
+    points = points.unionByName(summed.groupBy("doc_id").agg((F.max("i") + 1).alias("i"), F.max("c").alias("b")))
+    hops = cut_lineage(_window_ends(points, max_words, overlap, block_words))
+
+    reached = cut_lineage(hops.where("lo = 0").select("doc_id", F.col("lo"), F.lit(0).alias("window_idx")))
+    jumps, step = hops.where("next IS NOT NULL").select("doc_id", "lo", "next"), 1
+    while True:
+        # All windows before ``step`` are known; those from there on are as far behind them.
+        more = reached.join(jumps, ["doc_id", "lo"]).select("doc_id", F.col("next").alias("lo"), (F.col("window_idx") + step).alias("window_idx"))
+        more = cut_lineage(more)
+        if not more.take(1):
+            break
+        reached = reached.unionByName(more)
+        onward = jumps.select("doc_id", F.col("lo").alias("next"), F.col("next").alias("then"))
+        jumps = cut_lineage(jumps.join(onward, ["doc_id", "next"]).select("doc_id", "lo", F.col("then").alias("next")))
+        step *= 2
+    held = reached.join(hops.select("doc_id", "lo", "hi"), ["doc_id", "lo"]).select(
+        "doc_id", "window_idx", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("i")
+    )
+    parts = held.join(sentences, ["doc_id", "i"]).groupBy("doc_id", "window_idx").agg(
+        F.sort_array(F.collect_list(F.struct("i", "s"))).alias("parts"), F.sum("w").alias("word_count")
+    )
+    joined = F.array_join(F.transform("parts", lambda p: p["s"]), "")
+    return whole.unionByName(parts.select("doc_id", "window_idx", joined.alias("text"), "word_count"))
 
 
 def fixed_chunks(manuscripts: DataFrame, size: int = 3500) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T
 from . import ordered
@@ -187,55 +187,40 @@ def word_timestamps(takes: DataFrame) -> DataFrame:
         extra = F.when(w.rlike(r"[,\-—;]$"), 3).when(w.rlike(r"[.!?]$"), 5).otherwise(0)
         return F.greatest(F.lit(2), F.length(w) + extra)
 
-    rows = rows.withColumn("__wt", F.transform("w", weight))
-    unit = total / F.aggregate("__wt", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    empty = F.array().cast("array<struct<start:double,end:double,dur:double>>")
-
-    def item(start: Column, end: Column, dur: Column) -> Column:
-        return F.array(F.struct(start.alias("start"), end.alias("end"), dur.alias("dur")))
-
-    rows = rows.withColumn("__unit", unit).withColumn("__n", F.size("w"))
-
-    def share(acc: Column, x: Column) -> Column:
-        is_last = F.size(acc["out"]) == F.col("__n") - 1
-        left = F.greatest(F.lit(0.05), F.round(F.col("duration_s") - acc["at"], 3))
-        dur = F.when(is_last, left).otherwise(F.round(x * F.col("__unit"), 3))
-        start = F.round(acc["at"], 3)
-        return F.struct(
-            F.round(acc["at"] + dur, 3).alias("at"),
-            F.concat(acc["out"], item(start, F.round(start + dur, 3), dur)).alias("out"),
-        )
-
-    shared = F.aggregate(
-        "__wt", F.struct(F.lit(0.0).alias("at"), empty.alias("out")), share, lambda acc: acc["out"]
-    )
+    rows = rows.withColumns({"__wt": F.transform("w", weight), "__n": F.size("w"), "__row": F.monotonically_increasing_id()})
+    rows = rows.withColumn("__unit", total / F.aggregate("__wt", F.lit(0).cast("bigint"), lambda a, x: a + x))
     if "stt_tokens" in takes.columns:
-
-        def heard(acc: Column, tok: Column) -> Column:
-            end = F.least(F.col("duration_s"), tok["timestamp_seconds"])
-            dur = F.greatest(F.lit(0.05), F.round(end - acc["at"], 3))
-            return F.struct(
-                end.alias("at"),
-                F.concat(acc["out"], item(F.round(acc["at"], 3), F.round(end, 3), dur)).alias("out"),
-            )
-
-        tokens = F.aggregate(
-            "stt_tokens", F.struct(F.lit(0.0).alias("at"), empty.alias("out")), heard, lambda acc: acc["out"]
-        )
         observed = F.coalesce(F.size("stt_tokens") == F.col("__n"), F.lit(False))
-        timed = F.when(observed, tokens).otherwise(shared)
-        spoken = F.when(observed, F.transform("stt_tokens", lambda t: t["word"])).otherwise(F.col("w"))
+        heard = F.transform("stt_tokens", lambda t: F.struct(t["word"].alias("word"), F.least(F.col("duration_s"), t["timestamp_seconds"]).alias("end")))
+        rows = rows.withColumn("__heard", F.when(observed, heard))
     else:
-        timed, spoken = shared, F.col("w")
-    zipped = F.arrays_zip(spoken.alias("word"), timed.alias("t"))
-    return rows.select("doc_id", "seg_id", F.posexplode(zipped).alias("word_idx", "x")).select(
+        rows = rows.withColumn("__heard", F.lit(None).cast("array<struct<word:string,end:double>>"))
+    word = F.struct(
+        F.coalesce(F.get("__heard", F.col("__k"))["word"], F.get("w", F.col("__k"))).alias("word"),
+        F.get("__wt", F.col("__k")).alias("weight"),
+        F.get("__heard", F.col("__k"))["end"].alias("heard"),
+        F.coalesce(F.get("__heard", F.col("__k") - 1)["end"], F.lit(0.0)).alias("before"),
+    )
+    each = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(
+        "doc_id", "seg_id", "__row", F.col("__k").alias("word_idx"), "duration_s", "__unit", "__n", F.col("__heard").isNotNull().alias("observed"), word.alias("x")
+    )
+    # Shares are whole milliseconds, so their running sum is exact.
+    part = F.round(F.col("x.weight") * F.col("__unit"), 3)
+    earlier = W.partitionBy("__row").orderBy("word_idx").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.round(part * 1000).cast("bigint")).over(earlier), F.lit(0)) / 1000.0
+    each = each.withColumn("__at", F.when(F.col("observed"), F.col("x.before")).otherwise(at))
+    left = F.greatest(F.lit(0.05), F.round(F.col("duration_s") - F.col("__at"), 3))
+    shared = F.when(F.col("word_idx") == F.col("__n") - 1, left).otherwise(part)
+    told = F.greatest(F.lit(0.05), F.round(F.col("x.heard") - F.col("__at"), 3))
+    length, start = F.when(F.col("observed"), told).otherwise(shared), F.round(F.col("__at"), 3)
+    return each.select(
         "doc_id",
         "seg_id",
         "word_idx",
         F.col("x.word").alias("word"),
-        F.col("x.t.start").alias("start_seconds"),
-        F.col("x.t.end").alias("end_seconds"),
-        F.col("x.t.dur").alias("duration_seconds"),
+        start.alias("start_seconds"),
+        F.when(F.col("observed"), F.round(F.col("x.heard"), 3)).otherwise(F.round(start + length, 3)).alias("end_seconds"),
+        length.alias("duration_seconds"),
     )
 
 

@@ -274,9 +274,9 @@ def with_views(views: list[str], body: str) -> str:
     named = {t: t for t in BASE}
     ctes = [f"{v} AS ({VIEWS[v].strip().format(**named)})" for v in closure(views)]
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        body = ", " + body[5:] if ctes else body
-        return f"WITH {', '.join(ctes)}{body}" if ctes else body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body[: len(start)].upper() == start:
+            return f"{start}{', '.join([*ctes, body[len(start) :]])}"
     return f"WITH {', '.join(ctes)} {body}" if ctes else body
 
 

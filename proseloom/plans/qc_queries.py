@@ -351,7 +351,29 @@ def calibration_ece_brier(t: Inputs):
     return K.calibration_ece_brier(_labelled(t))
 
 
-@query("fit_temperature")
+# The root of the loss slope by halving the range of the inverse temperature, on the same counts.
+_SLOPE = "sum(n * z * (1 / (1 + exp(-z * (lo + hi) / 2)) - y))"
+_FIT = f"""
+    WITH RECURSIVE {_LABELLED},
+    counted AS MATERIALIZED (
+      SELECT question_type, y, ln(q / (1 - q)) AS z, count(*) AS n
+      FROM (SELECT question_type, y, greatest({K.CLIP}::DOUBLE, least(1 - {K.CLIP}::DOUBLE, p)) AS q FROM rows) c GROUP BY ALL),
+    halved AS (
+      SELECT question_type, 0 AS k, 1 / {K.T_MAX}::DOUBLE AS lo, 1 / {K.T_MIN}::DOUBLE AS hi FROM counted GROUP BY question_type
+      UNION ALL
+      SELECT h.question_type, any_value(k) + 1, CASE WHEN {_SLOPE} < 0 THEN any_value((lo + hi) / 2) ELSE any_value(lo) END,
+             CASE WHEN {_SLOPE} < 0 THEN any_value(hi) ELSE any_value((lo + hi) / 2) END
+      FROM halved h JOIN counted c ON h.question_type = c.question_type WHERE k < 60 GROUP BY h.question_type),
+    fits AS (
+      SELECT question_type, {rounded("2 / (lo + hi)", 4)} AS t FROM halved WHERE k = 60),
+    sizes AS (SELECT question_type, sum(n)::BIGINT AS sample_count FROM counted GROUP BY ALL)
+    SELECT question_type, sample_count, t AS fitted_temperature, low OR high AS boundary_pegged,
+           CASE WHEN low THEN 'lower' WHEN high THEN 'upper' END AS pegged_boundary,
+           low OR high OR sample_count < {K.MIN_SAMPLES} AS is_provisional
+    FROM (SELECT *, abs(t - {K.T_MIN}) <= {K.PEG_MARGIN} AS low, abs(t - {K.T_MAX}) <= {K.PEG_MARGIN} AS high FROM fits JOIN sizes USING (question_type)) f"""
+
+
+@query("fit_temperature", _FIT, ["decisions"])
 def fit_temperature(t: Inputs):
     return K.fit_temperature(_labelled(t))
 

@@ -232,7 +232,38 @@ def segment_unmarked(t: Inputs):
     return X.segment_unmarked(t.view("narration").withColumnRenamed("seg_idx", "para_idx"))
 
 
-@query("overlap_windows")
+@query(
+    "overlap_windows",
+    # Window after window from the first sentence on.
+    f"""
+    WITH RECURSIVE sized AS (SELECT doc_id, text, {words("text")} AS n FROM documents),
+    cut AS (
+      SELECT doc_id, list_filter(string_split(CASE WHEN regexp_matches(text, '[.!?]({SQL_WS}|$)')
+          THEN regexp_replace(text, '([.!?]{SQL_WS}+)', '\\1' || chr(57344), 'g')
+          ELSE regexp_replace(text, '(\\n+)', '\\1' || chr(57344), 'g') END, chr(57344)), lambda x: x <> '') AS s
+      FROM sized WHERE n > 1500),
+    sent AS MATERIALIZED (
+      SELECT *, {words("s")} AS w FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS i FROM cut) q),
+    points AS MATERIALIZED (
+      SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS b FROM sent
+      UNION ALL SELECT doc_id, count(*), sum(w) FROM sent GROUP BY doc_id),
+    tops AS (SELECT doc_id, b, max(i) AS i FROM points GROUP BY ALL),
+    lasts AS (SELECT doc_id, max(i) AS n FROM points GROUP BY ALL),
+    hops AS (
+      SELECT a.doc_id, a.i AS lo, greatest(a.i + 1, p.i) AS hi FROM points a ASOF JOIN tops p ON a.doc_id = p.doc_id AND p.b <= a.b + 1500),
+    nexts AS MATERIALIZED (
+      SELECT h.doc_id, h.lo, h.hi, greatest(coalesce(q.i, -1), h.lo + 1) AS nxt, l.n
+      FROM (SELECT h.*, e.b - 150 AS x FROM hops h JOIN points e ON e.doc_id = h.doc_id AND e.i = h.hi) h
+      JOIN lasts l ON l.doc_id = h.doc_id ASOF LEFT JOIN tops q ON q.doc_id = h.doc_id AND q.b <= h.x),
+    walk AS (
+      SELECT doc_id, 0 AS window_idx, CAST(0 AS BIGINT) AS lo FROM lasts
+      UNION ALL
+      SELECT w.doc_id, w.window_idx + 1, x.nxt FROM walk w JOIN nexts x ON x.doc_id = w.doc_id AND x.lo = w.lo WHERE x.hi < x.n)
+    SELECT w.doc_id, w.window_idx, string_agg(s.s, '' ORDER BY s.i) AS text, sum(s.w)::BIGINT AS word_count
+    FROM walk w JOIN nexts x ON x.doc_id = w.doc_id AND x.lo = w.lo JOIN sent s ON s.doc_id = w.doc_id AND s.i >= x.lo AND s.i < x.hi
+    GROUP BY w.doc_id, w.window_idx
+    UNION ALL SELECT doc_id, 0, coalesce(text, ''), coalesce(n, 0) FROM sized WHERE coalesce(n, 0) <= 1500""",
+)
 def overlap_windows(t: Inputs):
     return X.overlap_windows(t.documents)
 

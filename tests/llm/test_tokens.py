@@ -86,6 +86,16 @@ def test_budget_questions(odd, library):
         assert row.fits == len(text) or row.fits >= 40 or len(ids(library, WORD, text[: row.fits + 1])) > 5
 
 
+def test_questions_read_bounded_pieces(odd, library, monkeypatch):
+    rows = token_counts.count_tokens(odd, WORD, keep_prefixes=True).where("doc_id IS NOT NULL")
+    texts = {r.doc_id: r.text or "" for r in odd.where("doc_id IS NOT NULL").collect()}
+    for length in (0, 255, 256, 300, 9_999_999):
+        asked = token_counts.tokens_before(F.col("prefixes"), F.lit(length), F.col("counts"))
+        for row in rows.select("doc_id", asked.alias("head"), "counts", "n_tokens").collect():
+            assert row.head == len(ids(library, WORD, texts[row.doc_id][:length]))
+            assert len(row.counts) == len(texts[row.doc_id]) // token_counts.EVERY
+
+
 def test_query_stores_every_prefix(odd, library, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in odd.where("doc_id IS NOT NULL").collect()}
