@@ -90,9 +90,11 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "item", "size", F.size("words").alias("length"), F.posexplode(hashes).alias("place", "shingle"))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, by_text: bool = False) -> DataFrame:
     """``doc_id, item_id, similarity``: the documents that hold a passage like an item.
 
+    ``by_text`` adds ``text_hash`` (``xxhash64`` of the text) and gives a row for each text of an id.
+
     A document holds it if a window of the item's number of words has a weighted
     Jaccard similarity of at least ``similarity`` to the item and a fingerprint within
     ``radius`` bits; the highest one is given. Windows of any start are compared, except
@@ -130,13 +132,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
 
     # Their shingles, from the texts that have such windows.
     held = texts.join(windows.withColumnRenamed("doc_id", "__id"), (texts["text_hash"] == windows["text_hash"]) & texts["doc_id"].eqNullSafe(F.col("__id")))
-    held = held.select(texts["doc_id"], _words("text").alias("words"), "windows")
+    own = ["doc_id", "text_hash"] if by_text else ["doc_id"]
+    held = held.select(*(texts[c] for c in own), _words("text").alias("words"), "windows")
     of_size = F.array(*[_shingles("words", k) for k in range(1, SHINGLE + 1)])
-    held = held.select("doc_id", of_size.alias("grams"), F.explode("windows").alias("w"))
+    held = held.select(*own, of_size.alias("grams"), F.explode("windows").alias("w"))
     first = F.greatest(F.col("w.start"), F.lit(0))
     last = F.col("w.start") + F.col("w.length") - F.col("w.size")
     inside = F.slice(F.get("grams", F.col("w.size") - 1), first + 1, F.greatest(last - first + 1, F.lit(0)))
-    held = held.select("doc_id", F.col("w.size").alias("size"), F.array_sort(inside).alias("inside"))
+    held = held.select(*own, F.col("w.size").alias("size"), F.array_sort(inside).alias("inside"))
     # Windows of equal content are one: copies and shared passages are compared once.
     held = held.withColumn("window", F.xxhash64("size", "inside")).withColumn("window2", F.xxhash64(F.lit("second"), "inside"))
     held = cut(held.where(F.size("inside") > 0))
@@ -163,5 +166,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     scored = common.join(window_size, "window").join(item_size, "item")
     scored = scored.select("window", "item_id", (F.col("both") / (F.col("nw") + F.col("ni") - F.col("both"))).alias("similarity"))
     scored = scored.where(F.col("similarity") >= similarity)
-    out = held.select("doc_id", F.struct("window", "window2").alias("window")).distinct().join(scored, "window")
-    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    out = held.select(*own, F.struct("window", "window2").alias("window")).distinct().join(scored, "window")
+    return out.groupBy(*own, "item_id").agg(F.max("similarity").alias("similarity"))

@@ -25,6 +25,8 @@ BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 # Rounds in which every text of a bucket is compared with one representative, before whole groups are.
 PIVOTS = 3
+# Ids of texts up to this number go to every executor, so that the other rows are not shuffled; more are joined.
+BROADCAST_IDS = 1_000_000
 _random = np.random.Generator(np.random.Philox(key=[10, 20_011]))
 LETTER = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -158,17 +160,36 @@ def regions(documents: DataFrame) -> DataFrame:
     return documents.select("text_id", "text").mapInArrow(run, "text_id long, size long, regions array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs ``a, b`` of texts those whose exact weighted similarity reaches the limit."""
-    left = sets.select(F.col("text_id").alias("a"), F.col("regions").alias("ra"))
-    right = sets.select(F.col("text_id").alias("b"), F.col("regions").alias("rb"))
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``text_id`` is among ``ids``, distinct ones."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "text_id", "left_semi")
+
+
+def _open_bands(placed: DataFrame, past: DataFrame) -> DataFrame:
+    """The buckets (``band``) in which two texts of different components were not compared yet.
+
+    A representative (``past``: band, used) was compared with all others of its bucket.
+    """
+    rest = placed.join(past.select("band", F.col("used").alias("text_id")), ["band", "text_id"], "left_anti")
+    return rest.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, str]:
+    """Of the pairs ``a, b`` of texts those whose exact weighted similarity reaches the limit, and a folder they need."""
     # Sizes alone rule out pairs that cannot be similar enough, before any set is sent.
     sized = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("size").alias("na")), "a")
     sized = sized.join(sets.select(F.col("text_id").alias("b"), F.col("size").alias("nb")), "b")
     fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-    met = sized.where(fits).select("a", "b").join(left, "a").join(right, "b")
+    pairs, folder = stored(sized.where(fits).select("a", "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    sets = _of_ids(sets, ids)
+    left = sets.select(F.col("text_id").alias("a"), F.col("regions").alias("ra"))
+    right = sets.select(F.col("text_id").alias("b"), F.col("regions").alias("rb"))
     common = F.size(F.array_intersect("ra", "rb"))
-    return met.where(common >= similarity * (F.size("ra") + F.size("rb") - common)).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b")
+    found = found.where(common >= similarity * (F.size("ra") + F.size("rb") - common)).select("a", "b")
+    return found, folder
 
 
 def _able(sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
@@ -252,9 +273,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     weights = met.groupBy("text_id").agg(F.sum("n").alias("weight"))
     shared, shared_folder = stored(met.join(weights, "text_id").select("band", "text_id", "weight"))
     discard(spark, met_folder)
-    wanted = shared.select("text_id").distinct()
-    # An id with several texts has its set by the text that heads its copies, and by the others.
-    sets, sets_folder = stored(regions(whole.join(wanted, "text_id", "left_semi")))
+    # An id with several texts has the sets of all of them.
+    sets, sets_folder = stored(regions(_of_ids(whole, shared.select("text_id").distinct())))
 
     central = F.struct("weight", (-F.col("text_id")).alias("low"))
     edges, old, compared = [tied], [sets_folder, shared_folder], None
@@ -264,8 +284,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     for _ in range(PIVOTS):
         placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
         placed = placed.withColumn("root", F.coalesce("root", "text_id"))
-        open_ = placed.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
-        placed = placed.join(open_, "band", "left_semi")
+        placed = placed.join(_open_bands(placed, past), "band", "left_semi")
         # The components of earlier representatives of the bucket have had theirs.
         had = past.join(roots.withColumnRenamed("node", "used"), "used", "left")
         had = had.select("band", F.coalesce("root", "used").alias("root")).distinct()
@@ -280,8 +299,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         old += [folder, stars_folder]
         if not stars.take(1):
             break
-        found, found_folder = stored(verified(stars, sets, similarity))
-        old.append(found_folder)
+        like, like_folder = verified(stars, sets, similarity)
+        found, found_folder = stored(like)
+        old += [like_folder, found_folder]
         compared = stars if compared is None else compared.union(stars)
         past = past.union(chosen.select("band", "used"))
         if found.take(1):
@@ -291,13 +311,14 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     # Buckets whose texts are not all in one component yet: compare across components.
     placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
     placed = placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root"))
-    split = placed.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
-    open_ = placed.join(split, "band", "left_semi").select("text_id").distinct()
+    open_, open_folder = stored(placed.join(_open_bands(placed, past), "band", "left_semi").select("text_id").distinct())
+    old.append(open_folder)
     if compared is not None and open_.take(1):
-        able, able_folder = stored(_able(sets.join(open_, "text_id", "left_semi"), similarity))
+        able, able_folder = stored(_able(_of_ids(sets, open_), similarity))
         across, rare_folder = _possible(able, roots, similarity)
-        more, more_folder = stored(verified(across.join(compared, ["a", "b"], "left_anti"), sets, similarity))
-        old += [able_folder, rare_folder, more_folder]
+        like, like_folder = verified(across.join(compared, ["a", "b"], "left_anti"), sets, similarity)
+        more, more_folder = stored(like)
+        old += [able_folder, rare_folder, like_folder, more_folder]
         if more.take(1):
             roots = components(_joined([*edges, more]))
     for folder in old:

@@ -95,10 +95,10 @@ def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op9_line_spread"] = lines.LINES_SQL
 
 
-def scored_texts(documents: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+def scored_texts(documents: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
     """Toxicity scores by a model of these texts and a classifier of these labels."""
     model = toxicity.character_model(documents)
-    return toxicity.score(documents, model, toxicity.learn(documents, labels, model), keep)
+    return toxicity.score(documents, model, toxicity.learn(documents, labels, model), keep, name)
 
 
 @query

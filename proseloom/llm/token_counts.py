@@ -16,8 +16,10 @@ from array import array
 from functools import lru_cache
 from itertools import accumulate
 from math import inf
+from operator import sub
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,8 @@ BLANK = re.compile(f"[{SPACE}]*")
 KEPT_CHUNKS = 400_000
 KEPT_PREFIXES = 400_000
 KEPT_LENGTH = 64
+# Prefixes from one stored count to the next.
+EVERY = 256
 # Bytes of prefixes after which a batch is sent.
 SENT_BYTES = 1 << 26
 
@@ -89,7 +93,10 @@ class PrefixCounter:
         self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
         #: By prefix: count and last token inside a longer word.
         self.rows: dict[str, tuple[int, str]] = {}
-        self.words: dict[str, int] = {}
+        #: By prefix: count as a word that ends there.
+        self.ends: dict[str, int] = {}
+        #: By word: counts of its prefixes.
+        self.words: dict[str, list[int]] = {}
         self.kept: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, model.special)) or r"(?!)")
 
@@ -158,6 +165,7 @@ class PrefixCounter:
         rows = self.rows
         if len(rows) >= KEPT_PREFIXES:
             rows.clear()
+            self.ends.clear()
         row = lambda end: rows[symbols[:end]]
         known = len(symbols) - 1
         while known and symbols[:known] not in rows:
@@ -173,23 +181,35 @@ class PrefixCounter:
         spelled = ["".join(LETTERS[b] for b in c.encode("utf-8", "surrogatepass")) for c in text]
         return "".join(spelled), [*accumulate(map(len, spelled))]
 
+    def _ends(self, symbols: str, places) -> list[int]:
+        """Counts of the prefixes of a word's symbols as words of their own; each is found once."""
+        if len(symbols) > KEPT_LENGTH:
+            row = self._row(symbols)
+            return [self._last(symbols, end, self.ending, row)[0] for end in places]
+        known = self.ends
+        out = [known.get(symbols[:end]) for end in places]
+        if None in out:
+            row = self._row(symbols)
+            for k, end in enumerate(places):
+                if out[k] is None:
+                    out[k] = known[symbols[:end]] = self._last(symbols, end, self.ending, row)[0]
+        return out
+
     def word(self, text: str) -> list[int]:
         """Counts of the prefixes of one word, by characters."""
-        symbols, ends = self._symbols(text)
-        row = self._row(symbols)
-        return [self._last(symbols, end, self.ending, row)[0] for end in ends]
-
-    def word_total(self, text: str) -> int:
         known = self.words.get(text)
         if known is None:
-            symbols, ends = self._symbols(text)
-            known = self._last(symbols, ends[-1], self.ending, self._row(symbols))[0]
+            known = self._ends(*self._symbols(text))
             if len(text) <= KEPT_LENGTH:
-                if len(self.words) >= KEPT_CHUNKS:
+                if len(self.words) >= KEPT_CHUNKS // 2:
                     self.words.clear()
                 self.words[text] = known
         return known
 
+    def word_total(self, text: str) -> int:
+        symbols, ends = self._symbols(text)
+        return self._ends(symbols, ends[-1:])[0]
+
     def plain(self, text: str) -> list[int]:
         """Counts of the prefixes of normalised text without white space, from the empty one on."""
         counts = [0]
@@ -237,12 +257,8 @@ class PrefixCounter:
             out.append(counts[at])
         return out
 
-    def chunk(self, chunk: str) -> bytes:
-        """Steps from one prefix of a chunk to the next, as 32-bit numbers."""
-        known = self.kept.get(chunk)
-        if known is not None:
-            return known
-        body = chunk.rstrip(SPACES)
+    def _with_special(self, body: str) -> list[int]:
+        """Counts of the prefixes of raw text without white space that holds special tokens."""
         counts, base, at = [0], 0, 0
         for found in self.special.finditer(body):
             piece = self.normal(body[at : found.start()])
@@ -258,7 +274,16 @@ class PrefixCounter:
             at = found.end()
         piece = self.normal(body[at:])
         counts += [base + c for c in piece[1:]]
-        steps = array("i", [b - a for a, b in zip(counts, counts[1:])]).tobytes() + bytes(4 * (len(chunk) - len(body)))
+        return counts
+
+    def chunk(self, chunk: str) -> bytes:
+        """Steps from one prefix of a chunk to the next, as 32-bit numbers."""
+        known = self.kept.get(chunk)
+        if known is not None:
+            return known
+        body = chunk.rstrip(SPACES)
+        counts = self._with_special(body) if self.special.search(body) else self.normal(body)
+        steps = array("i", map(sub, counts[1:], counts)).tobytes() + bytes(4 * (len(chunk) - len(body)))
         if len(chunk) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_CHUNKS:
                 self.kept.clear()
@@ -267,8 +292,8 @@ class PrefixCounter:
 
     def steps(self, text: str) -> bytes:
         """Steps of the count from each prefix of a text to the next."""
-        blank = BLANK.match(text).end()
-        return bytes(4 * blank) + b"".join(map(self.chunk, CHUNK.findall(text, blank)))
+        blank, kept, chunk = BLANK.match(text).end(), self.kept.get, self.chunk
+        return bytes(4 * blank) + b"".join([kept(c) or chunk(c) for c in CHUNK.findall(text, blank)])
 
     def count(self, text: str) -> int:
         """Tokens of a text: the last of its prefix counts."""
@@ -279,17 +304,22 @@ def _last_count(steps: bytes) -> int:
     return int(np.frombuffer(steps, "<i4").sum())
 
 
+def _counts(steps: bytes) -> np.ndarray:
+    """The counts at every ``EVERY``-th prefix."""
+    return np.cumsum(np.frombuffer(steps, "<i4"))[EVERY - 1 :: EVERY]
+
+
 def _counter(name: str) -> PrefixCounter:
     return resident(("counter", name), lambda: PrefixCounter(MergeModel.load(shipped(name))))
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` and, if asked for, ``prefixes`` of every text.
+    """``doc_id, n_bytes, n_tokens`` and, if asked for, ``prefixes`` and ``counts`` of every text.
 
     ``prefixes`` holds for each code point, as little-endian 32-bit numbers, by how
-    much it changes the count of the prefix that ends with it; ``n_tokens`` is the last
-    count. Null and empty texts
-    have no tokens and empty ``prefixes``. Rows that repeat are counted each; other
+    much it changes the count of the prefix that ends with it, ``counts`` the counts at
+    every 256th code point; ``n_tokens`` is the last count. Null and empty texts have no
+    tokens and empty ``prefixes`` and ``counts``. Rows that repeat are counted each; other
     columns are not read; an empty table gives an empty result.
 
     ``tokenizer`` is a local file of the driver. Every executor gets a copy.
@@ -299,7 +329,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
     name = ship(spark, tokenizer)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())]
-        + [("prefixes", pa.binary())] * keep_prefixes
+        + [("prefixes", pa.binary()), ("counts", pa.list_(pa.int32()))] * keep_prefixes
     )
 
     def count(batches):
@@ -314,7 +344,9 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
                     held += len(steps)
                 if at == batch.num_rows or held >= SENT_BYTES:
                     columns = [batch[c].slice(done, at - done) for c in ("doc_id", "n_bytes")]
-                    columns += [pa.array(totals, pa.int64())] + [pa.array(kept, pa.binary())] * keep_prefixes
+                    columns.append(pa.array(totals, pa.int64()))
+                    if keep_prefixes:
+                        columns += [pa.array(kept, pa.binary()), pa.array(map(_counts, kept), pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     done, totals, kept, held = at, [], [], 0
 
@@ -323,18 +355,25 @@ def count_tokens(documents: DataFrame, tokenizer: str, keep_prefixes: bool = Fal
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.col("text").cast("string").alias("text"),
     )
-    kinds = "doc_id long, n_bytes long, n_tokens long" + ", prefixes binary" * keep_prefixes
+    kinds = "doc_id long, n_bytes long, n_tokens long" + ", prefixes binary, counts array<int>" * keep_prefixes
     return rows.mapInArrow(count, kinds)
 
 
-def tokens_before(prefixes: Column, length: Column) -> Column:
-    """Tokens of the first ``length`` code points, read from the stored prefixes."""
+def tokens_before(prefixes: Column, length: Column, counts: Column | None = None) -> Column:
+    """Tokens of the first ``length`` code points, read from the stored prefixes.
 
-    @F.pandas_udf("long")
-    def look(steps, ends):
-        return steps.combine(ends, lambda s, e: int(np.frombuffer(s, "<i4")[: max(0, int(e))].sum()))
+    With ``counts`` the last stored count before is taken and only the steps after it are read.
+    """
 
-    return look(prefixes, length.cast("long"))
+    @F.pandas_udf("long")
+    def total(steps: pd.Series) -> pd.Series:
+        return steps.map(_last_count)
+
+    most = F.least(F.greatest(length.cast("long"), F.lit(0)), F.floor(F.octet_length(prefixes) / 4))
+    begin = F.floor(most / EVERY) * EVERY if counts is not None else F.lit(0).cast("long")
+    base = F.coalesce(F.get(counts, (most / EVERY).cast("int") - 1), F.lit(0)) if counts is not None else F.lit(0)
+    piece = F.substr(prefixes, (4 * begin + 1).cast("int"), (4 * (most - begin)).cast("int"))
+    return base.cast("long") + total(piece)
 
 
 def longest_prefix(prefixes: Column, budget: Column) -> Column:

@@ -9,7 +9,10 @@ scores the restored words.
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, texts
+from .common import cut, ship, shipped, small_batches, texts
 
 # What a sign may stand for.
 LOOKALIKES = {
@@ -37,10 +40,11 @@ LONGEST = 48
 KEPT = 300_000
 
 CLASSES = 64
-# The model looks back four letters; contexts of that length share a table of this size.
+# The model looks back four letters.
 ORDER = 5
-TABLE = 1 << 21
 SMOOTH = 0.1
+# Runs a task holds before it merges equal ones.
+HELD_RUNS = 4_000_000
 OPENING = "\"'([{«“‘„-_.,;:/<>…"
 TRIMMED = "&%#^=~.,;:!?\"'()[]{}«»“”‘’„|…*_-<>/"
 
@@ -63,13 +67,8 @@ def letter_classes() -> np.ndarray:
     return table
 
 
-def _slots(context: np.ndarray | int, letter: np.ndarray | int):
-    """Place of a context and the letter after it in the shared table."""
-    return ((context * CLASSES + letter) * 0x9E3779B1 >> 7) % TABLE
-
-
 def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of three-letter and of five-letter runs in words.
+    """Counts of all three-letter runs in words, and every five-letter run by its number.
 
     Letters are classes, a repeated letter counts once, the gap between words is class
     0, and nothing before the gap belongs to a run.
@@ -91,42 +90,60 @@ def grams(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # The gap at the beginning is no event.
     real = np.nonzero((last != 0) | (context != 0))[0]
     last, context, short = last[real], context[real], short[real]
-    return np.bincount(short * CLASSES + last, minlength=CLASSES**3), np.bincount(_slots(context, last), minlength=TABLE)
+    return np.bincount(short * CLASSES + last, minlength=CLASSES**3), context * CLASSES + last
+
 
+def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(codes, return_inverse=True)
+    return found, np.bincount(place, counts, len(found)).astype(np.int64)
 
-def character_model(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of a letter after two others, and counts of letters after four, over all texts.
 
-    Both tables have a fixed size. Null and empty texts add nothing; without any text
-    all letters cost the same.
+def character_model(documents: DataFrame) -> tuple[np.ndarray, str]:
+    """Costs of a letter after two others, and a file with counts of letters after four, over all texts.
+
+    The file has the number and the count of every five-letter run there is, so it grows with
+    the variety of the texts; executors get a copy and map it into memory. Null and empty
+    texts add nothing; without any text all letters cost the same.
     """
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
 
     def count(batches):
-        totals = [np.zeros(CLASSES**3, np.int64), np.zeros(TABLE, np.int64)]
+        three, codes, counts = np.zeros(CLASSES**3, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for total, found in zip(totals, grams(list(texts(batch["text"])))):
-                total += found
-        for order, total in enumerate(totals):
-            seen = np.nonzero(total)[0]
-            for at in range(0, len(seen), 100_000):
-                part = seen[at : at + 100_000]
-                columns = [pa.array(np.full(len(part), order, np.int32)), pa.array(part), pa.array(total[part])]
+            found, runs = grams(list(texts(batch["text"])))
+            three += found
+            held.append(runs)
+            if sum(map(len, held)) >= HELD_RUNS:
+                held.append(codes)
+                ones = np.ones(sum(map(len, held[:-1])), np.int64)
+                codes, counts = _merged(np.concatenate(held), np.concatenate([ones, counts]))
+                held = []
+        ones = np.ones(sum(map(len, held)), np.int64)
+        codes, counts = _merged(np.concatenate([*held, codes]), np.concatenate([ones, counts]))
+        seen = np.nonzero(three)[0]
+        for kind, keys, numbers in ((0, seen, three[seen]), (1, codes, counts)):
+            for at in range(0, len(keys), 100_000):
+                part = slice(at, at + 100_000)
+                columns = [pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part]), pa.array(numbers[part])]
                 yield pa.RecordBatch.from_arrays(columns, names=["kind", "code", "n"])
 
     parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind int, code long, n long")
     summed = parts.groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     kind, code, n = (summed[c].to_numpy() for c in ("kind", "code", "n"))
-    three, five = np.zeros(CLASSES**3), np.zeros(TABLE, np.float32)
+    three = np.zeros(CLASSES**3)
     three[code[kind == 0]] = n[kind == 0]
-    five[code[kind == 1]] = n[kind == 1]
+    order = np.argsort(code[kind == 1])
+    path = os.path.join(tempfile.mkdtemp(prefix="proseloom-"), f"runs-{uuid.uuid4().hex}.npy")
+    np.save(path, np.stack([code[kind == 1][order], n[kind == 1][order]]).astype(np.int64))
     three = three.reshape(CLASSES, CLASSES, CLASSES)
     two = three.sum(0)
     one = two.sum(0)
     back = (one + SMOOTH) / (one.sum() + SMOOTH * CLASSES)
     pairs = (two + 2 * back) / (two.sum(1, keepdims=True) + 2)
     chances = (three + 2 * pairs) / (three.sum(2, keepdims=True) + 2)
-    return chances.astype(np.float32), five
+    return chances.astype(np.float32), ship(spark, path)
 
 
 @lru_cache(10_000)
@@ -146,8 +163,9 @@ class Restorer:
     In a restored word a letter never follows itself, as repetition may be disguise.
     """
 
-    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
-        self.chances, self.runs = model
+    def __init__(self, model: tuple[np.ndarray, str]):
+        self.chances = model[0]
+        self.runs, self.counts = np.load(shipped(model[1]), mmap_mode="r")
         self.kept: dict[str, str] = {}
         self.after: dict[str, array] = {}
         self.classes: dict[str, int] = {" ": 0}
@@ -163,7 +181,9 @@ class Restorer:
         classes, code = [self._class(c) for c in context], 0
         for c in classes:
             code = code * CLASSES + c
-        seen = self.runs[_slots(code, np.arange(CLASSES))]
+        begin, end = np.searchsorted(self.runs, [code * CLASSES, (code + 1) * CLASSES])
+        seen = np.zeros(CLASSES, np.float32)
+        seen[self.runs[begin:end] - code * CLASSES] = self.counts[begin:end]
         first, second = ([0, 0] + classes)[-2:]
         # Rarer contexts lean more on the shorter one.
         chances = (seen + 2 * self.chances[first, second]) / (seen.sum() + 2)
@@ -254,7 +274,7 @@ DOUBLED = re.compile(r"(.)\1+", re.DOTALL)
 STRONG = re.compile(r"[@$!|+€£].*[0-9]|[0-9].*[@$!|+€£]")
 
 
-def restore(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def restore(documents: DataFrame, model: tuple[np.ndarray, str]) -> DataFrame:
     """``doc_id, restored``: lower-case words of every whole text with disguises undone.
 
     Null and empty texts give an empty one. Rows that repeat are restored each; an empty table
@@ -287,7 +307,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def learn(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarray, np.ndarray], sample: int = SAMPLE) -> Classifier:
+def learn(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarray, str], sample: int = SAMPLE) -> Classifier:
     """Fit the classifier on at most ``sample`` labelled documents, drawn by a hash of their ids.
 
     Of equal restored texts one counts. ``labels`` needs ``doc_id`` and ``toxic``; null labels and labels of absent documents
@@ -335,11 +355,11 @@ def learn(documents: DataFrame, labels: DataFrame, model: tuple[np.ndarray, np.n
     return Classifier(float(bias), {w: float(weights[i]) for w, i in place.items()})
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], classifier: Classifier, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1, higher: likelier toxic) of every whole text.
+def score(documents: DataFrame, model: tuple[np.ndarray, str], classifier: Classifier, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name`` (0 to 1, higher: likelier toxic) of every whole text.
 
     Null and empty texts get the score of a text without known words. Rows that repeat
-    are scored each; an empty table gives an empty result.
+    are scored each; an empty table gives an empty result. ``name`` must not be one of ``keep``.
     """
     small_batches(documents.sparkSession)
     kept = keep or ["doc_id"]
@@ -351,7 +371,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], classifier
         restorer = Restorer(model)
         for batch in batches:
             out = [classifier.score(restorer.words(text)) for text in texts(batch[source])]
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), pa.array(out, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), pa.array(out, pa.float64())], names=[*kept, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{name}` double")
