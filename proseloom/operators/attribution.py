@@ -122,21 +122,23 @@ def rule_vocative(spans: DataFrame, scene_cast: DataFrame, cast: DataFrame) -> D
     )
 
 
-def context_window(spans: DataFrame, paragraphs: DataFrame, before: int = 3, after: int = 1) -> DataFrame:
+def context_window(
+    spans: DataFrame, paragraphs: DataFrame, before: int = 3, after: int = 1, block_rows: int = ordered.BLOCK_ROWS
+) -> DataFrame:
     """Paragraphs around each line inside its scene, with the line marked.
 
-    Each paragraph is sent to the few paragraphs that show it, so no window over
-    a whole scene is needed.
+    A scene is cut into blocks of ``block_rows`` paragraph numbers; the paragraphs next to a
+    border stand in both blocks, so each text is sent once and no task gets a whole scene.
     """
-    offsets = F.sequence(F.lit(-after), F.lit(before))
-    shown = (
-        paragraphs.select("doc_id", "scene_id", "para_idx", "text", F.explode(offsets).alias("d"))
-        .withColumn("target", F.col("para_idx") + F.col("d"))
-        .groupBy("doc_id", "scene_id", "target")
-        .agg(F.array_sort(F.collect_list(F.struct("para_idx", "text"))).alias("around"))
-    )
+    size, at = F.lit(block_rows), F.col("para_idx")
+    own = F.floor(at / size)
+    blocks = F.array_distinct(F.array(F.floor((at - after) / size), own, F.floor((at + before) / size)))
+    placed = paragraphs.select("doc_id", "scene_id", "para_idx", "text", own.alias("__own"), F.explode(blocks).alias("__blk"))
+    near = W.partitionBy("doc_id", "scene_id", "__blk").orderBy("para_idx").rangeBetween(-before, after)
+    around = F.array_sort(F.collect_list(F.struct("para_idx", "text")).over(near))
+    shown = placed.withColumn("around", around).where("__own = __blk").select("doc_id", "scene_id", "para_idx", "around")
     rows = with_paragraph(spans, paragraphs).join(
-        shown.withColumnRenamed("target", "para_idx"), ["doc_id", "scene_id", "para_idx"]
+        shown, ["doc_id", "scene_id", "para_idx"]
     )
     at = span_start()
     mark = F.concat(

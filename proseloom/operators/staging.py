@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import emotion as E
 from ..functions import hashing as H
@@ -177,13 +177,31 @@ LADDERS = {
 }
 
 
-def _ladder(name: str, cue: Column, profile: Column) -> Column:
-    rungs, default = LADDERS[name]
-    out = F.lit(default).cast("string")
-    for key, value in reversed(rungs):
+# What the rungs ask for: a bit for each cue flag and each word of the voice profile.
+ASKED = [*FLAGS, *dict.fromkeys(key for rungs, _ in LADDERS.values() for key, _ in rungs if key[0] == "~")]
+
+
+def _mask(cue: Column, profile: Column) -> Column:
+    """The bits of what a line has, as a whole number."""
+    found = F.lit(0)
+    for k, key in enumerate(ASKED):
         hit = profile.contains(key[1:]) if key[0] == "~" else cue[key]
-        out = F.when(F.coalesce(hit, F.lit(False)), F.lit(value)).otherwise(out)
-    return out
+        found = found + F.when(F.coalesce(hit, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0))
+    return found
+
+
+def style_table(spark: SparkSession) -> DataFrame:
+    """``mask`` and what each ladder selects for it: a row for each of the 2^15 masks."""
+
+    def chosen(name: str) -> Column:
+        rungs, default = LADDERS[name]
+        out = F.lit(default).cast("string")
+        for key, value in reversed(rungs):
+            out = F.when(F.col("mask").bitwiseAND(1 << ASKED.index(key)) != 0, F.lit(value)).otherwise(out)
+        return out.alias(f"__s_{name}")
+
+    masks = spark.range(1 << len(ASKED)).select(F.col("id").cast("int").alias("mask"))
+    return masks.select("mask", *map(chosen, LADDERS))
 
 
 def _first_clause(text: Column, cut: str = "[;,.]") -> Column:
@@ -198,13 +216,12 @@ def stage_segments(segments: DataFrame, cast: DataFrame, relationships: DataFram
     relation_tone; the first record that holds the speaker gives the intent.
     """
 
-    def narration() -> Column:
-        return F.when(F.col("type") == "narrator", F.col("text"))
-
+    # Cues are found once, in the narrator's row, and handed to the rows beside it.
+    own_cue = cues(F.when(F.col("type") == "narrator", F.col("text")))
     rows = ordered.neighbours(
-        segments, ["doc_id"], "seg_idx", prev={"__b": narration()}, next={"__a": narration()}
-    )
-    rows = rows.withColumn("__ca", cues(F.col("__a"))).withColumn("__cb", cues(F.col("__b")))
+        segments.withColumn("__cue", own_cue), ["doc_id"], "seg_idx",
+        prev={"__cb": F.col("__cue")}, next={"__ca": F.col("__cue")}, cut=True,
+    ).drop("__cue")
 
     def speaks(c: str) -> Column:
         return F.col(f"{c}.raw_acoustic_phrase").isNotNull() | F.col(f"{c}.speech_verb").isNotNull()
@@ -252,7 +269,8 @@ def stage_segments(segments: DataFrame, cast: DataFrame, relationships: DataFram
     def has(field: str) -> Column:
         return T.blank_to_null(who[field])
 
-    style = {n: _ladder(n, cue, voice) for n in LADDERS}
+    rows = rows.withColumn("mask", _mask(cue, voice)).join(F.broadcast(style_table(rows.sparkSession)), "mask", "left")
+    style = {n: F.col(f"__s_{n}") for n in LADDERS}
     style["age_range"] = F.coalesce(has("age"), F.lit("Adult"))
     style["gender"] = F.coalesce(has("gender"), F.lit("Unknown"))
     style["vocal_texture"] = F.coalesce(
