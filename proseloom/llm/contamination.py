@@ -131,9 +131,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     windows = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "length", "start")).alias("windows"))
 
     # Their shingles, from the texts that have such windows.
-    held = texts.join(windows.withColumnRenamed("doc_id", "__id"), (texts["text_hash"] == windows["text_hash"]) & texts["doc_id"].eqNullSafe(F.col("__id")))
+    named = windows.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    held = texts.join(named, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     own = ["doc_id", "text_hash"] if by_text else ["doc_id"]
-    held = held.select(*(texts[c] for c in own), _words("text").alias("words"), "windows")
+    held = held.select(*own, _words("text").alias("words"), "windows")
     of_size = F.array(*[_shingles("words", k) for k in range(1, SHINGLE + 1)])
     held = held.select(*own, of_size.alias("grams"), F.explode("windows").alias("w"))
     first = F.greatest(F.col("w.start"), F.lit(0))
