@@ -404,6 +404,8 @@ def _window_ends(points: DataFrame, max_words: int, overlap: int, block_words: i
     each text. Both ends are range lookups in ``b``. A text is cut into blocks of
     ``block_words`` words, and the points near a border belong to both blocks.
     """
+    # No window reaches beyond the next block.
+    block_words = max(block_words, max_words + 1, overlap + 1)
     blk, size = F.floor(F.col("b") / block_words), F.lit(block_words)
     around = F.array_distinct(F.array_compact(F.array(
         blk, F.when((blk > 0) & (F.col("b") - blk * size <= max_words), blk - 1), F.when((blk + 1) * size - F.col("b") <= max_words, blk + 1)
