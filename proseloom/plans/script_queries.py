@@ -45,6 +45,11 @@ def band_text_sql(emotion: str, band: str, part: int) -> str:
     return f"(CASE {palette_sql(emotion)} || {band} {cases} END)"
 
 
+_BAND_ROWS = ", ".join(
+    f"('{e}{i}', '{row[0]}', '{row[1]}')" for e, rows in E.BANDS.items() for i, row in enumerate(rows, 1)
+)
+
+
 # ---------------------------------------------------------------- cues and staging
 
 
@@ -293,21 +298,26 @@ def performance_record(t: Inputs):
 
 @query(
     "performance_instruction",
-    f"""WITH {_RECORD}
+    # Step by step: the keys of both bands first, then their texts from a table.
+    f"""WITH {_RECORD.replace("rec AS (", "rec AS MATERIALIZED (")},
+    keyed AS MATERIALIZED (SELECT *, {palette_sql("de")} || db AS dk, {palette_sql("fe")} || fb AS fk FROM rec),
+    bands(k, name, manner) AS (VALUES {_BAND_ROWS}),
+    told AS MATERIALIZED (
+      SELECT r.*, d.name AS dn, d.manner AS dm, f.name AS fn, f.manner AS fm
+      FROM keyed r LEFT JOIN bands d ON d.k = r.dk LEFT JOIN bands f ON f.k = r.fk)
     SELECT doc_id, seg_idx, 'Say the following with the same voice, ' || concat_ws(', ',
       CASE WHEN ad IS NOT NULL AND far = 'intimate' THEN 'Speaking directly to ' || ad || ' in close, intimate proximity'
            WHEN ad IS NOT NULL AND far = 'projected' THEN 'Projecting voice across distance to ' || ad
            WHEN ad IS NOT NULL THEN 'Speaking to ' || ad WHEN far = 'intimate' THEN 'Close, intimate vocal delivery'
            WHEN far = 'projected' THEN 'Projected voice, addressing the entire room' END,
-      CASE WHEN note IS NOT NULL THEN NULL WHEN de <> fe OR db <> fb THEN
-             'Surface delivery is ' || {band_text_sql("de", "db", 0)} || ' (' || {band_text_sql("de", "db", 1)}
-             || '), with underlying suppressed ' || {band_text_sql("fe", "fb", 0)} || ' subtext (' || {band_text_sql("fe", "fb", 1)} || ')'
-           ELSE 'Delivery is ' || {band_text_sql("de", "db", 0)} || ' (' || {band_text_sql("de", "db", 1)} || ')' END,
+      CASE WHEN note IS NOT NULL THEN NULL
+           WHEN de <> fe OR db <> fb THEN 'Surface delivery is ' || dn || ' (' || dm || '), with underlying suppressed ' || fn || ' subtext (' || fm || ')'
+           ELSE 'Delivery is ' || dn || ' (' || dm || ')' END,
       CASE WHEN note IS NULL THEN CASE expression WHEN 'suppressed' THEN 'tightly held-back, suppressed cadence'
                                                   WHEN 'released' THEN 'open, uninhibited vocal release' END END,
       CASE WHEN tired = 1 THEN 'Physical state: tired, cold' END,
       CASE WHEN tired = 0 THEN 'emphasizing the word(s) ''now'' and ''here''' END, '[Director: ' || note || ']')
-      || ': ''' || trim(text, {SP}) || '''' AS instruction FROM rec""",
+      || ': ''' || trim(text, {SP}) || '''' AS instruction FROM told""",
     ["script"],
 )
 def performance_instruction(t: Inputs):
