@@ -136,7 +136,7 @@ def merge_cast_profiles(t: Inputs):
         "'' AS base_voice", "CAST(NULL AS STRING) AS gender", "'' AS implied_age",
         "CASE WHEN ord % 3 = 0 THEN 'curious; brave' ELSE '' END AS personality_traits",
     )
-    return C.merge_cast_profiles(t.people, found.where("name <> 'Unknown'"))
+    return C.merge_cast_profiles(t.people, found)
 
 
 _PARAS = "paras AS (SELECT doc_id, para_idx, text FROM prose)"

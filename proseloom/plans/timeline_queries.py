@@ -86,7 +86,7 @@ FROM script CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) x W
           QUALIFY row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY is_active DESC, take) = 1),
     j AS (SELECT s.doc_id, s.seg_idx, s.speaker, coalesce(take, 1) AS active_take,
                  coalesce(file_path, 'audio/takes/line_' || s.seg_idx || '/take_1.mp3') AS file_path, coalesce(c.duration_s, 0.0) AS d
-          FROM script s LEFT JOIN c ON s.doc_id = c.doc_id AND s.seg_idx = c.seg_idx WHERE s.seg_idx BETWEEN 1 AND 6),
+          FROM script s LEFT JOIN c ON s.doc_id = c.doc_id AND s.seg_idx = c.seg_idx),
     r AS (SELECT *, sum(d + 0.6::DOUBLE) OVER (PARTITION BY doc_id ORDER BY seg_idx) AS e FROM j)
     SELECT doc_id, seg_idx, speaker, active_take, file_path, {rounded("e - d - 0.6::DOUBLE", 6)} AS start_seconds,
            {rounded("d", 6)} AS duration_seconds FROM r""",
@@ -94,7 +94,7 @@ FROM script CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) x W
 )
 def active_take_playlist(t: Inputs):
     versions = t.spark.sql(_VERSIONS.replace("FROM script", "FROM {script}"), script=t.script)
-    return TL.active_take_playlist(t.script, versions, lo=1, hi=6)
+    return TL.active_take_playlist(t.script, versions)
 
 
 _PLAN = f"""
