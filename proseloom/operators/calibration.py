@@ -229,19 +229,17 @@ def span_eval(truth: DataFrame, predicted: DataFrame, passages: DataFrame, **blo
     """Character-level overlap of predicted and true dialogue per method.
 
     ``truth``: passage_id, ord, type, speaker, text; ``predicted`` also has
-    method. All spans of a passage, of the truth and of every method, are looked up in one
-    index of it. Overlap lengths come from an interval join, not from single characters.
+    method. The spans of a passage are looked up in it list by list, the truth and every
+    method. Overlap lengths come from an interval join, not from single characters.
     """
     both = ["passage_id", "method"]
     lists = [*both, "is_true"]
     spans = predicted.withColumn("is_true", F.lit(False)).unionByName(
         truth.withColumns({"method": F.lit(""), "is_true": F.lit(True)}), allowMissingColumns=True
     )
-    spans = spans.withColumn("seg_idx", F.col("ord").cast("int"))
-    placed = ranges.locate_in_source(
-        spans, passages, tuple(lists), book_keys=("passage_id",), exact=True, fallback=False, **blocking
-    )
-    found = spans.where("type = 'dialogue'").join(placed.where("start >= 0"), [*lists, "seg_idx"])
+    spans = spans.select(*lists, F.col("ord").cast("int").alias("seg_idx"), "text", "type", "speaker")
+    placed = ranges.locate_in_passages(spans, passages, tuple(lists), ("passage_id",), **blocking)
+    found = placed.where("type = 'dialogue' AND start >= 0")
     found = ordered.cut_lineage(found.select(*lists, "speaker", "start", "end"))
     methods = predicted.select(*both).distinct()
     true = found.where("is_true").drop("method", "is_true")
