@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proseloom.operators import attribution as A
 from proseloom.operators import calibration as K
 from proseloom.operators import cast as C
+from proseloom.operators import screenplay as S
 from proseloom.operators import staging as G
 from proseloom.operators import text as X
 
@@ -19,6 +20,19 @@ def test_leaderboard_means(spark):
     assert found == {"m": (62.8, 30.0, 15.3, 3, 2), "n": (1.0, 2.0, 3.0, 0, 1)}
 
 
+def test_mean_confidence_follows_line_order(spark):
+    by_line = [0.12, 0.26, 0.73, 0.86, 0.55, 0.75]  # added in another order, the mean rounds to 0.55
+    given = [4, 5, 2, 0, 3, 1]
+    rows = [(1, k, "dialogue", "Ada", "a b", by_line[k]) for k in given] + [(1, 6, "dialogue", "Ada", "c", None), (1, 7, "dialogue", "Bo", "d", None)]
+    script = spark.createDataFrame(rows, "doc_id long, seg_idx int, type string, speaker string, text string, confidence double").coalesce(1)
+    people = spark.createDataFrame([(1, "Ada", "v")], "doc_id long, name string, voice_id string")
+    for parts in (script, script.repartition(4)):
+        found = {r.speaker: r for r in S.character_breakdown(parts, people).collect()}
+        assert (found["Ada"].average_confidence, found["Ada"].line_count, found["Ada"].word_count) == (0.54, 7, 13)
+        assert (found["Bo"].average_confidence, found["Bo"].line_count) == (1.0, 1)
+        assert "averages 0.54" in S.sanity_flags(S.character_breakdown(parts, people)).where("severity = 'medium'").first().message
+
+
 def test_ablation_levels_and_risk(spark):
     rows = [(1, 0, "Go now.", "angry", 3, "angry", 4, "Bram", "near", "low", ["tired"], ["now"], "softer"), (1, 1, "Yes, I will come with you, of course, tomorrow.", *[None] * 10)]
     schema = (
