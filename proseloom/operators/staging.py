@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import emotion as E
@@ -402,11 +403,11 @@ def _arc_inputs(events: DataFrame) -> DataFrame:
     baseline = F.coalesce("baseline", F.lit(START)) if "baseline" in events.columns else F.lit(START)
     lines = F.col("lines_since") if "lines_since" in events.columns else F.lit(1)
     return events.select(
-        "doc_id",
-        "char_id",
-        "line_idx",
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), baseline)).alias("baseline"),
-        F.coalesce("trigger_strength", F.lit(0.0)).alias("trigger"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("char_id").cast("string").alias("char_id"),
+        F.col("line_idx").cast("bigint").alias("line_idx"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), baseline)).cast("double").alias("baseline"),
+        F.coalesce("trigger_strength", F.lit(0.0)).cast("double").alias("trigger"),
         F.greatest(F.lit(1), F.coalesce(lines, F.lit(1))).cast("int").alias("lines"),
     )
 
@@ -417,7 +418,8 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
     The recurrence is not a window function, but its state is one of 1001 values.
     Blocks of a long timeline are therefore summed up as a table "state before ->
     state after", the tables are chained, and all blocks then run in parallel
-    from their known start.
+    from their known start. Only timelines of more than ``block_rows`` rows are cut;
+    all others are walked one after the other in sorted partitions.
     """
     key = ["doc_id", "char_id"]
     rows = _arc_inputs(events)
@@ -440,32 +442,35 @@ def emotion_arc(events: DataFrame, start: float = START, block_rows: int = 1 <<
             state = int(after[state])
         return pdf[[*key, "__blk"]].assign(start=starts)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_idx")
-        begin = pdf["start"].iloc[0]
-        level = (first_state if pd.isna(begin) else int(begin)) / _GRID
-        levels = []
-        for row in pdf.itertuples(index=False):
-            level = step_intensity(level, row.baseline, row.trigger, row.lines)
-            levels.append(level)
-        return pdf[[*key, "line_idx"]].assign(intensity=levels)
-
-    schema = "doc_id bigint, char_id string, line_idx bigint, intensity double"
-    rows = rows.withColumn("__blk", F.floor(F.col("line_idx") / block_rows))
-    # Only timelines of more than one block need tables.
-    long = rows.groupBy(*key).agg(F.count_distinct("__blk").alias("__n")).where("__n > 1").select(*key)
-    tables = (
-        rows.join(long, key, "left_semi")
-        .groupBy(*key, "__blk")
-        .applyInPandas(table, "doc_id bigint, char_id string, __blk bigint, after array<int>")
-    )
-    starts = tables.groupBy(*key).applyInPandas(
-        chain, "doc_id bigint, char_id string, __blk bigint, start int"
-    )
+    walked = ["doc_id", "char_id", "__blk", "line_idx", "start", "baseline", "trigger", "lines"]
+
+    def walk(batches):
+        at, level = None, 0.0
+        for batch in batches:
+            levels = []
+            for doc, who, blk, begin, base, trigger, lines in zip(*(batch[c].to_pylist() for c in walked if c != "line_idx")):
+                if (doc, who, blk) != at:
+                    at, level = (doc, who, blk), (first_state if begin is None else begin) / _GRID
+                level = step_intensity(level, base, trigger, lines)
+                levels.append(level)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in (*key, "line_idx")), pa.array(levels, pa.float64())], names=[*key, "line_idx", "intensity"]
+            )
+
+    long = ordered.cut_lineage(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows).select(*key))
+    none = {"__blk": F.lit(0).cast("bigint"), "start": F.lit(None).cast("int")}
+    placed = rows.withColumns(none)
+    if long.take(1):
+        cut = ordered.renumber(rows.join(long, key, "left_semi"), key, "line_idx", "__pos")
+        cut = cut.withColumn("__blk", F.floor(F.col("__pos") / block_rows)).drop("__pos")
+        tables = cut.groupBy(*key, "__blk").applyInPandas(table, "doc_id bigint, char_id string, __blk bigint, after array<int>")
+        starts = tables.groupBy(*key).applyInPandas(chain, "doc_id bigint, char_id string, __blk bigint, start int")
+        placed = rows.join(long, key, "left_anti").withColumns(none).unionByName(cut.join(starts, [*key, "__blk"]))
     out = (
-        rows.join(starts, [*key, "__blk"], "left")
-        .groupBy(*key, "__blk")
-        .applyInPandas(walk, schema)
+        placed.select(*walked)
+        .repartition(*key, "__blk")
+        .sortWithinPartitions(*key, "__blk", "line_idx")
+        .mapInArrow(walk, "doc_id bigint, char_id string, line_idx bigint, intensity double")
     )
     return out.withColumn("band", E.band(F.col("intensity")))
 

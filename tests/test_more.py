@@ -40,6 +40,19 @@ def test_emotion_arc_equals_the_loop(spark):
     assert G.step_intensity(0.9, 0.2, 0.0, 1) == 0.795
 
 
+def test_emotion_arc_cuts_by_rows_not_by_numbers(spark, monkeypatch):
+    # Lines far apart: no timeline is long, so no state tables are made.
+    def lines(gap):
+        rows = [(1, f"u{i % 3}", i * gap, (i * 7 % 13) / 13 - 0.4, 0.2, i % 4) for i in range(90)]
+        return spark.createDataFrame(rows, "doc_id bigint, char_id string, line_idx bigint, trigger_strength double, baseline double, lines_since int")
+
+    want = {(r.char_id, r.line_idx): r.intensity for r in G.emotion_arc(lines(1)).collect()}
+    monkeypatch.setattr(G.ordered, "renumber", lambda *_: pytest.fail("a short timeline was cut"))
+    far = G.emotion_arc(lines(1 << 18))
+    assert {(r.char_id, r.line_idx >> 18): r.intensity for r in far.collect()} == want
+    assert "FlatMapGroupsInPandas" not in far._jdf.queryExecution().toString()
+
+
 def test_wer_and_differences(spark):
     pairs = [
         ("the path was dark", "the path dark"),
