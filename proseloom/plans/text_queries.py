@@ -386,7 +386,8 @@ def insert_rows(t: Inputs):
 )
 def locate_in_source(t: Inputs):
     docs = t.documents.select("doc_id", "text")
-    return RG.locate_in_source(X.sentence_split(docs), docs)
+    sentences = X.sentence_split(docs).select("doc_id", "seg_idx", "text")
+    return RG.locate_in_passages(sentences, docs, ("doc_id",), ("doc_id",), exact=False, fallback=True)
 
 
 @query(

@@ -74,19 +74,19 @@ def test_passages_equal_the_search_pointer(spark, exact, fallback, block_rows):
         assert [got[doc, k] for k in range(len(own))] == want
 
 
-@pytest.mark.parametrize("long_chars", [1 << 16, 60, 0])
-def test_spans_of_short_and_long_passages(spark, long_chars):
+@pytest.mark.parametrize("long_chars, exact, fallback", [(1 << 16, True, False), (60, True, False), (1 << 16, False, True), (60, False, True)])
+def test_spans_of_short_and_long_passages(spark, long_chars, exact, fallback):
     ship_package(spark)
     given = list(books(7, 24))
     rows = [(d, m, k, t, f"{m}{k}") for d, _, texts in given for m in ("x", "y") for k, t in enumerate(texts[:: -1 if m == "y" else 1])]
     segments = spark.createDataFrame(rows, "doc_id bigint, method string, seg_idx int, text string, mark string")
     texts = spark.createDataFrame([(d, s) for d, s, _ in given] + [(99, None)], "doc_id bigint, text string")
-    found = RG.locate_in_passages(segments, texts, ("doc_id", "method"), ("doc_id",), long_chars)
+    found = RG.locate_in_passages(segments, texts, ("doc_id", "method"), ("doc_id",), exact=exact, fallback=fallback, long_chars=long_chars)
     got = {(r.doc_id, r.method, r.seg_idx): (r.start, r.end, r.mark) for r in found.collect()}
     assert len(got) == len(rows)
     for doc, source, own in given:
         for m, listed in (("x", own), ("y", own[::-1])):
-            want = located(source, listed, True, False)
+            want = located(source, listed, exact, fallback)
             assert [got[doc, m, k] for k in range(len(own))] == [(*place, f"{m}{k}") for k, place in enumerate(want)]
 
 
