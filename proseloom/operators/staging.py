@@ -47,43 +47,52 @@ FLAGS = {
 }
 
 
-def cues(text: Column) -> Column:
-    """Voice cues of a piece of narration as a struct; null for no text."""
-    t = T.strip(text)
+def with_cues(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the voice cues of a piece of narration as a struct; null for no text.
 
-    def part(pattern: str, group: int) -> Column:
-        return T.blank_to_null(F.regexp_extract(t, pattern, group))
+    What several cues are made of is a column of its own first, so each pattern is searched once a row.
+    """
 
-    clause = T.strip(part(VOICE_CLAUSE, 1))
-    participle = T.strip(part(VOICE_PARTICIPLE, 0))
-    tone = F.concat(T.strip(part(TONE_PHRASE, 1)), F.lit(" tone"))
-    raw = F.coalesce(clause, participle, tone)
-    verb, adverb = F.lower(part(CUE_VERB, 1)), F.lower(part(CUE_VERB, 2))
-    search = F.lower(F.concat_ws(" ", t, raw))
+    def part(pattern: str, group: int) -> Column:
+        return T.blank_to_null(F.regexp_extract("__t", pattern, group))
+
+    rows = df.withColumn("__text", text).withColumn("__t", T.strip(F.col("__text")))
+    rows = rows.withColumns(
+        {
+            "__clause": T.strip(part(VOICE_CLAUSE, 1)),
+            "__participle": T.strip(part(VOICE_PARTICIPLE, 0)),
+            "__tone": F.concat(T.strip(part(TONE_PHRASE, 1)), F.lit(" tone")),
+            "__verb": F.lower(part(CUE_VERB, 1)),
+            "__adverb": F.lower(part(CUE_VERB, 2)),
+        }
+    )
+    rows = rows.withColumn("__raw", F.coalesce("__clause", "__participle", "__tone"))
+    rows = rows.withColumn("__search", F.lower(F.concat_ws(" ", "__t", "__raw")))
 
     def flag(verbs: list[str], adverbs: list[str], stems: list[str]) -> Column:
         hit = F.lit(False)
         if verbs:
-            hit = hit | F.coalesce(verb.isin(verbs), F.lit(False))
+            hit = hit | F.coalesce(F.col("__verb").isin(verbs), F.lit(False))
         if adverbs:
-            hit = hit | F.coalesce(adverb.isin(adverbs), F.lit(False))
-        return hit | E.contains_any(search, stems) if stems else hit
+            hit = hit | F.coalesce(F.col("__adverb").isin(adverbs), F.lit(False))
+        return hit | E.contains_any(F.col("__search"), stems) if stems else hit
 
-    return F.when(
-        F.coalesce(text, F.lit("")) != "",
+    found = F.when(
+        F.coalesce("__text", F.lit("")) != "",
         F.struct(
-            F.coalesce(participle, clause).alias("vocal_clause"),
-            verb.alias("speech_verb"),
-            adverb.alias("speech_adverb"),
-            tone.alias("in_tone_phrase"),
-            raw.alias("raw_acoustic_phrase"),
-            *[flag(*rule).alias(name) for name, rule in FLAGS.items()],
+            F.coalesce("__participle", "__clause").alias("vocal_clause"),
+            F.col("__verb").alias("speech_verb"),
+            F.col("__adverb").alias("speech_adverb"),
+            F.col("__tone").alias("in_tone_phrase"),
+            F.col("__raw").alias("raw_acoustic_phrase"),
+            *[flag(*rule).alias(flagged) for flagged, rule in FLAGS.items()],
         ),
     )
+    return rows.select(*[c for c in df.columns if c != name], found.alias(name))
 
 
 def acoustic_cues(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn("cues", cues(F.col(col)))
+    return with_cues(df, F.col(col), "cues")
 
 
 # ---------------------------------------------------------------- staging
@@ -218,9 +227,9 @@ def stage_segments(segments: DataFrame, cast: DataFrame, relationships: DataFram
     """
 
     # Cues are found once, in the narrator's row, and handed to the rows beside it.
-    own_cue = cues(F.when(F.col("type") == "narrator", F.col("text")))
+    told = F.when(F.col("type") == "narrator", F.col("text"))
     rows = ordered.neighbours(
-        segments.withColumn("__cue", own_cue), ["doc_id"], "seg_idx",
+        with_cues(segments, told, "__cue"), ["doc_id"], "seg_idx",
         prev={"__cb": F.col("__cue")}, next={"__ca": F.col("__cue")}, cut=True,
     ).drop("__cue")
 

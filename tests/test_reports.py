@@ -20,6 +20,17 @@ def test_leaderboard_means(spark):
     assert found == {"m": (62.8, 30.0, 15.3, 3, 2), "n": (1.0, 2.0, 3.0, 0, 1)}
 
 
+def test_cue_patterns_are_searched_once(spark):
+    texts = ["Her voice was flat and low. She said softly, no.", "His voice trembling as he went, on", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = G.acoustic_cues(df).select("doc_id", "cues.*")
+    rows = {r.doc_id: r for r in found.collect()}
+    assert (rows[0].vocal_clause, rows[0].speech_verb, rows[0].speech_adverb, rows[0].is_flat, rows[0].is_soft) == ("flat and low", "said", "softly", True, True)
+    assert rows[1].is_hesitant and rows[2].speech_verb is None and rows[3].is_flat is None
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 10
+
+
 def test_mean_confidence_follows_line_order(spark):
     by_line = [0.12, 0.26, 0.73, 0.86, 0.55, 0.75]  # added in another order, the mean rounds to 0.55
     given = [4, 5, 2, 0, 3, 1]
