@@ -25,8 +25,10 @@ def _normalise(text: str | None) -> str:
 
 _COMPARED = t.StructType(
     [
-        t.StructField("expected", t.StringType()),
-        t.StructField("heard", t.StringType()),
+        t.StructField("expected_words", t.IntegerType()),
+        t.StructField("heard_words", t.IntegerType()),
+        t.StructField("expected_left", t.StringType()),
+        t.StructField("heard_left", t.StringType()),
         t.StructField("match_pct", t.DoubleType()),
         t.StructField("missing", t.ArrayType(t.StringType())),
         t.StructField("extra", t.ArrayType(t.StringType())),
@@ -34,41 +36,38 @@ _COMPARED = t.StructType(
 )
 
 
+def _coded(a: list[str], b: list[str]) -> tuple[str, str]:
+    """Both word lists without their common ends, each distinct word as one character."""
+    lo, short = 0, min(len(a), len(b))
+    while lo < short and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < short - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
+        hi += 1
+    # Code points above the basic plane.
+    seen: dict[str, str] = {}
+    left = [seen.setdefault(w, chr(0x10000 + len(seen))) for w in a[lo : len(a) - hi]]
+    right = [seen.setdefault(w, chr(0x10000 + len(seen))) for w in b[lo : len(b) - hi]]
+    return "".join(left), "".join(right)
+
+
 @F.pandas_udf(_COMPARED)
 def _compare(expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
     out = []
     for left, right in zip(expected, heard, strict=True):
         a, b = _normalise(left), _normalise(right)
+        aw, bw = a.split(), b.split()
         if a == b:
-            out.append((a, b, 100.0, [], []))
+            out.append((len(aw), len(bw), "", "", 100.0, [], []))
             continue
         ratio = difflib.SequenceMatcher(None, a, b).ratio()
-        missing, extra, aw, bw = [], [], a.split(), b.split()
+        missing, extra = [], []
         for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, aw, bw).get_opcodes():
             if tag != "equal":
                 missing += aw[i1:i2]
                 extra += bw[j1:j2]
-        out.append((a, b, round(ratio * 100.0, 1), missing, extra))
-    return pd.DataFrame(out, columns=["expected", "heard", "match_pct", "missing", "extra"])
-
-
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance in words: each distinct word becomes one character."""
-    seen = F.array_distinct(F.concat(a, b))
-
-    def coded(words: Column) -> Column:
-        # Code points above the basic plane, one for each distinct word of the pair.
-        return F.array_join(
-            F.transform(
-                words,
-                lambda w: F.decode(
-                    F.unhex(F.lpad(F.hex(F.array_position(seen, w) + 65535), 8, "0")), "UTF-32"
-                ),
-            ),
-            "",
-        )
-
-    return F.levenshtein(coded(a), coded(b))
+        out.append((len(aw), len(bw), *_coded(aw, bw), round(ratio * 100.0, 1), missing, extra))
+    return pd.DataFrame(out, columns=_COMPARED.names)
 
 
 def transcript_wer(segments: DataFrame, transcripts: DataFrame, strict_pct: float = 90.0) -> DataFrame:
@@ -81,13 +80,10 @@ def transcript_wer(segments: DataFrame, transcripts: DataFrame, strict_pct: floa
     rows = rows.repartition(parts, "doc_id", "seg_id")
     rows = rows.withColumn("c", _compare("text", "transcribed_text"))
 
-    def words(field: str) -> Column:
-        return F.filter(F.split(F.col(field), " ", -1), lambda w: w != "")
-
-    rows = rows.withColumn("__a", words("c.expected")).withColumn("__b", words("c.heard"))
-    n = F.size("__a")
-    distance = word_distance(F.col("__a"), F.col("__b"))
-    wer = F.when(n == 0, F.when(F.size("__b") == 0, 0.0).otherwise(1.0)).otherwise(
+    # Edit distance in words: common ends add nothing to it.
+    rows = rows.withColumn("__errors", F.levenshtein("c.expected_left", "c.heard_left"))
+    n, distance = F.col("c.expected_words"), F.col("__errors")
+    wer = F.when(n == 0, F.when(F.col("c.heard_words") == 0, 0.0).otherwise(1.0)).otherwise(
         F.least(F.lit(1.0), distance / n)
     )
     pct = F.col("c.match_pct")

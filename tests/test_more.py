@@ -73,6 +73,26 @@ def test_wer_and_differences(spark):
     assert total.lines == 5 and total.errors == sum(r.word_errors for r in rows.values())
 
 
+def test_wer_reads_each_line_once(spark):
+    rnd = random.Random(8)
+    said = [" ".join(rnd.choice(["a", "b", "cc", "dd'd", "é"]) for _ in range(rnd.randint(0, 40))) for _ in range(40)]
+    told = [" ".join(w for w in s.split() if rnd.random() < 0.8) + rnd.choice(["", " b", " new words"]) for s in said]
+    segs = spark.createDataFrame([(1, f"s{i}", "x", s) for i, s in enumerate(said)], "doc_id bigint, seg_id string, speaker string, text string")
+    heard = spark.createDataFrame([(1, f"s{i}", s) for i, s in enumerate(told)], "doc_id bigint, seg_id string, transcribed_text string")
+    scored = Q.transcript_wer(segs, heard)
+    # No word is looked up in a list that is made anew for it.
+    assert "array_position" not in scored._jdf.queryExecution().toString()
+    for r in scored.collect():
+        a, b = Q._normalise(said[int(r.seg_id[1:])]).split(), Q._normalise(told[int(r.seg_id[1:])]).split()
+        row = list(range(len(b) + 1))
+        for i, w in enumerate(a, 1):
+            last, row[0] = row[:], i
+            for j, v in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (w != v))
+        assert (r.expected_words, r.word_errors) == (len(a), row[-1] if a else 0)
+        assert r.wer == (min(1.0, row[-1] / len(a)) if a else float(bool(b)))
+
+
 def test_fit_finds_the_minimum(spark):
     rnd = random.Random(11)
     rows = []
