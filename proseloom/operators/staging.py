@@ -619,7 +619,16 @@ def performance_record(df: DataFrame) -> DataFrame:
     return df.withColumn("performance", F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+def _spoken(text: Column) -> Column:
+    return F.concat(F.lit("'"), T.strip(F.coalesce(text, F.lit(""))), F.lit("'"))
+
+
 def _performance_text(p: Column, text: Column, resolve_override: bool) -> Column:
+    return F.concat_ws(" ", _performance_lead(p, resolve_override), _spoken(text))
+
+
+def _performance_lead(p: Column, resolve_override: bool) -> Column:
+    """What the instruction says before the line itself."""
     to, far = p["addressee"], p["distance"]
     address = (
         F.when(
@@ -671,10 +680,7 @@ def _performance_text(p: Column, text: Column, resolve_override: bool) -> Column
     )
     director = F.concat(F.lit("[Director: "), note, F.lit("]"))
     clauses = F.concat_ws(", ", address, delivery, mode, body, stress, director)
-    return F.concat(
-        F.lit("Say the following with the same voice, "), clauses, F.lit(": '"),
-        T.strip(F.coalesce(text, F.lit(""))), F.lit("'"),
-    )
+    return F.concat(F.lit("Say the following with the same voice, "), clauses, F.lit(":"))
 
 
 def performance_instruction(df: DataFrame, resolve_override: bool = False, text: str = "text") -> DataFrame:
@@ -823,12 +829,22 @@ def prompt_ablation_grid(segments: DataFrame, default_addressee: str = "the list
         level(7, **whole),
         level(8, **whole, director_note=F.coalesce(note, F.lit(DEFAULT_NOTE))),
     )
-    rows = segments.select("doc_id", "seg_idx", "text", F.explode(grid).alias("g")).select(
-        "doc_id", "seg_idx", "text", "g.level", "g.name", "g.description", F.col("g.p").alias("p")
-    )
-    rows = rows.withColumn("instruction", _performance_text(F.col("p"), F.col("text"), False))
-    size, spoken = T.words(F.col("instruction")), T.words(F.col("text"))
-    commas = F.regexp_count("instruction", F.lit(","))
+    def commas(value: Column) -> Column:
+        return F.length(value) - F.length(F.replace(value, F.lit(","), F.lit("")))
+
+    # A line stands at all levels: it is counted once, and each level adds its own part, which ends before a space.
+    line = F.struct(
+        _spoken(F.col("text")).alias("text"), T.words(_spoken(F.col("text"))).alias("words"),
+        commas(_spoken(F.col("text"))).alias("commas"), T.words(F.col("text")).alias("spoken"),
+    )
+    rows = segments.withColumn("__line", line).select("doc_id", "seg_idx", "__line", F.explode(grid).alias("g"))
+    rows = rows.withColumn("lead", _performance_lead(F.col("g.p"), False)).select(
+        "doc_id", "seg_idx", "__line", "lead", "g.level", "g.name",
+        F.concat_ws(" ", "lead", "__line.text").alias("instruction"),
+        (T.words(F.col("lead")) + F.col("__line.words")).alias("size"),
+        (commas(F.col("lead")) + F.col("__line.commas")).alias("commas"),
+    )
+    size, commas, spoken = F.col("size"), F.col("commas"), F.col("__line.spoken")
     clauses = F.when(commas > 0, commas).otherwise(F.lit(1))
     ratio = F.when(spoken > 0, size / spoken).otherwise(F.lit(1.0))
     risk = (

@@ -64,6 +64,17 @@ def test_ablation_levels_and_risk(spark):
     assert "Bram" not in text[0, 3] and "softer" not in text[0, 7] and "tired" in text[1, 6]
 
 
+def test_ablation_counts_a_line_once(spark):
+    texts = [None, "", "  ,a b,\n", "\x85x y", "\u180ez", "' , '"]
+    segments = spark.createDataFrame([(1, i, s) for i, s in enumerate(texts)], "doc_id long, seg_idx int, text string")
+    grid = G.prompt_ablation_grid(segments)
+    assert "regexp_extract_all(instruction" not in grid._jdf.queryExecution().optimizedPlan().toString()
+    rows = grid.select("*", G.T.words(F.col("instruction")).alias("w"), F.regexp_count("instruction", F.lit(",")).alias("c")).collect()
+    assert len(rows) == 8 * len(texts)
+    for r in rows:
+        assert (r.instruction_words, r.clause_count, r.instruction_chars) == (r.w, r.c or 1, len(r.instruction))
+
+
 def test_profiles_fold_into_the_cast(spark):
     cast = spark.createDataFrame(
         [(1, 0, "Ada Moss", "Female", "Adult", "calm", False), (1, 1, "Bram Vale", "Male", "Adult", "deep", True)],
