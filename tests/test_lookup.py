@@ -183,3 +183,33 @@ def test_stream_state_survives_restarts_drops_late_rows_and_expires(spark, tmp_p
     # The state had expired: the rows after the restart begin anew, none is late.
     begun = {r.line_idx: r.intensity for r in rows.where("char_id = 'a' AND line_idx IN (2, 9)").collect()}
     assert begun[2] == S.step_intensity(S.START, 0.2, 0.4, 1) and rows.where("is_dropped").count() == 0
+
+
+def test_arc_state_is_asked_once_a_batch():
+    import pandas as pd
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    def batch(*rows):
+        return pd.DataFrame(rows, columns=["line_idx", "baseline", "trigger", "lines"])
+
+    state, want = SQ.ArcState(1000), SQ.START
+    state.arc = Held()
+    frames = [batch((5, 0.2, 0.3, 1), (1, 0.55, 0.9, 2)), batch((3, 0.2, -0.2, 3))]
+    first = pd.concat(state.handleInputRows((1, "u1"), iter(frames), None))
+    assert first["line_idx"].tolist() == [1, 3, 5] and not first["is_dropped"].any() and state.arc.calls == 2
+    for level, step in zip(first["intensity"], [(0.55, 0.9, 2), (0.2, -0.2, 3), (0.2, 0.3, 1)], strict=True):
+        want = SQ.step_intensity(want, *step)
+        assert level == want
+    again = pd.concat(state.handleInputRows((1, "u1"), iter([batch((5, 0.2, 0.3, 1), (6, 0.2, 0.0, 0 + 1))]), None))
+    assert again["is_dropped"].tolist() == [True, False] and again["intensity"].isna().tolist() == [True, False]
+    assert again["intensity"].iloc[1] == SQ.step_intensity(want, 0.2, 0.0, 1) and state.arc.value[1] == 6 and state.arc.calls == 4
