@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, mixed, small_batches, stored, text_bytes
-from .components import components
+from .components import stars
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -166,13 +166,20 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "text_id", "left_semi")
 
 
-def _open_bands(placed: DataFrame, past: DataFrame) -> DataFrame:
-    """The buckets (``band``) in which two texts of different components were not compared yet.
+def _open_bands(placed: DataFrame) -> DataFrame:
+    """The buckets in which two texts of different components were not compared yet, and the next representative of each.
 
-    A representative (``past``: band, used) was compared with all others of its bucket.
+    ``placed``: band, text_id, weight, root, used (was the representative of the bucket, which
+    was compared with all others of it). Returns ``band, next, part``: the most central text outside the
+    components of the representatives before, and its component; both are null if there is none.
     """
-    rest = placed.join(past.select("band", F.col("used").alias("text_id")), ["band", "text_id"], "left_anti")
-    return rest.groupBy("band").agg(F.count_distinct("root").alias("parts")).where("parts > 1").select("band")
+    central = F.struct("weight", (-F.col("text_id")).alias("low"))
+    parts = placed.groupBy("band", "root").agg(
+        F.bool_or("used").alias("had"), (~F.bool_and("used")).cast("int").alias("rest"), F.max(central).alias("top")
+    )
+    fresh = F.when(~F.col("had"), F.col("top"))
+    found = parts.groupBy("band").agg(F.sum("rest").alias("parts"), F.max_by(F.struct("top.low", "root"), fresh).alias("p"))
+    return found.where("parts > 1").select("band", (-F.col("p.low")).alias("next"), F.col("p.root").alias("part"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, str]:
@@ -221,7 +228,7 @@ def _possible(able: DataFrame, roots: DataFrame, similarity: float) -> tuple[Dat
     ordered = Window.partitionBy("text_id").orderBy("n", "region")
     placed = each.join(counts, "region").withColumn("place", F.row_number().over(ordered))
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
-    rare = placed.where((F.col("place") <= first) & (F.col("n") > 1)).join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
+    rare = placed.where((F.col("place") <= first) & (F.col("n") > 1)).join(roots.select(F.col("a").alias("text_id"), F.col("b").alias("root")), "text_id", "left")
     rare, folder = stored(rare.select("region", "text_id", "size", "place", F.coalesce("root", "text_id").alias("root")))
     left = rare.select("region", *[F.col(c).alias(f"{c}_a") for c in ("text_id", "size", "place", "root")])
     right = rare.select("region", *[F.col(c).alias(f"{c}_b") for c in ("text_id", "size", "place", "root")])
@@ -276,42 +283,38 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     # An id with several texts has the sets of all of them.
     sets, sets_folder = stored(regions(_of_ids(whole, shared.select("text_id").distinct())))
 
-    central = F.struct("weight", (-F.col("text_id")).alias("low"))
-    edges, old, compared = [tied], [sets_folder, shared_folder], None
-    nodes = "node long, root long"
-    roots = components(tied) if tied.take(1) else spark.createDataFrame([], nodes)
-    past = spark.createDataFrame([], "band long, used long")
+    old, compared = [sets_folder, shared_folder], None
+    roots, roots_folder = stars(tied)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """The rows, each with the least text of its component."""
+        return rows.join(roots.select(F.col("a").alias("text_id"), F.col("b").alias("root")), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+
+    placed = rooted(shared.withColumn("used", F.lit(False)))
     for _ in range(PIVOTS):
-        placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "text_id"))
-        placed = placed.join(_open_bands(placed, past), "band", "left_semi")
-        # The components of earlier representatives of the bucket have had theirs.
-        had = past.join(roots.withColumnRenamed("node", "used"), "used", "left")
-        had = had.select("band", F.coalesce("root", "used").alias("root")).distinct()
-        fresh = placed.join(had, ["band", "root"], "left_anti")
-        chosen = fresh.groupBy("band").agg(F.max_by(F.struct("text_id", "root"), central).alias("p"))
-        chosen, folder = stored(chosen.select("band", F.col("p.text_id").alias("used"), F.col("p.root").alias("part")))
-        stars = placed.join(chosen, "band").where("root <> part").select(F.col("text_id").alias("a"), F.col("used").alias("b"))
-        stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        chosen, folder = stored(_open_bands(placed))
+        met = placed.join(chosen, "band").where("root <> part").select(F.col("text_id").alias("a"), F.col("next").alias("b"))
+        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if compared is not None:
-            stars = stars.join(compared, ["a", "b"], "left_anti")
-        stars, stars_folder = stored(stars)
-        old += [folder, stars_folder]
-        if not stars.take(1):
+            met = met.join(compared, ["a", "b"], "left_anti")
+        met, met_folder = stored(met)
+        old += [folder, met_folder]
+        if not met.take(1):
             break
-        like, like_folder = verified(stars, sets, similarity)
+        like, like_folder = verified(met, sets, similarity)
         found, found_folder = stored(like)
         old += [like_folder, found_folder]
-        compared = stars if compared is None else compared.union(stars)
-        past = past.union(chosen.select("band", "used"))
+        compared = met if compared is None else compared.union(met)
         if found.take(1):
-            edges.append(found)
-            roots = components(_joined(edges))
+            old.append(roots_folder)
+            roots, roots_folder = stars(roots.union(found))
+        # A bucket that is not open stays so: only the others go on.
+        used = F.col("used") | F.coalesce(F.col("text_id") == F.col("next"), F.lit(False))
+        placed, folder = stored(rooted(placed.join(chosen, "band").select("band", "text_id", "weight", used.alias("used"))))
+        old.append(folder)
 
     # Buckets whose texts are not all in one component yet: compare across components.
-    placed = shared.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
-    placed = placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root"))
-    open_, open_folder = stored(placed.join(_open_bands(placed, past), "band", "left_semi").select("text_id").distinct())
+    open_, open_folder = stored(placed.join(_open_bands(placed), "band", "left_semi").select("text_id").distinct())
     old.append(open_folder)
     if compared is not None and open_.take(1):
         able, able_folder = stored(_able(_of_ids(sets, open_), similarity))
@@ -320,22 +323,15 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
         more, more_folder = stored(like)
         old += [able_folder, rare_folder, like_folder, more_folder]
         if more.take(1):
-            roots = components(_joined([*edges, more]))
+            old.append(roots_folder)
+            roots, roots_folder = stars(roots.union(more))
     for folder in old:
         discard(spark, folder)
 
-    classes = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
-    classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("root", "text_id")).alias("class_id"))
+    classes = rooted(members).groupBy("doc_id").agg(F.min("root").alias("class_id"))
     known = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     known = known.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n")
     known = known.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
     known = known.select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("k") == 1)).alias("kept"))
     unnamed = rows.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return known.union(unnamed)
-
-
-def _joined(edges: list[DataFrame]) -> DataFrame:
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out

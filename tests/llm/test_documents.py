@@ -1,5 +1,6 @@
 """Line spread, contamination, near duplicates, link trust and the pipeline."""
 
+import importlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -158,6 +159,17 @@ def test_components_of_long_paths(ready):
     assert components(ready.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_stars_are_written_once(ready, monkeypatch):
+    """Edges that are stars already take no further round, a path of stars only a few."""
+    module, written = importlib.import_module("proseloom.llm.components"), []
+    store = module.stored
+    monkeypatch.setattr(module, "stored", lambda frame: written.append(1) or store(frame))
+    star = ready.createDataFrame([(n, 1) for n in range(2, 40)] + [(60, 50)], "a long, b long")
+    found = {r["node"]: r["root"] for r in module.components(star).collect()}
+    assert found == {n: 1 for n in range(1, 40)} | {60: 50, 50: 50}
+    assert len(written) == 1
+
+
 # Line spread
 
 
