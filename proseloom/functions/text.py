@@ -58,12 +58,15 @@ def clean(text: Column, *, fix_soft: bool = True, british: bool = False) -> Colu
     t = F.regexp_replace(t, r"\.{4,}", "...")
     t = F.regexp_replace(t, rf"(?i)\[{WS}*(?:[0-9]+|note{WS}*[0-9]+){WS}*\]", "")
     if fix_soft:
-        t = F.regexp_replace(t, "([^\\n.!?\":;—…])\\n([a-zA-Z0-9\"'])", "$1 $2")
+        t = F.regexp_replace(t, SOFT_BREAK, " $1")
     t = F.regexp_replace(t, rf"(?m){WS_INLINE}+$", "")
     t = strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
     return british_quotes(t) if british else t
 
 
+# Looked for from the newline on, not at every letter. The sign before it may not be the
+# one after the last soft break, which that break has taken (``\\G``).
+SOFT_BREAK = "\\n(?<=[^\\n.!?\":;—…]\\n)(?<!\\G\\n)([a-zA-Z0-9\"'])"
 # Space characters other than the newline: trimming them per line keeps the lines.
 WS_INLINE = r"[\h\r\f\x{0b}\x{2028}\x{2029}\x{feff}]"
 

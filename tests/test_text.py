@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -132,3 +133,14 @@ def test_name_seed_is_stable(spark):
         h = (h * 31 + ord(ch)) & 0xFFFFFFFF
     h = h - (1 << 32) if h >= 1 << 31 else h
     assert got.h == h and got.s == abs(h) % 90000 + 10000
+
+
+def test_soft_breaks_are_found_from_the_newline(spark):
+    """Same result as taking one sign on both sides of a break, also where breaks share a sign."""
+    draw = random.Random(31)
+    made = ["".join(draw.choice("ab.\n\n'\"—é😀 ") for _ in range(60)) for _ in range(300)] + ["a\nb\nc\nd", "\na", "a\n", "", "😀\na"]
+    rows = spark.createDataFrame(list(enumerate(made)), "i int, text string")
+    taken = F.regexp_replace("text", "([^\\n.!?\":;—…])\\n([a-zA-Z0-9\"'])", "$1 $2")
+    found = rows.select(taken.alias("old"), F.regexp_replace("text", T.SOFT_BREAK, " $1").alias("new"))
+    assert found.where("old <> new").count() == 0
+    assert T.SOFT_BREAK.startswith("\\n")
