@@ -24,6 +24,10 @@ LANE = 21
 LANES = 22
 # Item shingles up to this number go to every executor; more of them are shuffled.
 BROADCAST_ROWS = 500_000
+# Bits of the filter of texts: 2 MB on every executor, whatever the input.
+FILTER_BITS = 1 << 24
+# Windows whose starts fall into one stretch of so many places (or of an item's length) are cut out together.
+STRETCH = 256
 
 
 def _words(text: str) -> Column:
@@ -72,6 +76,17 @@ def _starts(hits: str, run: str, least: str) -> Column:
     return F.when(F.size(hits) >= F.col(least), every).otherwise(F.array().cast("array<int>"))
 
 
+def _among(texts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose hash ``key`` is one of ``keys``, and a few whose bit another one has set; no row is shuffled."""
+    bit = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__row"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = texts.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("__row"))
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def fingerprints(shingles: DataFrame, key: str) -> DataFrame:
     """``key, mark`` from rows ``key, shingle``."""
     return shingles.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums("shingle")).select(key, _mark().alias("mark"))
@@ -128,19 +143,35 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     cut_short = F.filter(_starts("hits", "run", "short"), lambda s: (s < 0) | (s > over))
     starts = hits.where(F.size("hits") >= F.col("short"))
     starts = starts.withColumn("start", F.explode(F.array_union(_starts("hits", "run", "whole"), cut_short)))
-    windows = starts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "length", "start")).alias("windows"))
 
-    # Their shingles, from the texts that have such windows.
-    named = windows.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    held = texts.join(named, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    def stretch(length):
+        return F.greatest(length, F.lit(STRETCH))
+
+    starts = starts.withColumn("no", F.floor(F.col("start") / stretch(F.col("length"))).cast("int"))
+    parts = starts.groupBy("doc_id", "text_hash", "size", "length", "no").agg(F.collect_list("start").alias("starts"))
+    windows = parts.groupBy("doc_id", "text_hash", "size").agg(F.collect_list(F.struct("length", "no", "starts")).alias("parts"))
+
+    # Their shingles, from the texts that have such windows: only these are shuffled.
+    named = cut(windows.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}))
+    held = _among(texts, named.select(F.col("__hash").alias("text_hash")), "text_hash")
+    held = held.join(named, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     own = ["doc_id", "text_hash"] if by_text else ["doc_id"]
-    held = held.select(*own, _words("text").alias("words"), "windows")
-    of_size = F.array(*[_shingles("words", k) for k in range(1, SHINGLE + 1)])
-    held = held.select(*own, of_size.alias("grams"), F.explode("windows").alias("w"))
-    first = F.greatest(F.col("w.start"), F.lit(0))
-    last = F.col("w.start") + F.col("w.length") - F.col("w.size")
-    inside = F.slice(F.get("grams", F.col("w.size") - 1), first + 1, F.greatest(last - first + 1, F.lit(0)))
-    held = held.select(*own, F.col("w.size").alias("size"), F.array_sort(inside).alias("inside"))
+    held = held.select(*own, "size", _words("text").alias("words"), "parts")
+    grams = F.coalesce(*[F.when(F.col("size") == k, _shingles("words", k)) for k in sorted(sizes) or [SHINGLE]])
+    held = held.select(*own, "size", grams.alias("grams"), "parts")
+
+    def piece(part):
+        """A stretch of a text's shingles, so that no window's row holds them all."""
+        low = F.greatest(part["no"] * stretch(part["length"]), F.lit(0))
+        cut_out = F.slice("grams", low + 1, (part["no"] + 1) * stretch(part["length"]) + part["length"] - low)
+        return F.struct(part["length"].alias("length"), part["starts"].alias("starts"), low.alias("low"), cut_out.alias("grams"))
+
+    held = held.select(*own, "size", F.explode(F.transform("parts", piece)).alias("p"))
+    held = held.select(*own, "size", "p.length", "p.low", "p.grams", F.explode("p.starts").alias("start"))
+    first = F.greatest(F.col("start"), F.lit(0))
+    last = F.col("start") + F.col("length") - F.col("size")
+    inside = F.slice("grams", first - F.col("low") + 1, F.greatest(last - first + 1, F.lit(0)))
+    held = held.select(*own, "size", F.sort_array(inside).alias("inside"))
     # Windows of equal content are one: copies and shared passages are compared once.
     held = held.withColumn("window", F.xxhash64("size", "inside")).withColumn("window2", F.xxhash64(F.lit("second"), "inside"))
     held = cut(held.where(F.size("inside") > 0))

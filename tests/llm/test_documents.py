@@ -279,6 +279,57 @@ def test_contamination_of_odd_rows(ready, odd, nothing):
     assert contamination.contaminated(odd, items.where("false")).collect() == []
 
 
+def shuffled(ready):
+    """Bytes that this session has written for shuffles so far."""
+    context = ready.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_texts_without_a_passage_are_not_shuffled(ready, tmp_path):
+    draw = random.Random(41)
+    item = prose(draw, 40)
+    rows = [(i, " ".join(f"{draw.getrandbits(32):x}" for _ in range(600)) + (f" {item}" if i % 100 == 7 else "")) for i in range(1500)]
+    ready.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ready.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, items = (ready.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark"))
+    before = shuffled(ready)
+    found = contamination.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.similarity) for r in found) == [(i, 1.0) for i in range(7, 1500, 100)]
+    assert shuffled(ready) - before < 0.2 * sum(len(text) for _, text in rows)
+
+
+def test_windows_of_long_texts_against_brute_force(ready):
+    """Windows whose shingles lie in two stretches, items longer than a stretch, windows that both ends cut."""
+    draw = random.Random(42)
+    items = [(1, prose(draw, 30)), (2, prose(draw, 300)), (3, prose(draw, 7)), (4, "two words")]
+    texts = []
+    for d in range(24):
+        body = edit(draw, items[d % 4][1], d % 2)
+        texts.append((d, f"{prose(draw, 225 + 3 * d)} {body} {prose(draw, draw.choice([0, 3, 400]))} {items[(d + 1) % 4][1]}"))
+    for i, t in items[:2]:
+        words = t.split()
+        few = len(words) // 15
+        texts += [(100 + i, " ".join(words[few:])), (200 + i, " ".join(words[:-few])), (300 + i, f"{t} {t} {' '.join(words[:-few])}")]
+    table = ready.createDataFrame(texts, "doc_id long, text string")
+    found = contamination.contaminated(table, ready.createDataFrame(items, "item_id long, text string"), radius=23).collect()
+    want, got = brute_contamination(texts, items), {(r.doc_id, r.item_id): r.similarity for r in found}
+    assert set(got) == set(want) and all(abs(got[k] - s) < 1e-9 for k, s in want.items()) and len(want) > 40
+
+
+def test_filter_keeps_every_key_and_few_others(ready):
+    draw = random.Random(43)
+    table = ready.createDataFrame([(draw.randint(-(1 << 63), (1 << 63) - 1), str(i)) for i in range(3000)], "hash long, text string")
+    edges = ready.createDataFrame([(k, "edge") for k in (0, -1, 1, (1 << 24) - 1, 1 << 24, 7, 8, (1 << 15) - 1, 1 << 15, -(1 << 63))], "hash long, text string")
+    both = table.union(edges)
+    keys = table.where("text < '2'").union(edges).select("hash")
+    rows = [tuple(r) for r in contamination._among(both, keys, "hash").collect()]
+    wanted = {tuple(r) for r in both.where("text < '2' OR text = 'edge'").collect()}
+    assert len(rows) == len(set(rows)) and wanted <= set(rows) and len(rows) <= len(wanted) + 5
+    assert contamination._among(both, keys.where("false"), "hash").collect() == []
+
+
 def test_fingerprints_by_definition(ready):
     draw = random.Random(8)
     rows = [(k, draw.randint(-(1 << 63), (1 << 63) - 1)) for k in range(20) for _ in range(draw.randint(1, 30))]
