@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm import contamination, lines, near_duplicates
-from proseloom.llm.common import table
+from proseloom.llm.common import cut, table
 from proseloom.llm.queries import TOXIC_SCORE, bpe_digests, scored_texts
 from proseloom.session import checkpoint_dir
 
@@ -52,7 +52,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id, stay. Null and empty texts hold none. An empty table stays empty.
     """
     found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"), by_text=True)
-    bad = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    if bad.count() <= contamination.BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     same = docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__hash"])
     return docs.join(bad, same, "left_anti")
 

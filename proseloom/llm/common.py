@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
-# Rows of one Arrow batch: whole texts travel in it, so it stays small.
+# Rows of one batch, of Arrow's or of Parquet's reader: whole texts travel in it, so it stays small.
 BATCH_ROWS = 256
 
 
@@ -22,9 +22,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch, as whole texts of any length travel in it."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the rows of one batch, of Arrow's and of Parquet's reader, as whole texts of any length travel in it."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(name)) > BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
 
 
 def ship(spark: SparkSession, path: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -118,6 +118,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     nothing; null ids of documents are one document, as are rows of one id. Empty
     tables give an empty result. Other columns are not read.
     """
+    small_batches(documents.sparkSession)
     items = cut(item_shingles(benchmark))
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -6,7 +6,7 @@ import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_documents import brute_contamination, grouped, prose, shingles, similarity
+from test_documents import brute_contamination, grouped, prose, shingles, shuffled, similarity
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,6 +72,22 @@ def test_only_contaminated_rows_of_an_id_go(ready, tmp_path):
     assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted((d or 0, t or "") for d, t in rows if item not in (t or ""))
 
 
+def test_clean_rows_are_not_shuffled_for_contaminated_ones(ready, tmp_path):
+    import random
+
+    draw = random.Random(44)
+    item = prose(draw, 40)
+    rows = [(i, " ".join(f"{draw.getrandbits(32):x}" for _ in range(600)) + (f" {item}" if i % 100 == 7 else "")) for i in range(1500)]
+    path = folder(ready, tmp_path, ready.createDataFrame(rows, "doc_id long, text string"), [(1, item)])
+    ready.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    before = shuffled(ready)
+    left = corpus_pipeline.decontamination(ready, ready.read.parquet(f"{path}/documents.parquet"), path).collect()
+    assert sorted(map(tuple, left)) == [r for r in rows if r[0] % 100 != 7]
+    assert shuffled(ready) - before < 0.2 * sum(len(text) for _, text in rows)
+    # A batch of the reader holds whole texts.
+    assert int(ready.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+
+
 def test_short_pages_lose_their_header_and_footer(ready):
     rows = [(i, f"Header of all sites, quite long\nown {i}\nFooter of all sites, longer than the page", f"s{i % 12}") for i in range(24)]
     rows += [(100 + i, "a copy\nfrom site to site", f"s{i}") for i in range(9)]
